@@ -64,21 +64,19 @@ def text_or_empty(text: Column) -> Column:
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, count: str, total: int) -> DataFrame:
     """Left join of rows to one row per key, safe when one key holds a large share of the rows.
 
-    Groups with over total/HOT_GROUPS rows number under HOT_GROUPS whatever the input, so they are broadcast. The
-    rows that found theirs there take a spread null-match key, and the rest join by shuffle.
+    Groups with over total/HOT_GROUPS rows number under HOT_GROUPS whatever the input, so they are broadcast. Rows
+    that found theirs there get a spread key that nothing matches; the rest join by shuffle. Null keys match nothing.
     """
     cols = [c for c in groups.columns if c != key]
     limit = max(total // HOT_GROUPS, 1)
-    hot = groups.filter(F.col(count) > limit)
-    hot = hot.select(F.col(key), F.struct(*cols).alias("_hot"))
-    cold = groups.filter(F.col(count) <= limit).select(F.col(key).alias("_k"), F.struct(*cols).alias("_cold"))
-    out = rows.join(F.broadcast(hot), key, "left")
-    spread = F.concat(F.lit("hot-"), F.monotonically_increasing_id().cast("string"))
-    out = out.withColumn("_k", F.when(F.col("_hot").isNull(), F.col(key)).otherwise(spread))
-    out = out.join(cold, "_k", "left").drop("_k")
+    hot = groups.filter(F.col(count) > limit).select(F.col(key), F.struct(*cols).alias("_hot"))
+    cold = groups.filter(F.col(count) <= limit)
+    cold = cold.select(F.lit(True).alias("_f"), F.col(key).alias("_k"), F.struct(*cols).alias("_cold"))
+    spread = F.monotonically_increasing_id().cast("string").cast(dict(rows.dtypes)[key])
+    out = rows.join(F.broadcast(hot), key, "left").withColumn("_f", F.col("_hot").isNull())
+    out = out.withColumn("_k", F.when(F.col("_f"), F.col(key)).otherwise(spread)).join(cold, ["_f", "_k"], "left")
     both = F.coalesce(F.col("_hot"), F.col("_cold"))
-    out = out.withColumn("_both", both).drop("_hot", "_cold")
-    return out.select(*[c for c in out.columns if c != "_both"], *[F.col(f"_both.{c}").alias(c) for c in cols])
+    return out.select(*rows.columns, *[both[c].alias(c) for c in cols])
 
 
 def pieces(batches: Iterable, rows: int = 256, size: int = 4 << 20) -> Iterator:
