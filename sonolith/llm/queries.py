@@ -5,7 +5,61 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common, exact, quality
+from . import bpe, common, exact, mixing, quality
+
+
+def op3_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(common.table(spark, sf_dir, "documents"))
+
+
+def _op3_sql(rounds: int = 3) -> str:
+    fill = ""
+    for r in range(rounds):
+        fill += f"""
+, c{r} AS (
+  SELECT key, v, sum(size) OVER (PARTITION BY key ORDER BY v) AS upto, gap
+  FROM k JOIN s{r} USING (key) WHERE p > 0 AND v > low AND size <= gap
+), t{r} AS (
+  SELECT key, max(v) FILTER (WHERE upto <= gap) AS high, max(upto) FILTER (WHERE upto <= gap) AS used FROM c{r} GROUP BY key
+), s{r + 1} AS (
+  SELECT s{r}.key, gap - coalesce(used, 0) AS gap, coalesce(high, low) AS low,
+         low AS low{r}, coalesce(high, low) AS high{r}, gap AS most{r}
+  FROM s{r} LEFT JOIN t{r} USING (key)
+)"""
+    hit = " OR ".join(f"(v > low{r} AND v <= high{r} AND size <= most{r})" for r in range(rounds))
+    joins = " ".join(f"JOIN (SELECT key, low{r}, high{r}, most{r} FROM s{r + 1}) USING (key)" for r in range(rounds))
+    return r"""
+WITH d AS (
+  SELECT doc_id, coalesce('a' || source, 'b') AS key,
+         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         ('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
+  FROM documents
+), z AS (
+  SELECT key, sum(size)::BIGINT AS source_size,
+         [5, 2, 1][((row_number() OVER (ORDER BY key) - 1) % 3 + 1)::INT] AS w FROM d GROUP BY key
+), y AS (
+  SELECT *, 3.0::DOUBLE * source_size / w AS ratio FROM z
+), x AS (
+  SELECT *, (sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER b, 0))::DOUBLE
+            / (sum(w) OVER () - coalesce(sum(w) OVER b, 0))::DOUBLE AS level
+  FROM y WINDOW b AS (ORDER BY ratio, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), g AS (
+  SELECT key, source_size, least((SELECT arg_min(level, (ratio, key)) FROM x WHERE level <= ratio) * w,
+                                 3.0::DOUBLE * source_size) AS target FROM x
+), h AS (
+  SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS times FROM g
+), goals AS (
+  SELECT key, source_size, target, floor(times)::INT AS copies, times - floor(times) AS p FROM h
+), k AS (
+  SELECT d.*, source_size, target, copies, p, q / (1 + q) AS v
+  FROM (SELECT d.*, goals.* EXCLUDE (key), (u / (1 - u)) / (p / (1 - p)) AS q FROM d JOIN goals USING (key)) d
+), s0 AS (
+  SELECT key, CASE WHEN p > 0 THEN target - copies * source_size ELSE 0 END AS gap, -1.0::DOUBLE AS low FROM goals
+)""" + fill + f"""
+SELECT doc_id, size, source_size, target,
+       (size * (copies + CASE WHEN p > 0 AND ({hit}) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM k {joins}
+"""
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,5 +124,5 @@ FROM b
 """
 
 
-QUERIES = {"op5_byte_bpe": op5_byte_bpe, "op6_chunk_recipes": op6_chunk_recipes, "op8_quality_cascade": op8_quality_cascade}
-ORACLE_SQL = {"op6_chunk_recipes": OP6_SQL, "op8_quality_cascade": OP8_SQL}
+QUERIES = {"op3_pareto_mix": op3_pareto_mix, "op5_byte_bpe": op5_byte_bpe, "op6_chunk_recipes": op6_chunk_recipes, "op8_quality_cascade": op8_quality_cascade}
+ORACLE_SQL = {"op3_pareto_mix": _op3_sql(), "op6_chunk_recipes": OP6_SQL, "op8_quality_cascade": OP8_SQL}
