@@ -5,7 +5,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common, exact, mixing, quality
+from . import bpe, common, exact, mixing, nearjoin, quality
+
+
+def op2_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearjoin.near_duplicates(common.table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
 def op3_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,5 +128,5 @@ FROM b
 """
 
 
-QUERIES = {"op3_pareto_mix": op3_pareto_mix, "op5_byte_bpe": op5_byte_bpe, "op6_chunk_recipes": op6_chunk_recipes, "op8_quality_cascade": op8_quality_cascade}
+QUERIES = {"op2_chosen_path": op2_chosen_path, "op3_pareto_mix": op3_pareto_mix, "op5_byte_bpe": op5_byte_bpe, "op6_chunk_recipes": op6_chunk_recipes, "op8_quality_cascade": op8_quality_cascade}
 ORACLE_SQL = {"op3_pareto_mix": _op3_sql(), "op6_chunk_recipes": OP6_SQL, "op8_quality_cascade": OP8_SQL}
