@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common, exact, mixing, nearjoin, quality
+from . import bpe, common, exact, mixing, nearjoin, quality, tokenbin
 
 
 def op2_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,5 +128,9 @@ FROM b
 """
 
 
-QUERIES = {"op2_chosen_path": op2_chosen_path, "op3_pareto_mix": op3_pareto_mix, "op5_byte_bpe": op5_byte_bpe, "op6_chunk_recipes": op6_chunk_recipes, "op8_quality_cascade": op8_quality_cascade}
+def op10_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenbin.round_trip(common.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES = {"op10_repair_tokens": op10_repair_tokens, "op2_chosen_path": op2_chosen_path, "op3_pareto_mix": op3_pareto_mix, "op5_byte_bpe": op5_byte_bpe, "op6_chunk_recipes": op6_chunk_recipes, "op8_quality_cascade": op8_quality_cascade}
 ORACLE_SQL = {"op3_pareto_mix": _op3_sql(), "op6_chunk_recipes": OP6_SQL, "op8_quality_cascade": OP8_SQL}
