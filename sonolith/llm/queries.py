@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common, exact, mixing, nearjoin, quality, tokenbin
+from . import bpe, common, exact, mixing, nearjoin, pii, quality, tokenbin
 
 
 def op2_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,6 +88,10 @@ FROM d
 """
 
 
+def op7_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.spans(common.table(spark, sf_dir, "documents"))
+
+
 def op8_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measured(common.table(spark, sf_dir, "documents"))
 
@@ -132,5 +136,5 @@ def op10_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.round_trip(common.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {"op10_repair_tokens": op10_repair_tokens, "op2_chosen_path": op2_chosen_path, "op3_pareto_mix": op3_pareto_mix, "op5_byte_bpe": op5_byte_bpe, "op6_chunk_recipes": op6_chunk_recipes, "op8_quality_cascade": op8_quality_cascade}
+QUERIES = {"op7_pii_spans": op7_pii_spans, "op10_repair_tokens": op10_repair_tokens, "op2_chosen_path": op2_chosen_path, "op3_pareto_mix": op3_pareto_mix, "op5_byte_bpe": op5_byte_bpe, "op6_chunk_recipes": op6_chunk_recipes, "op8_quality_cascade": op8_quality_cascade}
 ORACLE_SQL = {"op3_pareto_mix": _op3_sql(), "op6_chunk_recipes": OP6_SQL, "op8_quality_cascade": OP8_SQL}
