@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyarrow import fs
@@ -21,14 +22,20 @@ class TaskFile:
         self.temporary = f"{self.root}/_tmp-{name}-{uuid.uuid4().hex}"
         self.out = self.fs.open_output_stream(self.temporary)
         self.size = 0
+        self._sha = hashlib.sha256()
 
     def write(self, data: bytes) -> int:
         """The offset at which data begins."""
         at = self.size
         self.out.write(data)
+        self._sha.update(data)
         self.size += len(data)
         return at
 
+    @property
+    def sha256(self) -> str:
+        return self._sha.hexdigest()
+
     def commit(self) -> None:
         self.out.close()
         self.fs.move(self.temporary, f"{self.root}/{self.name}")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common, exact, mixing, nearjoin, pii, quality, tokenbin
+from . import bpe, common, exact, mixing, nearjoin, pii, quality, tokenbin, warc
 
 
 def op2_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +66,27 @@ FROM k {joins}
 """
 
 
+def op4_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(common.table(spark, sf_dir, "pages"))
+
+
+OP4_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body FROM pages
+), h AS (
+  SELECT page_id, strlen(body) AS payload_bytes, from_hex(sha1(body))::BIT::VARCHAR AS bits,
+         min(page_id) OVER (PARTITION BY body) AS first FROM p
+)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         (1 + 16 * substr(bits, 5 * i + 1, 1)::INT + 8 * substr(bits, 5 * i + 2, 1)::INT + 4 * substr(bits, 5 * i + 3, 1)::INT
+          + 2 * substr(bits, 5 * i + 4, 1)::INT + substr(bits, 5 * i + 5, 1)::INT), 1)), '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM h
+"""
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe.encode_texts(common.table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, ids=False)
@@ -136,5 +157,5 @@ def op10_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.round_trip(common.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {"op7_pii_spans": op7_pii_spans, "op10_repair_tokens": op10_repair_tokens, "op2_chosen_path": op2_chosen_path, "op3_pareto_mix": op3_pareto_mix, "op5_byte_bpe": op5_byte_bpe, "op6_chunk_recipes": op6_chunk_recipes, "op8_quality_cascade": op8_quality_cascade}
-ORACLE_SQL = {"op3_pareto_mix": _op3_sql(), "op6_chunk_recipes": OP6_SQL, "op8_quality_cascade": OP8_SQL}
+QUERIES = {"op4_warc_round_trip": op4_warc_round_trip, "op7_pii_spans": op7_pii_spans, "op10_repair_tokens": op10_repair_tokens, "op2_chosen_path": op2_chosen_path, "op3_pareto_mix": op3_pareto_mix, "op5_byte_bpe": op5_byte_bpe, "op6_chunk_recipes": op6_chunk_recipes, "op8_quality_cascade": op8_quality_cascade}
+ORACLE_SQL = {"op4_warc_round_trip": OP4_SQL, "op3_pareto_mix": _op3_sql(), "op6_chunk_recipes": OP6_SQL, "op8_quality_cascade": OP8_SQL}
