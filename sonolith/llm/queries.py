@@ -5,7 +5,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common, exact, mixing, nearjoin, pii, quality, tokenbin, warc
+from . import bpe, common, exact, mixing, nearjoin, pii, quality, tokenbin, toxicity, warc
+
+
+def op1_nonnegative_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
 
 
 def op2_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,5 +161,5 @@ def op10_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.round_trip(common.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {"op4_warc_round_trip": op4_warc_round_trip, "op7_pii_spans": op7_pii_spans, "op10_repair_tokens": op10_repair_tokens, "op2_chosen_path": op2_chosen_path, "op3_pareto_mix": op3_pareto_mix, "op5_byte_bpe": op5_byte_bpe, "op6_chunk_recipes": op6_chunk_recipes, "op8_quality_cascade": op8_quality_cascade}
+QUERIES = {"op1_nonnegative_pu": op1_nonnegative_pu, "op4_warc_round_trip": op4_warc_round_trip, "op7_pii_spans": op7_pii_spans, "op10_repair_tokens": op10_repair_tokens, "op2_chosen_path": op2_chosen_path, "op3_pareto_mix": op3_pareto_mix, "op5_byte_bpe": op5_byte_bpe, "op6_chunk_recipes": op6_chunk_recipes, "op8_quality_cascade": op8_quality_cascade}
 ORACLE_SQL = {"op4_warc_round_trip": OP4_SQL, "op3_pareto_mix": _op3_sql(), "op6_chunk_recipes": OP6_SQL, "op8_quality_cascade": OP8_SQL}
