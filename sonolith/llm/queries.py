@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, common, exact, mixing, nearjoin, pii, quality, tokenbin, toxicity, warc
+from . import bpe, common, exact, linededup, mixing, nearjoin, pii, quality, tokenbin, toxicity, warc
 
 
 def op1_nonnegative_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,9 +158,47 @@ FROM b
 """
 
 
+def op9_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = linededup.deduplicated(docs)
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+OP9_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS body FROM documents
+), l AS (
+  SELECT doc_id, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS line
+  FROM (SELECT doc_id, string_split(body, chr(10)) AS ls FROM d)
+), nb AS (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS p,
+         trim(regexp_replace(line, '[ 	-]+', ' ', 'g'), ' ') AS plain
+  FROM l WHERE regexp_matches(line, '[^ 	-]')
+), w AS (
+  SELECT doc_id, p, plain || chr(10) || lead(plain) OVER o || chr(10) || lead(plain, 2) OVER o AS k
+  FROM nb WINDOW o AS (PARTITION BY doc_id ORDER BY p)
+), r AS (
+  SELECT doc_id, p, row_number() OVER (PARTITION BY k ORDER BY doc_id, p) AS nth, count(*) OVER (PARTITION BY k) AS n
+  FROM w WHERE k IS NOT NULL
+), cover AS (
+  SELECT doc_id, p + s AS p, bool_or(nth = 1) AS stays FROM r, (SELECT unnest([0, 1, 2]) AS s) WHERE n > 1 GROUP BY ALL
+), gone AS (
+  SELECT doc_id, i FROM nb JOIN cover USING (doc_id, p) WHERE NOT stays
+), rest AS (
+  SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS body
+  FROM l ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+)
+SELECT doc_id,
+       (SELECT count(*) FROM nb WHERE nb.doc_id = d.doc_id) AS n_lines,
+       (SELECT count(*) FROM gone WHERE gone.doc_id = d.doc_id) AS n_removed,
+       sha256(coalesce(rest.body, '')) AS text_sha256
+FROM d LEFT JOIN rest USING (doc_id)
+"""
+
+
 def op10_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.round_trip(common.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {"op1_nonnegative_pu": op1_nonnegative_pu, "op4_warc_round_trip": op4_warc_round_trip, "op7_pii_spans": op7_pii_spans, "op10_repair_tokens": op10_repair_tokens, "op2_chosen_path": op2_chosen_path, "op3_pareto_mix": op3_pareto_mix, "op5_byte_bpe": op5_byte_bpe, "op6_chunk_recipes": op6_chunk_recipes, "op8_quality_cascade": op8_quality_cascade}
-ORACLE_SQL = {"op4_warc_round_trip": OP4_SQL, "op3_pareto_mix": _op3_sql(), "op6_chunk_recipes": OP6_SQL, "op8_quality_cascade": OP8_SQL}
+QUERIES = {"op9_line_windows": op9_line_windows, "op1_nonnegative_pu": op1_nonnegative_pu, "op4_warc_round_trip": op4_warc_round_trip, "op7_pii_spans": op7_pii_spans, "op10_repair_tokens": op10_repair_tokens, "op2_chosen_path": op2_chosen_path, "op3_pareto_mix": op3_pareto_mix, "op5_byte_bpe": op5_byte_bpe, "op6_chunk_recipes": op6_chunk_recipes, "op8_quality_cascade": op8_quality_cascade}
+ORACLE_SQL = {"op9_line_windows": OP9_SQL, "op4_warc_round_trip": OP4_SQL, "op3_pareto_mix": _op3_sql(), "op6_chunk_recipes": OP6_SQL, "op8_quality_cascade": OP8_SQL}
