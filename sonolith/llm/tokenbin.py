@@ -47,11 +47,26 @@ class WordEncoder:
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces that the file's pattern leaves whole: many in one text, told apart by the library's word ids."""
+        out = []
+        for at in range(0, len(pieces), 1000):
+            part = pieces[at : at + 1000]
+            got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ids, word = np.array(got.ids, "<u4"), np.array(got.word_ids, np.int64)
+            cuts = np.searchsorted(word, np.arange(1, len(part))) * 4
+            raw = ids.tobytes()
+            if not len(word) or word[-1] != len(part) - 1:
+                raise ValueError("pieces were split or merged")
+            out += [raw[a:b] for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(raw)], strict=True)]
+        return out
+
     def _words(self, words: list[bytes]) -> list[bytes]:
         texts = [w.decode() for w in words]
-        split = [_SPLIT(t.lower()) if _PLAIN(t) else [t] for t in texts]
-        found = self.by_piece.take({p for ps in split for p in ps}, self._library)
-        return [found[ps[0]] if len(ps) == 1 else b"".join([found[p] for p in ps]) for ps in split]
+        split = [[t.lower()] if t.isalpha() and max(t) < "ʰ" else _SPLIT(t.lower()) if _PLAIN(t) else None for t in texts]
+        found = self.by_piece.take({p for ps in split if ps for p in ps}, self._pieces)
+        odd = iter(self._library([t for t, ps in zip(texts, split, strict=True) if ps is None]))
+        return [next(odd) if ps is None else found[ps[0]] if len(ps) == 1 else b"".join([found[p] for p in ps]) for ps in split]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         words = [[] if b"<|" in t else t.split() for t in texts]
@@ -89,18 +104,19 @@ def compress(ids: np.ndarray, first: int, rounds: int = ROUNDS, most: int = RULE
         slot = _slot(key)
         where = np.flatnonzero(np.bincount(slot, minlength=_SLOTS)[slot] >= enough)
         key, slot = key[where], slot[where]
-        run = np.sort(key)
-        at = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]])[: len(run)])
-        pairs, n = run[at], np.diff(np.append(at, len(run)))
-        often = n >= enough
-        pairs, n = pairs[often], n[often]
-        best = pairs[np.lexsort((pairs, -n))[:most]]
-        if not len(best):
+        pair = np.zeros(_SLOTS, np.int64)
+        pair[slot] = key  # pairs that share a slot wait for a later round, but for one
+        same = pair[slot] == key
+        n = np.bincount(slot[same], minlength=_SLOTS)
+        often = np.flatnonzero(n >= enough)
+        often = often[np.lexsort((pair[often], -n[often]))[:most]]
+        if not len(often):
             break
+        best = pair[often]
         by_slot = np.full(_SLOTS, -1, np.int64)
-        by_slot[_slot(best)[::-1]] = np.arange(len(best))[::-1]  # of two in one slot the more frequent stays
+        by_slot[often] = np.arange(len(often))
         rank = by_slot[slot]
-        hit = (rank >= 0) & (best[rank] == key)
+        hit = (rank >= 0) & same
         where, rank = where[hit], rank[hit]
         order = rank * len(x) + where  # less: replaced first
         beside = where[1:] == where[:-1] + 1
