@@ -63,7 +63,7 @@ class WordEncoder:
 
     def _words(self, words: list[bytes]) -> list[bytes]:
         texts = [w.decode() for w in words]
-        split = [[t.lower()] if t.isalpha() and max(t) < "ʰ" else _SPLIT(t.lower()) if _PLAIN(t) else None for t in texts]
+        split = [[low] if (low := t.lower()).isalpha() and max(t) < "ʰ" else _SPLIT(low) if _PLAIN(t) else None for t in texts]
         found = self.by_piece.take({p for ps in split if ps for p in ps}, self._pieces)
         odd = iter(self._library([t for t, ps in zip(texts, split, strict=True) if ps is None]))
         return [next(odd) if ps is None else found[ps[0]] if len(ps) == 1 else b"".join([found[p] for p in ps]) for ps in split]
