@@ -1,0 +1,23 @@
+"""Defaults of the annotation pipeline."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+
+@dataclass(frozen=True)
+class Params:
+    clip_s: float = 300.0
+    context_s: float = 40.0
+    margin_s: float = 2.0
+    window_s: float = 1.0
+    overlap: float = 0.9
+    freq_min: float = 5.0
+    freq_max: float = 100.0
+    crop: int = 96
+    min_db: float = -80.0
+    max_db: float = 0.0
+    min_call_s: float = 1.0
+    max_call_s: float = 30.0
+    neighbour_tolerance_s: int = 1
+    asset_window_s: int = 900
