@@ -126,7 +126,7 @@ def members(stream, chunk: int = 1 << 20):
             if inflate.eof:
                 yield b"".join(held)
                 inflate, held = zlib.decompressobj(31), []
-    if held and any(held):
+    if held:
         raise ValueError("the last gzip member is cut off")
 
 
