@@ -118,6 +118,12 @@ def compress(ids: np.ndarray, first: int, rounds: int = ROUNDS, most: int = RULE
         rank = by_slot[slot]
         hit = (rank >= 0) & same
         where, rank = where[hit], rank[hit]
+        # of overlapping occurrences of one pair every second goes first
+        at = np.arange(len(where))
+        fresh = np.ones(len(where), bool)
+        fresh[1:] = (where[1:] != where[:-1] + 1) | (rank[1:] != rank[:-1])
+        every = (at - np.maximum.accumulate(np.where(fresh, at, 0))) % 2 == 0
+        where, rank = where[every], rank[every]
         order = rank * len(x) + where  # less: replaced first
         beside = where[1:] == where[:-1] + 1
         keep = np.ones(len(where), bool)
