@@ -264,7 +264,7 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, text: str = "text", d
 
     def run(batches):
         own = codec(path, pattern)
-        for part in C.pieces(batches):
+        for part in C.pieces(batches, rows=1024):
             packed = own.encode([x or "" for x in part.column(1).to_pylist()])
             columns = [
                 part.column(0),

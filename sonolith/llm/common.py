@@ -80,12 +80,13 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, count: str, total:
 
 
 def pieces(batches: Iterable, rows: int = 256, size: int = 4 << 20) -> Iterator:
-    """Arrow batches cut by rows, then by bytes, so that a task holds few texts at a time."""
+    """Arrow batches cut by rows, and halved while over ``size`` bytes, so that a task holds few texts at a time."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            part = batch.slice(at, rows)
+        waiting = [batch.slice(at, rows) for at in range(0, batch.num_rows, rows)][::-1]
+        while waiting:
+            part = waiting.pop()
             if part.nbytes <= size or part.num_rows == 1:
                 yield part
             else:
-                for i in range(part.num_rows):
-                    yield part.slice(i, 1)
+                half = part.num_rows // 2
+                waiting += [part.slice(half), part.slice(0, half)]

@@ -229,7 +229,7 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = 1, text: str =
 
         end = struct.pack("<I", end_id)
         for batch in batches:
-            for piece in C.pieces([batch]):
+            for piece in C.pieces([batch], rows=1024):
                 packed = own.encode([x or b"" for x in piece.column(1).cast(pa.binary()).to_pylist()])
                 held += [x + end for x in packed]
                 names.append(piece.column(0))
@@ -273,7 +273,8 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    spread = based.repartition("part", "segment")
+    # a manifest row is small but stands for much work, so partitions are counted in segments, not bytes
+    spread = based.repartition(max(1, min(manifest.count(), 20_000)), "part", "segment")
     return spread.mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
 
 

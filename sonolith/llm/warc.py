@@ -185,7 +185,8 @@ def read(manifest: DataFrame, folder: str, payload: bool = False) -> DataFrame:
                     yield batch_of(held)
 
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", url string, payload binary" * payload
-    return manifest.select("file").repartition("file").mapInArrow(run, schema)
+    # a manifest row is small but stands for a whole file, so partitions are counted in files, not bytes
+    return manifest.select("file").repartition(max(1, min(manifest.count(), 20_000)), "file").mapInArrow(run, schema)
 
 
 def round_trip(pages: DataFrame, **options) -> DataFrame:
