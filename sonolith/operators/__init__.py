@@ -1 +1 @@
-
+"""Dataset operators: DataFrame in, DataFrame out."""

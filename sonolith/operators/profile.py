@@ -68,9 +68,11 @@ def consistency(chunks: DataFrame, crop: int, total: str = "total") -> DataFrame
 
 
 def upper_median(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
-    """Element n // 2 of the sorted values, from 0: never interpolated."""
-    g = df.groupBy(*by).agg(F.array_sort(F.collect_list(value)).alias("_v"))
-    return g.select(*by, F.element_at("_v", F.floor(F.size("_v") / 2).cast("int") + 1).alias(name))
+    """Element n // 2 of the sorted values, from 0: never interpolated.
+
+    It is the lower median of the descending order, so counts per value are pre-aggregated and no list is collected.
+    """
+    return df.groupBy(*by).agg(F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{value}` DESC)").alias(name))
 
 
 def shift_warning(clip_lengths: DataFrame, by: list[str], value: str, context: float, least: float = 2.0) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,9 +12,8 @@ def write_items(items: DataFrame, folder: str, version: str, created_at: str, up
     spark = items.sparkSession
     try:
         created_at = spark.read.json(f"{folder}/header").first()["created_at"]
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
+    except AnalysisException:  # no header yet
+        pass
     items.write.mode("overwrite").json(f"{folder}/items")
     spark.createDataFrame([(version, created_at, updated_at)], "version string, created_at string, updated_at string").coalesce(1).write.mode("overwrite").json(f"{folder}/header.next")
     spark.read.json(f"{folder}/header.next").coalesce(1).write.mode("overwrite").json(f"{folder}/header")

@@ -1 +1 @@
-
+"""The source material has no stream operators; stateless transforms of the other packages take streaming frames."""
