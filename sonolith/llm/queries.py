@@ -172,8 +172,10 @@ WITH d AS (
   FROM (SELECT doc_id, string_split(body, chr(10)) AS ls FROM d)
 ), nb AS (
   SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS p,
-         trim(regexp_replace(line, '[ 	-]+', ' ', 'g'), ' ') AS plain
-  FROM l WHERE regexp_matches(line, '[^ 	-]')
+         trim(regexp_replace(line, '[ 	-
+]+', ' ', 'g'), ' ') AS plain
+  FROM l WHERE regexp_matches(line, '[^ 	-
+]')
 ), w AS (
   SELECT doc_id, p, plain || chr(10) || lead(plain) OVER o || chr(10) || lead(plain, 2) OVER o AS k
   FROM nb WINDOW o AS (PARTITION BY doc_id ORDER BY p)
@@ -200,5 +202,22 @@ def op10_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.round_trip(common.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {"op9_line_windows": op9_line_windows, "op1_nonnegative_pu": op1_nonnegative_pu, "op4_warc_round_trip": op4_warc_round_trip, "op7_pii_spans": op7_pii_spans, "op10_repair_tokens": op10_repair_tokens, "op2_chosen_path": op2_chosen_path, "op3_pareto_mix": op3_pareto_mix, "op5_byte_bpe": op5_byte_bpe, "op6_chunk_recipes": op6_chunk_recipes, "op8_quality_cascade": op8_quality_cascade}
-ORACLE_SQL = {"op9_line_windows": OP9_SQL, "op4_warc_round_trip": OP4_SQL, "op3_pareto_mix": _op3_sql(), "op6_chunk_recipes": OP6_SQL, "op8_quality_cascade": OP8_SQL}
+QUERIES = {
+    "op1_nonnegative_pu": op1_nonnegative_pu,
+    "op2_chosen_path": op2_chosen_path,
+    "op3_pareto_mix": op3_pareto_mix,
+    "op4_warc_round_trip": op4_warc_round_trip,
+    "op5_byte_bpe": op5_byte_bpe,
+    "op6_chunk_recipes": op6_chunk_recipes,
+    "op7_pii_spans": op7_pii_spans,
+    "op8_quality_cascade": op8_quality_cascade,
+    "op9_line_windows": op9_line_windows,
+    "op10_repair_tokens": op10_repair_tokens,
+}
+ORACLE_SQL = {
+    "op3_pareto_mix": _op3_sql(),
+    "op4_warc_round_trip": OP4_SQL,
+    "op6_chunk_recipes": OP6_SQL,
+    "op8_quality_cascade": OP8_SQL,
+    "op9_line_windows": OP9_SQL,
+}
