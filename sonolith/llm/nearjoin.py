@@ -1,6 +1,6 @@
 """Near-duplicate documents by a chosen-path set similarity join.
 
-Every document follows random paths: at a node of a tree one or two minhash positions are chosen, and the document
+Every document follows random paths: each node of a tree chooses one or two minhash positions, and the document
 goes on to the child named by its minwise token there. Similar sets share paths, others part soon. Small nodes are
 compared exhaustively, large ones against a hub and in blocks, then they branch on. Independent trees repeat this to
 reach the recall wanted. Links are confirmed on the full sets.
@@ -22,23 +22,24 @@ from pyspark.sql import functions as F
 from . import common as C
 from .components import components
 
-#: Minhash positions; a tree's levels use two each, no two levels of a tree the same.
+#: Minhash positions; each node draws its own, so that one mismatch doesn't end all of a pair's paths in a tree.
 POSITIONS = 128
 TREES = 7
-#: Levels of the first expansion and of each further one, with the chance of a second position at a node.
+#: Levels of the first expansion, with the chance of a second position at a node, and of each further one.
 FIRST_LEVELS, FIRST_SECOND = 5, 0.4
-MORE_LEVELS, MORE_SECOND = 6, 0.2
-#: Trees that branch on below large nodes; random blocks in every tree have compared most of their pairs before.
-DEEP_TREES = 3
-#: Members of a node that are compared exhaustively.
-SMALL = 400
+MORE_LEVELS = 3
+#: Paths that a link at the threshold keeps per further level on average; above 1, so that few are lost at any depth.
+KEPT = 1.2
+#: Levels in all; nodes that are still large there are compared exhaustively too.
+LEVELS = 17
+#: Members of a node that are compared exhaustively at once, and in how many blocks, each with each, larger nodes are.
+SMALL, BLOCKS = 400, 8
 #: Estimates from POSITIONS positions so far below the threshold (over four standard deviations) are not confirmed.
 SLACK = 0.14
 
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _MUL = _RNG.integers(0, 1 << 31, POSITIONS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _ADD = _RNG.integers(0, 1 << 32, POSITIONS, dtype=np.uint32)
-_ORDER = np.stack([_RNG.permutation(POSITIONS) for _ in range(64)])
 
 
 _TO_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -97,14 +98,16 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
 
 
 def paths(rows: DataFrame, level: int, levels: int, second: float, trees: int | None = None) -> DataFrame:
-    """(tree, path, rep) so many levels on; rows have rep and sig, and tree and path unless trees start here."""
+    """(tree, path, rep, comp) so many levels on; rows have rep, comp and sig, and tree and path unless trees start here."""
     chance = np.uint64(int(second * (1 << 32)))
 
-    def step(tree, path, sig, at):
-        pos = _ORDER[tree, 2 * at % POSITIONS], _ORDER[tree, (2 * at + 1) % POSITIONS]
+    def step(path, sig, at):
         two = np.flatnonzero((_mix(path + np.uint64(at)) >> np.uint64(32)) < chance)
+        drawn = _mix(_mix(path + np.uint64((at + 1) << 32))) >> np.uint64(16)
+        one = (drawn % np.uint64(POSITIONS)).astype(np.int64)
+        other = (one + 1 + (drawn // np.uint64(POSITIONS) % np.uint64(POSITIONS - 1)).astype(np.int64)) % POSITIONS
         who = np.concatenate([np.arange(len(path)), two])
-        where = np.concatenate([pos[0], pos[1][two]])
+        where = np.concatenate([one, other[two]])
         token = sig[1][sig[0][who], where].astype(np.uint64)
         return who, _mix(_mix(path[who] + token) + where.astype(np.uint64) + np.uint64(at << 8))
 
@@ -121,11 +124,11 @@ def paths(rows: DataFrame, level: int, levels: int, second: float, trees: int |
                     doc, tree = np.arange(n), part.column("tree").to_numpy()
                     path = part.column("path").to_numpy().view(np.uint64)
                 for at in range(level, level + levels):
-                    who, path = step(tree, path, (doc, sig), at)
+                    who, path = step(path, (doc, sig), at)
                     doc, tree = doc[who], tree[who]
-                yield pa.RecordBatch.from_arrays([pa.array(tree.astype(np.int32)), pa.array(path.view(np.int64)), part.column("rep").take(pa.array(doc))], ["tree", "path", "rep"])
+                yield pa.RecordBatch.from_arrays([pa.array(tree.astype(np.int32)), pa.array(path.view(np.int64)), *(part.column(c).take(pa.array(doc)) for c in ("rep", "comp"))], ["tree", "path", "rep", "comp"])
 
-    return rows.mapInArrow(run, f"tree int, path long, rep {_schema(rows, 'rep')}")
+    return rows.mapInArrow(run, f"tree int, path long, rep {_schema(rows, 'rep')}, comp {_schema(rows, 'comp')}")
 
 
 def _runs(batches, key: str):
@@ -149,10 +152,8 @@ def _runs(batches, key: str):
 
 
 def _members(lists: DataFrame) -> DataFrame:
-    """(gid, rep) of distinct member lists, with comp where the lists have it."""
+    """(gid, rep, comp) of distinct member lists."""
     lists = lists.distinct().withColumn("gid", F.md5(F.concat_ws(",", F.transform("members", lambda x: x.cast("string")))))
-    if "comps" not in lists.columns:
-        return lists.select("gid", F.explode("members").alias("rep"))
     pairs = lists.select("gid", F.explode(F.arrays_zip("members", "comps")).alias("m"))
     return pairs.select("gid", F.col("m.members").alias("rep"), F.col("m.comps").alias("comp"))
 
@@ -237,29 +238,30 @@ def linked(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int =
     classes = rows.join(reps.select("set_key", F.col("rep").alias("doc_id")), ["set_key", "doc_id"], "left_semi")
     classes = classes.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "sig", "small").dropDuplicates(["rep", "n"])
     classes = C.materialize(classes, "classes")
-    # what a comparison needs of a class; a new component label is joined here once, not to every member of a node
-    brief = classes.select("rep", "n", "small", F.col("rep").alias("comp"))
+    # what a comparison needs of a class; component labels travel with the paths
+    brief = classes.select("rep", "n", "small")
 
-    at, level = paths(classes, 0, FIRST_LEVELS, FIRST_SECOND, trees), FIRST_LEVELS
+    at, level = paths(classes.withColumn("comp", F.col("rep")), 0, FIRST_LEVELS, FIRST_SECOND, trees), FIRST_LEVELS
     links = sets = None
     threshold = percent / 100
+    member = F.struct("rep", "comp")
     while True:
         at = C.materialize(at, "paths")
-        nodes = C.materialize(at.groupBy("path").agg(F.count("*").alias("size"), F.min("rep").alias("hub")).filter("size > 1"), "nodes")
+        nodes = C.materialize(at.groupBy("path").agg(F.count("*").alias("size"), F.min(member).alias("hub"), F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").drop("x", "y"), "nodes")
         placed = C.materialize(at.join(nodes, "path"), "placed")
-        few = placed.filter(F.col("size") <= small).groupBy("path").agg(F.array_sort(F.collect_set("rep")).alias("members"))
+        few = placed.filter(F.col("size") <= small).groupBy("path").agg(F.array_sort(F.collect_set(member)).alias("m"))
         blocks = F.ceil(F.col("size") / F.lit(small))
         many = placed.filter(F.col("size") > small)
-        final = level + MORE_LEVELS > POSITIONS // 2
-        if final:  # no levels are left: every block meets every other
-            own = F.pmod(F.xxhash64("rep", "path"), blocks)
-            many = many.select("path", "rep", "hub", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-            many = many.withColumn("block", F.least("own", "other") * F.lit(1 << 31) + F.greatest("own", "other"))
-        else:
-            many = many.withColumn("block", F.pmod(F.xxhash64("rep", "path"), blocks))
-        wide = many.groupBy("path", "block").agg(F.collect_set("rep").alias("m"), F.min("hub").alias("hub"))
-        wide = wide.select(F.array_sort(F.array_union("m", F.array("hub"))).alias("members"))
-        members = _members(few.select("members").unionByName(wide)).join(brief, "rep")
+        final = level + MORE_LEVELS > LEVELS
+        # nodes that branch on have random blocks compared before; in others every block meets every other
+        whole = (blocks <= BLOCKS) | F.lit(final)
+        own = F.pmod(F.xxhash64("rep", "path"), blocks)
+        many = many.select("path", "rep", "comp", "hub", own.alias("own"), F.explode(F.when(whole, F.array_remove(F.sequence(F.lit(0), blocks - 1), own)).otherwise(F.array(own))).alias("other"))
+        many = many.withColumn("block", F.least("own", "other") * F.lit(1 << 31) + F.greatest("own", "other"))
+        wide = many.groupBy("path", "block").agg(F.collect_set(member).alias("m"), F.min("hub").alias("hub"))
+        wide = wide.select(F.array_sort(F.array_union("m", F.array("hub"))).alias("m"))
+        lists = few.select("m").unionByName(wide).select(F.col("m.rep").alias("members"), F.col("m.comp").alias("comps"))
+        members = _members(lists).join(brief, "rep")
         groups = C.materialize(_members(_promising(members.select("gid", "rep", "n", "small", "comp"), threshold)), "groups")
         if sets is None:
             needed = groups.select("rep").unionByName(placed.filter(F.col("size") > small).select("rep")).distinct()
@@ -267,16 +269,14 @@ def linked(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int =
         found = _confirmed(groups.join(sets, "rep"), percent)
         found = C.materialize(found.distinct(), "found")
         links = found if links is None else links.unionByName(found)
-        big = placed.filter((F.col("size") > small) & (F.col("tree") < DEEP_TREES))
+        big = placed.filter(blocks > BLOCKS).select("tree", "path", "rep", "comp")
         if final or big.isEmpty():
             return rows, links
         if not found.isEmpty():
             label = components(links).select(F.col("node").alias("rep"), "component")
-            brief = classes.select("rep", "n", "small").join(label, "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
-            brief = C.materialize(brief.drop("component"), "labels")
-        big = big.join(brief.select("rep", "comp"), "rep")
+            big = big.join(label, "rep", "left").withColumn("comp", F.coalesce("component", "comp")).drop("component")
         open_ = big.groupBy("path").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("path")
-        at = paths(big.join(open_, "path", "left_semi").select("tree", "path", "rep").join(classes.select("rep", "sig"), "rep"), level, MORE_LEVELS, MORE_SECOND)
+        at = paths(big.join(open_, "path", "left_semi").join(classes.select("rep", "sig"), "rep"), level, MORE_LEVELS, min(1.0, max(0.0, KEPT / threshold - 1)))
         level += MORE_LEVELS
 
 

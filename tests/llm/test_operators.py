@@ -138,6 +138,13 @@ def test_near_duplicates_edge_cases(docs, empty):
     out = nearjoin.drop_near_duplicates(docs, k=3, percent=85)
     assert out.columns == docs.columns and out.filter("doc_id = 5").count() == 0
 
+def test_near_links_below_large_nodes(spark):
+    # pairs just above the threshold inside one group of similar texts, whose nodes stay large for several levels
+    words = lambda *key: [f"w{'_'.join(map(str, key))}_{i}" for i in range(61 if key[0] == "pair" else 89 if key[0] == "own" else 700)]
+    rows = [(i, " ".join(words("all") + words("pair", i // 2) + words("own", i))) for i in range(120)]
+    got = nearjoin.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), k=1, percent=80, small=3)
+    assert sum(not r.kept for r in got.collect()) == 60
+
 
 def test_components_of_a_long_chain(spark):
     links = spark.range(1, 400).select(F.col("id").alias("a"), (F.col("id") - 1).alias("b"))
