@@ -89,13 +89,20 @@ _DASHES = "‐‑‒–−"
 _STRANGE = re.compile(f"[{''.join(_LOOKALIKES)}{_VANISH}{_DASHES}！-～﹫。․٠-٩۰-۹०-९]")
 _DIGITS = {w: str(i) for i, w in enumerate(("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine"))}
 _NUMBER = "|".join(_DIGITS)
-_SPELLED = re.compile(rf"(?i)\b(?:(plus)[ -]+)?((?:{_NUMBER})(?:[ ,-]+(?:{_NUMBER})){{6,}})\b")
-_WORDS = re.compile(rf"(?i){_NUMBER}")
+# Spelled digits, also among real ones; runs without a spelled digit or of under 7 digits in all stay.
+_SPELLED = re.compile(rf"(?i)(?<![a-z0-9])(?:(plus)[ -]+)?((?:{_NUMBER}|[0-9]{{1,19}})(?:[ ,-]+(?:{_NUMBER}|[0-9]{{1,19}}))*)(?![a-z0-9])")
+_WORDS = re.compile(rf"(?i){_NUMBER}|[0-9]")
+_DOTTED = re.compile(r"(?i)(?<=[0-9]) dot (?=[0-9])")
 _AT = re.compile(r"(?i)[ ]?[\[({<][ ]?(?:at|@)[ ]?[\])}>][ ]?")
 _DOT = re.compile(r"(?i)[ ]?[\[({<][ ]?(?:dot|\.)[ ]?[\])}>][ ]?")
-#: Without brackets only these ends make an address, as "at" and "dot" are words of prose too.
-_ENDS = "com|org|net|edu|gov|mil|info|biz|io|dev|app"
-_BARE = re.compile(rf"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{{1,64}}( at )[a-z0-9-]{{1,63}}((?: dot [a-z0-9-]{{1,63}}){{0,3}} dot (?:{_ENDS}))(?![a-z0-9-])")
+#: Without brackets only these ends make an address, as "at" and "dot" are words of prose too. Country
+#: codes that are words of prose count only after a real dot or a real @.
+_ENDS = "com|org|net|edu|gov|mil|info|biz|io|dev|app|name|pro|xyz|online|site|shop|tech|cloud|ai|eu|uk|de|fr|es|pt|nl|lu|ch|ie|dk|se|fi|pl|cz|sk|hu|ro|bg|gr|hr|si|rs|lt|lv|ee|ru|ua|tr|il|ae|sa|eg|za|ng|ke|pk|bd|lk|cn|hk|tw|jp|kr|sg|th|vn|ph|au|nz|ca|mx|br|ar|cl|co|pe|uy|ve"
+_WORDLIKE = "in|is|it|to|so|no|my|me|as|be|by|do|am|at|us|tv|id"
+_L, _D = "[a-z0-9._%+-]{1,64}", "[a-z0-9-]{1,63}"
+_BARE = re.compile(
+    rf"(?i)(?<![a-z0-9._%+-])({_L}(?: dot {_L}){{0,3}})(?:( at )({_D}(?:(?: dot |\.){_D}){{0,4}}(?: dot (?:{_ENDS})|\.(?:{_ENDS}|{_WORDLIKE})))|@({_D}(?:(?: dot |\.){_D}){{0,4}}(?: dot |\.)(?:{_ENDS}|{_WORDLIKE})))(?![a-z0-9-])"
+)
 
 
 class Traced:
@@ -134,12 +141,23 @@ def _plain(c: str) -> str:
     return str(digit) if digit is not None else unicodedata.normalize("NFKC", c)
 
 
+def _spelled(text: str) -> list[tuple[int, int, str]]:
+    edits = []
+    for m in _SPELLED.finditer(text):
+        tokens = _WORDS.findall(m[2])
+        dotted = text[m.end() : m.end() + 5].lower() == " dot " or text[max(0, m.start() - 5) : m.start()].lower() == " dot "
+        if any(len(w) > 1 for w in tokens) and (len(tokens) >= 7 or dotted):
+            edits.append((m.start(), m.end(), "+" * bool(m[1]) + "".join(_DIGITS.get(w.lower(), w) for w in tokens)))
+    return edits
+
+
 def normalise(text: str) -> Traced | None:
     """The text without disguises, or None where there are none."""
     low = text.lower()
-    spelled = sum(map(low.count, _DIGITS)) >= 7
+    words = sum(map(low.count, _DIGITS))
     dots = "dot" in low or "[.]" in text or "(.)" in text or "{.}" in text or "<.>" in text
-    ats = dots or (any(c in text for c in "[({<") and _AT.search(text) is not None)
+    spelled = words >= 7 or (words and (dots or any(c in text for c in "0123456789")))
+    ats = dots or (any(c in text for c in "[({<") and _AT.search(text) is not None) or (" at " in low and (not text.isascii() or _BARE.search(text) is not None))
     strange = not text.isascii() and _STRANGE.search(text)
     if not (spelled or ats or strange):
         return None
@@ -147,20 +165,21 @@ def normalise(text: str) -> Traced | None:
     if strange:
         t.replace([(m.start(), m.end(), _plain(m[0])) for m in _STRANGE.finditer(text)])
     if spelled:
-        t.replace([(m.start(), m.end(), "+" * bool(m[1]) + "".join(_DIGITS[w.lower()] for w in _WORDS.findall(m[2]))) for m in _SPELLED.finditer(t.text)])
+        t.replace(_spelled(t.text))
     if ats:
         t.replace([(m.start(), m.end(), "@") for m in _AT.finditer(t.text)])
         t.replace([(m.start(), m.end(), ".") for m in _DOT.finditer(t.text)])
+        t.replace([(m.start(), m.end(), ".") for m in _DOTTED.finditer(t.text)])
         edits = []
         for m in _BARE.finditer(t.text):
-            edits.append((*m.span(1), "@"))
-            edits += [(m.start(2) + d.start(), m.start(2) + d.end(), ".") for d in re.finditer(r"(?i) dot (?=[a-z0-9-])", m[2])]
+            found = [(m.start() + d.start(), m.start() + d.end(), ".") for d in re.finditer(r"(?i) dot (?=[a-z0-9._%+-])", m[0])]
+            edits += sorted(found + [(*m.span(2), "@")] * bool(m[2]))
         t.replace(edits)
     return t if t.changed else None
 
 
 def find(text: str | None) -> tuple[list[Span], list[Span]]:
-    """(base, added): added spans come from the normalised text and overlap no base span of their kind."""
+    """(base, added): added spans come from the normalised text and lie within no base span of their kind."""
     text = text or ""
     base = detect(text)
     t = normalise(text)
@@ -172,7 +191,7 @@ def find(text: str | None) -> tuple[list[Span], list[Span]]:
     added = []
     for kind, a, b in detect(t.text):
         a, b = t.start[a], t.end[b - 1]
-        if all(b <= x or a >= y for x, y in taken.get(kind, ())):
+        if not any(x <= a and b <= y for x, y in taken.get(kind, ())):
             added.append((kind, a, b))
     return base, added
 

@@ -277,6 +277,16 @@ def test_pii_leaves_prose_and_scales():
         pii.find(text)  # linear: seconds at most
 
 
+@pytest.mark.parametrize("span", [
+    "jоhn@example.com", "joe@firm.co [dot] uk", "joe@firm.co dot uk", "john at example.com", "jane at firm dot de", "ann at firm dot co dot uk", "jane dot doe at firm dot com",
+    "192 dot 168 dot 0 dot 1", "one nine two dot 168 dot 0 dot one", "+49 one two three four 5 6 7 8",
+])
+def test_pii_disguises_in_part(span):
+    text = f"write; {span}; soon"
+    assert any(text[a:b] == span for _, a, b in pii.find(text)[1])
+    assert re.fullmatch(r"write; \[(email|ip|phone)\]; soon", pii.redact(text))
+
+
 def test_pii_rows(docs, empty):
     got = pii.spans(docs)
     assert got.count() == len(ROWS) and got.filter("n_email + n_ip + n_card + n_phone > 0").count() == 0
