@@ -1,281 +1,201 @@
 """Token ids in binary files, compressed by a Re-Pair grammar per segment.
 
-Frequent pairs of adjacent ids are replaced by nonterminals, round by round. A segment stores its rules, the length
-that each nonterminal expands to, the remaining sequence and where documents start, so any range of ids is decoded
-from the symbols that cover it.
+A segment stores its rules, the length that each nonterminal expands to, the remaining sequence and where documents
+start, so any range of ids is decoded from the symbols that cover it.
 
-Segment, little-endian: uint32 first nonterminal, rules, symbols, documents; uint32 pairs of the rules; uint32
-expansion lengths of the rules; symbols of 3 bytes; uint64 starts of the documents.
+Segment, little-endian: uint32 first nonterminal, rules, symbols, documents, uint64 ids and bytes of document names;
+pairs of the rules, 3 bytes a symbol; uint32 expansion lengths of the rules; uint64 ids before every BLOCK-th symbol;
+uint64 starts of the documents; symbols of 3 bytes; the documents' names as an Arrow stream.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
-from functools import lru_cache
+from collections.abc import Callable
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
 from . import common as C
-from .bpe import _Cache
 from .files import TaskFile, read_at
+from .repair import compress, expand, lengths
+from .wordids import encoder
 
 #: Ids of a segment at least, but for the last of a file; a document is never cut.
-SEGMENT_IDS = 1 << 22
-ROUNDS, RULES_A_ROUND = 3, 4096
-_PLAIN = regex.compile(r"[!-~¡-ʯ]+").fullmatch
-_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+SEGMENT_IDS = 1 << 19
+BLOCK = 4096
+_HEAD = struct.Struct("<4I2Q")
 
 
-class WordEncoder:
-    """Ids from a tokenizers file whose pieces never span white space, each distinct piece encoded once.
-
-    Words of Latin letters and ASCII signs are put in lower case and split by the file's own pattern first; others go
-    to the library whole. Texts that could hold a special token's string go to it uncut.
-    """
-
-    def __init__(self, path: str, cached: int = 400_000):
-        self.tokenizer = Tokenizer.from_file(path)
-        self.by_word, self.by_piece = _Cache(cached), _Cache(cached)
+def _pack24(x: np.ndarray) -> bytes:
+    if len(x) and x.max() >= 1 << 24:
+        raise ValueError("symbols over 24 bits")
+    return x.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
 
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces that the file's pattern leaves whole: many in one text, told apart by the library's word ids."""
-        out = []
-        for at in range(0, len(pieces), 1000):
-            part = pieces[at : at + 1000]
-            got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids, word = np.array(got.ids, "<u4"), np.array(got.word_ids, np.int64)
-            cuts = np.searchsorted(word, np.arange(1, len(part))) * 4
-            raw = ids.tobytes()
-            if not len(word) or word[-1] != len(part) - 1:
-                raise ValueError("pieces were split or merged")
-            out += [raw[a:b] for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(raw)], strict=True)]
-        return out
+def _unpack24(data: bytes) -> np.ndarray:
+    wide = np.zeros((len(data) // 3, 4), np.uint8)
+    wide[:, :3] = np.frombuffer(data, np.uint8).reshape(-1, 3)
+    return wide.view("<u4").ravel().astype(np.int64)
 
-    def _words(self, words: list[bytes]) -> list[bytes]:
-        texts = [w.decode() for w in words]
-        split = [[low] if (low := t.lower()).isalpha() and max(t) < "ʰ" else _SPLIT(low) if _PLAIN(t) else None for t in texts]
-        found = self.by_piece.take({p for ps in split if ps for p in ps}, self._pieces)
-        odd = iter(self._library([t for t, ps in zip(texts, split, strict=True) if ps is None]))
-        return [next(odd) if ps is None else found[ps[0]] if len(ps) == 1 else b"".join([found[p] for p in ps]) for ps in split]
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        words = [[] if b"<|" in t else t.split() for t in texts]
-        found = self.by_word.take(set().union(*words), self._words)
-        return [self._library([t.decode()])[0] if b"<|" in t else b"".join([found[w] for w in ws]) for t, ws in zip(texts, words, strict=True)]
+def pack_segment(ids: np.ndarray, starts: np.ndarray, first: int, names: pa.Array | None = None, least: int = 2) -> bytes:
+    rules, symbols = compress(ids, first, least)
+    sizes = lengths(rules, first)
+    n = np.ones(len(symbols), np.int64)
+    big = symbols >= first
+    n[big] = sizes[symbols[big] - first]
+    before = (np.cumsum(n) - n)[::BLOCK]
+    sink = pa.BufferOutputStream()
+    if names is not None:
+        batch = pa.RecordBatch.from_arrays([names], ["doc_id"])
+        with pa.ipc.new_stream(sink, batch.schema) as out:
+            out.write_batch(batch)
+    tail = sink.getvalue().to_pybytes()
+    head = _HEAD.pack(first, len(rules), len(symbols), len(starts), len(ids), len(tail))
+    parts = [head, _pack24(rules.ravel()), sizes.astype("<u4").tobytes(), before.astype("<u8").tobytes(), starts.astype("<u8").tobytes(), _pack24(symbols), tail]
+    return b"".join(parts)
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str) -> WordEncoder:
-    """One per Python worker, so its caches outlive a task."""
-    return WordEncoder(path)
+class Segment:
+    """Reader of one packed segment, given as bytes or as a function (offset, size) -> bytes. Each part is read when it is
+    first needed, symbols only as far as a slice needs them."""
 
+    def __init__(self, source: bytes | Callable[[int, int], bytes]):
+        self._read = source if callable(source) else lambda at, size: source[at : at + size]
+        self.first, r, s, d, self.n_ids, self._tail = _HEAD.unpack(self._read(0, _HEAD.size))
+        self.n_rules, self.n_symbols, self.n_docs = r, s, d
+        sizes = [6 * r, 4 * r, 8 * -(-s // BLOCK), 8 * d, 3 * s, self._tail]
+        self._at = np.cumsum([_HEAD.size, *sizes]).tolist()
 
-_SLOTS = 1 << 20
+    def _part(self, i: int) -> bytes:
+        return self._read(self._at[i], self._at[i + 1] - self._at[i])
 
+    @cached_property
+    def rules(self) -> np.ndarray:
+        return _unpack24(self._part(0)).reshape(-1, 2)
 
-def _slot(key: np.ndarray) -> np.ndarray:
-    return ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).view(np.int64)
+    @cached_property
+    def lengths(self) -> np.ndarray:
+        return np.frombuffer(self._part(1), "<u4").astype(np.int64)
 
+    @cached_property
+    def before(self) -> np.ndarray:
+        return np.frombuffer(self._part(2), "<u8").astype(np.int64)
 
-def compress(ids: np.ndarray, first: int, rounds: int = ROUNDS, most: int = RULES_A_ROUND, least: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """(rules, symbols): rule r is the pair that symbol first + r stands for.
+    @cached_property
+    def starts(self) -> np.ndarray:
+        return np.frombuffer(self._part(3), "<u8").astype(np.int64)
 
-    A round counts all adjacent pairs, takes the most frequent ones (over max(least, a 40,000th of the symbols), ties by
-    value) and replaces them, the more frequent first where they overlap. Rounds end when no pair is frequent.
-    """
-    x = ids.astype(np.int64)
-    rules: list[np.ndarray] = []
-    count = 0
-    for _ in range(rounds):
-        if len(x) < 2:
-            break
-        enough = max(least, len(x) // 40_000)
-        key = x[:-1] << 24 | x[1:]
-        slot = _slot(key)
-        where = np.flatnonzero(np.bincount(slot, minlength=_SLOTS)[slot] >= enough)
-        key, slot = key[where], slot[where]
-        pair = np.zeros(_SLOTS, np.int64)
-        pair[slot] = key  # pairs that share a slot wait for a later round, but for one
-        same = pair[slot] == key
-        n = np.bincount(slot[same], minlength=_SLOTS)
-        often = np.flatnonzero(n >= enough)
-        often = often[np.lexsort((pair[often], -n[often]))[:most]]
-        if not len(often):
-            break
-        best = pair[often]
-        by_slot = np.full(_SLOTS, -1, np.int64)
-        by_slot[often] = np.arange(len(often))
-        rank = by_slot[slot]
-        hit = (rank >= 0) & same
-        where, rank = where[hit], rank[hit]
-        # of overlapping occurrences of one pair every second goes first
-        at = np.arange(len(where))
-        fresh = np.ones(len(where), bool)
-        fresh[1:] = (where[1:] != where[:-1] + 1) | (rank[1:] != rank[:-1])
-        every = (at - np.maximum.accumulate(np.where(fresh, at, 0))) % 2 == 0
-        where, rank = where[every], rank[every]
-        order = rank * len(x) + where  # less: replaced first
-        beside = where[1:] == where[:-1] + 1
-        keep = np.ones(len(where), bool)
-        keep[1:] &= ~(beside & (order[:-1] < order[1:]))
-        keep[:-1] &= ~(beside & (order[1:] < order[:-1]))
-        where, rank = where[keep], rank[keep]
-        used = np.bincount(rank, minlength=len(best)) > 0
-        name = np.cumsum(used) - 1
-        chosen = best[used]
-        rules.append(np.stack([chosen >> 24, chosen & 0xFFFFFF], 1))
-        x[where] = first + count + name[rank]
-        gone = np.ones(len(x), bool)
-        gone[where + 1] = False
-        x = x[gone]
-        count += int(used.sum())
-    return (np.concatenate(rules) if rules else np.empty((0, 2), np.int64)), x
-
-
-def lengths(rules: np.ndarray, first: int) -> np.ndarray:
-    """Ids that each rule expands to; a rule's parts come before it."""
-    out: list[int] = []
-    for a, b in rules.tolist():
-        out.append((1 if a < first else out[a - first]) + (1 if b < first else out[b - first]))
-    return np.array(out, np.int64)
-
-
-def expand(symbols: np.ndarray, rules: np.ndarray, first: int) -> np.ndarray:
-    """The ids: every rule's expansion is built once from its parts, then all symbols are looked up."""
-    flat: list[np.ndarray] = [np.arange(first)]
-    for a, b in rules.tolist():
-        parts = [flat[0][x : x + 1] if x < first else flat[x - first + 1] for x in (a, b)]
-        flat.append(np.concatenate(parts))
-    size = np.concatenate([np.ones(first, np.int64), np.fromiter(map(len, flat[1:]), np.int64, len(rules))])
-    start = np.cumsum(size) - size
-    everything = np.concatenate(flat)
-    out = [np.empty(0, np.int64)]
-    for at in range(0, len(symbols), 1 << 19):
-        x = symbols[at : at + (1 << 19)]
-        n = size[x]
-        out.append(everything[np.arange(n.sum()) + np.repeat(start[x] - (np.cumsum(n) - n), n)])
-    return np.concatenate(out)
-
-
-def pack_segment(ids: np.ndarray, starts: np.ndarray, first: int) -> bytes:
-    rules, symbols = compress(ids, first)
-    wide = symbols.astype("<u4").view(np.uint8).reshape(-1, 4)
-    if len(symbols) and symbols.max() >= 1 << 24:
-        raise ValueError("symbols over 24 bits")
-    head = struct.pack("<4I", first, len(rules), len(symbols), len(starts))
-    return head + rules.astype("<u4").tobytes() + lengths(rules, first).astype("<u4").tobytes() + wide[:, :3].tobytes() + starts.astype("<u8").tobytes()
+    @cached_property
+    def names(self) -> pa.Array:
+        return pa.ipc.open_stream(self._part(5)).read_all().column(0).combine_chunks()
 
-
-class Segment:
-    """Reader of one packed segment."""
-
-    def __init__(self, data: bytes):
-        self.first, r, s, d = struct.unpack_from("<4I", data)
-        self.rules = np.frombuffer(data, "<u4", 2 * r, 16).reshape(r, 2).astype(np.int64)
-        self.lengths = np.frombuffer(data, "<u4", r, 16 + 8 * r).astype(np.int64)
-        wide = np.zeros((s, 4), np.uint8)
-        wide[:, :3] = np.frombuffer(data, np.uint8, 3 * s, 16 + 12 * r).reshape(s, 3)
-        self.symbols = wide.view("<u4").ravel().astype(np.int64)
-        self.starts = np.frombuffer(data, "<u8", d, 16 + 12 * r + 3 * s).astype(np.int64)
+    def symbols(self, start: int = 0, stop: int | None = None) -> np.ndarray:
+        stop = self.n_symbols if stop is None else min(stop, self.n_symbols)
+        return _unpack24(self._read(self._at[4] + 3 * start, 3 * (stop - start)))
 
     def ids(self) -> np.ndarray:
-        return expand(self.symbols, self.rules, self.first)
+        return expand(self.symbols(), self.rules, self.lengths, self.first)
 
     def slice(self, start: int, stop: int) -> np.ndarray:
-        """ids()[start:stop] from the symbols that cover them."""
-        size = np.ones(len(self.symbols), np.int64)
-        big = self.symbols >= self.first
-        size[big] = self.lengths[self.symbols[big] - self.first]
-        ends = np.cumsum(size)
-        a, b = np.searchsorted(ends, start, "right"), np.searchsorted(ends, stop, "left") + 1
-        before = ends[a - 1] if a else 0
-        return expand(self.symbols[a:b], self.rules, self.first)[start - before : stop - before]
+        """ids()[start:stop], from the blocks of symbols that cover them."""
+        stop = min(stop, self.n_ids)
+        if start >= stop:
+            return np.empty(0, np.int64)
+        a = int(np.searchsorted(self.before, start, "right")) - 1
+        b = int(np.searchsorted(self.before, stop, "left"))
+        base = int(self.before[a])
+        return expand(self.symbols(a * BLOCK, b * BLOCK), self.rules, self.lengths, self.first, start - base, stop - base)
 
 
 def write(docs: DataFrame, folder: str, path: str, end_id: int = 1, text: str = "text", doc_id: str = "doc_id", segment_ids: int = SEGMENT_IDS) -> DataFrame:
     """Write the ids of all texts, documents in ascending doc_id (null first), and return the manifest.
 
     Range-sorted partitions write one file each, of one or more segments. The manifest has file, part, segment, at,
-    size, n_ids and doc_ids. It is written last; what it doesn't name isn't part of the output.
+    size, n_ids. It is written last; what it doesn't name isn't part of the output.
     """
-    kind = dict(docs.dtypes)[doc_id]
 
     def run(batches):
         own = encoder(path)
-        vocabulary = own.tokenizer.get_vocab_size()
+        first = max(own.tokenizer.get_vocab_size(), end_id + 1)
         part = TaskContext.get().partitionId()
-        out, segment, held, names, total = None, 0, [], [], 0
-
-        def flush():
-            nonlocal out, segment, held, names, total
-            out = out or TaskFile(folder, f"part-{part:06d}.tok")
-            counts = np.array([len(x) // 4 for x in held], np.int64)
-            data = pack_segment(np.frombuffer(b"".join(held), "<u4"), np.cumsum(counts) - counts, max(vocabulary, end_id + 1))
-            at = out.write(data)
-            row = [[out.name], [part], [segment], [at], [len(data)], [total], [pa.concat_arrays(names).to_pylist()]]
-            types = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(names[0].type)]
-            segment, held, names, total = segment + 1, [], [], 0
-            return pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(row, types, strict=True)], ["file", "part", "segment", "at", "size", "n_ids", "doc_ids"])
-
-        end = struct.pack("<I", end_id)
+        out, segment = None, 0
+        held: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []
+        waiting = 0
+
+        def segments(last: bool):
+            """Manifest rows of the segments that what is held fills, and at last of the rest."""
+            nonlocal out, segment, held, waiting
+            ids, sizes = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+            names = pa.concat_arrays([h[2] for h in held])
+            ends = np.cumsum(sizes)
+            rows, done, at = [], 0, 0
+            while done < len(sizes) and (last or ends[-1] - at >= segment_ids):
+                stop = min(int(np.searchsorted(ends, at + segment_ids)) + 1, len(sizes))
+                out = out or TaskFile(folder, f"part-{part:06d}.tok")
+                starts = (ends - sizes)[done:stop] - at
+                data = pack_segment(ids[at : ends[stop - 1]], starts, first, names.slice(done, stop - done))
+                rows.append((out.name, part, segment, out.write(data), len(data), int(ends[stop - 1]) - at))
+                done, at, segment = stop, int(ends[stop - 1]), segment + 1
+            held, waiting = ([(ids[at:], sizes[done:], names.slice(done))] if done < len(sizes) else []), int(len(ids) - at)
+            return pa.RecordBatch.from_pylist([dict(zip(manifest.names, r, strict=True)) for r in rows], manifest)
+
         for batch in batches:
-            for piece in C.pieces([batch], rows=1024):
-                packed = own.encode([x or b"" for x in piece.column(1).cast(pa.binary()).to_pylist()])
-                held += [x + end for x in packed]
-                names.append(piece.column(0))
-                total += sum(len(x) // 4 + 1 for x in packed)
-                if total >= segment_ids:
-                    yield flush()
+            for piece in C.pieces([batch], rows=4096, size=8 << 20):
+                ids, sizes = own.encode(piece.column(1), end_id)
+                held.append((ids, sizes, piece.column(0)))
+                waiting += len(ids)
+                if waiting >= segment_ids:
+                    yield segments(False)
         if held:
-            yield flush()
+            yield segments(True)
         if out:
             out.commit()
 
+    manifest = pa.schema([("file", pa.string()), ("part", pa.int32()), ("segment", pa.int32()), ("at", pa.int64()), ("size", pa.int64()), ("n_ids", pa.int64())])
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    rows = rows.repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", "text")
-    schema = f"file string, part int, segment int, at long, size long, n_ids long, doc_ids array<{kind}>"
-    return C.materialize(rows.mapInArrow(run, schema), "token-manifest")
+    # the beginning of the text lets one repeated doc_id spread over partitions
+    rows = rows.repartitionByRange(F.col("doc_id"), F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")
+    return C.materialize(rows.mapInArrow(run, "file string, part int, segment int, at long, size long, n_ids long"), "token-manifest")
 
 
-def read(manifest: DataFrame, folder: str) -> DataFrame:
-    """Per document of the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32.
+def read(manifest: DataFrame, folder: str, kind: str = "long") -> DataFrame:
+    """Per document of the files: doc_id (of type ``kind``), start (ids of all documents before it), n_tokens, ids_crc32.
 
-    The running sum over segments is taken in one task, over one row per segment.
+    Running sums take two levels: one row per file, and the segments of a file.
     """
-    before = Window.orderBy("part", "segment").rowsBetween(Window.unboundedPreceding, -1)
-    based = manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
-    kind = dict(manifest.dtypes)["doc_ids"][6:-1]
+    files = manifest.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    files = files.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("part").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    based = manifest.withColumn("inside", F.coalesce(F.sum("n_ids").over(inside), F.lit(0))).join(files, "part")
+    based = based.withColumn("base", F.col("base") + F.col("inside"))
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 segment = Segment(read_at(folder, row["file"], row["at"], row["size"]))
                 ids = memoryview(segment.ids().astype("<u4").tobytes())
-                stops = [*segment.starts.tolist()[1:], len(ids) // 4]
-                spans = list(zip(segment.starts.tolist(), stops, strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(row["doc_ids"], batch.schema.field("doc_ids").type.value_type),
-                        pa.array([row["base"] + a for a, _ in spans], pa.int64()),
-                        pa.array([b - a for a, b in spans], pa.int64()),
-                        pa.array([zlib.crc32(ids[4 * a : 4 * b]) for a, b in spans], pa.int64()),
-                    ],
-                    ["doc_id", "start", "n_tokens", "ids_crc32"],
-                )
+                starts = segment.starts
+                stops = np.append(starts[1:], segment.n_ids)
+                crc = [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(starts.tolist(), stops.tolist(), strict=True)]
+                made = [segment.names, pa.array(row["base"] + starts), pa.array(stops - starts), pa.array(crc, pa.int64())]
+                yield pa.RecordBatch.from_arrays(made, ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     # a manifest row is small but stands for much work, so partitions are counted in segments, not bytes
     spread = based.repartition(max(1, min(manifest.count(), 20_000)), "part", "segment")
-    return spread.mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
+    return spread.select("file", "at", "size", "base").mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
+
+
+def read_range(folder: str, file: str, at: int, start: int, stop: int) -> np.ndarray:
+    """Ids start to stop of the segment at an offset of a file; of its symbols only the blocks that hold them are read."""
+    return Segment(lambda offset, size: read_at(folder, file, at + offset, size)).slice(start, stop)
 
 
 def round_trip(docs: DataFrame, path: str, end_id: int = 1, text: str = "text", doc_id: str = "doc_id", segment_ids: int = SEGMENT_IDS) -> DataFrame:
@@ -285,4 +205,4 @@ def round_trip(docs: DataFrame, path: str, end_id: int = 1, text: str = "text",
     An empty table writes no file and gives an empty result.
     """
     folder = C.scratch(docs.sparkSession, "tokens")
-    return read(write(docs, folder, path, end_id, text, doc_id, segment_ids), folder)
+    return read(write(docs, folder, path, end_id, text, doc_id, segment_ids), folder, dict(docs.dtypes)[doc_id])

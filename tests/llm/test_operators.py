@@ -8,12 +8,13 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sonolith.llm import bpe, exact, linededup, mixing, nearjoin, pii, quality, tokenbin, toxicity, warc
+from sonolith.llm import bpe, common, exact, linededup, mixing, nearjoin, pii, quality, repair, tokenbin, toxicity, warc, wordids
 from sonolith.llm.components import components
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -342,40 +343,81 @@ def test_line_windows(docs, empty):
 # token files
 
 
+def overlapping_free_counts(x):
+    """Occurrences of each pair that don't overlap, counted from the left."""
+    counts, last = {}, {}
+    for i, pair in enumerate(zip(x, x[1:], strict=False)):
+        if last.get(pair) != i - 1 or pair[0] != pair[1]:
+            counts[pair], last[pair] = counts.get(pair, 0) + 1, i
+    return counts
+
+
 def test_repair_is_lossless_and_addressable():
     rnd = np.random.default_rng(5)
     for n in (0, 1, 2, 3, 1000, 200_000):
         ids = (rnd.zipf(1.3, n) % 500).astype("<u4")
         starts = np.arange(0, n, 37)
         s = tokenbin.Segment(tokenbin.pack_segment(ids, starts, 500))
-        assert (s.ids() == ids).all() and (s.starts == starts).all()
-        for a, b in ((0, n), (n // 3, n // 2), (n // 2, min(n, n // 2 + 5))):
-            assert (s.slice(a, b) == ids[a:b]).all() if b > a else True
+        assert (s.ids() == ids).all() and (s.starts == starts).all() and s.n_ids == n
+        for a, b in ((0, n), (n // 3, n // 2), (n // 2, min(n, n // 2 + 5)), (max(0, n - 3), n)):
+            assert (s.slice(a, b) == ids[a:b]).all()
     same = tokenbin.Segment(tokenbin.pack_segment(np.full(5000, 7, "<u4"), np.array([0]), 500))
-    assert len(same.symbols) < 2000 and (same.ids() == 7).all()
+    assert same.n_symbols < 10 and (same.ids() == 7).all()
+
+
+def test_repair_ends_when_no_pair_occurs_twice():
+    rnd = np.random.default_rng(6)
+    texts = [rnd.zipf(1.5, 30_000) % 90, np.tile(rnd.integers(0, 50, 700), 60), rnd.integers(0, 3, 20_000), np.repeat(rnd.integers(0, 4, 900), rnd.integers(1, 40, 900))]
+    for ids in texts:
+        rules, symbols = repair.compress(ids.astype("<u4"), 100)
+        assert max(overlapping_free_counts(symbols.tolist()).values(), default=0) < 2
+        assert len({tuple(r) for r in rules.tolist()}) == len(rules)
+        sizes = repair.lengths(rules, 100)
+        assert (repair.expand(symbols, rules, sizes, 100) == ids).all() and sizes.sum() >= 2 * len(rules)
+    rules, symbols = repair.compress(np.tile(np.arange(64), 64).astype("<u4"), 100)  # one passage repeated collapses
+    assert len(symbols) + len(rules) < 80
+
+
+def test_a_slice_reads_the_blocks_that_it_needs():
+    ids = (np.random.default_rng(7).zipf(1.2, 300_000) % 5000).astype("<u4")
+    data, seen = tokenbin.pack_segment(ids, np.array([0]), 5000), []
+    s = tokenbin.Segment(lambda at, size: seen.append(size) or data[at : at + size])
+    assert (s.slice(150_000, 150_010) == ids[150_000:150_010]).all()
+    assert s.n_symbols > 10 * tokenbin.BLOCK and 3 * s.n_symbols not in seen and {3 * tokenbin.BLOCK, 6 * tokenbin.BLOCK} & set(seen)
 
 
 def test_token_files_round_trip(docs, empty):
     t = Tokenizer.from_file(WORDS)
-    got = tokenbin.round_trip(docs.filter("doc_id IS NULL OR doc_id <> 13"), WORDS, segment_ids=50)
-    rows = [r for r in ROWS if r[0] != 13]
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode()))
-    at, want = 0, []
+    folder = common.scratch(docs.sparkSession, "tokens")
+    manifest = tokenbin.write(docs, folder, WORDS, segment_ids=50)
+    got = tokenbin.read(manifest, folder)
+    order = sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode()))
+    at, want, everything = 0, [], []
     for i, text, _ in order:
         ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
         want.append((i, at, len(ids), zlib.crc32(ids.tobytes())))
+        everything.append(ids)
         at += len(ids)
     key = lambda r: (r[1],)
     assert sorted(((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in got.collect()), key=key) == sorted(want, key=key)
+    everything, base = np.concatenate(everything), 0
+    for r in sorted(manifest.collect(), key=lambda r: (r.part, r.segment)):
+        assert (tokenbin.read_range(folder, r.file, r.at, 3, 9) == everything[base + 3 : base + min(9, r.n_ids)]).all()
+        base += r.n_ids
     assert tokenbin.round_trip(empty, WORDS).count() == 0
 
 
 def test_word_encoder_equals_the_library():
-    t, e, rnd = Tokenizer.from_file(WORDS), tokenbin.encoder(WORDS), random.Random(8)
-    parts = [*" \n\t\r\x0b\x1c\x85  ab'sé1²٣!𝒳ΣσςİẖH̱́E<|>Kﬁ", "'ll", "<|endoftext|>", "don't", "THE"]
-    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randrange(0, 25))) for _ in range(5000)]
-    for text, packed in zip(texts, e.encode([x.encode() for x in texts]), strict=True):
-        assert np.frombuffer(packed, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+    t, e, rnd = Tokenizer.from_file(WORDS), wordids.WordEncoder(WORDS, cached=500), random.Random(8)
+    parts = [*" \n\t\r\x0b\x1c\x85\u00a0\u3000ab'sé1²٣!𝒳ΣσςİẖH̱́E<|>Kﬁ×÷ÉÿÀ", "'ll", "'re", "''s", "s's", "<|endoftext|>", "don't", "THE"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randrange(0, 25))) for _ in range(8000)] + [None, "", "x" * 5000, "é" * 3000, "a1" * 2000]
+    for special in (True, False):
+        part = [x for x in texts if special or "<|endoftext|>" not in (x or "")]
+        for at in range(0, len(part), 1000):
+            ids, sizes = e.encode(pa.array(part[at : at + 1000]), 1)
+            got = np.split(ids, np.cumsum(sizes)[:-1])
+            for text, own in zip(part[at : at + 1000], got, strict=True):
+                assert own.tolist() == [*t.encode(text or "", add_special_tokens=False).ids, 1]
 
 
 # toxicity
