@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import os
-import uuid
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import discard, materialize, scratch
+
+__all__ = ["discard", "in_frame", "join_groups", "materialize", "pieces", "scratch", "table", "text_or_empty"]
+
 #: ASCII white space; every contract splits words on it.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -16,38 +18,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: With an allowed group share of 1/HOT_GROUPS of all rows at least, no more than this many groups are hot.
 HOT_GROUPS = 1000
 
-_ROOT: dict[str, str] = {}
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below the one that all executors share.
-
-    ``spark.checkpoint.dir`` names it on a cluster; where that is unset (tests on one machine) a folder in the
-    warehouse is used.
-    """
-    app = spark.sparkContext.applicationId
-    if app not in _ROOT:
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_sonolith"
-        if "://" not in base and not base.startswith("file:"):
-            base = "file://" + os.path.abspath(base)
-        _ROOT[app] = f"{base.rstrip('/')}/sonolith-{app}"
-    return f"{_ROOT[app]}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write to the shared folder and read again. Lost executors cost no recomputation."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def in_frame(name: str, df: DataFrame) -> str:
     """``name``, or the first of ``name_1``, ``name_2``... that no column of df has (in any case)."""
     taken, out, i = {c.lower() for c in df.columns}, name, 0

@@ -1,9 +1,10 @@
 """Near-duplicate documents by a chosen-path set similarity join.
 
-Every document follows random paths: each node of a tree chooses one or two minhash positions, and the document
-goes on to the child named by its minwise token there. Similar sets share paths, others part soon. Small nodes are
-compared exhaustively, large ones against a hub and in blocks, then they branch on. Independent trees repeat this to
-reach the recall wanted. Links are confirmed on the full sets.
+Every document follows random paths: each node of a tree chooses one or two minhash positions, and the document goes on
+to the child named by its minwise token there. Similar sets share paths, others part soon. A branch ends where its node
+is small: its members are compared exhaustively. The members of larger nodes are compared in random blocks first; what
+then lies outside the node's largest component is compared with the whole node if it is small, else the branch goes on.
+Independent trees repeat this to reach the recall wanted. Links are confirmed on the full sets.
 
 Documents with equal sets are one class throughout, and members of one component are not compared again, so a group
 of copies costs time in proportion to its size.
@@ -18,6 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common as C
 from .components import components
@@ -25,17 +27,19 @@ from .components import components
 #: Minhash positions; each node draws its own, so that one mismatch doesn't end all of a pair's paths in a tree.
 POSITIONS = 128
 TREES = 7
-#: Levels of the first expansion, with the chance of a second position at a node, and of each further one.
-FIRST_LEVELS, FIRST_SECOND = 5, 0.4
+#: Levels before node sizes are looked at first, with the chance of a second position at a node, and of each further step.
+FIRST_LEVELS, FIRST_SECOND = 2, 0.4
 MORE_LEVELS = 3
 #: Paths that a link at the threshold keeps per further level on average; above 1, so that few are lost at any depth.
 KEPT = 1.2
-#: Levels in all; nodes that are still large there are compared exhaustively too.
+#: Levels in all; nodes that are still large there are compared in full, in blocks.
 LEVELS = 17
-#: Members of a node that are compared exhaustively at once, and in how many blocks, each with each, larger nodes are.
-SMALL, BLOCKS = 400, 8
+#: Members of a node that are compared exhaustively at once.
+SMALL = 2048
 #: Estimates from POSITIONS positions so far below the threshold (over four standard deviations) are not confirmed.
 SLACK = 0.14
+#: Bytes of full sets that are compared at once; larger parts are compared in pieces, each with each.
+SET_BYTES = 64 << 20
 
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _MUL = _RNG.integers(0, 1 << 31, POSITIONS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -65,6 +69,10 @@ def shingle_set(text: bytes | None, k: int) -> np.ndarray:
     return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
+def _set_key(s: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
+
+
 def signature(s: np.ndarray) -> np.ndarray:
     """POSITIONS minwise values of a set that isn't empty."""
     high = (s >> np.uint64(32)).astype(np.uint32)
@@ -87,7 +95,7 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
             for x in part.column(1).cast(pa.binary()).to_pylist():
                 s = shingle_set(x, k)
                 sizes.append(len(s))
-                keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                keys.append(_set_key(s))
                 sig = signature(s) if len(s) else None
                 sigs.append(None if sig is None else sig.tobytes())
                 low.append(None if sig is None else sig.astype(np.uint8).tobytes())
@@ -158,35 +166,87 @@ def _members(lists: DataFrame) -> DataFrame:
     return pairs.select("gid", F.col("m.members").alias("rep"), F.col("m.comps").alias("comp"))
 
 
+def _listed(rows: DataFrame, *key: str) -> DataFrame:
+    """(members, comps): per key the distinct members in order."""
+    lists = rows.groupBy(*key).agg(F.array_sort(F.collect_set(F.struct("rep", "comp"))).alias("m"))
+    return lists.select(F.col("m.rep").alias("members"), F.col("m.comp").alias("comps"))
+
+
+def _split(sizes: np.ndarray, most: int) -> list[np.ndarray]:
+    """Members in pieces of at most half of ``most`` bytes of sets, then all pairs of pieces; one piece if all fit."""
+    if 8 * sizes.sum() <= most:
+        return [np.arange(len(sizes))]
+    piece = np.cumsum(8 * sizes) // (most // 2)
+    parts = [np.flatnonzero(piece == x) for x in np.unique(piece)]
+    return [np.concatenate([parts[i], parts[j]]) for i in range(len(parts)) for j in range(i + 1, len(parts))] or parts
+
+
 def _promising(groups: DataFrame, threshold: float) -> DataFrame:
-    """(members, comps): parts of a group that estimated similarity of different components connects.
+    """(members, comps): members of a group with an estimated similarity near the threshold to one of another component,
+    in parts that such pairs connect.
 
-    groups has gid, rep, n, small (one byte of each minhash position), comp.
+    groups has gid, rep, n, small (one byte of each minhash position), comp. Members of the largest component are
+    compared with the others only.
     """
+    # equal bytes by chance add one in 256 to the share of equal positions
+    need = int(np.ceil(POSITIONS * ((threshold - SLACK) * 255 + 1) / 256))
 
     def run(batches):
         for group in _runs(batches, "gid"):
             m = group.num_rows
             reps, comp, n = (group.column(c).to_numpy() for c in ("rep", "comp", "n"))
-            small = np.frombuffer(b"".join(group.column("small").to_pylist()), np.uint8).reshape(m, POSITIONS)
-            label = np.arange(m)
-            for i in range(m - 1):
-                same = (small[i + 1 :] == small[i]).mean(axis=1)
-                near = (same * 256 - 1) / 255 >= threshold - SLACK
-                sized = np.minimum(n[i], n[i + 1 :]) >= threshold * np.maximum(n[i], n[i + 1 :]) - 1e-9
-                for j in (np.flatnonzero(near & sized & (comp[i + 1 :] != comp[i])) + i + 1).tolist():
-                    if label[i] != label[j]:
-                        label[label == label[j]] = label[i]
-            parts = [np.flatnonzero(label == x) for x in np.unique(label)]
-            parts = [p for p in parts if len(p) > 1]
-            if parts:
-                lists = [pa.array([x[p].tolist() for p in parts], pa.list_(pa.int64())) for x in (reps, comp)]
+            small = np.frombuffer(b"".join(group.column("small").to_pylist()), np.uint8).reshape(m, POSITIONS).T.copy()
+            names, count = np.unique(comp, return_counts=True)
+            label, touched = np.arange(m), np.zeros(m, bool)
+            for i in np.flatnonzero(comp != names[count.argmax()]).tolist() if count.max() > 1 else range(m - 1):
+                same = (small == small[:, i : i + 1]).sum(axis=0, dtype=np.uint8)
+                near = (same >= need) & (comp != comp[i])
+                near &= np.minimum(n[i], n) >= threshold * np.maximum(n[i], n) - 1e-9
+                if near.any():
+                    near[i] = touched[i] = True
+                    touched |= near
+                    for x in np.unique(label[near]).tolist():
+                        label[label == x] = label[i]
+            made = []
+            for x in np.unique(label[touched]):
+                part = np.flatnonzero(touched & (label == x))
+                made += [part[piece] for piece in _split(n[part], SET_BYTES)]
+            if made:
+                lists = [pa.array([x[np.sort(p)].tolist() for p in made], pa.list_(pa.int64())) for x in (reps, comp)]
                 yield pa.RecordBatch.from_arrays(lists, ["members", "comps"])
 
     placed = groups.repartition("gid").sortWithinPartitions("gid", "rep")
     return placed.mapInArrow(run, "members array<long>, comps array<long>")
 
 
+def overlaps(sets: list[np.ndarray], wanted, most: int = 1 << 22):
+    """(i, sizes of the intersections of set i with every set), for each i that ``wanted(i)`` holds for when its turn comes.
+
+    Sets are compared through the list of sets that hold each element, at most so many entries at a time.
+    """
+    sizes = np.array([len(x) for x in sets])
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(flat, kind="stable")
+    new = np.concatenate([[True], flat[order][1:] != flat[order][:-1]])
+    holders, starts = owner[order], np.flatnonzero(new)
+    held = np.diff(np.append(starts, len(flat)))
+    element = np.empty(len(flat), np.int64)
+    element[order] = np.cumsum(new) - 1
+    ends = np.cumsum(sizes)
+    for i in range(len(sets)):
+        if not wanted(i):
+            continue
+        own = element[ends[i] - sizes[i] : ends[i]]
+        own = own[held[own] > 1]
+        out = np.zeros(len(sets), np.int64)
+        cuts = np.searchsorted(np.cumsum(held[own]), np.arange(most, held[own].sum() + 1, most))
+        for part in np.split(own, cuts):
+            n = held[part]
+            at = np.arange(n.sum()) + np.repeat(starts[part] - (np.cumsum(n) - n), n)
+            out += np.bincount(holders[at], minlength=len(sets))
+        yield i, out
+
+
 def _confirmed(groups: DataFrame, percent: int) -> DataFrame:
     """(a, b): links that join the components of each group, confirmed on full sets.
 
@@ -197,15 +257,13 @@ def _confirmed(groups: DataFrame, percent: int) -> DataFrame:
         for group in _runs(batches, "gid"):
             reps, comp = group.column("rep").to_pylist(), group.column("comp").to_numpy()
             sets = [np.frombuffer(x, np.uint64) for x in group.column("set").to_pylist()]
+            sizes = np.array([len(x) for x in sets])
             label = np.unique(comp, return_inverse=True)[1]
             a, b = [], []
-            for i in range(len(reps)):
-                for j in np.flatnonzero(label != label[i]).tolist():
-                    x, y = sets[i], sets[j]
-                    if j <= i or label[i] == label[j] or 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                        continue
-                    common = int(np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x))
-                    if 100 * common >= percent * (len(x) + len(y) - common):
+            for i, common in overlaps(sets, lambda i, label=label: (label[i + 1 :] != label[i]).any()):
+                linked = 100 * common >= percent * (sizes + sizes[i] - common)
+                for j in np.flatnonzero(linked & (label != label[i])).tolist():
+                    if label[j] != label[i]:
                         a.append(reps[i])
                         b.append(reps[j])
                         label[label == label[j]] = label[i]
@@ -225,12 +283,35 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "rep long, set binary")
 
 
-def linked(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = 5, percent: int = 80, trees: int = TREES, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
+def _blocks(wide: DataFrame, small: int) -> DataFrame:
+    """(members, comps): large nodes in random blocks, each with the node's first member."""
+    own = F.pmod(F.xxhash64("rep", "path"), F.ceil(F.col("size") / F.lit(small)))
+    rows = wide.groupBy("path", own.alias("block")).agg(F.collect_set(F.struct("rep", "comp")).alias("m"), F.min("hub").alias("hub"))
+    lists = rows.select(F.array_sort(F.array_union("m", F.array("hub"))).alias("m"))
+    return lists.select(F.col("m.rep").alias("members"), F.col("m.comp").alias("comps"))
+
+
+def _rest_with_all(wide: DataFrame, small: int) -> DataFrame:
+    """(members, comps): in every node, what lies outside its largest component meets all members, in blocks.
+
+    wide has path, rep, comp, size, most (the largest component) and rest (members outside it). Where rest is at most
+    ``small`` a node gives at most two rows a member.
+    """
+    blocks, slices = F.ceil(F.col("size") / F.lit(small)), F.ceil(F.col("rest") / F.lit(small))
+    block, slice_ = F.pmod(F.xxhash64("rep", "path"), blocks), F.pmod(F.xxhash64("path", "rep"), slices)
+    each = wide.select("path", "rep", "comp", block.alias("block"), F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"))
+    rest = wide.filter("comp <> most").select("path", "rep", "comp", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), slice_.alias("slice"))
+    return _listed(each.unionByName(rest), "path", "block", "slice")
+
+
+def linked(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = 5, percent: int = 80, trees: int = TREES, small: int = SMALL, levels: int = LEVELS) -> tuple[DataFrame, DataFrame]:
     """(rows, links): per row doc_id, n_shingles, set_key; links (a, b) that join classes of equal sets.
 
     A class is named by its smallest doc_id. Two documents are linked if 100 * intersection >= percent * union of their
     sets of k-word shingles. The links suffice for the components: they hold a forest of each.
     """
+    if dict(docs.dtypes)[doc_id] not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{doc_id} must be of an integer type")
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = C.materialize(sketches(docs, k), "sketches")
     reps = rows.filter("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
@@ -241,62 +322,92 @@ def linked(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int =
     # what a comparison needs of a class; component labels travel with the paths
     brief = classes.select("rep", "n", "small")
 
-    at, level = paths(classes.withColumn("comp", F.col("rep")), 0, FIRST_LEVELS, FIRST_SECOND, trees), FIRST_LEVELS
-    links = sets = None
     threshold = percent / 100
-    member = F.struct("rep", "comp")
+    second = min(1.0, max(0.0, KEPT / threshold - 1))
+    at, level = paths(classes.withColumn("comp", F.col("rep")), 0, FIRST_LEVELS, FIRST_SECOND, trees), FIRST_LEVELS
+    links = sets = lists = None
     while True:
-        at = C.materialize(at, "paths")
-        nodes = C.materialize(at.groupBy("path").agg(F.count("*").alias("size"), F.min(member).alias("hub"), F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").drop("x", "y"), "nodes")
-        placed = C.materialize(at.join(nodes, "path"), "placed")
-        few = placed.filter(F.col("size") <= small).groupBy("path").agg(F.array_sort(F.collect_set(member)).alias("m"))
-        blocks = F.ceil(F.col("size") / F.lit(small))
-        many = placed.filter(F.col("size") > small)
-        final = level + MORE_LEVELS > LEVELS
-        # nodes that branch on have random blocks compared before; in others every block meets every other
-        whole = (blocks <= BLOCKS) | F.lit(final)
-        own = F.pmod(F.xxhash64("rep", "path"), blocks)
-        many = many.select("path", "rep", "comp", "hub", own.alias("own"), F.explode(F.when(whole, F.array_remove(F.sequence(F.lit(0), blocks - 1), own)).otherwise(F.array(own))).alias("other"))
-        many = many.withColumn("block", F.least("own", "other") * F.lit(1 << 31) + F.greatest("own", "other"))
-        wide = many.groupBy("path", "block").agg(F.collect_set(member).alias("m"), F.min("hub").alias("hub"))
-        wide = wide.select(F.array_sort(F.array_union("m", F.array("hub"))).alias("m"))
-        lists = few.select("m").unionByName(wide).select(F.col("m.rep").alias("members"), F.col("m.comp").alias("comps"))
-        members = _members(lists).join(brief, "rep")
-        groups = C.materialize(_members(_promising(members.select("gid", "rep", "n", "small", "comp"), threshold)), "groups")
+        wide = at_ = placed = None
+        if at is not None:
+            at_ = C.materialize(at, "paths")
+            member = F.struct("rep", "comp")
+            nodes = at_.groupBy("path").agg(F.count("*").alias("size"), F.min(member).alias("hub"), F.min("comp").alias("x"), F.max("comp").alias("y"))
+            placed = C.materialize(at_.join(nodes.filter("x < y").drop("x", "y"), "path"), "placed")
+            few = _listed(placed.filter(F.col("size") <= small), "path")
+            wide = placed.filter(F.col("size") > small)
+            wide = None if wide.isEmpty() else wide
+            lists = few if lists is None else lists.unionByName(few)
+            lists = lists if wide is None else lists.unionByName(_blocks(wide, small))
+        groups = C.materialize(_members(_promising(_members(lists).join(brief, "rep"), threshold)), "groups")
         if sets is None:
-            needed = groups.select("rep").unionByName(placed.filter(F.col("size") > small).select("rep")).distinct()
-            sets = C.materialize(_sets(docs.join(needed.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi"), k).dropDuplicates(), "sets")
-        found = _confirmed(groups.join(sets, "rep"), percent)
-        found = C.materialize(found.distinct(), "found")
+            needed = groups.select("rep") if wide is None else groups.select("rep").unionByName(wide.select("rep"))
+            needed = needed.distinct().withColumnRenamed("rep", "doc_id")
+            sets = C.materialize(_sets(docs.join(needed, "doc_id", "left_semi"), k).dropDuplicates(), "sets")
+        found = C.materialize(_confirmed(groups.join(sets, "rep"), percent).distinct(), "found")
         links = found if links is None else links.unionByName(found)
-        big = placed.filter(blocks > BLOCKS).select("tree", "path", "rep", "comp")
-        if final or big.isEmpty():
+        C.discard(at_, groups)
+        if wide is None:
+            C.discard(placed, classes, sets)
             return rows, links
         if not found.isEmpty():
             label = components(links).select(F.col("node").alias("rep"), "component")
-            big = big.join(label, "rep", "left").withColumn("comp", F.coalesce("component", "comp")).drop("component")
-        open_ = big.groupBy("path").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("path")
-        at = paths(big.join(open_, "path", "left_semi").join(classes.select("rep", "sig"), "rep"), level, MORE_LEVELS, min(1.0, max(0.0, KEPT / threshold - 1)))
+            wide = wide.join(label, "rep", "left").withColumn("comp", F.coalesce("component", "comp")).drop("component")
+        most = wide.groupBy("path", "comp").agg(F.count("*").alias("n")).groupBy("path").agg(F.max(F.struct("n", "comp")).alias("m"))
+        most = most.select("path", F.col("m.comp").alias("most"), F.col("m.n").alias("held"))
+        wide = wide.join(most, "path").withColumn("rest", F.col("size") - F.col("held")).filter("rest > 0")
+        wide = C.materialize(wide.select("tree", "path", "rep", "comp", "size", "most", "rest"), "wide")
+        C.discard(placed)
+        ends = F.lit(level + MORE_LEVELS > levels) | (F.col("rest") <= small)
+        lists = _rest_with_all(wide.filter(ends), small)
+        more = wide.filter(~ends).select("tree", "path", "rep", "comp")
+        at = None if more.isEmpty() else paths(more.join(classes.select("rep", "sig"), "rep"), level, MORE_LEVELS, second)
         level += MORE_LEVELS
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = 5, percent: int = 80, **options) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept (doc_id = component_id).
-
-    A text without words has an empty set, is linked with nothing and stays. Rows with one doc_id count as linked. Rows
-    without a doc_id join the class of their set; a class of such rows only has no component_id. An empty table gives
-    an empty result.
-    """
+def _labelled(docs: DataFrame, text: str, doc_id: str, k: int, percent: int, **options) -> DataFrame:
+    """Per row: doc_id, n_shingles, set_key, component_id."""
     rows, links = linked(docs, text, doc_id, k, percent, **options)
     classes = rows.filter("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     label = components(links)
     classes = classes.join(label.withColumnRenamed("node", "rep"), "rep", "left")
     classes = C.materialize(classes.select("set_key", F.coalesce("component", "rep").alias("component_id"), "copies"), "components")
-    out = C.join_groups(rows.select("doc_id", "n_shingles", "set_key"), classes, "set_key", "copies", rows.count())
+    return C.join_groups(rows.select("doc_id", "n_shingles", "set_key"), classes, "set_key", "copies", rows.count())
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = 5, percent: int = 80, **options) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept (doc_id = component_id).
+
+    A text without words has an empty set, is linked with nothing and stays. Rows with one doc_id count as linked. Rows
+    without a doc_id join the class of their set; a class of such rows only has no component_id and is linked with
+    no other. Ids are integers; others are an error. An empty table gives an empty result.
+    """
+    out = _labelled(docs, text, doc_id, k, percent, **options)
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = 5, percent: int = 80, **options) -> DataFrame:
-    """docs without the rows of a component other than its smallest doc_id; columns as in docs."""
-    kept = near_duplicates(docs, text, doc_id, k, percent, **options).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs[doc_id].cast("long").eqNullSafe(kept["_kept"]), "left_semi")
+    """One row of each component, of its smallest doc_id, and every row without words; columns as in docs.
+
+    Where that doc_id is repeated, one of its rows stays. Of rows without a doc_id one of each set stays.
+    """
+    rows = C.materialize(_labelled(docs, text, doc_id, k, percent, **options), "labelled")
+    own = F.coalesce("component_id", "doc_id")
+    kept = rows.filter(F.col("set_key").isNull() | F.col("doc_id").eqNullSafe(own))
+    plain = rows.agg((F.count("*") == F.count_distinct("doc_id")).alias("x")).first()["x"]
+    if plain:  # each row has an id of its own
+        return docs.join(kept.select(F.col("doc_id").alias("_kept")), docs[doc_id].cast("long") == F.col("_kept"), "left_semi")
+    key = C.in_frame("_set", docs)
+    at = docs.columns.index(text)
+
+    def run(batches):
+        for part in C.pieces(batches):
+            sets = (shingle_set(x, k) for x in part.column(at).cast(pa.binary()).to_pylist())
+            keys = [_set_key(s) for s in sets]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(keys, pa.binary())], [*part.schema.names, key])
+
+    full = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(key, T.BinaryType())]))
+    # one class of each component, or of each set of rows without ids
+    one = kept.filter("set_key IS NOT NULL").groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("set_key")).alias("g")).agg(F.min("set_key").alias("_k"))
+    one = one.select(F.col("doc_id").alias("_kept"), "_k")
+    words = full.join(one, (full[key] == one["_k"]) & full[doc_id].cast("long").eqNullSafe(one["_kept"]), "left_semi")
+    return words.dropDuplicates([doc_id, key]).unionByName(full.filter(F.col(key).isNull())).drop(key)

@@ -137,7 +137,23 @@ def test_near_duplicates_edge_cases(docs, empty):
     assert by_id[12] == [(1, 12, True)] and sorted(x[0] for x in by_id[15]) == [4, 8]
     assert nearjoin.near_duplicates(empty).count() == 0
     out = nearjoin.drop_near_duplicates(docs, k=3, percent=85)
-    assert out.columns == docs.columns and out.filter("doc_id = 5").count() == 0
+    assert out.columns == docs.columns
+    ids = sorted(str(r.doc_id) for r in out.collect())
+    # 15's two texts count as linked, the two equal texts without id are one set; all without words stay
+    assert ids == sorted(map(str, [2, 9, 8, None, 7, None, 11, 12, 13, 14, 15]))
+    with pytest.raises(TypeError):
+        nearjoin.near_duplicates(docs.withColumn("doc_id", F.lit("a")))
+
+
+def test_overlaps_and_pieces():
+    rnd = np.random.default_rng(1)
+    sets = [np.unique(rnd.integers(0, 60, n)).astype(np.uint64) for n in rnd.integers(1, 50, 30)]
+    for i, got in nearjoin.overlaps(sets, lambda i: i % 3 == 0, most=100):
+        assert i % 3 == 0 and got.tolist() == [len(np.intersect1d(sets[i], s)) for s in sets]
+    sizes = rnd.integers(1, 100, 40)
+    pieces = nearjoin._split(sizes, 4000)
+    assert len(pieces) > 1 and all(any(a in p and b in p for p in map(set, pieces)) for a in range(40) for b in range(40))
+
 
 def test_near_links_below_large_nodes(spark):
     # pairs just above the threshold inside one group of similar texts, whose nodes stay large for several levels
