@@ -342,7 +342,8 @@ def linked(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int =
         if sets is None:
             needed = groups.select("rep") if wide is None else groups.select("rep").unionByName(wide.select("rep"))
             needed = needed.distinct().withColumnRenamed("rep", "doc_id")
-            sets = C.materialize(_sets(docs.join(needed, "doc_id", "left_semi"), k).dropDuplicates(), "sets")
+            # by merge at every size: the ids that are needed grow with the corpus
+            sets = C.materialize(_sets(docs.hint("merge").join(needed, "doc_id", "left_semi"), k).dropDuplicates(), "sets")
         found = C.materialize(_confirmed(groups.join(sets, "rep"), percent).distinct(), "found")
         links = found if links is None else links.unionByName(found)
         C.discard(at_, groups)
@@ -395,7 +396,8 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc
     kept = rows.filter(F.col("set_key").isNull() | F.col("doc_id").eqNullSafe(own))
     plain = rows.agg((F.count("*") == F.count_distinct("doc_id")).alias("x")).first()["x"]
     if plain:  # each row has an id of its own
-        return docs.join(kept.select(F.col("doc_id").alias("_kept")), docs[doc_id].cast("long") == F.col("_kept"), "left_semi")
+        kept = kept.select(F.col("doc_id").alias("_kept")).hint("merge")
+        return docs.join(kept, docs[doc_id].cast("long") == F.col("_kept"), "left_semi")
     key = C.in_frame("_set", docs)
     at = docs.columns.index(text)
 

@@ -21,7 +21,7 @@ def op3_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(common.table(spark, sf_dir, "documents"))
 
 
-def _op3_sql(rounds: int = 3) -> str:
+def _op3_sql(rounds: int = 2) -> str:
     fill = ""
     for r in range(rounds):
         fill += f"""
@@ -41,10 +41,10 @@ def _op3_sql(rounds: int = 3) -> str:
 WITH d AS (
   SELECT doc_id, coalesce('a' || source, 'b') AS key,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
+         ('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
   FROM documents
 ), z AS (
-  SELECT key, sum(size)::BIGINT AS source_size,
+  SELECT key, sum(size)::BIGINT AS source_size, sum(size)::BIGINT / count(*) AS mean,
          [5, 2, 1][((row_number() OVER (ORDER BY key) - 1) % 3 + 1)::INT] AS w FROM d GROUP BY key
 ), y AS (
   SELECT *, 3.0::DOUBLE * source_size / w AS ratio FROM z
@@ -53,15 +53,15 @@ WITH d AS (
             / (sum(w) OVER () - coalesce(sum(w) OVER b, 0))::DOUBLE AS level
   FROM y WINDOW b AS (ORDER BY ratio, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), g AS (
-  SELECT key, source_size, least((SELECT arg_min(level, (ratio, key)) FROM x WHERE level <= ratio) * w,
+  SELECT key, source_size, mean, least((SELECT arg_min(level, (ratio, key)) FROM x WHERE level <= ratio) * w,
                                  3.0::DOUBLE * source_size) AS target FROM x
 ), h AS (
   SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS times FROM g
 ), goals AS (
-  SELECT key, source_size, target, floor(times)::INT AS copies, times - floor(times) AS p FROM h
+  SELECT key, source_size, mean, target, floor(times)::INT AS copies, times - floor(times) AS p FROM h
 ), k AS (
   SELECT d.*, source_size, target, copies, p, q / (1 + q) AS v
-  FROM (SELECT d.*, goals.* EXCLUDE (key), (u / (1 - u)) / (p / (1 - p)) AS q FROM d JOIN goals USING (key)) d
+  FROM (SELECT d.*, goals.* EXCLUDE (key), (u / (1 - u)) / ((p / (1 - p)) * (2 * mean / (mean + size))) AS q FROM d JOIN goals USING (key)) d
 ), s0 AS (
   SELECT key, CASE WHEN p > 0 THEN target - copies * source_size ELSE 0 END AS gap, -1.0::DOUBLE AS low FROM goals
 )""" + fill + f"""

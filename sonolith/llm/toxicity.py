@@ -7,7 +7,8 @@ class prior. With P the positives and U the unlabelled, the risk of a scorer is
 
 where the second term estimates the risk on negatives and is kept from going below zero (Kiryo et al., 2017).
 
-The models are linear in word features, trained in numpy on a bounded sample; scoring runs over every whole text.
+The models are linear in word features, trained in numpy on a bounded sample. Words of the sampled texts, whatever
+their length, are counted in Spark; the driver gets the counts of telling words only. Scoring runs over every whole text.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,11 +42,11 @@ def word_hash(word: bytes) -> int:
 
 @dataclass
 class Settings:
-    """positives, unlabelled: most rows of the training sample; words: most words of one of its texts."""
+    """positives, unlabelled: most rows of the training sample; features: most words of the model, the most telling."""
 
     positives: int = 12_000
     unlabelled: int = 24_000
-    words: int = 2_000
+    features: int = 50_000
     least_texts: int = 4  # in which a word occurs, to be a feature
     least_z: float = 4.5  # of the difference of its shares of positive and unlabelled texts
     models: int = 3
@@ -83,75 +85,75 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(out, -60, 60)))
 
 
-class _Rows:
-    """Sparse rows: features, values and where each row starts."""
+@dataclass
+class Sample:
+    """Texts of one kind in sparse rows: places of features in the vocabulary, their counts, where each row starts, and
+    the number of all words of each text."""
+
+    at: np.ndarray
+    counts: np.ndarray
+    starts: np.ndarray
+    words: np.ndarray
 
-    def __init__(self, texts: list[np.ndarray], vocabulary: np.ndarray):
-        at, value, counts = [], [], []
-        for hashes in texts:
-            i = np.searchsorted(vocabulary, hashes) if len(vocabulary) else np.zeros(len(hashes), np.int64)
-            i = np.minimum(i, max(0, len(vocabulary) - 1))
-            i = i[vocabulary[i] == hashes] if len(vocabulary) else i[:0]
-            which, n = np.unique(i, return_counts=True)
-            at.append(which)
-            value.append(SCALE * np.log1p(n) / np.sqrt(max(1, len(hashes))))
-            counts.append(len(which))
-        self.at, self.value, self.counts = np.concatenate(at), np.concatenate(value), np.array(counts)
-        self.starts = np.cumsum(self.counts) - self.counts
+    def __len__(self) -> int:
+        return len(self.words)
+
+    def __post_init__(self):
+        self.sizes = np.diff(np.append(self.starts, len(self.at)))
+        self.values = SCALE * np.log1p(self.counts) / np.sqrt(np.maximum(1, np.repeat(self.words, self.sizes)))
 
     def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        n = self.counts[rows]
+        """(features, values, place of the row among ``rows``) of all entries of these rows."""
+        n = self.sizes[rows]
         where = np.arange(n.sum()) + np.repeat(self.starts[rows] - (np.cumsum(n) - n), n)
-        return self.at[where], self.value[where], np.repeat(np.arange(len(rows)), n)
+        return self.at[where], self.values[where], np.repeat(np.arange(len(rows)), n)
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def telling_words(positive: list[np.ndarray], unlabelled: list[np.ndarray], s: Settings) -> np.ndarray:
-    """Hashes of words whose share of texts differs clearly between both samples; the others would only overfit."""
-    seen, which = np.unique(np.concatenate([np.unique(t) for t in positive + unlabelled]), return_inverse=True)
-    bound = sum(len(np.unique(t)) for t in positive)
-    a, b = (np.bincount(x, minlength=len(seen)) for x in (which[:bound], which[bound:]))
-    m, n = len(positive), len(unlabelled)
-    both = (a + b + 1) / (m + n + 2)
-    z = (a / m - b / n) / np.sqrt(both * (1 - both) * (1 / m + 1 / n))
-    return seen[(a + b >= s.least_texts) & (np.abs(z) >= s.least_z) & (seen != 0)]
+def risk_and_slopes(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """(risk, its term on negatives, slopes by the logits of positives, slopes by those of unlabelled texts).
+
+    Logistic loss: (z, +) is log(1 + exp(-z)), (z, -) is log(1 + exp(z)). Where the term on negatives is below zero, the
+    slopes are those of a step back on that term alone.
+    """
+    negative = float(np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean())
+    slope_p, slope_u = -prior * _sigmoid(zp) / len(zp), _sigmoid(zu) / len(zu)
+    risk = prior * float(np.logaddexp(0, -zp).mean()) + max(0.0, negative)
+    if negative < 0:
+        return risk, negative, -slope_p, -slope_u
+    return risk, negative, slope_p + prior * (_sigmoid(zp) - 1) / len(zp), slope_u
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, settings: Settings | None = None) -> Model:
+def fit(positive: Sample, unlabelled: Sample, vocabulary: np.ndarray, prior: float, settings: Settings | None = None) -> Model:
     """Average of linear models, each trained by AdaGrad on the non-negative risk with logistic loss.
 
-    Texts are arrays of word hashes. Without positives the model scores ``prior`` everywhere.
+    vocabulary has sorted word hashes. The prior is kept between 1e-4 and 1 - 1e-4. Without positives or unlabelled
+    texts the model scores ``prior`` everywhere.
     """
     s = settings or Settings()
-    prior = min(max(prior, 1e-4), 0.5)
-    if not positive or not unlabelled:
-        return Model(np.empty(0, np.uint64), np.empty(0), float(np.log(prior / (1 - prior))))
-    vocabulary = telling_words(positive, unlabelled, s)
-    p, u = _Rows(positive, vocabulary), _Rows(unlabelled, vocabulary)
+    prior = min(max(prior, 1e-4), 1 - 1e-4)
+    start = float(np.log(prior / (1 - prior)))
+    if not len(positive) or not len(unlabelled):
+        return Model(np.empty(0, np.uint64), np.empty(0), start)
+    p, u = positive, unlabelled
     weights, biases = [], []
     for m in range(s.models):
         rng = np.random.default_rng([s.seed, m])
-        w, b = np.zeros(len(vocabulary)), float(np.log(prior / (1 - prior)))
+        w, b = np.zeros(len(vocabulary)), start
         grown, grown_b = np.full(len(w), 1e-8), 1e-8
         for _ in range(s.epochs):
-            deal_p = np.array_split(rng.permutation(len(positive)), s.batches)
-            deal_u = np.array_split(rng.permutation(len(unlabelled)), s.batches)
+            deal_p = np.array_split(rng.permutation(len(p)), s.batches)
+            deal_u = np.array_split(rng.permutation(len(u)), s.batches)
             for rows_p, rows_u in zip(deal_p, deal_u, strict=True):
                 if not len(rows_p) or not len(rows_u):
                     continue
                 (ap, vp, rp), (au, vu, ru) = p.take(rows_p), u.take(rows_u)
                 zp = b + np.bincount(rp, w[ap] * vp, len(rows_p))
                 zu = b + np.bincount(ru, w[au] * vu, len(rows_u))
-                # logistic loss: (z, +) has slope sigmoid(z) - 1, (z, -) has slope sigmoid(z)
-                negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-                slope_p, slope_u = -prior * _sigmoid(zp) / len(zp), _sigmoid(zu) / len(zu)
-                if negative < 0:  # overfitted: step back on this term alone
-                    slope_p, slope_u = -slope_p, -slope_u
-                else:
-                    slope_p = slope_p + prior * (_sigmoid(zp) - 1) / len(zp)
+                slope_p, slope_u = risk_and_slopes(zp, zu, prior)[2:]
                 g = np.bincount(ap, slope_p[rp] * vp, len(w)) + np.bincount(au, slope_u[ru] * vu, len(w)) + s.decay * w
                 gb = slope_p.sum() + slope_u.sum()
                 grown += g * g
@@ -163,35 +165,90 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     return Model(vocabulary, np.mean(weights, axis=0), float(np.mean(biases)))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, settings: Settings, text: str = "text", doc_id: str = "doc_id", toxic: str = "toxic") -> tuple[list[np.ndarray], list[np.ndarray], float]:
-    """(positive, unlabelled, prior) outside the held-out fold.
+def chosen_texts(docs: DataFrame, labels: DataFrame, settings: Settings, text: str = "text", doc_id: str = "doc_id", toxic: str = "toxic") -> DataFrame:
+    """(doc_id, positive, words, hashes, counts): the training sample with the word counts of whole texts.
 
-    The prior is the share of toxic rows among all labels there. Sampled ids, bounded by settings, are chosen by
-    hash and broadcast; only word hashes of their texts come to the driver.
+    Outside the held-out fold, at most settings.positives ids with toxic = 1 and settings.unlabelled ids of docs are
+    chosen by hash, both bounded, so they are broadcast. Of a repeated id the least text counts. An id may be in both.
     """
-    known = labels.select(F.col(doc_id).alias("doc_id"), F.col(toxic).alias("toxic")).filter("toxic IS NOT NULL").filter(fold(F.col("doc_id")) != 0)
-    prior = known.agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.0
+    known = labels.select(F.col(doc_id).alias("doc_id"), F.col(toxic).alias("toxic")).filter("toxic = 1").filter(fold(F.col("doc_id")) != 0)
     order = F.xxhash64("doc_id", F.lit(settings.seed))
-    marked = known.filter("toxic = 1").select("doc_id").distinct().orderBy(order, "doc_id").limit(settings.positives)
+    marked = known.select("doc_id").distinct().orderBy(order, "doc_id").limit(settings.positives)
     free = docs.select(F.col(doc_id).alias("doc_id")).filter("doc_id IS NOT NULL").filter(fold(F.col("doc_id")) != 0)
-    total = free.count()
-    share = min(1.0, 1.2 * settings.unlabelled / max(total, 1))
+    share = min(1.0, 1.2 * settings.unlabelled / max(free.count(), 1))
     free = free.filter(F.pmod(order, F.lit(1 << 30)) < int(share * (1 << 30))).distinct().orderBy(order, "doc_id").limit(settings.unlabelled)
     chosen = marked.withColumn("positive", F.lit(True)).unionByName(free.withColumn("positive", F.lit(False)))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id", "positive").agg(F.min("text").alias("text"))
 
     def run(batches):
         for part in C.pieces(batches):
-            found = [np.fromiter((word_hash(w) for w in (x or b"").split()), np.uint64) for x in part.column("text").cast(pa.binary()).to_pylist()]
-            found = [x.view(np.int64) if len(x) <= settings.words else None for x in found]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("positive"), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "positive", "hashes"])
+            made = []
+            for x in part.column("text").cast(pa.binary()).to_pylist():
+                found = np.fromiter((word_hash(w) for w in x.split()), np.uint64)
+                made.append((len(found), *np.unique(found[found != 0], return_counts=True)))
+            columns = [pa.array([m[0] for m in made], pa.int64()), pa.array([m[1].view(np.int64) for m in made], pa.list_(pa.int64())), pa.array([m[2] for m in made], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("positive"), *columns], ["doc_id", "positive", "words", "hashes", "counts"])
 
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id")
     kind = dict(rows.dtypes)["doc_id"]
-    got = rows.mapInArrow(run, f"doc_id {kind}, positive boolean, hashes array<long>").filter("hashes IS NOT NULL").toArrow()
-    ids, flags = got.column("doc_id").to_pylist(), got.column("positive").to_pylist()
-    flat = [x.values.to_numpy().view(np.uint64) for x in got.column("hashes").combine_chunks()] if got.num_rows else []
-    at = sorted(range(len(ids)), key=lambda i: (ids[i], len(flat[i])))
-    return [flat[i] for i in at if flags[i]], [flat[i] for i in at if not flags[i]], prior
+    return C.materialize(rows.mapInArrow(run, f"doc_id {kind}, positive boolean, words long, hashes array<long>, counts array<long>"), "chosen")
+
+
+def telling_words(chosen: DataFrame, settings: Settings) -> np.ndarray:
+    """Sorted hashes of words whose share of texts differs clearly between both kinds; the others would only overfit.
+
+    Words are counted in Spark; at most settings.features, those of the greatest difference, come to the driver.
+    """
+    m, n = chosen.agg(F.count_if("positive"), F.count_if(~F.col("positive"))).first()
+    if not m or not n:
+        return np.empty(0, np.uint64)
+    words = chosen.select("positive", F.explode("hashes").alias("word")).groupBy("word")
+    words = words.agg(F.count_if("positive").alias("a"), F.count_if(~F.col("positive")).alias("b")).filter(F.col("a") + F.col("b") >= settings.least_texts)
+    both = (F.col("a") + F.col("b") + 1) / (m + n + 2)
+    z = F.abs(F.col("a") / m - F.col("b") / n) / F.sqrt(both * (1 - both) * (1 / m + 1 / n))
+    found = words.withColumn("z", z).filter(F.col("z") >= settings.least_z).orderBy(F.desc("z"), "word").limit(settings.features).select("word").toArrow()
+    return np.sort(found.column(0).to_numpy().view(np.uint64))
+
+
+def training_sample(chosen: DataFrame, vocabulary: np.ndarray) -> tuple[Sample, Sample]:
+    """(positives, unlabelled) in rows of vocabulary words. The driver gets their counts, no other words."""
+    shared = chosen.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(batches):
+        known = shared.value
+        for part in C.pieces(batches):
+            at, counts = [], []
+            for hashes, n in zip(part.column("hashes"), part.column("counts"), strict=True):
+                own, n = hashes.values.to_numpy().view(np.uint64), n.values.to_numpy()
+                i = np.minimum(np.searchsorted(known, own), max(0, len(known) - 1))
+                hit = known[i] == own if len(known) else np.zeros(len(own), bool)
+                at.append(i[hit].astype(np.int32))
+                counts.append(n[hit].astype(np.int32))
+            columns = [pa.array(x, pa.list_(pa.int32())) for x in (at, counts)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("positive"), part.column("words"), *columns], ["doc_id", "positive", "words", "at", "counts"])
+
+    kind = dict(chosen.dtypes)["doc_id"]
+    got = chosen.mapInArrow(run, f"doc_id {kind}, positive boolean, words long, at array<int>, counts array<int>").toArrow()
+    got = got.sort_by([("doc_id", "ascending")]).combine_chunks()
+    out = []
+    for kind in (True, False):
+        rows = got.filter(pc.equal(got.column("positive"), kind))
+        sizes = pc.fill_null(pc.list_value_length(rows.column("at")), 0).to_numpy().astype(np.int64)
+        flat = [pc.list_flatten(rows.column(c)).to_numpy().astype(np.int64) for c in ("at", "counts")]
+        out.append(Sample(*flat, np.cumsum(sizes) - sizes, rows.column("words").to_numpy()))
+    return out[0], out[1]
+
+
+def train(docs: DataFrame, labels: DataFrame, settings: Settings | None = None, text: str = "text", doc_id: str = "doc_id", toxic: str = "toxic") -> Model:
+    """A model from the rows outside the held-out fold. The prior is the share of toxic rows among all labels there."""
+    settings = settings or Settings()
+    known = labels.filter(F.col(toxic).isNotNull()).filter(fold(F.col(doc_id)) != 0)
+    prior = known.agg(F.avg(F.col(toxic).cast("double"))).first()[0] or 0.0
+    chosen = chosen_texts(docs, labels, settings, text, doc_id, toxic)
+    vocabulary = telling_words(chosen, settings)
+    positive, unlabelled = training_sample(chosen, vocabulary)
+    C.discard(chosen)
+    return fit(positive, unlabelled, vocabulary, prior, settings)
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -213,7 +270,6 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, settings: Settings | None
 
     Without toxic labels every score is the smallest prior; an empty table gives an empty result.
     """
-    settings = settings or Settings()
-    positive, unlabelled, prior = training_sample(docs, labels, settings, **columns)
+    model = train(docs, labels, settings, **columns)
     columns.pop("toxic", None)
-    return scored(docs, fit(positive, unlabelled, prior, settings), **columns)
+    return scored(docs, model, **columns)

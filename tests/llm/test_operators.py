@@ -186,9 +186,41 @@ def test_mix_meets_targets(spark):
     assert again.sort_values("doc_id")["taken"].tolist() == got.sort_values("doc_id")["taken"].tolist()
 
 
+def test_mix_ranks_by_random_odds_over_inclusion_odds(spark):
+    rnd = random.Random(9)
+    rows = [(i, "w " * int(rnd.paretovariate(0.8) * 3), "ab"[i % 2]) for i in range(400)]
+    got = {r.doc_id: r for r in mixing.report(spark.createDataFrame(rows, SCHEMA)).collect()}
+
+    def mix(tilted):
+        taken = {}
+        for source in "ab":
+            own = [(i, t) for i, t, s in rows if s == source]
+            size = sum(len(t.split()) for _, t in own)
+            times = got[own[0][0]].target / size
+            copies, p = int(times), times - int(times)
+            order = []
+            for i, t in own:
+                n, mean = len(t.split()), size / len(own)
+                u = int(hashlib.md5(f"mix|{i}|{hashlib.md5(t.encode()).hexdigest()}".encode()).hexdigest()[:13], 16) / (1 << 52)
+                order.append((u / (1 - u) / (p / (1 - p) * (2 * mean / (mean + n) if tilted else 1)), i, n))
+            gap, chosen, order = p * size, set(), sorted(order)
+            for _ in range(2):  # the head that fits, then one more behind it
+                at, most = 0, gap
+                order = [x for x in order if x[2] <= most]
+                while at < len(order) and order[at][2] <= gap + 1e-6:
+                    gap -= order[at][2]
+                    chosen.add(order[at][1])
+                    at += 1
+                order = order[at:]
+            taken |= {i: len(t.split()) * (copies + (i in chosen)) for i, t in own}
+        return taken
+
+    assert {i: r.taken for i, r in got.items()} == mix(True) != mix(False)
+
+
 def test_mix_edge_cases(docs, empty):
     got = mixing.report(docs)
-    assert got.count() == len(ROWS)
+    assert got.count() == len(ROWS) and mixing.report(docs, few_sources=0).exceptAll(got).count() == 0
     words = {(i, t): len((t or "").encode().split()) for i, t, _ in ROWS}
     assert got.agg(F.sum("size")).first()[0] == sum(words[(i, t)] for i, t, _ in ROWS)
     out = mixing.mixed(docs)
@@ -459,10 +491,68 @@ def test_toxicity_edge_cases(spark, docs, empty):
     assert toxicity.score_toxicity(empty, labels).count() == 0
 
 
-def test_risk_is_kept_from_going_negative():
+def sample_of(texts, size):
+    """Dense counts and word totals of texts as arrays of word numbers, and the same as a Sample."""
+    dense = np.array([np.bincount(t, minlength=size) for t in texts])
+    at = [np.flatnonzero(r) for r in dense]
+    sizes = np.array([len(x) for x in at])
+    return dense, toxicity.Sample(np.concatenate(at), np.concatenate([r[i] for r, i in zip(dense, at, strict=True)]), np.cumsum(sizes) - sizes, np.array([len(t) for t in texts]))
+
+
+def test_risk_and_its_gradient_equal_brute_force():
     rng = np.random.default_rng(0)
-    toxic = [rng.choice(np.arange(1, 40, dtype=np.uint64), 20) for _ in range(60)]
-    clean = [rng.choice(np.arange(30, 90, dtype=np.uint64), 20) for _ in range(400)]
-    model = toxicity.fit(toxic[:40], clean[:300] + toxic[40:], 0.06, toxicity.Settings(least_z=2))
-    names = {int(h): w for h, w in zip(model.words, model.weights, strict=True)}
-    assert np.isfinite(model.weights).all() and np.mean([w for h, w in names.items() if h < 30]) > np.mean([w for h, w in names.items() if h >= 40])
+    for prior, shift in ((0.3, 2.0), (0.9, -3.0)):  # the second is over the bound: the term on negatives is below zero
+        zp, zu = rng.normal(2, 1, 7), rng.normal(shift, 1, 9)
+        plus = lambda z: np.log(1 + np.exp(-z)).mean()
+        minus = lambda z: np.log(1 + np.exp(z)).mean()
+        risk, negative, by_p, by_u = toxicity.risk_and_slopes(zp, zu, prior)
+        assert np.isclose(negative, minus(zu) - prior * minus(zp)) and np.isclose(risk, prior * plus(zp) + max(0, negative))
+        assert (negative < 0) == (shift < 0)
+        held = (lambda p, u: prior * plus(p) + minus(u) - prior * minus(p)) if negative >= 0 else (lambda p, u: prior * minus(p) - minus(u))
+        for i, (z, slope) in enumerate(((zp, by_p), (zu, by_u))):
+            for k in range(len(z)):
+                step = np.zeros(len(z))
+                step[k] = 1e-5
+                up, down = ((z + step, zu), (z - step, zu)) if i == 0 else ((zp, z + step), (zp, z - step))
+                assert np.isclose((held(*up) - held(*down)) / 2e-5, slope[k], atol=1e-6)
+
+
+def test_fit_equals_a_dense_version():
+    rng = np.random.default_rng(1)
+    toxic, other = [rng.integers(0, 25, 20) for _ in range(30)], [rng.integers(10, 40, 30) for _ in range(90)] + [rng.integers(0, 25, 20) for _ in range(5)]
+    (dp, p), (du, u) = sample_of(toxic, 40), sample_of(other, 40)
+    s = toxicity.Settings(models=1, epochs=5, batches=1)
+    model = toxicity.fit(p, u, np.arange(1, 41, dtype=np.uint64), 0.1, s)
+    xp, xu = (10 * np.log1p(d) / np.sqrt(d.sum(1, keepdims=True)) for d in (dp, du))
+    w, b, g2, b2 = np.zeros(40), np.log(0.1 / 0.9), np.full(40, 1e-8), 1e-8
+    for _ in range(5):
+        sp, su = 1 / (1 + np.exp(-(xp @ w + b))), 1 / (1 + np.exp(-(xu @ w + b)))
+        negative = -np.log(1 - su).mean() + 0.1 * np.log(1 - sp).mean()
+        ep, eu = -0.1 * sp / len(sp), su / len(su)
+        ep, eu = (-ep, -eu) if negative < 0 else (ep + 0.1 * (sp - 1) / len(sp), eu)
+        g, gb = xp.T @ ep + xu.T @ eu + s.decay * w, ep.sum() + eu.sum()
+        g2, b2 = g2 + g * g, b2 + gb * gb
+        w, b = w - s.rate * g / np.sqrt(g2), b - s.rate * gb / np.sqrt(b2)
+    assert np.allclose(model.weights, w) and np.isclose(model.bias, b)
+
+
+def test_scores_and_training_rows_equal_plain_counts(spark):
+    long = "vile " * 3000 + " ".join(f"w{i}" for i in range(4000))  # long texts are in the sample
+    rows = [(i, "vile foul Foul, words here") for i in range(1, 30)] + [(i, "kind words and more") for i in range(30, 120)] + [(201, long), (201, long + " z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in [*range(1, 20), 201]] + [(i, 0) for i in range(40, 60)], "doc_id long, toxic int")
+    s = toxicity.Settings(least_z=2.0)
+    chosen = toxicity.chosen_texts(docs, labels, s)
+    assert sorted((r.positive, r.words) for r in chosen.filter("doc_id = 201").collect()) == [(False, 7000), (True, 7000)]
+    vocabulary = toxicity.telling_words(chosen, s)
+    assert {toxicity.word_hash(w) for w in (b"vile", b"foul", b"kind")} <= set(vocabulary.tolist())
+    model = toxicity.train(docs, labels, s)
+    weight = dict(zip(model.words.tolist(), model.weights, strict=True))
+    for r in toxicity.scored(docs, model).join(docs, "doc_id").collect():
+        counts, words = {}, r.text.split()
+        for w in words:
+            h = toxicity.word_hash(w.encode())
+            counts[h] = counts.get(h, 0) + 1
+        z = model.bias + 10 * sum(weight.get(h, 0) * np.log1p(n) for h, n in counts.items()) / np.sqrt(len(words))
+        if r.doc_id != 201:  # twice there
+            assert np.isclose(r.score, 1 / (1 + np.exp(-z))) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
