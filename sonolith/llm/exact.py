@@ -118,13 +118,19 @@ def duplicate_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
 
 
 def drop_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 16) -> DataFrame:
-    """The row with the smallest doc_id of each group of equal texts, with the columns of docs."""
-    recipe = C.in_frame("recipe", docs)
-    size = verified_size(docs.select(text), text, size)
-    narrow = recipes(docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")), "_text", size)
+    """The row with the smallest doc_id of each group of equal texts, with the columns of docs.
+
+    Recipes are made and written once, without texts. Where each row has an id of its own, documents are then chosen by it;
+    else they are matched by recipe too, and of repeated rows one stays.
+    """
+    names = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
+    size = verified_size(names, "_text", size)
+    narrow = C.materialize(recipes(names, "_text", size).select("_id", "recipe"), "recipes")
     keep = narrow.groupBy("recipe").agg(F.min("_id").alias("_keep")).select(F.col("recipe").alias("_recipe"), "_keep")
+    if narrow.agg((F.count("*") == F.count_distinct("_id")).alias("x")).first()["x"]:
+        keep = keep.select("_keep").hint("merge")
+        return docs.join(keep, docs[doc_id] == keep["_keep"], "left_semi")
+    recipe = C.in_frame("recipe", docs)
     full = recipes(docs, text, size)
     match = (full[recipe] == keep["_recipe"]) & full[doc_id].eqNullSafe(keep["_keep"])
-    found = full.join(keep, match, "left_semi")
-    ties = narrow.groupBy("_id", "recipe").count().filter("count > 1").isEmpty()
-    return (found if ties else found.dropDuplicates([doc_id, recipe])).select(*docs.columns)
+    return full.join(keep, match, "left_semi").dropDuplicates([doc_id, recipe]).select(*docs.columns)

@@ -152,7 +152,7 @@ WITH d AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT (4 * n_symbols > n_words OR 2 * n_dup_lines > n_lines OR upper > 2 * lower
+       NOT base_failed AND NOT (4 * n_symbols > n_words OR 2 * n_dup_lines > n_lines OR (upper > 2 * lower AND 4 * upper > word_chars)
          OR 2 * bangs > n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words) AS kept
 FROM b
 """

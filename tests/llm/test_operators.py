@@ -64,6 +64,8 @@ def test_exact_groups(docs, empty):
         ids = [m for m in members if m is not None]
         assert r.group_size == len(members) and r.keep_id == (min(ids) if ids else None)
     assert kept == len(groups)
+    few = exact.drop_duplicates(docs.filter("doc_id IN (5, 2, 9, 8)").dropDuplicates(["doc_id"]))
+    assert few.columns == docs.columns and rows_of(few, "doc_id") == [(2,), (8,)]
     once = exact.drop_duplicates(docs)
     assert once.columns == docs.columns and once.count() == len(groups)
     assert exact.duplicate_groups(empty).count() == 0 and exact.drop_duplicates(empty).count() == 0
@@ -366,7 +368,9 @@ def test_quality_order_never_changes_verdicts(docs, empty):
     rules = quality.default_rules()
     d = [quality.Document((t or "").encode()) for _, t, _ in ROWS]
     assert all(quality.passes(x, rules) == quality.passes(x, rules[::-1]) for x in d)
-    assert {r.name for r in quality.order_rules(docs, rules)} == {r.name for r in rules}
+    sample = quality.sampled(docs)
+    assert len(sample) == len([t for _, t, _ in ROWS if len(t or "") <= 20_000]) and len(quality.sampled(docs, rows=1)) <= 2
+    assert {r.name for r in quality.order_rules(sample, rules)} == {r.name for r in rules}
     assert quality.measured(docs).filter("kept AND base_failed").count() == 0
     out = quality.verdicts(docs)
     assert out.columns == [*docs.columns, "kept_1"] and out.count() == len(ROWS)
@@ -374,6 +378,38 @@ def test_quality_order_never_changes_verdicts(docs, empty):
     assert quality.measured(empty).count() == 0 and quality.filter_quality(empty).count() == 0
 
 
+def test_quality_cascade_stops_early_and_orders_by_what_is_left(spark):
+    now, ran = [0.0], []
+
+    def rule(name, cost, rejects):
+        def check(d):
+            ran.append(name)
+            if name not in d.__dict__:  # a feature: paid for once a document
+                now[0] += cost
+                d.__dict__[name] = True
+            return rejects(d.raw)
+
+        return quality.Rule(name, check)
+
+    texts = [bytes([65 + i % 10]) for i in range(100)]
+    # costly rejects most; cheap pays best; after it, overlap finds nothing more and rest is worth more than costly
+    rules = [rule("costly", 8.0, lambda x: x < b"F"), rule("overlap", 1.5, lambda x: x < b"D"), rule("cheap", 1.0, lambda x: x < b"D"), rule("rest", 1.0, lambda x: x > b"I")]
+    order = [r.name for r in quality.order_rules(texts, rules, lambda: now[0])]
+    assert order[0] == "cheap" and order.index("rest") < order.index("costly") < order.index("overlap")
+    ran.clear()
+    assert quality.judge(quality.Document(b"A"), [rules[2], rules[0]]) == (1, "cheap") and ran == ["cheap"]
+    rows = [(i, "word " * n) for i, n in enumerate([3, 80, 10, 200, 0])] + [(9, " ".join(f"w{i}" for i in range(90)))]
+    got = {r.doc_id: r for r in quality.verdicts(spark.createDataFrame(rows, "doc_id long, text string"), trace=True).collect()}
+    assert [i for i, r in got.items() if r.kept] == [9] and got[9].rules_run == 7 and got[9].rejected_by is None
+    assert all(r.rules_run < 7 and r.rejected_by for i, r in got.items() if i != 9)
+
+
+def test_capitals_of_few_latin_words_are_no_shouting():
+    russian = "Это обычный русский текст о двадцатом веке. " * 20 + "XX"
+    assert quality.passes(quality.Document(russian.encode()), [r for r in quality.default_rules() if r.name == "shouting"])
+    assert not quality.passes(quality.Document(b"BUY NOW CHEAP " * 30), [r for r in quality.default_rules() if r.name == "shouting"])
+
+
 # line windows
 
 
