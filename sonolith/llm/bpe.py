@@ -153,10 +153,13 @@ def merged_rows(pieces: list[bytes], size: int, pair: PairRanks) -> list[bytes]:
 
 
 class _Cache:
-    """Values by key in two generations of bounded size: what is still in use outlives a change of generation."""
+    """Values by key in two generations of bounded size: what is still in use outlives a change of generation.
 
-    def __init__(self, most: int):
-        self.most, self.new, self.old = most, {}, {}
+    Keys of over ``longest`` characters are not kept, so the number of entries bounds the memory.
+    """
+
+    def __init__(self, most: int, longest: int = 256):
+        self.most, self.longest, self.new, self.old = most, longest, {}, {}
 
     def take(self, keys: set, make) -> dict:
         """A value for each key; make gets those not held, as a list, and returns their values."""
@@ -173,7 +176,7 @@ class _Cache:
             found.update(zip(lacks, make(lacks), strict=True))
         if len(new) + len(found) > self.most:
             self.old, self.new = new, {}
-        self.new.update(found)
+        self.new.update((k, v) for k, v in found.items() if len(k) <= self.longest)
         return found
 
 

@@ -86,7 +86,8 @@ _LOOKALIKES = dict(
 )
 _VANISH = "­​‌‍⁠﻿"
 _DASHES = "‐‑‒–−"
-_STRANGE = re.compile(f"[{''.join(_LOOKALIKES)}{_VANISH}{_DASHES}！-～﹫。․٠-٩۰-۹०-९]")
+#: With the styled letters of mathematics and circles, and the decimal digits of every script.
+_STRANGE = re.compile(f"[{''.join(_LOOKALIKES)}{_VANISH}{_DASHES}！-～﹫。․Ⓐ-ⓩ\U0001d400-\U0001d7ff]|[^\\D0-9]")
 _DIGITS = {w: str(i) for i, w in enumerate(("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine"))}
 _NUMBER = "|".join(_DIGITS)
 # Spelled digits, also among real ones; runs without a spelled digit or of under 7 digits in all stay.

@@ -15,7 +15,7 @@ import zlib
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -62,13 +62,18 @@ def page_record(page_id: int | None, url: str | None, payload: bytes, sha256: st
     return _record(headers, http if refers_to is not None else http + payload)
 
 
-def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = 0, roll_bytes: int = ROLL_BYTES, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
+def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = 0, roll_bytes: int = ROLL_BYTES, date: str = "2024-01-01T00:00:00Z", shards: int | None = None) -> DataFrame:
     """Write one record per row in ascending page_id and return the manifest (file, records, bytes, sha256).
 
+    The manifest is written last, to ``manifest`` in the folder; read_manifest() finds it there. With ``shards`` file
+    boundaries don't depend on the session's number of partitions. page_id must be of an integer type.
+
     Of rows with equal payloads of least_bytes at least, the one with the smallest page_id becomes the response and the
     others revisit it; null ids come last there. Only ids and digests are grouped; they meet the pages again as rows of
     the same sort, so a page is shuffled once.
     """
+    if dict(pages.dtypes)[page_id] not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{page_id} must be of an integer type")
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html).cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("sha256", F.sha2("payload", 256))
     narrow = C.materialize(rows.filter(F.length("payload") >= least_bytes).select("page_id", "sha256"), "digests")
@@ -77,7 +82,9 @@ def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "u
     later = joined.filter("copies > 1 AND NOT page_id <=> first").select("page_id", "sha256", "first").distinct()
     refs = later.select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "sha256", F.lit(0).alias("kind"), "first")
     body = rows.withColumn("kind", F.lit(1)).withColumn("first", F.lit(None).cast("long"))
-    ordered = refs.unionByName(body).repartitionByRange("page_id", "sha256").sortWithinPartitions("page_id", "sha256", "kind", "url")
+    both, order = refs.unionByName(body), ("page_id", "sha256")
+    both = both.repartitionByRange(shards, *order) if shards else both.repartitionByRange(*order)
+    ordered = both.sortWithinPartitions("page_id", "sha256", "kind", "url")
 
     def run(batches):
         part, out, made, last, refers, copy = TaskContext.get().partitionId(), None, 0, None, None, 0
@@ -113,7 +120,13 @@ def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "u
         if out is not None:
             yield close()
 
-    return C.materialize(ordered.mapInArrow(run, "file string, records long, bytes long, sha256 string"), "warc-manifest")
+    ordered.mapInArrow(run, "file string, records long, bytes long, sha256 string").write.mode("overwrite").parquet(f"{folder}/manifest")
+    return read_manifest(pages.sparkSession, folder)
+
+
+def read_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """The manifest of an archive folder: only files that it names are part of the archive."""
+    return spark.read.schema("file string, records long, bytes long, sha256 string").parquet(f"{folder}/manifest")
 
 
 def members(stream, chunk: int = 1 << 20):
