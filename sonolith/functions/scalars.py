@@ -122,5 +122,10 @@ def positive_probability(z0: Column, z1: Column) -> Column:
     return 1 / (1 + F.exp(z0 - z1))
 
 
+def framed(*columns: Column) -> Column:
+    """All columns in one text that tells them apart: length:value each, - for null."""
+    return F.concat(*[F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-")) for c in columns])
+
+
 def fingerprint(*columns: Column) -> Column:
-    return F.concat(F.lit("sha256-"), F.substring(F.sha2(F.concat_ws("|", *columns), 256), 1, 12))
+    return F.concat(F.lit("sha256-"), F.substring(F.sha2(framed(*columns), 256), 1, 12))

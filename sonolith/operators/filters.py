@@ -71,3 +71,19 @@ def aliased(df: DataFrame, aliases: list[str], name: str) -> Column:
                 if c == a if exact else c.lower() == a.lower():
                     return F.col(c).alias(name)
     raise ValueError(f"none of {aliases} in {df.columns}")
+
+
+#: Names of spectrogram columns, of power and of decibels.
+POWER_ALIASES = ["P", "Sxx", "PSD", "psd", "power_spectrogram"]
+DB_ALIASES = ["PdB_norm", "power_db_norm", "PdB", "P_db"]
+OTHER_ALIASES = ["spectrogram", "PdB_norm", "power_db_norm", "PdB", "P_db", "P", "PSD", "psd", "Sxx", "S", "spec", "power_spectrogram"]
+
+
+def spectrum(df: DataFrame) -> list[Column]:
+    """(spectrum, spec_kind): a power column if df has one, whatever decibel columns it has, else any other as db."""
+    for aliases, kind in ((POWER_ALIASES, "power"), (DB_ALIASES, "db"), (OTHER_ALIASES, "db")):
+        try:
+            return [aliased(df, aliases, "spectrum"), F.lit(kind).alias("spec_kind")]
+        except ValueError:
+            continue
+    raise ValueError(f"no spectrogram column in {df.columns}")

@@ -105,34 +105,52 @@ def sample_slice(samples: Column, start: Column, end: Column, fs: Column) -> Col
 def window_samples(previous: Column, main: Column, following: Column, start: Column, end: Column, fs: Column) -> Column:
     """Samples of [start, end) relative to main, reaching into its neighbours; zeros where there is none.
 
-    Always int((end - start) * fs) long. Neighbours are null or of the same rate.
+    Offsets are cut towards zero to whole samples, each part by itself, and the whole is trimmed or padded with zeros to
+    int((end - start) * fs). Neighbours are null or of the same rate.
     """
-    n, size = F.floor((end - start) * fs).cast("int"), F.size(main)
-    a = F.floor(start * fs).cast("int")
-    b = a + n
+    frames = lambda seconds: (seconds * fs).cast("int")
     zero = lambda k: F.array_repeat(F.lit(0.0), F.greatest(F.lit(0), k))
-    need_before, need_after = F.greatest(F.lit(0), -a), F.greatest(F.lit(0), b - size)
-    tail = F.coalesce(previous, F.array().cast("array<double>"))
-    take = F.least(need_before, F.size(tail))
-    left = F.concat(zero(need_before - take), F.slice(tail, F.size(tail) - take + 1, take))
-    body = F.slice(main, F.greatest(F.lit(0), a) + 1, F.greatest(F.lit(0), F.least(size, b) - F.greatest(F.lit(0), a)))
-    head = F.coalesce(following, F.array().cast("array<double>"))
-    right = F.slice(head, F.lit(1), F.least(need_after, F.size(head)))
-    return F.slice(F.concat(left, body, right, zero(need_after - F.size(right))), F.lit(1), n)
-
-
-def uncovered(windows: DataFrame, calls: DataFrame, margin: float) -> DataFrame:
-    """Windows (clip_id, start, end) that no call, widened by margin, overlaps."""
+    none, size = F.array().cast("array<double>"), F.size(main)
+    length = size / fs
+    held = F.size(previous)
+    at = F.least(frames(F.greatest(F.lit(0.0), held / fs - F.abs(start))), held - 1)
+    left = F.when(previous.isNull(), zero(frames(F.abs(start)))).otherwise(F.slice(previous, F.greatest(F.lit(0), at) + 1, F.greatest(F.lit(0), held - at)))
+    a = F.greatest(F.lit(0), F.least(frames(F.greatest(F.lit(0.0), start)), size - 1))
+    body = F.slice(main, a + 1, F.greatest(F.lit(0), F.least(frames(F.least(length, end)) - a, size - a)))
+    after = frames(end - length)
+    right = F.when(following.isNull(), zero(after)).otherwise(F.slice(following, F.lit(1), F.greatest(F.lit(0), F.least(after, F.size(following)))))
+    whole = F.concat(F.when(start < 0, left).otherwise(none), body, F.when(end > length, right).otherwise(none))
+    n = frames(end - start)
+    return F.slice(F.concat(whole, zero(n - F.size(whole))), F.lit(1), F.greatest(F.lit(0), n))
+
+
+def _bucketed(df: DataFrame, start: str, end: str, width_s: float) -> DataFrame:
+    """A row for every time bucket that the interval meets."""
+    bucket = lambda c: F.floor(F.col(c) / width_s)
+    return df.withColumn("_bucket", F.explode(F.sequence(bucket(start), F.greatest(bucket(start), bucket(end)))))
+
+
+def uncovered(windows: DataFrame, calls: DataFrame, margin: float, width_s: float = 60.0) -> DataFrame:
+    """Windows (clip_id, start, end) that no call, widened by margin, overlaps. Both sides meet in time buckets."""
     c = calls.select("clip_id", (F.col("begin_s") - margin).alias("_s"), (F.col("end_s") + margin).alias("_e"))
-    return windows.join(c, (windows["clip_id"] == c["clip_id"]) & (c["_s"] < windows["end"]) & (c["_e"] > windows["start"]), "left_anti")
+    c = _bucketed(c, "_s", "_e", width_s).withColumnRenamed("clip_id", "_clip").withColumnRenamed("_bucket", "_at")
+    w = _bucketed(windows.select("clip_id", "start", "end"), "start", "end", width_s)
+    meets = (w["clip_id"] == c["_clip"]) & (w["_bucket"] == c["_at"]) & (c["_s"] < w["end"]) & (c["_e"] > w["start"])
+    covered = w.join(c, meets, "left_semi").select("clip_id", "start", "end").distinct()
+    return windows.join(covered, ["clip_id", "start", "end"], "left_anti").select(*windows.columns)
 
 
-def overlapping_pairs(windows: DataFrame, key: str, row: str, start: str, end: str, least_s: float) -> DataFrame:
-    """Pairs of rows of one key that overlap by over least_s seconds: (key, a, b, overlap_s)."""
-    a = windows.select(key, F.col(row).alias("a"), F.col(start).alias("s1"), F.col(end).alias("e1"))
-    b = windows.select(key, F.col(row).alias("b"), F.col(start).alias("s2"), F.col(end).alias("e2"))
-    overlap = F.least("e1", "e2") - F.greatest("s1", "s2")
-    return a.join(b, key).filter("a < b").select(key, "a", "b", overlap.alias("overlap_s")).filter(F.col("overlap_s") > least_s)
+def overlapping_pairs(windows: DataFrame, key: str, row: str, start: str, end: str, least_s: float, width_s: float = 60.0) -> DataFrame:
+    """Pairs of rows of one key that overlap by over least_s seconds: (key, a, b, overlap_s).
+
+    Rows meet in time buckets; a pair counts in the bucket in which its overlap begins.
+    """
+    w = _bucketed(windows.select(key, row, F.col(start).alias("s"), F.col(end).alias("e")), "s", "e", width_s)
+    a = w.select(key, "_bucket", F.col(row).alias("a"), F.col("s").alias("s1"), F.col("e").alias("e1"))
+    b = w.select(key, "_bucket", F.col(row).alias("b"), F.col("s").alias("s2"), F.col("e").alias("e2"))
+    begins = F.greatest("s1", "s2")
+    pairs = a.join(b, [key, "_bucket"]).filter((F.col("a") < F.col("b")) & (F.col("_bucket") == F.floor(begins / width_s)))
+    return pairs.select(key, "a", "b", (F.least("e1", "e2") - begins).alias("overlap_s")).filter(F.col("overlap_s") > least_s)
 
 
 def gaps_to_next(windows: DataFrame, key: str, start: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Rank and threshold metrics of scored samples, per model.
 
-Samples are grouped by score first; cumulative counts then take two levels, over a bounded number of score buckets
-and inside each, so no window holds a whole model.
+Samples are grouped by score first; cumulative counts then take two levels, over score buckets that hold about equally
+many distinct scores and inside each, so no window holds a whole model, however its scores crowd.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .ranking import prefix_counts, top_per_group
 
-BUCKETS = 1024
+BUCKETS = 256
 
 
 def with_outcome(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -39,7 +39,9 @@ def rates(counts: DataFrame) -> DataFrame:
 def curve(scored: DataFrame) -> DataFrame:
     """Per model and distinct score: pos and neg there, tp and fp at or above it, totals p and n."""
     g = scored.groupBy("model", "score").agg(F.count_if(F.col("y_true") == 1).alias("pos"), F.count_if(F.col("y_true") == 0).alias("neg"))
-    g = g.withColumn("_bucket", BUCKETS - F.greatest(F.lit(0), F.least(F.lit(BUCKETS), F.floor(F.col("score") * BUCKETS))))
+    shares = F.array(*[F.lit(i / BUCKETS) for i in range(1, BUCKETS)])
+    edges = g.groupBy("model").agg(F.percentile_approx("score", shares, F.lit(20 * BUCKETS)).alias("_edges"))
+    g = g.join(edges, "model").withColumn("_bucket", F.size(F.filter("_edges", lambda x: x > F.col("score")))).drop("_edges")
     before = prefix_counts(g, ["model"], "_bucket", {"pos": F.col("pos"), "neg": F.col("neg")}).select("model", "_bucket", "pos_before", "neg_before")
     w = Window.partitionBy("model", "_bucket").orderBy(F.desc("score"))
     totals = g.groupBy("model").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))

@@ -9,11 +9,12 @@ from ..functions import scalars as S
 from .tiling import even_starts
 
 
-def dataset_report(spectra: DataFrame, calls: DataFrame) -> DataFrame:
-    """One row: calls, spectrograms by kind, clips, devices and dates."""
+def dataset_report(spectra: DataFrame, calls: DataFrame, failed: DataFrame) -> DataFrame:
+    """One row: calls, spectrograms by kind (negative where the id contains _neg_), failures, clips, devices, dates."""
     a = calls.agg(F.count("*").alias("calls"), F.count_distinct("clip_id").alias("clips"), F.count_distinct("device_code").alias("devices"), F.min("call_ts").alias("first"), F.max("call_ts").alias("last"))
-    b = spectra.agg(F.count("*").alias("spectrograms"), F.count_if(F.col("kind") == "positive").alias("positives"), F.count_if(F.col("kind") == "negative").alias("negatives"))
-    return a.crossJoin(b)  # one row each
+    negative = F.contains("spec_id", F.lit("_neg_"))
+    b = spectra.agg(F.count("*").alias("spectrograms"), F.count_if(~negative).alias("positives"), F.count_if(negative).alias("negatives"))
+    return a.crossJoin(b).crossJoin(failed.agg(F.count("*").alias("failed")))  # one row each
 
 
 def field_profile(df: DataFrame, sizes: dict[str, Column]) -> DataFrame:
@@ -53,18 +54,41 @@ def normal_share(packed: DataFrame) -> DataFrame:
     return g.withColumn("anomalous", F.col("total") - F.col("normal")).withColumn("percent", 100 * F.col("normal") / F.col("total"))
 
 
-def consistency(chunks: DataFrame, crop: int, total: str = "total") -> DataFrame:
-    """Per source of a window catalogue: faults of shape, coverage, bounds and expected starts.
+def consistency(chunks: DataFrame, crop: int, window_s: float, overlap: float, tolerance: float = 1e-3) -> DataFrame:
+    """Per source of a window catalogue: faults of shape, frequency bins, time bounds, timing and starts.
 
-    chunks has source, total, start, rows, cols.
+    chunks has source, total (frames), freq (rows of the original), rows, cols, start (frame), t_start, t_end (seconds).
+    Timing is held against start * hop + offset, where hop and offset are upper medians of what the source's own windows
+    say, the nominal hop and 0 without any. start_faults are starts missing or not expected.
     """
-    g = chunks.groupBy("source").agg(
-        F.max(total).alias("total"), F.array_sort(F.collect_set("start")).alias("starts"), F.count("*").alias("windows"),
+    nominal = window_s * (1.0 - overlap)
+    upper = lambda x: F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {x} DESC)")
+    c = chunks.withColumn("bins", F.least(F.lit(crop), F.col("total") - F.col("start")))
+    timed = F.col("t_start").isNotNull() & F.col("t_end").isNotNull()
+    hop = (F.col("t_end") - F.col("t_start") - window_s) / (F.col("bins") - 1)
+    c = c.withColumn("own_hop", F.when(timed & (F.col("bins") > 1) & (hop > 0), hop))
+    c = c.join(c.groupBy("source").agg(F.coalesce(upper("own_hop"), F.lit(nominal)).alias("hop")), "source")
+    c = c.withColumn("own_offset", F.when(F.col("t_start").isNotNull() & (F.col("start") != 0), F.col("t_start") - F.col("start") * F.col("hop")))
+    c = c.join(c.groupBy("source").agg(F.coalesce(upper("own_offset"), F.lit(0.0)).alias("offset")), "source")
+    begin = F.greatest(F.lit(0.0), F.col("start") * F.col("hop") + F.col("offset"))
+    end = begin + (F.col("bins") - 1) * F.col("hop") + window_s
+    off = lambda x, want: F.count_if(timed & (F.abs(F.col(x) - want) > tolerance))
+    g = c.groupBy("source").agg(
+        F.max("total").alias("total"), F.array_sort(F.collect_set("start")).alias("starts"), F.count("*").alias("windows"),
         F.count_if((F.col("rows") != crop) | (F.col("cols") != crop)).alias("shape_faults"),
-        F.count_if((F.col("start") < 0) | (F.col("start") + F.col("cols") > F.greatest(F.col(total), F.lit(crop)))).alias("bound_faults"),
+        F.count_if(F.col("freq") != crop).alias("freq_faults"),
+        F.count_if(timed & (F.col("t_end") > window_s + (F.col("total") - 1) * nominal + tolerance)).alias("bound_faults"),
+        (off("t_start", begin) + off("t_end", end)).alias("timing_faults"),
     )
     expected = even_starts(F.col("total"), F.lit(crop))
-    return g.select("source", "windows", "shape_faults", "bound_faults", (F.size(F.array_except(expected, "starts")) + F.size(F.array_except("starts", expected))).alias("start_faults"))
+    starts = F.size(F.array_except(expected, "starts")) + F.size(F.array_except("starts", expected))
+    return g.select("source", "windows", "shape_faults", "freq_faults", "bound_faults", "timing_faults", starts.alias("start_faults"))
+
+
+def consistency_totals(faults: DataFrame) -> DataFrame:
+    """One row: sources, windows, faults of each kind, and sources whose starts aren't those expected."""
+    sums = [F.sum(c).alias(c) for c in ("windows", "shape_faults", "freq_faults", "bound_faults", "timing_faults")]
+    return faults.agg(F.count("*").alias("sources"), *sums, F.count_if(F.col("start_faults") > 0).alias("sources_off"))
 
 
 def upper_median(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
@@ -104,6 +128,6 @@ def parameter_drift(params: DataFrame, one: str, other: str) -> DataFrame:
     return a.join(b, "param").filter("a <> b")
 
 
-def failures(results: DataFrame) -> DataFrame:
-    """Rows of a stage that kept an error instead of a result: call_id, clip_id, reason."""
-    return results.filter(F.col("error").isNotNull()).select("call_id", "clip_id", F.col("error").alias("reason"))
+def failures(results: DataFrame, key: str = "call_id") -> DataFrame:
+    """Rows of a stage that kept an error instead of a result (as load_clips does): the key, clip_id, reason."""
+    return results.filter(F.col("error").isNotNull()).select(*dict.fromkeys([key, "clip_id"]), F.col("error").alias("reason"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 
 def hash_key(seed: str, *keys: Column) -> Column:
     """md5(seed|key): an order that looks random and is the same in every run and engine."""
@@ -40,3 +42,23 @@ def global_rank(df: DataFrame, by: list[str], key: str, name: str = "rank", digi
     w = Window.partitionBy(*by, "_bucket").orderBy(key)
     ranked = rows.withColumn("_in", F.row_number().over(w)).join(before, [*by, "_bucket"])
     return ranked.withColumn(name, F.col("_in") + F.col("n_before")).drop("_bucket", "_in", "n_before")
+
+
+def sorted_places(df: DataFrame, order: list, name: str = "place") -> DataFrame:
+    """df with the place of each row, from 1, in a global sort.
+
+    The sort deals rows to partitions in order; a row's place is its place there plus the rows of the partitions before.
+    """
+    rows = df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id())
+    rows = rows.withColumn("_part", F.shiftright("_id", 33)).withColumn("_in", F.col("_id").bitwiseAND((1 << 33) - 1)).drop("_id")
+    rows = materialize(rows, "sorted")
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("n"))  # one row per partition
+    before = F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    return rows.join(sizes, "_part").withColumn(name, F.col("_in") + F.col("_before") + 1).drop("_part", "_in", "_before")
+
+
+def numbered(df: DataFrame, by: str, order: list, form: str, name: str) -> DataFrame:
+    """df with ids of a form such as %s_neg_%d: the source and the row's number in it, from 0."""
+    n = F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1
+    return df.withColumn(name, F.format_string(form, F.col(by), n))

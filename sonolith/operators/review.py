@@ -23,12 +23,15 @@ def with_metadata(scores: DataFrame, catalogue: DataFrame, key: str = "file_id")
 
 
 def upsert_labels(predictions: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(predictions with the latest label per id, updates of unknown ids). updates: file_id, label, reviewer, at."""
+    """(predictions with the latest update per id, updates of unknown ids). updates: file_id, label, reviewer, at.
+
+    An update sets label, reviewer and time together; predictions without one keep all three.
+    """
     latest = updates.groupBy("file_id").agg(F.max_by(F.struct("label", "reviewer", "at"), F.struct("at", "label")).alias("_u"))
     out = predictions.join(latest, "file_id", "left")
-    out = out.withColumn("expert_label", F.when(F.col("_u").isNotNull(), F.col("_u.label")).otherwise(F.col("expert_label")))
-    out = out.withColumn("expert_reviewer", F.col("_u.reviewer")).withColumn("review_timestamp", F.col("_u.at")).drop("_u")
-    return out, updates.join(predictions, "file_id", "left_anti")
+    for column, field in (("expert_label", "label"), ("expert_reviewer", "reviewer"), ("review_timestamp", "at")):
+        out = out.withColumn(column, F.when(F.col("_u").isNotNull(), F.col("_u")[field]).otherwise(F.col(column)))
+    return out.drop("_u"), updates.join(predictions, "file_id", "left_anti")
 
 
 def number_rounds(verifications: DataFrame, existing: Column, item: str = "item_id", at: str = "verified_at") -> DataFrame:
@@ -38,14 +41,23 @@ def number_rounds(verifications: DataFrame, existing: Column, item: str = "item_
 
 
 def append_verifications(items: DataFrame, verifications: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(item_id, verifications as an array by round, for known items; verifications of unknown ids)."""
+    """(items with the new rounds after those that they had, verifications of unknown ids).
+
+    verifications has item_id and columns named as the fields of an item's entries; fields that it lacks become null, and
+    verification_round is counted on. Items without new rounds stay as they are.
+    """
+    entries = items.schema["verifications"].dataType.elementType
     known = verifications.join(items.select("item_id"), "item_id", "left_semi")
     had = items.select("item_id", F.coalesce(F.array_size("verifications"), F.lit(0)).alias("_had"))
     w = Window.partitionBy("item_id").orderBy("verified_at", "verified_by")
     new = known.join(had, "item_id").withColumn("verification_round", F.row_number().over(w) + F.col("_had"))
-    entry = F.struct("verification_round", "verified_at", "verified_by", "label")
-    new = new.groupBy("item_id").agg(F.array_sort(F.collect_list(entry)).alias("added"))
-    return new, verifications.join(items.select("item_id"), "item_id", "left_anti")
+    fields = [(F.col(f.name) if f.name in new.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in entries.fields]
+    order = F.array_sort(F.collect_list(F.struct(F.col("verification_round").alias("_n"), F.struct(*fields).alias("_entry"))))
+    added = new.groupBy("item_id").agg(order.alias("_added"))
+    out = items.join(added, "item_id", "left")
+    more = F.concat(F.coalesce("verifications", F.array().cast(items.schema["verifications"].dataType)), F.transform("_added", lambda x: x["_entry"]))
+    out = out.withColumn("verifications", F.when(F.col("_added").isNull(), F.col("verifications")).otherwise(more)).drop("_added")
+    return out.select(*items.columns), verifications.join(items.select("item_id"), "item_id", "left_anti")
 
 
 def summary_v1(predictions: DataFrame) -> DataFrame:

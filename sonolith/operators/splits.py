@@ -63,10 +63,16 @@ def leaked_sources(entries: DataFrame) -> DataFrame:
 
 
 def gap_violations(entries: DataFrame, gap: float) -> DataFrame:
-    """Pairs of one source in different splits whose centres are closer than gap."""
-    c = entries.select("src_id", "spec_id", "split", ((F.col("begin_s") + F.col("end_s")) / 2).alias("c"))
-    b = c.select("src_id", F.col("spec_id").alias("other"), F.col("split").alias("split2"), F.col("c").alias("c2"))
-    return c.join(b, "src_id").filter((F.col("spec_id") < F.col("other")) & (F.col("split") != F.col("split2")) & (F.abs(F.col("c") - F.col("c2")) < gap)).select("src_id", "spec_id", "other")
+    """Pairs of one source in different splits whose centres are closer than gap.
+
+    Centres fall in buckets as wide as the gap, so a pair lies in one bucket or in two that touch.
+    """
+    c = entries.select("src_id", "spec_id", "split", ((F.col("begin_s") + F.col("end_s")) / 2).alias("c")).filter("c IS NOT NULL")
+    bucket = F.floor(F.col("c") / gap)
+    a = c.withColumn("_bucket", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
+    b = c.select("src_id", F.col("spec_id").alias("other"), F.col("split").alias("split2"), F.col("c").alias("c2"), bucket.alias("_bucket"))
+    close = (F.col("spec_id") < F.col("other")) & (F.col("split") != F.col("split2")) & (F.abs(F.col("c") - F.col("c2")) < gap)
+    return a.join(b, ["src_id", "_bucket"]).filter(close).select("src_id", "spec_id", "other")
 
 
 def balanced_draws(entries: DataFrame, draws: int | None = None, seed: str = "draw") -> DataFrame:

@@ -213,12 +213,22 @@ def _(t):
     return renamed.select("file_id", O.aliased(renamed, ["score", "CONFIDENCE", "p"], "score"))
 
 
-@query("ord_1_call_order", "calls", "SELECT call_id, row_number() OVER (PARTITION BY device_code, call_ts::DATE ORDER BY clip_id, begin_s, call_id) AS place FROM calls")
+@query("flt_14_spectrum_kind", "", """SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN 'power' ELSE 'db' END AS spec_kind,
+CASE WHEN vec_id % 3 = 0 THEN embedding[1] * 2 ELSE embedding[1] END::DOUBLE AS first FROM embeddings""")
 def _(t):
-    from pyspark.sql import Window
+    """Three layouts: power beside decibels, decibels in another case, and a name that says neither."""
+    e = t["embeddings"].select("vec_id", "embedding")
+    both = e.filter("vec_id % 3 = 0").select("vec_id", F.col("embedding").alias("PdB"), F.transform("embedding", lambda x: x * 2).alias("sxx"))
+    parts = [both, e.filter("vec_id % 3 = 1").withColumnRenamed("embedding", "pdb_NORM"), e.filter("vec_id % 3 = 2").withColumnRenamed("embedding", "Spec")]
+    one = [p.select("vec_id", *O.spectrum(p)) for p in parts]
+    return one[0].unionByName(one[1]).unionByName(one[2]).select("vec_id", "spec_kind", F.get("spectrum", F.lit(0)).cast("double").alias("first"))
 
-    w = Window.partitionBy("device_code", F.to_date("call_ts")).orderBy("clip_id", "begin_s", "call_id")
-    return t.calls.orderBy("call_ts", "clip_id", "begin_s").select("call_id", F.row_number().over(w).cast("long").alias("place"))
+
+@query("ord_1_call_order", "calls", "SELECT call_id, row_number() OVER (ORDER BY call_ts, clip_id, begin_s, call_id) AS place FROM calls")
+def _(t):
+    from ..operators.ranking import sorted_places
+
+    return sorted_places(t.calls.select("call_id", "call_ts", "clip_id", "begin_s"), ["call_ts", "clip_id", "begin_s", "call_id"]).select("call_id", "place")
 
 
 @query("ord_2_first_rows", "calls", "SELECT call_id, clip_id FROM calls ORDER BY call_ts, clip_id, begin_s, call_id LIMIT 25")

@@ -9,6 +9,7 @@ from ..operators import filters as O
 from ..operators import intervals as I
 from ..operators import splits as P
 from ..operators import tiling as T
+from ..operators.ranking import numbered
 from .views import query
 
 _ISLANDS = """m AS (SELECT clip_id, greatest(0.0::DOUBLE, begin_s - 2) AS s, least(3600.0::DOUBLE, end_s + 2) AS e FROM calls),
@@ -212,13 +213,24 @@ def _(t):
     return _signals(t).select("vec_id", F.size(y).alias("n"), F.element_at(y, 1).alias("first"), F.element_at(y, -1).alias("last"))
 
 
-@query("arr_6_window_samples", "", f"""WITH {_SIGNALS}, n AS (SELECT a.vec_id, list_concat(coalesce(b.x, list_transform(range(64), lambda i: 0.0::DOUBLE)), a.x, coalesce(c.x, list_transform(range(64), lambda i: 0.0::DOUBLE))) AS y, (a.vec_id % 80) - 20 AS s
-FROM sig a LEFT JOIN sig b ON b.vec_id = a.vec_id - 1 AND a.vec_id % 5 > 0 LEFT JOIN sig c ON c.vec_id = a.vec_id + 1 AND a.vec_id % 5 < 4)
-SELECT vec_id, i::INT AS i, y[64 + s + i + 1] AS x FROM n, (SELECT unnest(range(24)) AS i)""")
+@query("arr_6_window_samples", "", f"""WITH {_SIGNALS}, n AS (SELECT a.vec_id, a.x, b.x AS p, c.x AS f, (a.vec_id % 80) - 20 + (a.vec_id % 4) * 0.25::DOUBLE AS s
+FROM sig a LEFT JOIN sig b ON b.vec_id = a.vec_id - 1 AND a.vec_id % 5 > 0 LEFT JOIN sig c ON c.vec_id = a.vec_id + 1 AND a.vec_id % 5 < 4),
+m AS (SELECT *, least(trunc(greatest(0, s)), 63)::INT AS a, trunc(least(64, s + 24))::INT AS e FROM n),
+y AS (SELECT vec_id, list_concat(
+  CASE WHEN s >= 0 THEN [] WHEN p IS NULL THEN list_transform(range(trunc(-s)::INT), lambda i: 0.0::DOUBLE) ELSE p[trunc(64 + s)::INT + 1:64] END,
+  CASE WHEN e > a THEN x[a + 1:e] ELSE [] END,
+  CASE WHEN s + 24 <= 64 THEN [] WHEN f IS NULL THEN list_transform(range(trunc(s - 40)::INT), lambda i: 0.0::DOUBLE) ELSE f[1:trunc(s - 40)::INT] END) AS y FROM m)
+SELECT vec_id, i::INT AS i, coalesce(y[i + 1], 0) AS x FROM y, (SELECT unnest(range(24)) AS i)""")
 def _(t):
+    """Windows that begin at a quarter of a sample, before, inside or behind a recording, with neighbours or without."""
     x = _signals(t).select("vec_id", "samples")
     other = lambda d, name, when: x.select((F.col("vec_id") + d).alias("vec_id"), F.col("samples").alias(name)).filter(when)
     j = x.join(other(1, "previous", "vec_id % 5 > 0"), "vec_id", "left").join(other(-1, "following", "vec_id % 5 < 4"), "vec_id", "left")
-    s = F.col("vec_id") % 80 - 20
+    s = F.col("vec_id") % 80 - 20 + (F.col("vec_id") % 4) * F.lit(0.25)
     y = I.window_samples(F.col("previous"), F.col("samples"), F.col("following"), s / F.lit(64.0), (s + 24) / F.lit(64.0), F.lit(64))
     return j.select("vec_id", F.posexplode(y).alias("i", "x"))
+
+
+@query("win_3_ordinals", "calls", """SELECT call_id, clip_id || '_neg_' || (row_number() OVER (PARTITION BY clip_id ORDER BY begin_s, call_id) - 1)::VARCHAR AS window_id FROM calls""")
+def _(t):
+    return numbered(t.calls, "clip_id", ["begin_s", "call_id"], "%s_neg_%d", "window_id").select("call_id", "window_id")

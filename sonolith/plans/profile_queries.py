@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -20,14 +21,22 @@ _HYDRO = "coalesce(nullif(regexp_extract(source, 'IC[A-Z0-9]+'), ''), nullif(reg
 _TS = "yyyy-MM-dd HH:mm:ss"
 
 
-def _kinds(t):
-    return t.calls.select("call_id", F.when(F.col("call_type") == "view", "negative").otherwise("positive").alias("kind"))
+def _spectra(t):
+    """Ids of spectra: those of views are numbered negatives."""
+    return t.calls.select(F.concat("clip_id", F.when(F.col("call_type") == "view", "_neg_").otherwise("_"), F.col("call_id").cast("string")).alias("spec_id"))
+
+
+def _failed(t):
+    return P.failures(t.calls.withColumn("error", F.when(F.col("end_s") - F.col("begin_s") > 30, "longer than 30 s")))
+
+
+_FAILED = "count(*) FILTER (WHERE end_s - begin_s > 30)"
 
 
 @query("agg_2_dataset_report", "calls", """SELECT count(*) AS calls, count(DISTINCT clip_id) AS clips, count(DISTINCT device_code) AS devices, strftime(min(call_ts), '%Y-%m-%d %H:%M:%S') AS first, strftime(max(call_ts), '%Y-%m-%d %H:%M:%S') AS last,
-count(*) AS spectrograms, count(*) FILTER (WHERE call_type <> 'view') AS positives, count(*) FILTER (WHERE call_type = 'view') AS negatives FROM calls""")
+count(*) AS spectrograms, count(*) FILTER (WHERE call_type <> 'view') AS positives, count(*) FILTER (WHERE call_type = 'view') AS negatives, """ + _FAILED + """ AS failed FROM calls""")
 def _(t):
-    r = P.dataset_report(_kinds(t), t.calls)
+    r = P.dataset_report(_spectra(t), t.calls, _failed(t))
     return r.withColumn("first", F.date_format("first", _TS)).withColumn("last", F.date_format("last", _TS))
 
 
@@ -65,10 +74,10 @@ def _(t):
     return P.normal_share(t.packed)
 
 
-@query("agg_20_failures", "calls", "SELECT call_id, clip_id, 'longer than 30 s' AS reason FROM calls WHERE end_s - begin_s > 30")
+@query("agg_20_failures", "", "SELECT label::VARCHAR || '_' || vec_id::VARCHAR || '.wav' AS clip_id, 'file does not start with RIFF id' AS reason FROM embeddings WHERE vec_id % 10 = 0")
 def _(t):
-    error = F.when(F.col("end_s") - F.col("begin_s") > 30, "longer than 30 s")
-    return P.failures(t.calls.withColumn("error", error))
+    """Every tenth recording is junk; reading them all keeps the reason and goes on."""
+    return P.failures(C.load_clips(t.spark, _written_clips(t, junk=True)), "clip_id")
 
 
 _CHUNKS = """k AS (SELECT doc_id AS source, n_chars % 2000 + 1 AS total FROM documents),
@@ -76,17 +85,42 @@ e AS (SELECT source, total, i, CASE WHEN total > 96 THEN round_even(i * ((total
 
 
 def _chunks(t):
-    """Window catalogue with faults: windows cut short, moved, and of a wrong shape."""
+    """Window catalogue with faults: windows cut short, moved, of a wrong shape, mistimed or beyond the end."""
     total = (F.col("n_chars") % 2000 + 1).cast("int")
     c = t["documents"].select(F.col("doc_id").alias("source"), total.alias("total"), F.posexplode(even_starts(total, F.lit(96))).alias("i", "start"))
+    t_start = F.col("start") * 0.1 + F.when(F.col("source") % 3 == 0, 0.5).otherwise(0.0)
+    c = c.withColumn("t_start", t_start + F.when((F.col("source") % 11 == 0) & (F.col("i") == 1), 0.05).otherwise(0.0))
+    c = c.withColumn("t_end", t_start + (F.least(F.lit(96), F.col("total") - F.col("start")) - 1) * 0.1 + 1.0 + F.when((F.col("source") % 13 == 0) & (F.col("i") == 2), 300.0).otherwise(0.0))
+    c = c.withColumn("t_end", F.when(F.col("source") % 17 > 0, F.col("t_end")))
     c = c.withColumn("start", F.when((F.col("source") % 7 == 0) & (F.col("i") == 1), F.col("start") + 1).otherwise(F.col("start")))
-    return c.withColumn("rows", F.lit(96)).withColumn("cols", F.when(F.col("source") % 5 == 0, 95).otherwise(96))
+    shape = [F.lit(96).alias("rows"), F.when(F.col("source") % 5 == 0, 95).otherwise(96).alias("cols"), F.when(F.col("source") % 19 == 0, 97).otherwise(96).alias("freq")]
+    return c.select("*", *shape)
+
+
+_FAULTS = f"""{_CHUNKS}, f AS (SELECT source, total, i, start, CASE WHEN source % 7 = 0 AND i = 1 THEN start + 1 ELSE start END AS seen, CASE WHEN source % 5 = 0 THEN 95 ELSE 96 END AS cols,
+CASE WHEN source % 19 = 0 THEN 97 ELSE 96 END AS freq, start * 0.1::DOUBLE + CASE WHEN source % 3 = 0 THEN 0.5::DOUBLE ELSE 0 END AS t0 FROM e),
+t AS (SELECT *, least(96, total - seen) AS bins, t0 + CASE WHEN source % 11 = 0 AND i = 1 THEN 0.05::DOUBLE ELSE 0 END AS ts,
+CASE WHEN source % 17 > 0 THEN t0 + (least(96, total - start) - 1) * 0.1::DOUBLE + 1.0::DOUBLE + CASE WHEN source % 13 = 0 AND i = 2 THEN 300.0::DOUBLE ELSE 0 END END AS te FROM f),
+h0 AS (SELECT source, list_sort(list((te - ts - 1.0::DOUBLE) / (bins - 1)) FILTER (WHERE te IS NOT NULL AND bins > 1 AND te - ts - 1 > 0)) AS l FROM t GROUP BY source),
+h AS (SELECT source, coalesce(l[len(l) // 2 + 1], 1.0::DOUBLE * (1.0::DOUBLE - 0.9::DOUBLE)) AS hop FROM h0),
+o0 AS (SELECT source, any_value(hop) AS hop, list_sort(list(ts - seen * hop) FILTER (WHERE seen <> 0)) AS l FROM t JOIN h USING (source) GROUP BY source),
+o AS (SELECT source, hop, coalesce(l[len(l) // 2 + 1], 0) AS off FROM o0),
+w AS (SELECT *, greatest(0, seen * hop + off) AS want FROM t JOIN o USING (source)),
+r AS (SELECT source, count(*) AS windows, count(*) FILTER (WHERE cols <> 96) AS shape_faults, count(*) FILTER (WHERE freq <> 96) AS freq_faults,
+count(*) FILTER (WHERE te > 1.0::DOUBLE + (total - 1) * (1.0::DOUBLE * (1.0::DOUBLE - 0.9::DOUBLE)) + 0.001::DOUBLE) AS bound_faults,
+count(*) FILTER (WHERE te IS NOT NULL AND abs(ts - want) > 0.001::DOUBLE) + count(*) FILTER (WHERE abs(te - (want + (bins - 1) * hop + 1.0::DOUBLE)) > 0.001::DOUBLE) AS timing_faults,
+(2 * count(*) FILTER (WHERE seen <> start))::INT AS start_faults FROM w GROUP BY source)"""
+
+
+@query("agg_24_catalogue_consistency", "", f"WITH {_FAULTS} SELECT * FROM r")
+def _(t):
+    return P.consistency(_chunks(t), 96, 1.0, 0.9)
 
 
-@query("agg_24_catalogue_consistency", "", f"""WITH {_CHUNKS}, f AS (SELECT source, total, i, start, CASE WHEN source % 7 = 0 AND i = 1 THEN start + 1 ELSE start END AS seen, CASE WHEN source % 5 = 0 THEN 95 ELSE 96 END AS cols FROM e)
-SELECT source, count(*) AS windows, count(*) FILTER (WHERE cols <> 96) AS shape_faults, count(*) FILTER (WHERE seen + cols > greatest(total, 96)) AS bound_faults, (2 * count(*) FILTER (WHERE seen <> start))::INT AS start_faults FROM f GROUP BY source""")
+@query("agg_24_catalogue_totals", "", f"""WITH {_FAULTS} SELECT count(*) AS sources, sum(windows)::BIGINT AS windows, sum(shape_faults)::BIGINT AS shape_faults, sum(freq_faults)::BIGINT AS freq_faults,
+sum(bound_faults)::BIGINT AS bound_faults, sum(timing_faults)::BIGINT AS timing_faults, count(*) FILTER (WHERE start_faults > 0) AS sources_off FROM r""")
 def _(t):
-    return P.consistency(_chunks(t), 96)
+    return P.consistency_totals(P.consistency(_chunks(t), 96, 1.0, 0.9))
 
 
 @query("agg_25_upper_median", "calls", "SELECT device_code, sorted[len(sorted) // 2 + 1] AS median FROM (SELECT device_code, list_sort(list(end_s - begin_s)) AS sorted FROM calls GROUP BY device_code)")
@@ -148,58 +182,106 @@ def _(t):
     return c.select("call_type", "clip_id", "device_code", "begin_s", "end_s", F.date_format("call_ts", _TS).alias("stamp"))
 
 
-@query("src_2_clips", "", "SELECT label::VARCHAR || '_' || vec_id::VARCHAR || '.wav' AS clip_id, 64 AS fs, 64::BIGINT AS n_samples FROM embeddings")
-def _(t):
-    """Recordings that the tasks write as WAV files in the shared folder, then read as clips."""
-    folder = scratch(t.spark, "clips")
-    e = t["embeddings"].select(F.concat(F.col("label").cast("string"), F.lit("_"), F.col("vec_id").cast("string"), F.lit(".wav")).alias("name"), "embedding")
+def _written(frame, folder, name, content):
+    """Write a file for each row in the shared folder, by tasks: the columns of its name and content."""
 
     def write(batches):
-        import io
-        import wave
-
-        import numpy as np
         import pandas as pd
         from pyarrow import fs
 
+        where, root = fs.FileSystem.from_uri(folder)
         for batch in batches:
-            for name, x in zip(batch["name"], batch["embedding"], strict=True):
-                buffer = io.BytesIO()
-                with wave.open(buffer, "wb") as w:
-                    w.setnchannels(1)
-                    w.setsampwidth(2)
-                    w.setframerate(64)
-                    w.writeframes((np.clip(np.asarray(x), -1, 0.999) * 32767).astype("<i2").tobytes())
-                where, root = fs.FileSystem.from_uri(folder)
-                where.create_dir(root, recursive=True)
-                with where.open_output_stream(f"{root}/{name}") as f:
-                    f.write(buffer.getvalue())
+            for path, data in zip(batch[name], batch[content], strict=True):
+                where.create_dir(f"{root}/{path}".rpartition("/")[0], recursive=True)
+                with where.open_output_stream(f"{root}/{path}") as f:
+                    f.write(bytes(data))
             yield pd.DataFrame({"n": [len(batch)]})
 
-    e.mapInPandas(write, "n int").agg(F.sum("n")).first()
-    return C.load_clips(t.spark, folder).select("clip_id", "fs", "n_samples")
+    frame.select(name, content).mapInPandas(write, "n int").agg(F.sum("n")).first()
+    return folder
+
+
+def _written_clips(t, junk=False):
+    """A folder of WAV files of 8, 16, 24 and 32 bits a sample; with ``junk`` every tenth is no WAV file."""
+
+    @F.pandas_udf("binary")
+    def packed(width: pd.Series, samples: pd.Series) -> pd.Series:
+        import io
+        import wave
+
+        import numpy as np
+
+        def one(size, x):
+            if not size:
+                return b"junk" * 20
+            top = (1 << (8 * size - 1)) - 1
+            x = (np.clip(np.asarray(x, float), -1, 0.999) * top).astype("<i8") + (128 if size == 1 else 0)
+            buffer = io.BytesIO()
+            with wave.open(buffer, "wb") as w:
+                w.setnchannels(1)
+                w.setsampwidth(size)
+                w.setframerate(64)
+                w.writeframes(x.view(np.uint8).reshape(-1, 8)[:, :size].tobytes())
+            return buffer.getvalue()
+
+        return pd.Series([one(w, x) for w, x in zip(width, samples, strict=True)])
+
+    width = (F.col("vec_id") % 4 + 1).cast("int")
+    width = F.when(F.col("vec_id") % 10 == 0, 0).otherwise(width) if junk else width
+    name = F.concat(F.col("label").cast("string"), F.lit("_"), F.col("vec_id").cast("string"), F.lit(".wav"))
+    e = t["embeddings"].select(name.alias("name"), packed(width, F.col("embedding")).alias("content"))
+    return _written(e, scratch(t.spark, "clips"), "name", "content")
+
+
+@query("src_2_clips", "", """WITH s AS (SELECT vec_id, label, vec_id % 4 + 1 AS width, i, greatest(-1, least(0.999::DOUBLE, embedding[i + 1]::DOUBLE)) AS x FROM embeddings, (SELECT unnest(range(64)) AS i))
+SELECT label::VARCHAR || '_' || vec_id::VARCHAR || '.wav' AS clip_id, 64 AS fs, 64::BIGINT AS n_samples, i::INT AS i,
+       trunc(x * ((1::BIGINT << (8 * width - 1)) - 1)) / (1::BIGINT << (8 * width - 1)) AS x FROM s""")
+def _(t):
+    """Recordings of four sample widths that the tasks write in the shared folder, then read as clips, every sample."""
+    c = C.load_clips(t.spark, _written_clips(t)).filter("error IS NULL")
+    return c.select("clip_id", "fs", "n_samples", F.posexplode("samples").alias("i", "x"))
 
 
-@query("src_3_labelled_index", "calls", r"SELECT stem || '_' || printf('%.1f', begin_s) || 's_' || printf('%.1f', end_s) || 's.mat' AS name, stem AS src, (call_type = 'purchase')::INT AS label FROM (SELECT *, replace(clip_id, '.wav', '') AS stem FROM calls)")
+@query("src_3_labelled_index", "calls", r"""WITH n AS (SELECT replace(clip_id, '.wav', '') AS src, (call_type = 'purchase')::INT AS label, min(begin_s) AS b, max(end_s) AS e, count(*) AS k FROM calls GROUP BY ALL)
+SELECT src || '_' || printf('%.1f', b) || 's_' || printf('%.1f', e) || CASE WHEN k % 2 = 0 THEN 's.mat' ELSE 's.MAT' END AS name, src, printf('%.1f', b)::DOUBLE AS start_s, printf('%.1f', e)::DOUBLE AS second_s, label FROM n""")
 def _(t):
+    """Two folders of spectra, one per clip and class, beside files that are none."""
     stem = F.replace("clip_id", F.lit(".wav"), F.lit(""))
-    files = t.calls.select(F.format_string("%s_%.1fs_%.1fs.mat", stem, "begin_s", "end_s").alias("name"), (F.col("call_type") == "purchase").cast("int").alias("label"))
-    return C.labelled_names(files).select("name", "src", "label")
+    n = t.calls.groupBy(stem.alias("src"), (F.col("call_type") == "purchase").alias("positive")).agg(F.min("begin_s").alias("b"), F.max("end_s").alias("e"), F.count("*").alias("k"))
+    name = F.concat(F.when(F.col("positive"), "positive/").otherwise("negative/"), F.format_string("%s_%.1fs_%.1fs", "src", "b", "e"))
+    files = n.select(F.explode(F.array(F.concat(name, F.when(F.col("k") % 2 == 0, ".mat").otherwise(".MAT")), F.concat(name, F.lit(".png")))).alias("name"), F.lit(b"x").alias("content"))
+    folder = _written(files, scratch(t.spark, "spectra"), "name", "content")
+    return C.labelled_files(t.spark, f"{folder}/positive", f"{folder}/negative").select("name", "src", "start_s", "second_s", "label")
 
 
-@query("src_4_window_catalogue", "predictions", "SELECT file_id, 'm/' || file_id AS mat_path, 'a/' || file_id AS audio_path, 1.5::DOUBLE AS start_s, 11.5::DOUBLE AS end_s FROM predictions")
-def _(t):
-    p = t.predictions.select(F.struct(F.col("file_id").alias("chunk_id"), F.concat(F.lit("m/"), "file_id").alias("mat_path"), F.concat(F.lit("a/"), "file_id").alias("audio_path"), F.lit(1.5).alias("window_time_start"), F.lit(11.5).alias("window_time_end")).alias("c"), F.col("audio_timestamp").substr(1, 10).alias("day"))
+def _catalogue(t, row, key, more=()):
+    """Window catalogues with one document per day."""
+    p = t.predictions.select(F.struct(*row).alias("c"), F.col("audio_timestamp").substr(1, 10).alias("day"))
     folder = scratch(t.spark, "windows")
-    p.groupBy("day").agg(F.collect_list("c").alias("chunks")).drop("day").write.json(folder)
+    p.groupBy("day").agg(F.collect_list("c").alias(key), *more).drop("day").write.json(folder)
     return C.window_catalogue(t.spark, folder, lines=True)
 
 
-@query("src_5_documentation", "calls", "SELECT count(*) AS calls, count(DISTINCT clip_id) AS clips FROM calls")
+def _paths():
+    return [F.concat(F.lit("m/"), "file_id").alias("mat_path"), F.concat(F.lit("a/"), "file_id").alias("audio_path")]
+
+
+@query("src_4_window_catalogue", "predictions", "SELECT file_id, 'm/' || file_id AS mat_path, 'a/' || file_id AS audio_path, 1.5::DOUBLE AS start_s, 11.5::DOUBLE AS end_s FROM predictions")
+def _(t):
+    return _catalogue(t, [F.col("file_id").alias("chunk_id"), *_paths(), F.lit(1.5).alias("window_time_start"), F.lit(11.5).alias("window_time_end")], "chunks")
+
+
+@query("src_4_legacy_catalogue", "predictions", "SELECT file_id, 'm/' || file_id AS mat_path, 'a/' || file_id AS audio_path, 40.0::DOUBLE AS start_s, 80.0::DOUBLE AS end_s FROM predictions")
+def _(t):
+    row = [F.col("file_id"), *_paths(), F.lit(40.0).alias("segment_start_sec"), F.lit(80.0).alias("segment_end_sec")]
+    return _catalogue(t, row, "files", [F.struct(F.lit("D1").alias("device_code")).alias("data_source")])
+
+
+@query("src_5_documentation", "calls", "SELECT count(*) AS calls, count(DISTINCT clip_id) AS clips, " + _FAILED + " AS failed, strftime(min(call_ts), '%Y-%m-%d %H:%M:%S') AS first FROM calls")
 def _(t):
     folder = scratch(t.spark, "report")
-    K.write_report(P.dataset_report(_kinds(t), t.calls), folder)
-    return C.documentation(t.spark, folder).select("calls", "clips")
+    K.write_report(P.dataset_report(_spectra(t), t.calls, _failed(t)), folder)
+    return C.documentation(t.spark, folder).select("calls", "clips", "failed", F.date_format(F.col("first").cast("timestamp_ntz"), _TS).alias("first"))
 
 
 @query("src_6_packed_scan", "packed", "SELECT doc_id, source, label_string FROM packed")
@@ -209,20 +291,21 @@ def _(t):
     return t.spark.read.parquet(folder).select("doc_id", "source", "label_string")
 
 
-@query("snk_1_items", "items", "SELECT item_id, score_a AS score FROM items")
+@query("snk_1_items", "items", "SELECT item_id, score_a AS score, '2024-01-01' AS created_at, '2024-02-02' AS updated_at FROM items")
 def _(t):
     folder = scratch(t.spark, "items")
     K.write_items(t.items.select("item_id", "model_outputs", "verifications"), folder, "2.0", "2024-01-01", "2024-01-01")
-    K.write_items(t.items.select("item_id", "model_outputs", "verifications"), folder, "2.0", "2024-02-02", "2024-02-02")
-    assert t.spark.read.json(f"{folder}/header").first()["created_at"] == "2024-01-01"
-    return t.spark.read.json(f"{folder}/items").select("item_id", F.get("model_outputs", F.lit(0))["score"].alias("score"))
+    K.write_items(K.read_items(t.spark, folder), folder, "2.0", "2024-02-02", "2024-02-02")  # from the document itself
+    header = t.spark.read.json(f"{folder}/header")
+    items = K.read_items(t.spark, folder).select("item_id", F.get("model_outputs", F.lit(0))["score"].alias("score"))
+    return items.crossJoin(F.broadcast(header.select("created_at", "updated_at")))  # one row
 
 
 @query("snk_2_predictions", "predictions", "SELECT file_id, expert_label, confidence FROM predictions")
 def _(t):
     folder = scratch(t.spark, "predictions")
     K.write_items(t.predictions, folder, "1.0", "2024-01-01", "2024-01-01")
-    return t.spark.read.json(f"{folder}/items").select("file_id", "expert_label", "confidence")
+    return K.read_items(t.spark, folder).select("file_id", "expert_label", "confidence")
 
 
 @query("snk_3_splits", "calls entries", f"WITH {_RATIO} SELECT spec_id::VARCHAR AS path, label, split FROM sp")
@@ -252,7 +335,7 @@ def _(t):
 @query("snk_6_report", "calls", "SELECT count(*) AS calls, count(*) FILTER (WHERE call_type = 'view') AS negatives FROM calls")
 def _(t):
     folder = scratch(t.spark, "report")
-    K.write_report(P.dataset_report(_kinds(t), t.calls), folder)
+    K.write_report(P.dataset_report(_spectra(t), t.calls, _failed(t)), folder)
     return t.spark.read.json(folder).select("calls", "negatives")
 
 

@@ -99,12 +99,14 @@ def _(t):
     return X.spectrograms(t["embeddings"].withColumnRenamed("embedding", "samples"), 16, 8, "vec_id")
 
 
-@query("arr_19_fingerprints", "predictions", "SELECT file_id, 'sha256-' || substr(sha256(concat_ws('|', file_id, audio_timestamp, expert_label)), 1, 12) AS fingerprint FROM predictions")
+@query("arr_19_fingerprints", "predictions", "SELECT file_id, 'sha256-' || substr(sha256(length(file_id)::VARCHAR || ':' || file_id || length(audio_timestamp)::VARCHAR || ':' || audio_timestamp || coalesce(length(expert_label)::VARCHAR || ':' || expert_label, '-')), 1, 12) AS fingerprint FROM predictions")
 def _(t):
     return t.predictions.select("file_id", S.fingerprint(F.col("file_id"), F.col("audio_timestamp"), F.col("expert_label")).alias("fingerprint"))
 
 
-@query("arr_19_table_fingerprints", "calls", "SELECT clip_id, 'sha256-' || substr(sha256(string_agg(h, '' ORDER BY h)), 1, 12) AS fingerprint FROM (SELECT clip_id, sha256(concat_ws('|', call_id::VARCHAR, call_type)) AS h FROM calls) GROUP BY clip_id")
+@query("arr_19_table_fingerprints", "calls", """WITH h AS (SELECT clip_id, sha256(length(call_id::VARCHAR)::VARCHAR || ':' || call_id::VARCHAR || length(call_type)::VARCHAR || ':' || call_type) AS h FROM calls),
+s AS (SELECT clip_id, i, sum(('0x' || substr(h, 15 * i + 1, 15))::BIGINT)::HUGEINT::VARCHAR AS s, count(*)::VARCHAR AS n FROM h, (SELECT unnest([0, 1, 2, 3]) AS i) GROUP BY ALL)
+SELECT clip_id, 'sha256-' || substr(sha256(max(n) || ',' || string_agg(s, ',' ORDER BY i)), 1, 12) AS fingerprint FROM s GROUP BY clip_id""")
 def _(t):
     return X.table_fingerprints(t.calls, "clip_id", ["call_id", "call_type"])
 
@@ -115,13 +117,13 @@ def _(t):
     return s.select(*[F.round(c, 6).alias(c) for c in ("min", "max", "mean", "std")], "n")
 
 
-_UPDATES = """u AS (SELECT CASE WHEN o_orderkey % 10 = 0 THEN 'x' || o_orderkey::VARCHAR ELSE 'f' || (o_orderkey - o_orderkey % 2)::VARCHAR END AS file_id, o_orderpriority AS label, o_orderkey AS stamp FROM orders WHERE o_orderkey % 5 < 2)"""
+_UPDATES = """u AS (SELECT CASE WHEN o_orderkey % 10 = 0 THEN 'x' || o_orderkey::VARCHAR ELSE 'f' || (o_orderkey - o_orderkey % 2)::VARCHAR END AS file_id, o_orderpriority AS label, 'v' || (o_orderkey % 5)::VARCHAR AS reviewer, lpad(o_orderkey::VARCHAR, 12, '0') AS stamp FROM orders WHERE o_orderkey % 5 < 2)"""
 
 
 def _updates(t):
     o = t["orders"].filter("o_orderkey % 5 < 2")
     fid = F.when(F.col("o_orderkey") % 10 == 0, F.concat(F.lit("x"), F.col("o_orderkey").cast("string"))).otherwise(F.concat(F.lit("f"), (F.col("o_orderkey") - F.col("o_orderkey") % 2).cast("string")))
-    return o.select(fid.alias("file_id"), F.col("o_orderpriority").alias("label"), F.lit("ann").alias("reviewer"), F.col("o_orderkey").alias("at"))
+    return o.select(fid.alias("file_id"), F.col("o_orderpriority").alias("label"), F.concat(F.lit("v"), (F.col("o_orderkey") % 5).cast("string")).alias("reviewer"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("at"))
 
 
 @query("join_5_score_metadata", "predictions", """WITH k AS (SELECT file_id, 'p/' || file_id AS path FROM predictions WHERE confidence < 0.5), s AS (SELECT file_id || CASE WHEN confidence < 0.25 THEN '_win3' ELSE '' END AS file_id FROM predictions)
@@ -133,9 +135,12 @@ def _(t):
     return R.with_metadata(s, k).select("file_id", "meta.path")
 
 
-@query("join_6_label_upsert", "predictions", f"WITH {_UPDATES}, l AS (SELECT file_id, arg_max(label, stamp) AS label FROM u GROUP BY file_id) SELECT file_id, CASE WHEN l.file_id IS NULL THEN expert_label ELSE l.label END AS expert_label FROM predictions LEFT JOIN l USING (file_id)")
+@query("join_6_label_upsert", "predictions", f"""WITH {_UPDATES}, l AS (SELECT file_id, max(stamp) AS stamp, arg_max(label, stamp) AS label, arg_max(reviewer, stamp) AS reviewer FROM u GROUP BY file_id)
+SELECT file_id, audio_timestamp, confidence, CASE WHEN l.file_id IS NULL THEN expert_label ELSE l.label END AS expert_label,
+       CASE WHEN l.file_id IS NULL THEN expert_reviewer ELSE l.reviewer END AS expert_reviewer, CASE WHEN l.file_id IS NULL THEN review_timestamp ELSE l.stamp END AS review_timestamp
+FROM predictions LEFT JOIN l USING (file_id)""")
 def _(t):
-    return R.upsert_labels(t.predictions, _updates(t))[0].select("file_id", "expert_label")
+    return R.upsert_labels(t.predictions, _updates(t))[0]
 
 
 @query("join_6_unknown_updates", "predictions", f"WITH {_UPDATES} SELECT file_id, label FROM u WHERE file_id NOT IN (SELECT file_id FROM predictions)")
@@ -151,10 +156,13 @@ def _verifications(t):
     return t["events"].select(F.concat(F.lit("item_"), (F.col("event_id") % 2000).cast("string")).alias("item_id"), at.alias("verified_at"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("verified_by"), F.col("event_type").alias("label"))
 
 
-@query("join_7_append_verifications", "items", f"WITH {_VERIF}, r AS (SELECT v.*, row_number() OVER (PARTITION BY item_id ORDER BY verified_at, verified_by) + (quality = 1)::INT AS round FROM v JOIN items USING (item_id)) SELECT item_id, round::INT AS verification_round, verified_at, label FROM r")
+@query("join_7_append_verifications", "items", f"""WITH {_VERIF}, r AS (SELECT v.*, row_number() OVER (PARTITION BY item_id ORDER BY verified_at, verified_by) + (quality = 1)::INT AS round FROM v JOIN items USING (item_id)),
+e AS (SELECT item_id, round::INT AS verification_round, verified_at, verified_by, label FROM r UNION ALL SELECT item_id, 1, '2024-01-01T00:00:00Z', 'ann', toxic::VARCHAR FROM items WHERE quality = 1)
+SELECT item_id, doc_id, score_a, verification_round, verified_at, verified_by, label FROM items LEFT JOIN e USING (item_id)""")
 def _(t):
-    new, _unknown = R.append_verifications(t.items, _verifications(t))
-    return new.select("item_id", F.explode("added").alias("v")).select("item_id", "v.verification_round", "v.verified_at", "v.label")
+    whole, _unknown = R.append_verifications(t.items, _verifications(t))
+    score = F.get("model_outputs", F.lit(0))["score"].alias("score_a")
+    return whole.select("item_id", "doc_id", score, F.posexplode_outer("verifications").alias("_", "v")).select("item_id", "doc_id", "score_a", "v.verification_round", "v.verified_at", "v.verified_by", "v.label")
 
 
 @query("join_7_unknown_items", "items", f"WITH {_VERIF} SELECT item_id, count(*) AS n FROM v WHERE item_id NOT IN (SELECT item_id FROM items) GROUP BY item_id")

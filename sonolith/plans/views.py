@@ -83,7 +83,7 @@ class Tables:
             F.struct(F.lit("Call > A").alias("class_hierarchy"), (F.col("n_chars") % 101 / F.lit(100.0)).alias("score")),
             F.struct(F.lit("Call > B").alias("class_hierarchy"), F.when(F.col("n_chars") % 3 > 0, F.col("n_chars") % 53 / F.lit(52.0)).alias("score")),
         )
-        rounds = F.when(F.col("quality") == 1, F.array(F.struct(F.lit("2024-01-01T00:00:00Z").alias("verified_at"), F.lit("ann").alias("verified_by"), F.col("toxic").cast("string").alias("label"))))
+        rounds = F.when(F.col("quality") == 1, F.array(F.struct(F.lit("2024-01-01T00:00:00Z").alias("verified_at"), F.lit("ann").alias("verified_by"), F.col("toxic").cast("string").alias("label"), F.lit(1).alias("verification_round"))))
         return d.select(F.concat(F.lit("item_"), F.col("doc_id").cast("string")).alias("item_id"), "doc_id", outputs.alias("model_outputs"), rounds.alias("verifications"), "n_chars", "lang", "source")
 
     @cached_property
@@ -92,7 +92,11 @@ class Tables:
         o = self["orders"]
         label = F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderstatus"))
         stamp = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")
-        return o.select(F.concat(F.lit("f"), F.col("o_orderkey").cast("string")).alias("file_id"), stamp.alias("audio_timestamp"), (F.col("o_totalprice") % 1000 / 1000).alias("confidence"), label.alias("expert_label"))
+        reviewer = F.when(label.isNotNull(), F.concat(F.lit("r"), (F.col("o_orderkey") % 7).cast("string")))
+        return o.select(
+            F.concat(F.lit("f"), F.col("o_orderkey").cast("string")).alias("file_id"), stamp.alias("audio_timestamp"), (F.col("o_totalprice") % 1000 / 1000).alias("confidence"),
+            label.alias("expert_label"), reviewer.alias("expert_reviewer"), F.when(label.isNotNull(), stamp).alias("review_timestamp"),
+        )
 
     @cached_property
     def packed(self) -> DataFrame:
@@ -131,7 +135,9 @@ VIEWS = {
   FROM labels JOIN documents USING (doc_id))""",
     "predictions": r"""predictions AS (
   SELECT 'f' || o_orderkey::VARCHAR AS file_id, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS audio_timestamp,
-         o_totalprice % 1000 / 1000 AS confidence, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus END AS expert_label FROM orders)""",
+         o_totalprice % 1000 / 1000 AS confidence, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus END AS expert_label,
+         CASE WHEN o_orderkey % 3 = 0 THEN 'r' || (o_orderkey % 7)::VARCHAR END AS expert_reviewer,
+         CASE WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') END AS review_timestamp FROM orders)""",
     "packed": r"""packed AS (
   SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'buoy' ELSE 'IC' || upper(lang) || (doc_id % 7)::VARCHAR END || '_' ||
          CASE WHEN doc_id % 13 = 0 THEN 'raw' ELSE strftime(TIMESTAMP '2024-01-01' + to_minutes(doc_id), '%Y%m%dT%H%M%S') || '.128Z' END AS source,

@@ -7,7 +7,7 @@ import wave
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,18 +47,42 @@ def load_annotations(spark: SparkSession, paths: list[str], essential: tuple[str
     )
 
 
+def _decoded(content: bytes) -> tuple[int, np.ndarray]:
+    """(rate, samples of the first channel in [-1, 1)) of a WAV file with 8 to 32 bits a sample."""
+    with wave.open(io.BytesIO(content)) as w:
+        width, channels, raw = w.getsampwidth(), w.getnchannels(), w.readframes(w.getnframes())
+        rate = w.getframerate()
+    raw = raw[: len(raw) // (width * channels) * width * channels]
+    if width == 1:  # the only unsigned one
+        x = np.frombuffer(raw, np.uint8)[::channels].astype(np.int64) - 128
+    else:
+        wide = np.zeros((len(raw) // width, 4), np.uint8)
+        wide[:, 4 - width :] = np.frombuffer(raw, np.uint8).reshape(-1, width)
+        x = (wide.view("<i4").ravel()[::channels] >> (32 - 8 * width)).astype(np.int64)
+    return rate, x / float(1 << (8 * width - 1))
+
+
 def load_clips(spark: SparkSession, folder: str) -> DataFrame:
-    """Every WAV recording below a folder: clip_id, fs, n_samples and samples in [-1, 1) of the first channel."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").option("recursiveFileLookup", "true").load(folder)
+    """Every WAV recording below a folder: clip_id, fs, n_samples, samples in [-1, 1) of the first channel, and error.
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                with wave.open(io.BytesIO(content)) as w:
-                    x = np.frombuffer(w.readframes(w.getnframes()), "<i2")[:: w.getnchannels()] / 32768.0
-                    yield pd.DataFrame({"clip_id": [path.rsplit("/", 1)[-1]], "fs": [w.getframerate()], "n_samples": [len(x)], "samples": [x]})
+    A file that can't be decoded gives a row with the reason as error and nothing else, and doesn't end the job. Arrow
+    batches end at spark.sql.execution.arrow.maxBytesPerBatch, so a task holds few recordings at a time.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[wW][aA][vV]").option("recursiveFileLookup", "true").load(folder)
 
-    return files.select("path", "content").mapInPandas(decode, "clip_id string, fs int, n_samples long, samples array<double>")
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0), batch.column(1), strict=True):
+                name = path.as_py().rsplit("/", 1)[-1]
+                try:
+                    rate, x = _decoded(content.as_py())
+                    row = {"clip_id": name, "fs": rate, "n_samples": len(x), "samples": x, "error": None}
+                except (wave.Error, EOFError, ValueError) as e:
+                    row = {"clip_id": name, "fs": None, "n_samples": None, "samples": None, "error": str(e) or type(e).__name__}
+                yield pa.RecordBatch.from_pylist([row], schema)
+
+    schema = pa.schema([("clip_id", pa.string()), ("fs", pa.int32()), ("n_samples", pa.int64()), ("samples", pa.list_(pa.float64())), ("error", pa.string())])
+    return files.select("path", "content").mapInArrow(decode, "clip_id string, fs int, n_samples long, samples array<double>, error string")
 
 
 def labelled_files(spark: SparkSession, positive: str, negative: str, pattern: str = "*.[mM][aA][tT]") -> DataFrame:

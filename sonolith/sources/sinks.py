@@ -2,21 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def write_items(items: DataFrame, folder: str, version: str, created_at: str, updated_at: str) -> None:
-    """A prediction document: items as JSON lines, and a header of one row. created_at stays if a header is there."""
+    """A prediction document: items as JSON lines in a folder of their own, and a header of one row that names it.
+
+    The header is put in place last, so it always stands for a whole document, and items may come from the document that is
+    written. created_at stays if a header is there.
+    """
     spark = items.sparkSession
-    try:
+    header = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/header")
+    fs = header.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(header):
         created_at = spark.read.json(f"{folder}/header").first()["created_at"]
-    except AnalysisException:  # no header yet
-        pass
-    items.write.mode("overwrite").json(f"{folder}/items")
-    spark.createDataFrame([(version, created_at, updated_at)], "version string, created_at string, updated_at string").coalesce(1).write.mode("overwrite").json(f"{folder}/header.next")
-    spark.read.json(f"{folder}/header.next").coalesce(1).write.mode("overwrite").json(f"{folder}/header")
+    name = uuid.uuid4().hex
+    items.write.json(f"{folder}/items-{name}")
+    row = spark.createDataFrame([(version, created_at, updated_at, f"items-{name}")], "version string, created_at string, updated_at string, items string")
+    row.coalesce(1).write.json(f"{folder}/header-{name}")
+    fs.delete(header, True)
+    if not fs.rename(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/header-{name}"), header):
+        raise OSError(f"{folder}/header")
+
+
+def read_items(spark: SparkSession, folder: str) -> DataFrame:
+    """The items that a document's header names."""
+    return spark.read.json(f"{folder}/{spark.read.json(f'{folder}/header').first()['items']}")
 
 
 def write_splits(entries: DataFrame, folder: str) -> None:
@@ -25,8 +39,8 @@ def write_splits(entries: DataFrame, folder: str) -> None:
 
 
 def write_by_date(df: DataFrame, folder: str) -> None:
-    """Parquet by date and device; rows of a folder come from few tasks."""
-    df.repartition("date", "device_code").write.partitionBy("date", "device_code").parquet(folder)
+    """Parquet by date and device; rows of a folder come from few tasks, of a large one from several."""
+    df.hint("rebalance", "date", "device_code").write.partitionBy("date", "device_code").parquet(folder)
 
 
 def write_report(report: DataFrame, folder: str) -> None:
