@@ -50,7 +50,13 @@ def _(t):
     return t["documents"].select("doc_id", A.crop_start(F.col("n_chars") % 400, 45, F.col("doc_id") % 2 == 0).alias("start"))
 
 
-@query("arr_12_jittered_start")
+_JITTER = "('0x' || substr(md5('{}|' || doc_id::VARCHAR), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE"
+
+
+@query("arr_12_jittered_start", "", f"""WITH u AS (SELECT doc_id, n_chars % 400 AS t, {_JITTER.format("j1")} AS u1, {_JITTER.format("j2")} AS u2 FROM documents),
+s AS (SELECT doc_id, t, CASE WHEN doc_id % 2 = 0 THEN round_even(t // 2 - greatest(0, least(1, 0.5::DOUBLE + 0.25::DOUBLE * (sqrt(-2 * ln(1 - u1)) * cos(2 * pi() * u2)))) * 45, 0)
+ELSE floor(u1 * greatest(1, t - 45 + 1)) END AS start FROM u)
+SELECT doc_id, greatest(0, least(start, t - 45))::INT AS start FROM s""")
 def _(t):
     key = lambda s: unit(hash_key(s, F.col("doc_id")))
     return t["documents"].select("doc_id", A.jittered_start(F.col("n_chars") % 400, 45, key("j1"), key("j2"), F.col("doc_id") % 2 == 0).alias("start"))
@@ -198,12 +204,12 @@ def _(t):
 
 
 def _mean_scorer():
-    return lambda batch: batch.map(lambda x: float(abs(sum(x)) / (1 + abs(sum(x)))))
+    return lambda batch: batch.map(lambda x: abs(sum(map(float, x))) / (1 + abs(sum(map(float, x)))))
 
 
-@query("ml_1_plugin_scores")
+@query("ml_1_plugin_scores", "", "SELECT vec_id, round(abs(s) / (1 + abs(s)), 9) AS score FROM (SELECT vec_id, list_sum(list_transform(embedding, lambda x: x::DOUBLE)) AS s FROM embeddings)")
 def _(t):
-    return R.plugin_scores(t["embeddings"], "embedding", _mean_scorer).select("vec_id", "score")
+    return R.plugin_scores(t["embeddings"], "embedding", _mean_scorer).select("vec_id", F.round("score", 9).alias("score"))
 
 
 @query("ml_2_assemble_items", "predictions", """SELECT file_id AS item_id, CASE WHEN confidence < 0.5 THEN CASE WHEN confidence < 0.25 THEN 'm/' || file_id END ELSE 'spectrograms/' || file_id || '.mat' END AS mat_path,

@@ -1,16 +1,18 @@
 """Literal cases and contracts."""
 
 import math
+import wave
 
 import pytest
 from pyspark.sql import functions as F
 
 from sonolith.functions import arrays as A
 from sonolith.functions import scalars as S
-from sonolith.operators import filters, intervals, splits, tiling
+from sonolith.operators import filters, intervals, review, splits, tiling
 from sonolith.operators.ranking import global_rank
 from sonolith.plans.views import Tables
-from sonolith.sources.catalogues import load_annotations
+from sonolith.sources import sinks
+from sonolith.sources.catalogues import load_annotations, load_clips
 
 
 def one(spark, column):
@@ -58,6 +60,102 @@ def test_window_samples_pad_missing_neighbours(spark):
     assert one(spark, far) == [1, 2]
 
 
+def test_window_samples_cut_each_part_towards_zero(spark):
+    none = F.lit(None).cast("array<double>")
+    main = F.array(*[F.lit(float(i)) for i in (1, 2, 3, 4)])
+    cut = lambda p, f, a, b: one(spark, intervals.window_samples(p, main, f, F.lit(a), F.lit(b), F.lit(1)))
+    assert cut(none, none, -1.5, 2.5) == [0, 1, 2, 0]
+    assert cut(main, none, -1.5, 2.5) == [3, 4, 1, 2]
+    assert cut(none, main, 2.5, 5.5) == [3, 4, 1] and cut(none, none, 2.5, 5.5) == [3, 4, 0]
+
+
+def test_an_upsert_keeps_what_it_does_not_touch(spark):
+    p = spark.createDataFrame([("a", "x", "ann", "t1"), ("b", "y", "bob", "t2")], "file_id string, expert_label string, expert_reviewer string, review_timestamp string")
+    u = spark.createDataFrame([("a", "z", "cy", "t3"), ("a", "w", "di", "t4"), ("q", "w", "di", "t4")], "file_id string, label string, reviewer string, at string")
+    out, unknown = review.upsert_labels(p, u)
+    assert sorted(map(tuple, out.collect())) == [("a", "w", "di", "t4"), ("b", "y", "bob", "t2")] and unknown.count() == 1
+
+
+def test_new_rounds_come_after_old_ones(spark):
+    entry = "struct<verified_at string, verified_by string, label string, notes string, verification_round int>"
+    items = spark.createDataFrame([("a", 1, [("t0", "ann", "x", "old", 1)]), ("b", 2, None), ("c", 3, None)], f"item_id string, n int, verifications array<{entry}>")
+    new = spark.createDataFrame([("a", "t2", "bob", "y"), ("a", "t1", "cy", "z"), ("b", "t1", "cy", "z"), ("q", "t1", "cy", "z")], "item_id string, verified_at string, verified_by string, label string")
+    out, unknown = review.append_verifications(items, new)
+    rows = {r.item_id: r for r in out.collect()}
+    assert out.columns == items.columns and unknown.count() == 1 and rows["c"].verifications is None
+    assert [(v.verified_at, v.label, v.notes, v.verification_round) for v in rows["a"].verifications] == [("t0", "x", "old", 1), ("t1", "z", None, 2), ("t2", "y", None, 3)]
+    assert [v.verification_round for v in rows["b"].verifications] == [1]
+
+
+@pytest.mark.parametrize("width", [1, 2, 3, 4])
+def test_clips_of_every_width_and_junk(spark, tmp_path, width):
+    top = 1 << (8 * width - 1)
+    values = [0, 1, -1, top - 1, -top, 77]
+    with wave.open(str(tmp_path / "a.WAV"), "wb") as w:
+        w.setnchannels(2)
+        w.setsampwidth(width)
+        w.setframerate(8)
+        w.writeframes(b"".join((v + (128 if width == 1 else 0)).to_bytes(width, "little", signed=width > 1) * 2 for v in values))
+    (tmp_path / "b.wav").write_bytes((tmp_path / "a.WAV").read_bytes()[:20])
+    (tmp_path / "c.txt").write_text("no recording")
+    got = {r.clip_id: r for r in load_clips(spark, f"file://{tmp_path}").collect()}
+    assert set(got) == {"a.WAV", "b.wav"} and got["a.WAV"].samples == [v / top for v in values] and got["a.WAV"].error is None
+    assert got["b.wav"].error and got["b.wav"].samples is None
+
+
+def test_power_names_win_over_decibels(spark):
+    df = spark.createDataFrame([(1, 2, 3)], "PdB int, sxx int, spec int")
+    assert tuple(df.select(*filters.spectrum(df)).first()) == (2, "power")
+    assert tuple(df.drop("sxx").select(*filters.spectrum(df.drop("sxx"))).first()) == (1, "db")
+    with pytest.raises(ValueError):
+        filters.spectrum(df.select(F.lit(1).alias("x")))
+
+
+def test_a_document_can_be_written_from_itself(spark, tmp_path):
+    folder = f"file://{tmp_path}/doc"
+    sinks.write_items(spark.range(5), folder, "1", "then", "then")
+    sinks.write_items(sinks.read_items(spark, folder).filter("id > 1"), folder, "1", "now", "now")
+    header = spark.read.json(f"{folder}/header").first()
+    assert sinks.read_items(spark, folder).count() == 3 and (header.created_at, header.updated_at) == ("then", "now")
+
+
+def test_fingerprints_tell_columns_apart(spark):
+    mark = lambda *x: one(spark, S.fingerprint(*[F.lit(v).cast("string") for v in x]))
+    assert len({mark("a|b", "c"), mark("a", "b|c"), mark("a", None), mark(None, "a"), mark("a", "")}) == 5
+
+
+def test_curves_take_crowded_scores(spark):
+    from sonolith.operators.metrics import curve
+
+    df = spark.range(4000).select(F.lit("m").alias("model"), (F.col("id") % 7 == 0).cast("int").alias("y_true"), F.when(F.col("id") < 3900, F.col("id") * 1e-9).otherwise(F.col("id") / 4000.0).alias("score"))
+    rows = sorted(curve(df).collect(), key=lambda r: -r.score)
+    seen = [sum(r.pos for r in rows[: i + 1]) for i in range(len(rows))]
+    assert [r.tp for r in rows] == seen and rows[-1].fp == rows[-1].n
+
+
+def test_baseline_finds_a_linear_class(spark):
+    from sonolith.operators.learning import fit_baseline, predict
+
+    rows = [(i, [(i * 37 % 101) / 101, (i * 53 % 97) / 97, (i * 11 % 89) / 89]) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, x array<double>").withColumn("y", (F.col("x")[0] + F.col("x")[1] > 1.2).cast("int"))
+    model, tried = fit_baseline(df.filter("id % 2 = 0"), df.filter("id % 4 = 1"), "x", "y")
+    found = [r.metric for r in tried.collect()]
+    assert len(found) == 3 and max(found) > 0.98
+    right = predict(model, df.filter("id % 4 = 3"), "x", "y").filter("(score >= 0.5) = (y_true = 1)").count()
+    assert right > 0.9 * 150
+
+
+def test_shared_folder_is_qualified(spark):
+    from sonolith.session import discard, materialize, shared_folder
+
+    assert shared_folder(spark).startswith("file:///")
+    df = materialize(spark.range(3), "x")
+    assert df.count() == 3
+    discard(df)
+    with pytest.raises(Exception):  # noqa: B017
+        spark.read.parquet(df._scratch)
+
+
 def test_band_keeps_both_ends(spark):
     f = F.transform(F.sequence(F.lit(0), F.lit(100)), lambda i: i.cast("double"))
     p = F.transform(f, lambda x: F.array(x, x))
