@@ -49,7 +49,7 @@ class Settings:
     features: int = 50_000
     least_texts: int = 4  # in which a word occurs, to be a feature
     least_z: float = 4.5  # of the difference of its shares of positive and unlabelled texts
-    models: int = 3
+    models: int = 9
     epochs: int = 16
     batches: int = 24
     rate: float = 2.0
