@@ -1,11 +1,19 @@
 """Removal of repeated passages by overlapping windows of lines.
 
-Every ``k`` consecutive lines make a window. Windows that occur more than once in the corpus keep their first
-occurrence; lines that later ones cover are removed, overlapping windows merged.
+A line of over ``LONG`` words is wrapped into parts where its own words say so, so that a passage inside it is cut the
+same way wherever it stands. Every ``k`` consecutive parts (whole lines, or parts of long ones) make a window. Windows
+that occur more than once in the corpus keep their first occurrence; parts that later ones cover are removed,
+overlapping windows merged.
 """
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+from hashlib import md5
+from typing import NamedTuple
+
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -14,39 +22,89 @@ from pyspark.sql import types as T
 
 from . import common as C
 
+#: Lines of more words are wrapped. A part begins at a word whose hash is the least of itself and NEAR words on either
+#: side: 5 words at least, 9 on average.
+LONG, NEAR = 24, 4
+#: Null ids are one document; its rows are spread over so many keys.
+SPREAD = 64
 
-def window_keys(text: bytes | None, k: int) -> tuple[list[bytes], list[int], list[bytes]]:
-    """(lines, indexes of lines with a word, one 128-bit key for each k of those in a row).
+_TOKEN = re.compile(rb"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
 
-    Lines are compared with runs of white space as one space and none at the ends; blank lines are passed over.
-    """
-    lines = text.split(b"\n") if text else []
-    plain = [b" ".join(x.split()) for x in lines]
-    full = [i for i, x in enumerate(plain) if x]
-    keys = [xxhash.xxh3_128_digest(b"\n".join([plain[i] for i in full[p : p + k]])) for p in range(len(full) - k + 1)]
-    return lines, full, keys
+
+class Part(NamedTuple):
+    """Words ``start`` to ``end`` of a line, joined by single spaces."""
+
+    line: int
+    start: int
+    end: int
+    plain: bytes
+
+
+@lru_cache(1 << 17)
+def _rank(word: bytes) -> int:
+    return int.from_bytes(md5(word).digest()[:4])
+
+
+def _cuts(words: list[bytes]) -> list[int]:
+    """Where the parts of a long line begin, and its length. Of equal hashes side by side the first is the least."""
+    x, n = np.fromiter(map(_rank, words), np.uint32, len(words)), len(words)
+    mid = x[NEAR : n - NEAR]
+    least = np.ones(len(mid), bool)
+    for s in range(1, NEAR + 1):
+        least &= (mid < x[NEAR - s : n - NEAR - s]) & (mid <= x[NEAR + s : n - NEAR + s])
+    return [0, *(np.flatnonzero(least) + NEAR).tolist(), n]
+
+
+def parts(lines: list[bytes]) -> list[Part]:
+    """Lines in parts, those without a word passed over. Runs of white space count as one space, none at the ends."""
+    out = []
+    for i, line in enumerate(lines):
+        words = line.split()
+        if len(words) > LONG:
+            at = _cuts(words)
+            out += [Part(i, a, b, b" ".join(words[a:b])) for a, b in zip(at, at[1:], strict=False)]
+        elif words:
+            out.append(Part(i, 0, len(words), b" ".join(words)))
+    return out
+
+
+def window_keys(found: list[Part], k: int) -> list[bytes]:
+    """One 128-bit key for each k parts in a row."""
+    return [xxhash.xxh3_128_digest(b"\n".join([x.plain for x in found[p : p + k]])) for p in range(len(found) - k + 1)]
 
 
 def clean(text: bytes | None, first: set[bytes], later: set[bytes], k: int) -> tuple[bytes | None, int, int]:
-    """(text without later occurrences, lines with a word, lines removed).
+    """(text without later occurrences, lines with a word, parts removed).
 
     ``first`` are repeated windows whose first occurrence in the corpus is this text's first, ``later`` those that
-    occurred before it. A line of a first occurrence stays though a later one overlaps it.
+    occurred before it. A part of a first occurrence stays though a later one overlaps it.
     """
-    lines, full, keys = window_keys(text, k)
+    lines = text.split(b"\n") if text else []
+    if not first and not later:
+        return text, sum(1 for x in lines if x.strip()), 0
+    found = parts(lines)
     gone, stays = set(), set()
     first = set(first)
-    for p, key in enumerate(keys):
+    for p, key in enumerate(window_keys(found, k)):
         if key in first:
             first.discard(key)
             later = later | {key}
             stays.update(range(p, p + k))
         elif key in later:
             gone.update(range(p, p + k))
-    gone = {full[p] for p in gone - stays}
-    if not gone:
-        return text, len(full), 0
-    return b"\n".join([x for i, x in enumerate(lines) if i not in gone]), len(full), len(gone)
+    gone -= stays
+    left: dict[int, list[Part]] = {}
+    for p, x in enumerate(found):
+        left.setdefault(x.line, []).extend([] if p in gone else [x])
+    whole = {found[p].line for p in gone}
+    kept = []
+    for i, line in enumerate(lines):
+        if i in whole and left[i]:
+            tokens = _TOKEN.findall(line)
+            kept.append(b"".join([t for x in left[i] for t in tokens[x.start : x.end]]))
+        elif i not in whole:
+            kept.append(line)
+    return (b"\n".join(kept) if gone else text), len(left), len(gone)
 
 
 def repeated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = 3) -> DataFrame:
@@ -61,7 +119,7 @@ def repeated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int
             keys, at, twice = [], [], []
             for i, x in enumerate(part.column("text").cast(pa.binary()).to_pylist()):
                 seen: dict[bytes, bool] = {}
-                for key in window_keys(x, k)[2]:
+                for key in window_keys(parts(x.split(b"\n")) if x else [], k):
                     seen[key] = key in seen
                 keys += seen.keys()
                 twice += seen.values()
@@ -78,16 +136,22 @@ def repeated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int
 
 
 def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = 3) -> DataFrame:
-    """docs with repeated passages cut from ``text``, and the columns n_lines and n_removed (lines with a word).
+    """docs with repeated passages cut from ``text``, and the columns n_lines (lines with a word) and n_removed (parts).
 
     Rows with one doc_id count as one document: they don't lose lines to each other. Null texts stay null; a text
-    whose every line is removed becomes empty; fewer than k lines are no window. An empty table gives an empty result.
+    whose every line is removed becomes empty; fewer than k parts are no window. Of a line that loses some of its parts
+    the rest stays as it was written. An empty table gives an empty result.
     """
     found = repeated(docs, text, doc_id, k)
     key = C.in_frame("_key", docs)
     first, later = C.in_frame("_first", docs), C.in_frame("_later", docs)
-    found = found.select(F.col("doc_id").alias(key), F.col("first").alias(first), F.col("later").alias(later))
-    rows = docs.join(found, docs[doc_id].eqNullSafe(found[key]), "left").drop(key)
+    salt, salted = C.in_frame("_salt", docs), C.in_frame("_salted", docs)
+    null, one = F.col("doc_id").isNull(), F.array(F.lit(0).cast("long"))
+    salts = F.when(null, F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))).otherwise(one)
+    found = found.select(F.col("doc_id").alias(key), F.explode(salts).alias(salt), F.col("first").alias(first), F.col("later").alias(later))
+    spread = F.when(docs[doc_id].isNull(), F.pmod(F.xxhash64(docs[text]), F.lit(SPREAD))).otherwise(F.lit(0))
+    docs_at = docs.withColumn(salted, spread.cast("long"))
+    rows = docs_at.join(found, docs_at[doc_id].eqNullSafe(found[key]) & (docs_at[salted] == found[salt]), "left")
     at, width = docs.columns.index(text), len(docs.columns)
     names = [*docs.columns, C.in_frame("n_lines", docs), C.in_frame("n_removed", docs)]
 

@@ -170,12 +170,21 @@ WITH d AS (
 ), l AS (
   SELECT doc_id, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS line
   FROM (SELECT doc_id, string_split(body, chr(10)) AS ls FROM d)
+), t AS (
+  SELECT doc_id, i, unnest(range(1, len(ts) + 1)) AS j, len(ts) AS n, unnest(ts) AS token
+  FROM (SELECT doc_id, i, regexp_extract_all(line, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+[\x20\x09-\x0D]*') AS ts FROM l)
+), h AS (
+  SELECT *, substr(md5(word), 1, 8) AS h FROM (SELECT *, regexp_replace(token, '[\x20\x09-\x0D]+', '', 'g') AS word FROM t)
+), c AS (
+  SELECT *, n > 24 AND j > 4 AND j <= n - 4
+         AND h < min(h) OVER (PARTITION BY doc_id, i ORDER BY j ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING)
+         AND h <= min(h) OVER (PARTITION BY doc_id, i ORDER BY j ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING) AS cut
+  FROM h
+), s AS (
+  SELECT *, sum(CASE WHEN cut THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, i ORDER BY j) AS part FROM c
 ), nb AS (
-  SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS p,
-         trim(regexp_replace(line, '[ 	-
-]+', ' ', 'g'), ' ') AS plain
-  FROM l WHERE regexp_matches(line, '[^ 	-
-]')
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i, part) AS p
+  FROM (SELECT doc_id, i, part, string_agg(word, ' ' ORDER BY j) AS plain, string_agg(token, '' ORDER BY j) AS written FROM s GROUP BY ALL)
 ), w AS (
   SELECT doc_id, p, plain || chr(10) || lead(plain) OVER o || chr(10) || lead(plain, 2) OVER o AS k
   FROM nb WINDOW o AS (PARTITION BY doc_id ORDER BY p)
@@ -185,16 +194,20 @@ WITH d AS (
 ), cover AS (
   SELECT doc_id, p + s AS p, bool_or(nth = 1) AS stays FROM r, (SELECT unnest([0, 1, 2]) AS s) WHERE n > 1 GROUP BY ALL
 ), gone AS (
-  SELECT doc_id, i FROM nb JOIN cover USING (doc_id, p) WHERE NOT stays
+  SELECT doc_id, p FROM cover WHERE NOT stays
+), kept AS (
+  SELECT doc_id, i, line FROM l ANTI JOIN nb USING (doc_id, i)
+  UNION ALL
+  SELECT doc_id, i, string_agg(written, '' ORDER BY part) FROM nb ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id, i
 ), rest AS (
-  SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS body
-  FROM l ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+  SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS body FROM kept GROUP BY doc_id
+), n AS (
+  SELECT doc_id, count(DISTINCT i) AS n_lines FROM nb GROUP BY doc_id
+), m AS (
+  SELECT doc_id, count(*) AS n_removed FROM gone GROUP BY doc_id
 )
-SELECT doc_id,
-       (SELECT count(*) FROM nb WHERE nb.doc_id = d.doc_id) AS n_lines,
-       (SELECT count(*) FROM gone WHERE gone.doc_id = d.doc_id) AS n_removed,
-       sha256(coalesce(rest.body, '')) AS text_sha256
-FROM d LEFT JOIN rest USING (doc_id)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(rest.body, '')) AS text_sha256
+FROM d LEFT JOIN rest USING (doc_id) LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
 """
 
 

@@ -447,6 +447,33 @@ def test_line_windows(docs, empty):
     assert linededup.deduplicated(empty).count() == 0
 
 
+def test_line_windows_inside_long_lines(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(1, 7)))
+    passage, free = [word() for _ in range(55)], lambda n: " ".join(word() for _ in range(n))
+    once = free(40) + "\t " + " ".join(passage) + "  " + free(9)
+    texts = [once, free(70) + " " + "\t ".join(passage) + " \r" + free(60) + "\nshort", free(300)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, " ".join(passage)), (None, "x " * 90), (7, "y " * 90 + "\n"), (8, " ".join(passage[:20]))]
+    got = linededup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    by = {(r.doc_id, r.text): r for r in got}
+    assert len(got) == len(rows) and all((i, t) in by for i, t in rows if i in (0, 2, 7, 8)) and (None, "x " * 90) in by
+    left = next(r.text for r in got if r.doc_id == 1)
+    words, before = left.split(), texts[1].split()
+    assert 40 <= len(before) - len(words) <= 55 and words[:70] == before[:70] and words[-61:] == before[-61:] and left.endswith("\nshort")
+    assert texts[1].startswith(left[:200]) and min(len(r.text.split()) for r in got if r.doc_id is None) < 55 / 2  # but for a part at either end
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_parts_are_the_plain_rule(seed):
+    rng = random.Random(seed)
+    words = [rng.choice(["of", "the", "é", *(str(rng.random()) for _ in range(9))]).encode() for _ in range(rng.randint(25, 90))]
+    h = [hashlib.md5(w).hexdigest()[:8] for w in words]
+    want = [0, *(i for i in range(4, len(h) - 4) if h[i] < min(h[i - 4 : i]) and h[i] <= min(h[i + 1 : i + 5])), len(h)]
+    got = linededup.parts([b"", b" \t", b"  " + b" \x0b".join(words), b"a  b"])
+    assert [(x.line, x.start, x.end) for x in got] == [*((2, a, b) for a, b in zip(want, want[1:], strict=False)), (3, 0, 2)]
+    assert got[-1].plain == b"a b" and b" ".join(x.plain for x in got[:-1]) == b" ".join(words)
+
+
 # token files
 
 
