@@ -9,8 +9,7 @@ overlapping windows merged.
 from __future__ import annotations
 
 import re
-from functools import lru_cache
-from hashlib import md5
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -22,9 +21,11 @@ from pyspark.sql import types as T
 
 from . import common as C
 
-#: Lines of more words are wrapped. A part begins at a word whose hash is the least of itself and NEAR words on either
+#: Lines of more words are wrapped. A part begins at a word whose rank is the least of itself and NEAR words on either
 #: side: 5 words at least, 9 on average.
 LONG, NEAR = 24, 4
+#: Bytes of a window's key, and the odd factor that scatters ranks and mixes the hashes of parts.
+KEY, FACTOR = 12, 0x5851F42D4C957F2D
 #: Null ids are one document; its rows are spread over so many keys.
 SPREAD = 64
 
@@ -32,63 +33,90 @@ _TOKEN = re.compile(rb"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
 
 
 class Part(NamedTuple):
-    """Words ``start`` to ``end`` of a line, joined by single spaces."""
+    """Words ``start`` to ``end`` of a line of a text."""
 
+    text: int
     line: int
     start: int
     end: int
-    plain: bytes
 
 
-@lru_cache(1 << 17)
-def _rank(word: bytes) -> int:
-    return int.from_bytes(md5(word).digest()[:4])
+def _ranks(words: list[bytes]) -> np.ndarray:
+    """A number for each word: its first 8 bytes, zeros behind a shorter one, times FACTOR modulo 2 ** 64."""
+    return np.array(words, "S8").view(">u8").astype(np.uint64) * np.uint64(FACTOR)
 
 
-def _cuts(words: list[bytes]) -> list[int]:
-    """Where the parts of a long line begin, and its length. Of equal hashes side by side the first is the least."""
-    x, n = np.fromiter(map(_rank, words), np.uint32, len(words)), len(words)
-    mid = x[NEAR : n - NEAR]
-    least = np.ones(len(mid), bool)
+def _cuts(lines: list[list[bytes]]) -> list[list[int]]:
+    """Where the parts of long lines begin, and their lengths. Of equal ranks side by side the first is the least."""
+    if not lines:
+        return []
+    sizes = np.array([len(w) for w in lines])
+    ends, line = sizes.cumsum(), np.arange(len(sizes)).repeat(sizes)
+    at = np.arange(len(line)) - (ends - sizes)[line]
+    x = _ranks(list(chain.from_iterable(lines)))
+    mid = x[NEAR:-NEAR]
+    least = ((at >= NEAR) & (at < sizes[line] - NEAR))[NEAR:-NEAR]
     for s in range(1, NEAR + 1):
-        least &= (mid < x[NEAR - s : n - NEAR - s]) & (mid <= x[NEAR + s : n - NEAR + s])
-    return [0, *(np.flatnonzero(least) + NEAR).tolist(), n]
+        least &= (mid < x[NEAR - s : len(x) - NEAR - s]) & (mid <= x[NEAR + s : len(x) - NEAR + s])
+    here = np.flatnonzero(least) + NEAR
+    out = [[0] for _ in lines]
+    for i, p in zip(line[here].tolist(), at[here].tolist(), strict=True):
+        out[i].append(p)
+    for cuts, n in zip(out, sizes.tolist(), strict=True):
+        cuts.append(n)
+    return out
 
 
-def parts(lines: list[bytes]) -> list[Part]:
-    """Lines in parts, those without a word passed over. Runs of white space count as one space, none at the ends."""
-    out = []
-    for i, line in enumerate(lines):
-        words = line.split()
-        if len(words) > LONG:
-            at = _cuts(words)
-            out += [Part(i, a, b, b" ".join(words[a:b])) for a, b in zip(at, at[1:], strict=False)]
-        elif words:
-            out.append(Part(i, 0, len(words), b" ".join(words)))
-    return out
+def parts(texts: list[bytes | None]) -> tuple[list[Part], np.ndarray]:
+    """Texts in parts, lines without a word passed over, and two 64-bit hashes for each part.
+
+    Hashes are of words joined by single spaces: runs of white space count as one, at the ends as none.
+    """
+    lines = [(t, i, words) for t, x in enumerate(texts) if x for i, line in enumerate(x.split(b"\n")) if (words := line.split())]
+    cuts = iter(_cuts([words for _, _, words in lines if len(words) > LONG]))
+    found, hashes = [], []
+    for t, i, words in lines:
+        at = next(cuts) if len(words) > LONG else (0, len(words))
+        for a, b in zip(at, at[1:], strict=False):
+            found.append((t, i, a, b))
+            hashes.append(xxhash.xxh3_128_digest(b" ".join(words[a:b])))
+    return list(map(Part._make, found)), np.frombuffer(b"".join(hashes), np.uint64).reshape(-1, 2)
+
+
+def window_keys(texts: np.ndarray, hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first part, KEY bytes) of each window: k parts in a row of one text. ``texts`` tells the text of each part.
+
+    A key is a linear form of the parts' hashes with odd factors, so different windows meet as rarely as hashes do.
+    """
+    n = max(0, len(texts) - k + 1)
+    key = np.zeros((n, 2), np.uint64)
+    for j in range(k):
+        key = key * np.uint64(FACTOR) + hashes[j : j + n]
+    at = np.flatnonzero(texts[:n] == texts[k - 1 : k - 1 + n])
+    return at, np.ascontiguousarray(key[at]).view(np.uint8).reshape(-1, 16)[:, :KEY]
 
 
-def window_keys(found: list[Part], k: int) -> list[bytes]:
-    """One 128-bit key for each k parts in a row."""
-    return [xxhash.xxh3_128_digest(b"\n".join([x.plain for x in found[p : p + k]])) for p in range(len(found) - k + 1)]
+def _binary(keys: np.ndarray) -> pa.Array:
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(KEY), len(keys), [None, pa.py_buffer(keys.tobytes())]).cast(pa.binary())
 
 
-def clean(text: bytes | None, first: set[bytes], later: set[bytes], k: int) -> tuple[bytes | None, int, int]:
+def clean(text: bytes, first: set[bytes], later: set[bytes], k: int) -> tuple[bytes, int, int]:
     """(text without later occurrences, lines with a word, parts removed).
 
     ``first`` are repeated windows whose first occurrence in the corpus is this text's first, ``later`` those that
     occurred before it. A part of a first occurrence stays though a later one overlaps it.
     """
-    lines = text.split(b"\n") if text else []
+    lines = text.split(b"\n")
     if not first and not later:
         return text, sum(1 for x in lines if x.strip()), 0
-    found = parts(lines)
+    found, hashes = parts([text])
     gone, stays = set(), set()
-    first = set(first)
-    for p, key in enumerate(window_keys(found, k)):
+    first, later = set(first), set(later)
+    at, keys = window_keys(np.zeros(len(found), int), hashes, k)
+    for p, key in zip(at.tolist(), _binary(keys).to_pylist(), strict=True):
         if key in first:
             first.discard(key)
-            later = later | {key}
+            later.add(key)
             stays.update(range(p, p + k))
         elif key in later:
             gone.update(range(p, p + k))
@@ -96,13 +124,13 @@ def clean(text: bytes | None, first: set[bytes], later: set[bytes], k: int) -> t
     left: dict[int, list[Part]] = {}
     for p, x in enumerate(found):
         left.setdefault(x.line, []).extend([] if p in gone else [x])
-    whole = {found[p].line for p in gone}
+    cut = {found[p].line for p in gone}
     kept = []
     for i, line in enumerate(lines):
-        if i in whole and left[i]:
+        if i in cut and left[i]:
             tokens = _TOKEN.findall(line)
             kept.append(b"".join([t for x in left[i] for t in tokens[x.start : x.end]]))
-        elif i not in whole:
+        elif i not in cut:
             kept.append(line)
     return (b"\n".join(kept) if gone else text), len(left), len(gone)
 
@@ -116,21 +144,15 @@ def repeated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int
 
     def run(batches):
         for part in C.pieces(batches):
-            keys, at, twice = [], [], []
-            for i, x in enumerate(part.column("text").cast(pa.binary()).to_pylist()):
-                seen: dict[bytes, bool] = {}
-                for key in window_keys(parts(x.split(b"\n")) if x else [], k):
-                    seen[key] = key in seen
-                keys += seen.keys()
-                twice += seen.values()
-                at += [i] * len(seen)
-            ids = part.column("doc_id").take(pa.array(at, pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), ids, pa.array(twice, pa.bool_())], ["key", "doc_id", "twice"])
-
-    windows = C.materialize(rows.mapInArrow(run, f"key binary, doc_id {dict(rows.dtypes)['doc_id']}, twice boolean"), "windows")
-    groups = windows.groupBy("key").agg(F.min("doc_id").alias("owner"), F.count("*").alias("docs"), F.max("twice").alias("inside"))
-    groups = groups.filter("docs > 1 OR inside")
-    found = C.join_groups(windows.select("key", "doc_id"), groups, "key", "docs", windows.count()).filter("docs IS NOT NULL")
+            found, hashes = parts(part.column("text").cast(pa.binary()).to_pylist())
+            texts = np.array([x.text for x in found], np.int32)
+            at, keys = window_keys(texts, hashes, k)
+            ids = part.column("doc_id").take(pa.array(texts[at]))
+            yield pa.RecordBatch.from_arrays([_binary(keys), ids], ["key", "doc_id"])
+
+    windows = C.materialize(rows.mapInArrow(run, f"key binary, doc_id {dict(rows.dtypes)['doc_id']}"), "windows")
+    groups = windows.groupBy("key").agg(F.min("doc_id").alias("owner"), F.count("*").alias("times")).filter("times > 1")
+    found = C.join_groups(windows, groups, "key", "times", windows.count()).filter("times IS NOT NULL")
     own = F.col("doc_id").eqNullSafe(F.col("owner"))
     return found.groupBy("doc_id").agg(F.collect_set(F.when(own, F.col("key"))).alias("first"), F.collect_set(F.when(~own, F.col("key"))).alias("later"))
 
@@ -158,7 +180,7 @@ def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k:
     def run(batches):
         for part in C.pieces(batches):
             mine = (part.column(c).to_pylist() for c in (first, later))
-            made = [clean(x, set(a or ()), set(b or ()), k) for x, a, b in zip(part.column(at).cast(pa.binary()).to_pylist(), *mine, strict=True)]
+            made = [(x, 0, 0) if not x else clean(x, set(a or ()), set(b or ()), k) for x, a, b in zip(part.column(at).cast(pa.binary()).to_pylist(), *mine, strict=True)]
             columns = list(part.columns)[:width]
             columns[at] = pa.array([m[0] for m in made], pa.binary()).cast(part.schema.field(at).type)
             yield pa.RecordBatch.from_arrays([*columns, *(pa.array([m[i] for m in made], pa.int64()) for i in (1, 2))], names)

@@ -174,7 +174,7 @@ WITH d AS (
   SELECT doc_id, i, unnest(range(1, len(ts) + 1)) AS j, len(ts) AS n, unnest(ts) AS token
   FROM (SELECT doc_id, i, regexp_extract_all(line, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+[\x20\x09-\x0D]*') AS ts FROM l)
 ), h AS (
-  SELECT *, substr(md5(word), 1, 8) AS h FROM (SELECT *, regexp_replace(token, '[\x20\x09-\x0D]+', '', 'g') AS word FROM t)
+  SELECT *, (('0x' || rpad(substr(hex(encode(word)), 1, 16), 16, '0'))::UBIGINT::HUGEINT * 6364136223846793005) % 18446744073709551616 AS h FROM (SELECT *, regexp_replace(token, '[\x20\x09-\x0D]+', '', 'g') AS word FROM t)
 ), c AS (
   SELECT *, n > 24 AND j > 4 AND j <= n - 4
          AND h < min(h) OVER (PARTITION BY doc_id, i ORDER BY j ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING)

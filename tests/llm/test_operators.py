@@ -467,11 +467,16 @@ def test_line_windows_inside_long_lines(spark):
 def test_parts_are_the_plain_rule(seed):
     rng = random.Random(seed)
     words = [rng.choice(["of", "the", "é", *(str(rng.random()) for _ in range(9))]).encode() for _ in range(rng.randint(25, 90))]
-    h = [hashlib.md5(w).hexdigest()[:8] for w in words]
+    h = [int.from_bytes(w[:8].ljust(8, b"\0")) * 6364136223846793005 % 2**64 for w in words]
     want = [0, *(i for i in range(4, len(h) - 4) if h[i] < min(h[i - 4 : i]) and h[i] <= min(h[i + 1 : i + 5])), len(h)]
-    got = linededup.parts([b"", b" \t", b"  " + b" \x0b".join(words), b"a  b"])
-    assert [(x.line, x.start, x.end) for x in got] == [*((2, a, b) for a, b in zip(want, want[1:], strict=False)), (3, 0, 2)]
-    assert got[-1].plain == b"a b" and b" ".join(x.plain for x in got[:-1]) == b" ".join(words)
+    got, hashes = linededup.parts([None, b"", b"\n \t\n  " + b" \x0b".join(words) + b"\na  b", b" ".join(words), b"a b"])
+    cut, n = list(zip(want, want[1:], strict=False)), len(want) - 1
+    assert got == [*((2, 2, a, b) for a, b in cut), (2, 3, 0, 2), *((3, 0, a, b) for a, b in cut), (4, 0, 0, 2)]
+    assert hashes[: n + 1].tolist() == hashes[n + 1 :].tolist()
+    at, keys = linededup.window_keys(np.array([x.text for x in got]), hashes, 3)
+    windows = max(0, n - 2)  # of the same line alone, in text 3; text 2 has a line more
+    assert at.tolist() == [*range(n - 1), *range(n + 1, n + 1 + windows)] and keys.shape[1] == linededup.KEY
+    assert keys[:windows].tolist() == keys[len(keys) - windows :].tolist() and len({bytes(k) for k in keys[: n - 1]}) == n - 1
 
 
 # token files
