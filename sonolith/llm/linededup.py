@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from . import common as C
 
 #: Lines of more words are wrapped. A part begins at a word whose rank is the least of itself and NEAR words on either
-#: side: 5 words at least, 9 on average.
+#: side. Parts have 9 words on average, 5 at least, the first of a line 4.
 LONG, NEAR = 24, 4
 #: Bytes of a window's key, and the odd factor that scatters ranks and mixes the hashes of parts.
 KEY, FACTOR = 12, 0x5851F42D4C957F2D
