@@ -73,13 +73,29 @@ def nearest_within(left: DataFrame, right: DataFrame, key: str, left_at: str, ri
     return pairs.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter("_n = 1").drop("_n")
 
 
-def assets_of_calls(calls: DataFrame, assets: DataFrame, window_s: int = 900, per_call: int = 2) -> DataFrame:
-    """At most per_call spectrogram assets within the window of each call, each asset once overall, for its first call."""
+def assets_per_call(calls: DataFrame, assets: DataFrame, window_s: int = 900, per_call: int = 2) -> DataFrame:
+    """(call_id, asset, place): the first per_call spectrogram assets within the window of each call, by time and name."""
     named = assets.filter(F.lower("asset").contains("spect"))
     pairs = interval_join(calls.select("call_id", "device_code", "call_ts"), named, "device_code", "call_ts", "asset_ts", window_s, window_s)
     w = Window.partitionBy("call_id").orderBy("asset_ts", "asset")
-    pairs = pairs.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= per_call)
-    return pairs.groupBy("asset").agg(F.min("call_id").alias("call_id"))
+    return pairs.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= per_call).select("call_id", "asset", "place")
+
+
+def assets_of_calls(calls: DataFrame, assets: DataFrame, window_s: int = 900, per_call: int = 2) -> DataFrame:
+    """At most per_call spectrogram assets within the window of each call, each asset once overall, for its first call."""
+    return assets_per_call(calls, assets, window_s, per_call).groupBy("asset").agg(F.min("call_id").alias("call_id"))
+
+
+def clips_around(clips: DataFrame, by: str = "device_code", order: str = "clip_start") -> DataFrame:
+    """clips with ``previous`` and ``next``: the clips of the device before and after in time, however far, null at its ends."""
+    w = Window.partitionBy(by).orderBy(order, "clip_id")
+    return clips.withColumn("previous", F.lag("clip_id").over(w)).withColumn("next", F.lead("clip_id").over(w))
+
+
+def labelled_windows(calls: DataFrame, negatives: DataFrame) -> DataFrame:
+    """(clip_id, start, end, label): windows of calls with label 1 and call-free ones with label 0, none merged."""
+    positive = calls.select("clip_id", F.col("begin_s").alias("start"), F.col("end_s").alias("end"), F.lit(1).alias("label"))
+    return positive.unionByName(negatives.select("clip_id", "start", "end", F.lit(0).alias("label")))
 
 
 def stitched(signals: DataFrame, pad: int, by: str = "device_code", order: str = "t", samples: str = "samples", fs: str = "fs") -> DataFrame:

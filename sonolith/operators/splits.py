@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .intervals import gap_clusters
-from .ranking import global_rank, hash_key, unit
+from .ranking import global_rank, hash_key, top_per_group, unit
 
 RATIOS = (0.7, 0.15)
 
@@ -16,22 +16,41 @@ def _by_rank(rank: Column, n: Column, ratios: tuple[float, float]) -> Column:
     return F.when(rank <= train, "train").when(rank <= train + val, "val").otherwise("test")
 
 
+def stratum_firsts(calls: DataFrame, each: int, strata: list[str], row: str = "call_id", seed: str = "sample") -> DataFrame:
+    """The first rows of each stratum in hash order, so many at most."""
+    return top_per_group(calls.withColumn("_h", hash_key(seed, F.col(row))), strata, ["_h"], each).drop("_h")
+
+
+def not_sampled(calls: DataFrame, sampled: DataFrame, row: str = "call_id") -> DataFrame:
+    """Rows of calls whose id isn't in the sample."""
+    return calls.join(sampled.select(row), row, "left_anti").select(*calls.columns)
+
+
+def sample_rounds(calls: DataFrame, n: int, strata: list[str], row: str = "call_id", seed: str = "sample") -> DataFrame:
+    """n rows with ``round``: 0 for the max(1, n // strata) of each stratum in hash order, 1 for those of the rest that
+    fill up, in hash order."""
+    each = max(1, n // max(1, calls.select(*strata).distinct().count()))
+    first = stratum_firsts(calls, each, strata, row, seed)
+    extra = not_sampled(calls, first, row).orderBy(hash_key(seed, F.col(row))).limit(n)
+    both = first.withColumn("round", F.lit(0)).unionByName(extra.withColumn("round", F.lit(1)))
+    return both.orderBy("round", hash_key(seed, F.col(row))).limit(n)
+
+
 def stratified_sample(calls: DataFrame, n: int, strata: list[str], row: str = "call_id", seed: str = "sample") -> DataFrame:
     """n rows: max(1, n // strata) of each stratum in hash order, then the first of the rest in hash order."""
-    keyed = calls.withColumn("_h", hash_key(seed, F.col(row)))
-    each = max(1, n // max(1, calls.select(*strata).distinct().count()))
-    w = Window.partitionBy(*strata).orderBy("_h")
-    first = keyed.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= each).drop("_n").withColumn("_round", F.lit(0))
-    rest = keyed.join(first.select(row), row, "left_anti").withColumn("_round", F.lit(1))
-    rest = rest.orderBy("_h").limit(n)
-    return first.unionByName(rest).orderBy("_round", "_h").limit(n).drop("_h", "_round")
+    return sample_rounds(calls, n, strata, row, seed).drop("round")
+
+
+def class_ranks(entries: DataFrame, seed: str = "split") -> DataFrame:
+    """entries with ``rank``, from 1 in hash order within their label, and ``size``, the rows of the label."""
+    ranked = global_rank(entries.withColumn("_h", hash_key(seed, F.col("spec_id"))), ["label"], "_h").drop("_h")
+    return ranked.join(entries.groupBy("label").agg(F.count("*").alias("size")), "label")
 
 
 def ratio_split(entries: DataFrame, ratios: tuple[float, float] = RATIOS, seed: str = "split") -> DataFrame:
     """Per label the first int(n * train) rows by hash, then int(n * val), the rest test."""
-    ranked = global_rank(entries.withColumn("_h", hash_key(seed, F.col("spec_id"))), ["label"], "_h")
-    sizes = entries.groupBy("label").agg(F.count("*").alias("_size"))
-    return ranked.join(sizes, "label").withColumn("split", _by_rank(F.col("rank"), F.col("_size"), ratios)).drop("_h", "_size", "rank")
+    ranked = class_ranks(entries, seed)
+    return ranked.withColumn("split", _by_rank(F.col("rank"), F.col("size"), ratios)).drop("size", "rank")
 
 
 def source_split(entries: DataFrame, ratios: tuple[float, float] = RATIOS, seed: str = "source") -> DataFrame:

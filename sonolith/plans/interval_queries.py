@@ -42,15 +42,32 @@ def _(t):
     return I.free_gaps(t.clips, t.calls, 2.0).filter(F.col("end") - F.col("start") >= 40).select("clip_id", "gap")
 
 
-@query("smp_5_negative_windows", "calls clips", f"""WITH {_GAPS},
-cand AS (SELECT clip_id, gap, i, start + i * 32.0::DOUBLE AS s FROM gaps, unnest(range(0, CASE WHEN "end" - start >= 40 THEN floor(("end" - start - 40) / 32)::BIGINT + 1 ELSE 0 END)) AS u(i)),
+_NEGATIVES = _GAPS + """,
+cand AS (SELECT clip_id, gap, i, start + i * 32.0::DOUBLE AS s FROM gaps,
+         unnest(range(0, CASE WHEN "end" - start >= 40 THEN floor(("end" - start - 40) / 32)::BIGINT + 1 ELSE 0 END)) AS u(i)),
 kk AS (SELECT clip_id, count(*) AS k FROM calls GROUP BY clip_id),
-pick AS (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY md5('neg|' || clip_id || '|' || gap::VARCHAR || '|' || i::VARCHAR)) AS r FROM cand)
-SELECT clip_id, row_number() OVER (PARTITION BY clip_id ORDER BY s)::INT AS n, s AS start, s + 40 AS "end" FROM pick JOIN kk USING (clip_id) WHERE r <= k""")
+pick AS (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY md5('neg|' || clip_id || '|' || gap::VARCHAR || '|' || i::VARCHAR)) AS r FROM cand),
+negatives AS (SELECT clip_id, row_number() OVER (PARTITION BY clip_id ORDER BY s)::INT AS n, s AS start, s + 40 AS "end"
+              FROM pick JOIN kk USING (clip_id) WHERE r <= k)"""
+
+
+@query("smp_5_negative_windows", "calls clips", f"WITH {_NEGATIVES} SELECT * FROM negatives")
 def _(t):
     return I.negative_windows(t.clips, t.calls)
 
 
+@query("set_3_labelled_windows", "calls clips", f"""WITH {_NEGATIVES}
+SELECT clip_id, begin_s AS start, end_s AS "end", 1 AS label FROM calls UNION ALL SELECT clip_id, start, "end", 0 FROM negatives""")
+def _(t):
+    return I.labelled_windows(t.calls, I.negative_windows(t.clips, t.calls))
+
+
+@query("win_7_clips_around", "calls clips", """SELECT clip_id, lag(clip_id) OVER w AS previous, lead(clip_id) OVER w AS next
+FROM clips WINDOW w AS (PARTITION BY device_code ORDER BY clip_start, clip_id)""")
+def _(t):
+    return I.clips_around(t.clips).select("clip_id", "previous", "next")
+
+
 @query("win_9_gap_to_next", "calls", "SELECT call_id, lead(begin_s) OVER (PARTITION BY clip_id ORDER BY begin_s, call_id) - begin_s AS gap FROM calls")
 def _(t):
     return I.gaps_to_next(t.calls, "clip_id", "begin_s").select("call_id", "gap")
@@ -97,6 +114,14 @@ def _(t):
     return I.assets_of_calls(t.calls.filter("call_type <> 'view'"), t.assets)
 
 
+@query("ord_5_two_assets", "calls assets", """SELECT call_id, asset, place FROM (
+SELECT call_id, asset, row_number() OVER (PARTITION BY call_id ORDER BY asset_ts, asset)::INT AS place FROM calls c JOIN assets a
+ON a.device_code = c.device_code AND contains(lower(asset), 'spect') AND asset_ts BETWEEN call_ts - INTERVAL 900 SECOND AND call_ts + INTERVAL 900 SECOND
+WHERE call_type <> 'view') WHERE place <= 2""")
+def _(t):
+    return I.assets_per_call(t.calls.filter("call_type <> 'view'"), t.assets)
+
+
 @query("join_8_split_join_back", "calls entries", f"""WITH so AS (SELECT src_id, {_SPLIT} AS split FROM (SELECT src_id, row_number() OVER (ORDER BY md5('source|' || src_id)) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT src_id FROM entries)))
 SELECT spec_id, split FROM entries JOIN so USING (src_id)""")
 def _(t):
@@ -133,6 +158,27 @@ def _(t):
     return P.stratified_sample(t.calls, 300, ["device_code", "call_type"]).select("call_id")
 
 
+_SAMPLED = """r AS (SELECT call_id, md5('sample|' || call_id::VARCHAR) AS h,
+      row_number() OVER (PARTITION BY device_code, call_type ORDER BY md5('sample|' || call_id::VARCHAR)) AS n FROM calls)"""
+
+
+@query("join_10_not_sampled", "calls", f"WITH {_SAMPLED} SELECT call_id FROM r WHERE n > 15")
+def _(t):
+    return P.not_sampled(t.calls, P.stratum_firsts(t.calls, 15, ["device_code", "call_type"])).select("call_id")
+
+
+@query("set_2_sample_and_extra", "calls", f"""WITH {_SAMPLED}, k AS (SELECT greatest(1, 310 // count(*)) AS each FROM (SELECT DISTINCT device_code, call_type FROM calls))
+SELECT call_id, round FROM (SELECT call_id, (n > each)::INT AS round, row_number() OVER (ORDER BY (n > each), h) AS place FROM r, k) WHERE place <= 310""")
+def _(t):
+    return P.sample_rounds(t.calls, 310, ["device_code", "call_type"]).select("call_id", "round")
+
+
+@query("win_4_class_ranks", "calls entries", """SELECT spec_id, label, row_number() OVER (PARTITION BY label ORDER BY md5('split|' || spec_id::VARCHAR)) AS rank,
+count(*) OVER (PARTITION BY label) AS size FROM entries""")
+def _(t):
+    return P.class_ranks(t.entries).select("spec_id", "label", "rank", "size")
+
+
 @query("smp_2_ratio_split", "calls entries", f"WITH {_RATIO} SELECT spec_id, label, split FROM sp")
 def _(t):
     return P.ratio_split(t.entries).select("spec_id", "label", "split")
