@@ -26,6 +26,8 @@ from . import common as C
 
 FOLDS = 5
 SCALE = 10.0
+#: Bytes of a word at most that a worker remembers, so that its cache is bounded in bytes.
+CACHED_WORD = 64
 _EDGES = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~¡¿«»“”‘’…"
 
 
@@ -75,9 +77,11 @@ class Model:
             for w in words:
                 i = known.get(w)
                 if i is None:
-                    if len(known) >= 500_000:
-                        known.clear()
-                    i = known[w] = lookup.get(word_hash(w), -1)
+                    i = lookup.get(word_hash(w), -1)
+                    if len(w) <= CACHED_WORD:
+                        if len(known) >= 500_000:
+                            known.clear()
+                        known[w] = i
                 if i >= 0:
                     at.append(i)
             which, count = np.unique(np.array(at, np.int64), return_counts=True)
