@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, exact, linededup, mixing, nearjoin, pii, quality, tokenbin, toxicity, warc
+from . import bpe, common, exact, linededup, mixing, nearjoin, pii, quality, spelling, tokenbin, toxicity, warc, whitening
 
 
 def op1_nonnegative_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,6 +215,51 @@ def op10_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.round_trip(common.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(common.table(spark, sf_dir, "documents"))
+
+
+#: crc32 by its table of 256 numbers, folded over the bytes of "doc_id:run". Near words share a copy with one letter left
+#: out at the same place, or one is the other's copy.
+OP11_SQL = r"""
+WITH RECURSIVE t AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS tab
+), r AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]{7,}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents
+), b AS (
+  SELECT run, hex(encode(id || ':' || run)) AS x FROM r
+), h AS (
+  SELECT run, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(x), 2), lambda i: ('0x' || substr(x, i, 2))::BIGINT)),
+         lambda c, y: xor(c // 256, tab[xor(c % 256, y) + 1]))) AS h FROM b, t
+), w AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM h
+), v AS (
+  SELECT word, count(*) AS n FROM w WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2
+), c AS (
+  SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS short FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM v)
+), p AS (
+  SELECT a.word AS u, b.word AS v, b.n AS n FROM c a JOIN c b ON a.short = b.short AND a.i = b.i AND a.word <> b.word
+  UNION
+  SELECT a.word, v.word, v.n FROM c a JOIN v ON a.short = v.word
+  UNION
+  SELECT v.word, a.word, a.n FROM c a JOIN v ON a.short = v.word
+), g AS (
+  SELECT u AS word, count(*) AS n_near, max(n) AS top, arg_min(v, (-n, v)) AS best FROM p GROUP BY u
+), f AS (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 10 * v.n THEN best END AS form, CASE WHEN top >= 10 * v.n THEN top END AS form_n FROM v LEFT JOIN g USING (word)
+), o AS (
+  SELECT word, word AS at, form AS onward FROM f
+  UNION ALL
+  SELECT o.word, f.word, f.form FROM o JOIN f ON o.onward = f.word
+)
+SELECT f.word, f.form, o.at AS root, f.n, f.n_near, f.form_n FROM f JOIN o ON f.word = o.word AND o.onward IS NULL
+"""
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(common.table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_nonnegative_pu": op1_nonnegative_pu,
     "op2_chosen_path": op2_chosen_path,
@@ -226,6 +271,8 @@ QUERIES = {
     "op8_quality_cascade": op8_quality_cascade,
     "op9_line_windows": op9_line_windows,
     "op10_repair_tokens": op10_repair_tokens,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op13_whitening": op13_whitening,
 }
 ORACLE_SQL = {
     "op3_pareto_mix": _op3_sql(),
@@ -233,4 +280,5 @@ ORACLE_SQL = {
     "op6_chunk_recipes": OP6_SQL,
     "op8_quality_cascade": OP8_SQL,
     "op9_line_windows": OP9_SQL,
+    "op11_spelling_variants": OP11_SQL,
 }
