@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, exact, linededup, mixing, nearjoin, pii, quality, spelling, tokenbin, toxicity, warc, whitening
+from . import bpe, common, exact, linededup, mixing, nearjoin, packing, pii, quality, spelling, tokenbin, toxicity, warc, whitening
 
 
 def op1_nonnegative_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -256,6 +256,10 @@ SELECT f.word, f.form, o.at AS root, f.n, f.n_near, f.form_n FROM f JOIN o ON f.
 """
 
 
+def op12_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.report(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(common.table(spark, sf_dir, "embeddings"))
 
@@ -272,6 +276,7 @@ QUERIES = {
     "op9_line_windows": op9_line_windows,
     "op10_repair_tokens": op10_repair_tokens,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_retrieval_packing": op12_retrieval_packing,
     "op13_whitening": op13_whitening,
 }
 ORACLE_SQL = {

@@ -26,9 +26,12 @@ _LOWER[0x41:0x5B] += 32
 #: The lead byte of À to ÿ, of which all but the two signs at 0x97 and 0xB7 are letters.
 _LATIN = 0xC3
 _PLAIN = re.compile(rb"(?:[!-~]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch
-#: How the library's byte-level alphabet writes each byte: printable ones as themselves, the rest from U+0100 on.
-_SHOWN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-_ALPHABET = {b: chr(0x100 + i) for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+#: How the library's byte-level alphabet writes each byte: printable ones as themselves, the rest from U+0100 on; the line
+#: break, which stands between pieces, stays.
+_SHOWN = np.arange(256, dtype="<u4")
+_HIDDEN = [*range(0x21), *range(0x7F, 0xA1), 0xAD]
+_SHOWN[_HIDDEN] = np.arange(0x100, 0x100 + len(_HIDDEN))
+_SHOWN[0x0A] = 0x0A
 #: Longer pieces are encoded each time they occur, so that a table's size is bounded by its number of entries.
 LONGEST = 256
 
@@ -95,7 +98,14 @@ def cut(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, pa.Array]:
 
 
 class WordEncoder:
-    """encode() gives what the library gives for each whole text without special tokens."""
+    """encode() gives what the library gives for each whole text without special tokens.
+
+    ``cut`` cuts texts where the library's pieces surely end. Pieces that match ``plain`` the library doesn't cut further, so
+    its model takes them at once; the others go through all its steps.
+    """
+
+    cut = staticmethod(cut)
+    plain = staticmethod(_PLAIN)
 
     def __init__(self, path: str, cached: int = 1_000_000):
         self.tokenizer = Tokenizer.from_file(path)
@@ -112,13 +122,11 @@ class WordEncoder:
     def _library(self, texts: list[bytes]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False)]
 
-    def _fresh(self, pieces: list[bytes]) -> list[list[int]]:
-        """Ids of pieces: whole ones go to the library's model at once, odd ones through all its steps."""
-        plain = [_PLAIN(p) is not None for p in pieces]
+    def _modelled(self, pieces: list[bytes]) -> list[list[int]]:
+        """Ids of plain pieces, from the library's model alone."""
         tokenize = self.tokenizer.model.tokenize
-        odd = iter(self._library([p for p, x in zip(pieces, plain, strict=True) if not x]))
-        shown = (p.decode() if p.isascii() else p.decode("latin-1").translate(_ALPHABET) for p in pieces)
-        return [[t.id for t in tokenize(c)] if x else next(odd) for c, x in zip(shown, plain, strict=True)]
+        shown = _SHOWN[np.frombuffer(b"\n".join(pieces), np.uint8)].tobytes().decode("utf-32-le").split("\n") if pieces else []
+        return [[t.id for t in tokenize(c)] for c in shown]
 
     def _room(self, name: str, least: int) -> None:
         held = getattr(self, name)
@@ -127,19 +135,25 @@ class WordEncoder:
 
     def _add(self, keys: list[bytes]) -> np.ndarray:
         """Entries of the table for keys; long ones are added but not remembered."""
-        made = self._fresh(keys)
-        sizes = np.fromiter(map(len, made), np.int32, len(made))
+        plain = np.fromiter((self.plain(k) is not None for k in keys), bool, len(keys))
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        keys = [keys[i] for i in order.tolist()]
+        n = int(plain.sum())
+        made = self._modelled(keys[:n]) + self._library(keys[n:])
+        sizes = np.fromiter(map(len, made), np.int64, len(made))
         total = int(sizes.sum())
-        self._room("starts", self.used + len(made))
-        self._room("counts", self.used + len(made))
+        self._room("starts", self.used + len(keys))
+        self._room("counts", self.used + len(keys))
         self._room("ids", self.size + total)
-        entry = np.arange(self.used, self.used + len(made))
+        entry = np.arange(self.used, self.used + len(keys))
         self.counts[entry] = sizes
         self.starts[entry] = self.size + np.cumsum(sizes) - sizes
         self.ids[self.size : self.size + total] = np.fromiter(chain.from_iterable(made), np.uint32, total)
         self.known.update((k, e) for k, e in zip(keys, entry.tolist(), strict=True) if len(k) <= LONGEST)
-        self.used, self.size = self.used + len(made), self.size + total
-        return entry
+        self.used, self.size = self.used + len(keys), self.size + total
+        out = np.empty(len(keys), np.int64)
+        out[order] = entry
+        return out
 
     def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of each); null texts count as empty, end_id ends each text."""
@@ -147,7 +161,7 @@ class WordEncoder:
         data = raw.tobytes()
         if any(s in data for s in self.special):
             return self._with_special(data, at, end_id)
-        where, pieces = cut(raw, at)
+        where, pieces = self.cut(raw, at)
         coded = pieces.dictionary_encode()
         keys = coded.dictionary.to_pylist()
         if self.used > self.cached or self.size > 8 * self.cached:
@@ -183,7 +197,44 @@ class WordEncoder:
         return np.concatenate(out), np.concatenate(sizes)
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str) -> WordEncoder:
+#: Last bytes of white space that isn't ASCII; after a byte 0xC3 they end a letter.
+_UNSURE = np.zeros(256, bool)
+_UNSURE[[*range(0x1C, 0x20), *range(0x80, 0x8B), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF]] = True
+
+
+def cut_bytes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """(start of each piece, the pieces), all bytes kept: cut before white space, behind a single line break or tab, and
+    between letters, digits and what follows them, letters being those of ASCII and Latin-1.
+
+    For a byte-level tokenizer that joins one space to the word behind it and lets an apostrophe join letters behind it.
+    Where white space may go on before the cut, in other characters, nothing is cut.
+    """
+    kind = _KIND[raw]
+    lead = np.flatnonzero(raw == _LATIN)
+    lead = lead[(raw[lead + 1] != 0x97) & (raw[lead + 1] != 0xB7)]
+    kind[lead] = kind[lead + 1] = _LETTER
+    start = np.zeros(len(raw) + 1, bool)
+    here, before = kind[1:], kind[:-1]
+    start[1:-1] = ((before == _LETTER) | (before == _DIGIT)) & (here != before) & (here != _ODD)
+    # a single white-space character but the space stands alone
+    start[2:-1] |= (before[1:] == _SPACE) & (raw[1:-1] != 0x20) & (here[1:] < _ODD) & (here[1:] != _SPACE) & (before[:-1] < _ODD) & (before[:-1] != _SPACE)
+    space = np.flatnonzero((here == _SPACE) & (before != _SPACE)) + 1
+    sure = ~_UNSURE[raw[space - 1]] | ((raw[space - 1] >= 0x80) & (raw[np.maximum(space - 2, 0)] == _LATIN))
+    start[space] = sure
+    start[at] = True
+    where = np.flatnonzero(start[:-1])
+    offsets = np.append(where, len(raw)).astype(np.int32)
+    return where, pa.Array.from_buffers(pa.binary(), len(where), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(raw))])
+
+
+class ByteEncoder(WordEncoder):
+    """The same for byte-level files, whose pieces keep their case and the space before them."""
+
+    cut = staticmethod(cut_bytes)
+    plain = staticmethod(re.compile(rb" ?(?:(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+|[0-9]+|[!-/:-@\[-`{-~])").fullmatch)
+
+
+@lru_cache(maxsize=4)
+def encoder(path: str, kind: type[WordEncoder] = WordEncoder) -> WordEncoder:
     """One per Python worker, so its table outlives a task."""
-    return WordEncoder(path)
+    return kind(path)
