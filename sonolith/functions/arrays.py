@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .scalars import hash_key, unit
+
 
 def oriented(p: Column, f: Column, t: Column) -> Column:
     """p with one row per frequency: transposed if it has one per time instead."""
@@ -44,13 +46,24 @@ def crop_start(length: Column, crop: int, positive: Column) -> Column:
     return F.greatest(F.lit(0), F.least(start, length - crop)).cast("int")
 
 
-def jittered_start(length: Column, crop: int, u1: Column, u2: Column, positive: Column, bias: float = 0.5) -> Column:
-    """crop_start with the middle frame at a Gaussian fraction of the crop (sd bias / 2, cut to [0, 1]); uniform for
-    negatives. u1 and u2 are uniform numbers."""
-    gauss = F.sqrt(-2 * F.log(1 - u1)) * F.cos(2 * math.pi * u2)
-    fraction = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.5 + 0.5 * bias * gauss))
-    start = F.when(positive, F.rint(F.floor(length / 2) - fraction * crop)).otherwise(F.floor(u1 * F.greatest(F.lit(1), length - crop + 1)))
-    return F.greatest(F.lit(0), F.least(start, length - crop)).cast("int")
+def jittered_start(length: Column, crop: int, key: Column, positive: Column, bias: float = 0.25, tries: int = 10) -> Column:
+    """First frame of a crop that varies with ``key``: 0 where the matrix is no longer than the crop.
+
+    For positives the middle frame lies at a fraction of the crop that is normal around 0.5 with deviation bias / 2,
+    truncated to [0, 1]: the first of so many draws inside it, else 0.5. Negatives start anywhere, all starts alike.
+    Draws are made from md5 of the key and their number.
+    """
+    draw = lambda *name: unit(hash_key("jitter", key, *name))
+    sigma = max(1e-3, bias) * 0.5
+
+    def fraction(i: Column) -> Column:
+        gauss = F.sqrt(-2 * F.log(1 - draw(i, F.lit("r")))) * F.cos(2 * math.pi * draw(i, F.lit("a")))
+        return 0.5 + sigma * gauss
+
+    inside = F.filter(F.transform(F.sequence(F.lit(0), F.lit(tries - 1)), fraction), lambda f: f.between(0.0, 1.0))
+    at = F.coalesce(F.get(inside, F.lit(0)), F.lit(0.5))
+    start = F.when(positive, F.rint(F.floor(length / 2) - at * max(1, crop - 1))).otherwise(F.floor(draw(F.lit("n")) * (length - crop + 1)))
+    return F.when(length <= crop, 0).otherwise(F.greatest(F.lit(0), F.least(start, length - crop))).cast("int")
 
 
 def fit_row(r: Column, start: Column, crop: int) -> Column:
@@ -86,9 +99,11 @@ def stretch(x: Column, low: Column, high: Column) -> Column:
 
 
 def frame_spectrum(frame: Column, n: int) -> Column:
-    """One-sided power of a Hann-windowed frame of n samples, by the DFT sum."""
-    window = [0.5 - 0.5 * math.cos(2 * math.pi * i / n) for i in range(n)]
-    wave = F.transform(frame, lambda x, i: x * F.element_at(F.array(*map(F.lit, window)), i + 1))
+    """One-sided power of a Hann-windowed frame of n samples, by the DFT sum.
+
+    n / 2 passes over n samples: an exact check of short frames; ``spectra.band_spectrum`` is for real ones.
+    """
+    wave = F.transform(frame, lambda x, i: x * (0.5 - 0.5 * F.cos(i * (2 * math.pi / n))))
 
     def bin_power(k: Column) -> Column:
         turn = lambda g: F.aggregate(F.transform(wave, lambda x, i: x * g(i * k * (2 * math.pi / n))), F.lit(0.0), lambda a, b: a + b)

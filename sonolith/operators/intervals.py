@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import hash_key
+from .ranking import hash_key, unit
 
 
 def merged_intervals(calls: DataFrame, margin: float, length: Column | float, key: str = "clip_id") -> DataFrame:
@@ -29,20 +29,34 @@ def free_gaps(clips: DataFrame, calls: DataFrame, margin: float, key: str = "cli
     return gaps.select(key, F.row_number().over(Window.partitionBy(key).orderBy("s")).alias("gap"), F.col("s").alias("start"), F.col("e").alias("end"))
 
 
-def negative_windows(clips: DataFrame, calls: DataFrame, context: float = 40.0, margin: float = 2.0, per_call: int = 1, seed: str = "neg") -> DataFrame:
-    """Up to calls * per_call call-free windows of context seconds per clip, any two overlapping by 20 % at most.
+def negative_windows(clips: DataFrame, calls: DataFrame, context: float = 40.0, margin: float = 2.0, per_call: int = 1, seed: str = "neg", tries: int = 5) -> DataFrame:
+    """Up to k = calls * per_call call-free windows of context seconds per clip, any two overlapping by 20 % at most.
 
-    Candidates stand on a grid of 0.8 * context in each gap that holds one; hash order picks. (clip_id, n, start, end)
+    tries * k draws are made: each picks a gap of context seconds at least, by its length, and a start anywhere in it, and
+    is kept unless it overlaps one kept before by more. Draws are made from md5 of the clip and their number. A clip's gaps and
+    windows are one row, of no more than its length has room for. (clip_id, n, start, end), n by start
     """
-    step = 0.8 * context
-    gaps = free_gaps(clips, calls, margin).filter(F.col("end") - F.col("start") >= context)
-    grid = F.sequence(F.lit(0), F.floor((F.col("end") - F.col("start") - context) / step).cast("int"))
-    c = gaps.select("clip_id", "gap", "start", F.explode(grid).alias("i")).withColumn("s", F.col("start") + F.col("i") * step)
+    wide = free_gaps(clips, calls, margin).filter(F.col("end") - F.col("start") >= context)
+    upto = Window.partitionBy("clip_id").orderBy("gap").rowsBetween(Window.unboundedPreceding, 0)
+    wide = wide.withColumn("upto", F.sum(F.col("end") - F.col("start")).over(upto))
+    gaps = wide.groupBy("clip_id").agg(F.array_sort(F.collect_list(F.struct("upto", "start", "end"))).alias("gaps"))
     wanted = calls.groupBy("clip_id").agg((F.count("*") * per_call).alias("k"))
-    by_hash = Window.partitionBy("clip_id").orderBy(hash_key(seed, F.col("clip_id"), F.col("gap"), F.col("i")))
-    kept = c.withColumn("r", F.row_number().over(by_hash)).join(wanted, "clip_id").filter("r <= k")
-    n = F.row_number().over(Window.partitionBy("clip_id").orderBy("s"))
-    return kept.select("clip_id", n.alias("n"), F.col("s").alias("start"), (F.col("s") + context).alias("end"))
+    draw = lambda i, name: unit(hash_key(seed, F.col("clip_id"), i, F.lit(name)))
+
+    def placed(i: Column) -> Column:
+        total = F.element_at("gaps", -1)["upto"]
+        gap = F.coalesce(F.get(F.filter("gaps", lambda g: g["upto"] > draw(i, "gap") * total), F.lit(0)), F.element_at("gaps", -1))
+        return gap["start"] + draw(i, "start") * (gap["end"] - context - gap["start"])
+
+    def kept(held: Column, i: Column) -> Column:
+        free = lambda s: ~F.exists(held, lambda x: context - F.abs(x - s) > 0.2 * context)
+        one = F.filter(F.array(placed(i)), free)
+        return F.when(F.size(held) < F.col("k"), F.concat(held, one)).otherwise(held)
+
+    attempts = F.sequence(F.lit(1).cast("long"), F.col("k") * tries)
+    starts = gaps.join(wanted, "clip_id").select("clip_id", F.array_sort(F.aggregate(attempts, F.array().cast("array<double>"), kept)).alias("s"))
+    w = starts.select("clip_id", F.posexplode("s").alias("n", "start"))
+    return w.select("clip_id", (F.col("n") + 1).alias("n"), "start", (F.col("start") + context).alias("end"))
 
 
 def interval_join(left: DataFrame, right: DataFrame, key: str, left_at: str, right_at: str, before_s: int, after_s: int) -> DataFrame:

@@ -5,17 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import hash_key, unit
 from ..session import materialize
 
-
-def hash_key(seed: str, *keys: Column) -> Column:
-    """md5(seed|key): an order that looks random and is the same in every run and engine."""
-    return F.md5(F.concat_ws("|", F.lit(seed), *[k.cast("string") for k in keys]))
-
-
-def unit(key: Column) -> Column:
-    """First 13 hex digits of a hash as a number from 0 to below 1."""
-    return F.conv(F.substring(key, 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+__all__ = ["global_rank", "hash_key", "numbered", "prefix_counts", "sorted_places", "top_per_group", "unit"]
 
 
 def top_per_group(df: DataFrame, by: list[str], order: list, n: int) -> DataFrame:

@@ -11,27 +11,33 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 
 
-def with_metadata(scores: DataFrame, catalogue: DataFrame, key: str = "file_id") -> DataFrame:
-    """Scores with the catalogue row of their id, else of the id before its last _win; ``meta`` is null if neither is."""
+def with_metadata(scores: DataFrame, catalogue: DataFrame, key: str = "file_id", order: list[str] | None = None) -> DataFrame:
+    """Scores with the catalogue row of their id, else of the id before its last _win; ``meta`` is null if neither is.
+
+    Of catalogue rows with one id the last by ``order`` counts (by all their columns where none is given).
+    """
     cols = [c for c in catalogue.columns if c != key]
-    row = F.struct(*cols)
-    exact = catalogue.select(F.col(key).alias("_exact"), row.alias("_m1"))
-    base = catalogue.select(F.col(key).alias("_base"), row.alias("_m2"))
+    last = catalogue.groupBy(key).agg(F.max_by(F.struct(*cols), F.struct(*(order or cols))).alias("_m"))
+    exact = last.select(F.col(key).alias("_exact"), F.col("_m").alias("_m1"))
+    base = last.select(F.col(key).alias("_base"), F.col("_m").alias("_m2"))
     j = scores.withColumn("_b", S.base_id(F.col(key)))
     j = j.join(exact, j[key] == F.col("_exact"), "left").join(base, F.col("_b") == F.col("_base"), "left")
     return j.withColumn("meta", F.coalesce("_m1", "_m2")).drop("_exact", "_base", "_m1", "_m2", "_b")
 
 
-def upsert_labels(predictions: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFrame]:
+def upsert_labels(predictions: DataFrame, updates: DataFrame, order: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(predictions with the latest update per id, updates of unknown ids). updates: file_id, label, reviewer, at.
 
-    An update sets label, reviewer and time together; predictions without one keep all three.
+    An update sets label, reviewer and time together; predictions without one keep all three. Of predictions with one id
+    the first by ``order`` takes it (by all their columns where none is given), the others stay as they are.
     """
     latest = updates.groupBy("file_id").agg(F.max_by(F.struct("label", "reviewer", "at"), F.struct("at", "label")).alias("_u"))
-    out = predictions.join(latest, "file_id", "left")
+    w = Window.partitionBy("file_id").orderBy(*(order or [c for c in predictions.columns if c != "file_id"]))
+    out = predictions.withColumn("_n", F.row_number().over(w)).join(latest, "file_id", "left")
+    takes = F.col("_u").isNotNull() & (F.col("_n") == 1)
     for column, field in (("expert_label", "label"), ("expert_reviewer", "reviewer"), ("review_timestamp", "at")):
-        out = out.withColumn(column, F.when(F.col("_u").isNotNull(), F.col("_u")[field]).otherwise(F.col(column)))
-    return out.drop("_u"), updates.join(predictions, "file_id", "left_anti")
+        out = out.withColumn(column, F.when(takes, F.col("_u")[field]).otherwise(F.col(column)))
+    return out.drop("_u", "_n"), updates.join(predictions, "file_id", "left_anti")
 
 
 def number_rounds(verifications: DataFrame, existing: Column, item: str = "item_id", at: str = "verified_at") -> DataFrame:

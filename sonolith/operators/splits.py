@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .intervals import gap_clusters
-from .ranking import global_rank, hash_key, top_per_group, unit
+from .ranking import global_rank, hash_key, prefix_counts, top_per_group, unit
 
 RATIOS = (0.7, 0.15)
 
@@ -63,10 +64,28 @@ def source_split(entries: DataFrame, ratios: tuple[float, float] = RATIOS, seed:
 
 
 def time_split(entries: DataFrame, gap: float, ratios: tuple[float, float] = RATIOS, seed: str = "time") -> DataFrame:
-    """Clusters of entries closer than gap go to one split each, so no two splits of a source come closer."""
-    u = unit(hash_key(seed, F.col("src_id"), F.col("cluster")))
-    split = F.when(u < ratios[0], "train").when(u < ratios[0] + ratios[1], "val").otherwise("test")
-    return gap_clusters(entries, gap).withColumn("split", split)
+    """Clusters of entries closer than gap go to one split each, so no two splits of a source come closer.
+
+    Clusters of each kind (one label, the other, both) are laid in hash order, and cut where their rows reach the ratios: a
+    split is within a cluster of its ratio in every kind. Of three clusters or more each split gets one at least, of
+    two train and val. Running sums take two levels, buckets of the hash and clusters inside.
+    """
+    e = gap_clusters(entries, gap)
+    c = e.groupBy("src_id", "cluster").agg(F.count("*").alias("size"), (F.min("label") + F.max("label")).alias("_kind"))
+    c = c.withColumn("_h", hash_key(seed, F.col("src_id"), F.col("cluster"))).withColumn("_bucket", F.substring("_h", 1, 3))
+    before = prefix_counts(c, ["_kind"], "_bucket", {"rows": F.col("size"), "clusters": F.lit(1)}).select("_kind", "_bucket", "rows_before", "clusters_before")
+    w = Window.partitionBy("_kind", "_bucket").orderBy("_h", "src_id", "cluster").rowsBetween(Window.unboundedPreceding, 0)
+    c = c.withColumn("_rows", F.sum("size").over(w) - F.col("size")).withColumn("_place", F.count("*").over(w)).join(F.broadcast(before), ["_kind", "_bucket"])
+    c = c.select("src_id", "cluster", "_kind", "size", (F.col("_rows") + F.col("rows_before")).alias("_before"), (F.col("_place") + F.col("clusters_before")).alias("_r"))
+    c = materialize(c, "clusters")
+    whole = c.groupBy("_kind").agg(F.sum("size").alias("_n"), F.count("*").alias("_c"))
+    train = c.join(F.broadcast(whole), "_kind").filter(F.col("_before") < ratios[0] * F.col("_n")).groupBy("_kind").agg(F.count("*").alias("_t"))
+    whole = whole.join(train, "_kind", "left").withColumn("_t", F.least(F.coalesce("_t", F.lit(0)), F.greatest(F.lit(1), F.col("_c") - 2)))
+    c = c.join(F.broadcast(whole), "_kind")  # one row per kind
+    last = F.when(F.col("_c") > 2, "test").otherwise("val")
+    middle = (F.col("_r") == F.col("_t") + 1) | (F.col("_before") < (ratios[0] + ratios[1]) * F.col("_n"))
+    split = F.when(F.col("_r") <= F.col("_t"), "train").when(F.col("_r") == F.col("_c"), last).when(middle, "val").otherwise("test")
+    return e.join(c.select("src_id", "cluster", split.alias("split")), ["src_id", "cluster"]).select(*e.columns, "split")
 
 
 def split_counts(entries: DataFrame) -> DataFrame:
@@ -84,10 +103,12 @@ def leaked_sources(entries: DataFrame) -> DataFrame:
 def gap_violations(entries: DataFrame, gap: float) -> DataFrame:
     """Pairs of one source in different splits whose centres are closer than gap.
 
-    Centres fall in buckets as wide as the gap, so a pair lies in one bucket or in two that touch.
+    Centres fall in buckets as wide as the gap, so a pair lies in one bucket or in two that touch. No pair is closer than
+    a gap of 0.
     """
+    width = gap if gap > 0 else 1.0
     c = entries.select("src_id", "spec_id", "split", ((F.col("begin_s") + F.col("end_s")) / 2).alias("c")).filter("c IS NOT NULL")
-    bucket = F.floor(F.col("c") / gap)
+    bucket = F.floor(F.col("c") / width)
     a = c.withColumn("_bucket", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
     b = c.select("src_id", F.col("spec_id").alias("other"), F.col("split").alias("split2"), F.col("c").alias("c2"), bucket.alias("_bucket"))
     close = (F.col("spec_id") < F.col("other")) & (F.col("split") != F.col("split2")) & (F.abs(F.col("c") - F.col("c2")) < gap)

@@ -43,20 +43,28 @@ def _(t):
 
 
 _NEGATIVES = _GAPS + """,
-cand AS (SELECT clip_id, gap, i, start + i * 32.0::DOUBLE AS s FROM gaps,
-         unnest(range(0, CASE WHEN "end" - start >= 40 THEN floor(("end" - start - 40) / 32)::BIGINT + 1 ELSE 0 END)) AS u(i)),
+wide AS (SELECT clip_id, gap, start, "end", sum("end" - start) OVER (PARTITION BY clip_id ORDER BY gap ROWS UNBOUNDED PRECEDING) AS upto FROM gaps WHERE "end" - start >= 40),
+total AS (SELECT clip_id, max(upto) AS total FROM wide GROUP BY clip_id),
 kk AS (SELECT clip_id, count(*) AS k FROM calls GROUP BY clip_id),
-pick AS (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY md5('neg|' || clip_id || '|' || gap::VARCHAR || '|' || i::VARCHAR)) AS r FROM cand),
-negatives AS (SELECT clip_id, row_number() OVER (PARTITION BY clip_id ORDER BY s)::INT AS n, s AS start, s + 40 AS "end"
-              FROM pick JOIN kk USING (clip_id) WHERE r <= k)"""
+att AS (SELECT clip_id, k, total, unnest(range(1, 5 * k + 1)) AS i FROM kk JOIN total USING (clip_id)),
+u AS (SELECT *, ('0x' || substr(md5('neg|' || clip_id || '|' || i::VARCHAR || '|gap'), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u1,
+             ('0x' || substr(md5('neg|' || clip_id || '|' || i::VARCHAR || '|start'), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u2 FROM att),
+pick AS (SELECT u.clip_id, k, i, u2, arg_min(struct_pack(s := start, e := "end"), upto) AS g FROM u JOIN wide ON wide.clip_id = u.clip_id AND upto > u1 * total GROUP BY ALL),
+draws AS (SELECT clip_id, any_value(k) AS k, list(g.s + u2 * (g.e - 40 - g.s) ORDER BY i) AS s FROM pick GROUP BY clip_id),
+tried AS (
+  SELECT clip_id, k, s, 1 AS i, []::DOUBLE[] AS held FROM draws
+  UNION ALL
+  SELECT clip_id, k, s, i + 1, CASE WHEN len(held) < k AND len(list_filter(held, lambda x: 40 - abs(x - s[i]) > 0.2::DOUBLE * 40)) = 0 THEN list_append(held, s[i]) ELSE held END FROM tried WHERE i <= len(s)),
+kept AS (SELECT clip_id, unnest(held) AS start FROM tried WHERE i = len(s) + 1),
+negatives AS (SELECT clip_id, row_number() OVER (PARTITION BY clip_id ORDER BY start)::INT AS n, start, start + 40 AS "end" FROM kept)"""
 
 
-@query("smp_5_negative_windows", "calls clips", f"WITH {_NEGATIVES} SELECT * FROM negatives")
+@query("smp_5_negative_windows", "calls clips", f"WITH RECURSIVE {_NEGATIVES} SELECT * FROM negatives")
 def _(t):
     return I.negative_windows(t.clips, t.calls)
 
 
-@query("set_3_labelled_windows", "calls clips", f"""WITH {_NEGATIVES}
+@query("set_3_labelled_windows", "calls clips", f"""WITH RECURSIVE {_NEGATIVES}
 SELECT clip_id, begin_s AS start, end_s AS "end", 1 AS label FROM calls UNION ALL SELECT clip_id, start, "end", 0 FROM negatives""")
 def _(t):
     return I.labelled_windows(t.calls, I.negative_windows(t.clips, t.calls))
@@ -190,8 +198,11 @@ def _(t):
     return P.source_split(t.entries).groupBy("split").agg(F.count_distinct("src_id").alias("sources"), F.count("*").alias("entries"))
 
 
-@query("smp_4_time_split", "calls entries", f"""WITH {_CLUSTER}, u AS (SELECT *, {_U.format("md5('time|' || src_id || '|' || cluster::VARCHAR)")} AS u FROM cl)
-SELECT spec_id, cluster, CASE WHEN u < 0.7 THEN 'train' WHEN u < 0.7::DOUBLE + 0.15::DOUBLE THEN 'val' ELSE 'test' END AS split FROM u""")
+@query("smp_4_time_split", "calls entries", f"""WITH {_CLUSTER}, z AS (SELECT src_id, cluster, count(*) AS size, min(label) + max(label) AS kind, md5('time|' || src_id || '|' || cluster::VARCHAR) AS h FROM cl GROUP BY src_id, cluster),
+y AS (SELECT *, row_number() OVER w AS r, coalesce(sum(size) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(size) OVER (PARTITION BY kind) AS n, count(*) OVER (PARTITION BY kind) AS c FROM z WINDOW w AS (PARTITION BY kind ORDER BY h, src_id, cluster)),
+x AS (SELECT *, least(count(*) FILTER (WHERE before < 0.7::DOUBLE * n) OVER (PARTITION BY kind), greatest(1, c - 2)) AS t FROM y),
+v AS (SELECT src_id, cluster, CASE WHEN r <= t THEN 'train' WHEN r = c THEN CASE WHEN c > 2 THEN 'test' ELSE 'val' END WHEN r = t + 1 OR before < (0.7::DOUBLE + 0.15::DOUBLE) * n THEN 'val' ELSE 'test' END AS split FROM x)
+SELECT spec_id, cluster, split FROM cl JOIN v USING (src_id, cluster)""")
 def _(t):
     return P.time_split(t.entries, 60.0).select("spec_id", "cluster", "split")
 

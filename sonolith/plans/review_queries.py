@@ -50,16 +50,17 @@ def _(t):
     return t["documents"].select("doc_id", A.crop_start(F.col("n_chars") % 400, 45, F.col("doc_id") % 2 == 0).alias("start"))
 
 
-_JITTER = "('0x' || substr(md5('{}|' || doc_id::VARCHAR), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE"
+_DRAW = "('0x' || substr(md5('jitter|' || doc_id::VARCHAR || '|' || {}), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE"
 
 
-@query("arr_12_jittered_start", "", f"""WITH u AS (SELECT doc_id, n_chars % 400 AS t, {_JITTER.format("j1")} AS u1, {_JITTER.format("j2")} AS u2 FROM documents),
-s AS (SELECT doc_id, t, CASE WHEN doc_id % 2 = 0 THEN round_even(t // 2 - greatest(0, least(1, 0.5::DOUBLE + 0.25::DOUBLE * (sqrt(-2 * ln(1 - u1)) * cos(2 * pi() * u2)))) * 45, 0)
-ELSE floor(u1 * greatest(1, t - 45 + 1)) END AS start FROM u)
-SELECT doc_id, greatest(0, least(start, t - 45))::INT AS start FROM s""")
+@query("arr_12_jittered_start", "", f"""WITH d AS (SELECT doc_id, n_chars % 400 AS t, doc_id % 2 = 0 AS positive FROM documents),
+f AS (SELECT doc_id, i, 0.5::DOUBLE + 0.125::DOUBLE * (sqrt(-2 * ln(1 - {_DRAW.format("i::VARCHAR || '|r'")})) * cos(2 * pi() * {_DRAW.format("i::VARCHAR || '|a'")})) AS f FROM d, (SELECT unnest(range(10)) AS i)),
+g AS (SELECT doc_id, arg_min(f, i) AS f FROM f WHERE f >= 0 AND f <= 1 GROUP BY doc_id),
+s AS (SELECT doc_id, t, CASE WHEN positive THEN round_even(t // 2 - coalesce(f, 0.5::DOUBLE) * 44, 0) ELSE floor({_DRAW.format("'n'")} * (t - 45 + 1)) END AS start FROM d LEFT JOIN g USING (doc_id))
+SELECT doc_id, CASE WHEN t <= 45 THEN 0 ELSE greatest(0, least(start, t - 45))::INT END AS start FROM s""")
 def _(t):
-    key = lambda s: unit(hash_key(s, F.col("doc_id")))
-    return t["documents"].select("doc_id", A.jittered_start(F.col("n_chars") % 400, 45, key("j1"), key("j2"), F.col("doc_id") % 2 == 0).alias("start"))
+    """Starts by the rule itself: the first of ten normal draws inside [0, 1]; none is moved to an end."""
+    return t["documents"].select("doc_id", A.jittered_start(F.col("n_chars") % 400, 45, F.col("doc_id"), F.col("doc_id") % 2 == 0).alias("start"))
 
 
 @query("arr_13_centre_crop", "cells", "SELECT spec_id, (f_idx - 16)::INT AS f_idx, (t_idx - 9)::INT AS t_idx, power AS value FROM cells WHERE f_idx BETWEEN 16 AND 47 AND t_idx BETWEEN 9 AND 40")
@@ -132,21 +133,27 @@ def _updates(t):
     return o.select(fid.alias("file_id"), F.col("o_orderpriority").alias("label"), F.concat(F.lit("v"), (F.col("o_orderkey") % 5).cast("string")).alias("reviewer"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("at"))
 
 
-@query("join_5_score_metadata", "predictions", """WITH k AS (SELECT file_id, 'p/' || file_id AS path FROM predictions WHERE confidence < 0.5), s AS (SELECT file_id || CASE WHEN confidence < 0.25 THEN '_win3' ELSE '' END AS file_id FROM predictions)
-SELECT s.file_id, coalesce(a.path, b.path) AS path FROM s LEFT JOIN k a ON a.file_id = s.file_id LEFT JOIN k b ON b.file_id = regexp_replace(s.file_id, '_win3$', '')""")
+@query("join_5_score_metadata", "predictions", """WITH k AS (SELECT file_id, 'p' || c || '/' || file_id AS path, c FROM predictions, (SELECT unnest([0, 1, 2]) AS c) WHERE confidence < 0.5 AND (c = 0 OR confidence < 0.1 * c)),
+l AS (SELECT file_id, arg_max(path, c) AS path FROM k GROUP BY file_id), s AS (SELECT file_id || CASE WHEN confidence < 0.25 THEN '_win3' ELSE '' END AS file_id FROM predictions)
+SELECT s.file_id, coalesce(a.path, b.path) AS path FROM s LEFT JOIN l a ON a.file_id = s.file_id LEFT JOIN l b ON b.file_id = regexp_replace(s.file_id, '_win3$', '')""")
 def _(t):
+    """A catalogue that has some ids up to three times; the last counts."""
     p = t.predictions
-    k = p.filter("confidence < 0.5").select("file_id", F.concat(F.lit("p/"), "file_id").alias("path"))
+    k = p.filter("confidence < 0.5").withColumn("c", F.explode(F.array(*map(F.lit, (0, 1, 2))))).filter((F.col("c") == 0) | (F.col("confidence") < 0.1 * F.col("c")))
+    k = k.select("file_id", F.concat(F.lit("p"), F.col("c").cast("string"), F.lit("/"), "file_id").alias("path"), "c")
     s = p.select(F.concat("file_id", F.when(F.col("confidence") < 0.25, "_win3").otherwise("")).alias("file_id"))
-    return R.with_metadata(s, k).select("file_id", "meta.path")
+    return R.with_metadata(s, k, order=["c"]).select("file_id", "meta.path")
 
 
-@query("join_6_label_upsert", "predictions", f"""WITH {_UPDATES}, l AS (SELECT file_id, max(stamp) AS stamp, arg_max(label, stamp) AS label, arg_max(reviewer, stamp) AS reviewer FROM u GROUP BY file_id)
-SELECT file_id, audio_timestamp, confidence, CASE WHEN l.file_id IS NULL THEN expert_label ELSE l.label END AS expert_label,
-       CASE WHEN l.file_id IS NULL THEN expert_reviewer ELSE l.reviewer END AS expert_reviewer, CASE WHEN l.file_id IS NULL THEN review_timestamp ELSE l.stamp END AS review_timestamp
-FROM predictions LEFT JOIN l USING (file_id)""")
+@query("join_6_label_upsert", "predictions", f"""WITH {_UPDATES}, l AS (SELECT file_id, max(stamp) AS stamp, arg_max(label, stamp) AS label, arg_max(reviewer, stamp) AS reviewer FROM u GROUP BY file_id),
+p AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY place) = 1 AS one FROM (SELECT *, unnest(range(CASE WHEN confidence < 0.3 THEN 3 ELSE 1 END))::INT AS place FROM predictions))
+SELECT file_id, place, audio_timestamp, confidence, CASE WHEN one AND l.file_id IS NOT NULL THEN l.label ELSE expert_label END AS expert_label,
+       CASE WHEN one AND l.file_id IS NOT NULL THEN l.reviewer ELSE expert_reviewer END AS expert_reviewer, CASE WHEN one AND l.file_id IS NOT NULL THEN l.stamp ELSE review_timestamp END AS review_timestamp
+FROM p LEFT JOIN l USING (file_id)""")
 def _(t):
-    return R.upsert_labels(t.predictions, _updates(t))[0]
+    """Some ids are there three times; the first row of each takes the label."""
+    places = F.sequence(F.lit(0), F.when(F.col("confidence") < 0.3, 2).otherwise(0))
+    return R.upsert_labels(t.predictions.withColumn("place", F.explode(places)), _updates(t), order=["place"])[0]
 
 
 @query("join_6_unknown_updates", "predictions", f"WITH {_UPDATES} SELECT file_id, label FROM u WHERE file_id NOT IN (SELECT file_id FROM predictions)")

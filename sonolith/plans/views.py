@@ -156,7 +156,8 @@ def query(name: str, views: str = "", sql: str | None = None):
             ctes = ", ".join(VIEWS[v] for v in views.split())
             body = sql.strip()
             if ctes:
-                body = f"WITH {ctes}{', ' + body[5:] if body.startswith('WITH ') else ' ' + body}"
+                word = "WITH RECURSIVE " if body.startswith("WITH RECURSIVE ") else "WITH "
+                body = f"{word}{ctes}{', ' + body[len(word) :] if body.startswith(word) else ' ' + body}"
             ORACLE[name] = body
         return f
 

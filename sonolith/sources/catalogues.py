@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import io
-import wave
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .recordings import samples_of, wav_format
 
 ESSENTIAL = ("date (utc)", "begin time (s)", "end time (s)", "clip id")
 
@@ -48,18 +49,9 @@ def load_annotations(spark: SparkSession, paths: list[str], essential: tuple[str
 
 
 def _decoded(content: bytes) -> tuple[int, np.ndarray]:
-    """(rate, samples of the first channel in [-1, 1)) of a WAV file with 8 to 32 bits a sample."""
-    with wave.open(io.BytesIO(content)) as w:
-        width, channels, raw = w.getsampwidth(), w.getnchannels(), w.readframes(w.getnframes())
-        rate = w.getframerate()
-    raw = raw[: len(raw) // (width * channels) * width * channels]
-    if width == 1:  # the only unsigned one
-        x = np.frombuffer(raw, np.uint8)[::channels].astype(np.int64) - 128
-    else:
-        wide = np.zeros((len(raw) // width, 4), np.uint8)
-        wide[:, 4 - width :] = np.frombuffer(raw, np.uint8).reshape(-1, width)
-        x = (wide.view("<i4").ravel()[::channels] >> (32 - 8 * width)).astype(np.int64)
-    return rate, x / float(1 << (8 * width - 1))
+    """(rate, samples of the first channel in [-1, 1)) of a WAV file."""
+    form = wav_format(io.BytesIO(content), len(content))
+    return form.rate, samples_of(content[form.at : form.at + form.frames * form.channels * form.width], form.width, form.channels)
 
 
 def load_clips(spark: SparkSession, folder: str) -> DataFrame:
@@ -77,7 +69,7 @@ def load_clips(spark: SparkSession, folder: str) -> DataFrame:
                 try:
                     rate, x = _decoded(content.as_py())
                     row = {"clip_id": name, "fs": rate, "n_samples": len(x), "samples": x, "error": None}
-                except (wave.Error, EOFError, ValueError) as e:
+                except (ValueError, struct.error) as e:
                     row = {"clip_id": name, "fs": None, "n_samples": None, "samples": None, "error": str(e) or type(e).__name__}
                 yield pa.RecordBatch.from_pylist([row], schema)
 
