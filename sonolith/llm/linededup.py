@@ -9,6 +9,7 @@ overlapping windows merged.
 from __future__ import annotations
 
 import re
+import zlib
 from itertools import chain
 from typing import NamedTuple
 
@@ -26,8 +27,6 @@ from . import common as C
 LONG, NEAR = 24, 4
 #: Bytes of a window's key, and the odd factor that scatters ranks and mixes the hashes of parts.
 KEY, FACTOR = 12, 0x5851F42D4C957F2D
-#: Null ids are one document; its rows are spread over so many keys.
-SPREAD = 64
 
 _TOKEN = re.compile(rb"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
 
@@ -136,25 +135,28 @@ def clean(text: bytes, first: set[bytes], later: set[bytes], k: int) -> tuple[by
 
 
 def repeated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = 3) -> DataFrame:
-    """Per document with repeated windows: doc_id, first and later (arrays of window keys).
+    """Per text with repeated windows: doc_id, mark (crc32 of the text), first and later (arrays of window keys).
 
-    The document order is ascending doc_id, null last.
+    The document order is ascending doc_id, null last. A row has the keys of its own text only (of texts with one doc_id and
+    mark, which are rarely different), so a doc_id, null too, may have any number of rows.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
 
     def run(batches):
         for part in C.pieces(batches):
-            found, hashes = parts(part.column("text").cast(pa.binary()).to_pylist())
+            held = part.column("text").cast(pa.binary()).to_pylist()
+            found, hashes = parts(held)
             texts = np.array([x.text for x in found], np.int32)
             at, keys = window_keys(texts, hashes, k)
-            ids = part.column("doc_id").take(pa.array(texts[at]))
-            yield pa.RecordBatch.from_arrays([_binary(keys), ids], ["key", "doc_id"])
+            of = texts[at]
+            marks = np.array([zlib.crc32(x) if x else 0 for x in held], np.uint32).view(np.int32)
+            yield pa.RecordBatch.from_arrays([_binary(keys), part.column("doc_id").take(pa.array(of)), pa.array(marks[of])], ["key", "doc_id", "mark"])
 
-    windows = C.materialize(rows.mapInArrow(run, f"key binary, doc_id {dict(rows.dtypes)['doc_id']}"), "windows")
+    windows = C.materialize(rows.mapInArrow(run, f"key binary, doc_id {dict(rows.dtypes)['doc_id']}, mark int"), "windows")
     groups = windows.groupBy("key").agg(F.min("doc_id").alias("owner"), F.count("*").alias("times")).filter("times > 1")
     found = C.join_groups(windows, groups, "key", "times", windows.count()).filter("times IS NOT NULL")
     own = F.col("doc_id").eqNullSafe(F.col("owner"))
-    return found.groupBy("doc_id").agg(F.collect_set(F.when(own, F.col("key"))).alias("first"), F.collect_set(F.when(~own, F.col("key"))).alias("later"))
+    return found.groupBy("doc_id", "mark").agg(F.collect_set(F.when(own, F.col("key"))).alias("first"), F.collect_set(F.when(~own, F.col("key"))).alias("later"))
 
 
 def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = 3) -> DataFrame:
@@ -164,16 +166,13 @@ def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k:
     whose every line is removed becomes empty; fewer than k parts are no window. Of a line that loses some of its parts
     the rest stays as it was written. An empty table gives an empty result.
     """
-    found = repeated(docs, text, doc_id, k)
-    key = C.in_frame("_key", docs)
+    key, mark = C.in_frame("_key", docs), C.in_frame("_mark", docs)
     first, later = C.in_frame("_first", docs), C.in_frame("_later", docs)
-    salt, salted = C.in_frame("_salt", docs), C.in_frame("_salted", docs)
-    null, one = F.col("doc_id").isNull(), F.array(F.lit(0).cast("long"))
-    salts = F.when(null, F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))).otherwise(one)
-    found = found.select(F.col("doc_id").alias(key), F.explode(salts).alias(salt), F.col("first").alias(first), F.col("later").alias(later))
-    spread = F.when(docs[doc_id].isNull(), F.pmod(F.xxhash64(docs[text]), F.lit(SPREAD))).otherwise(F.lit(0))
-    docs_at = docs.withColumn(salted, spread.cast("long"))
-    rows = docs_at.join(found, docs_at[doc_id].eqNullSafe(found[key]) & (docs_at[salted] == found[salt]), "left")
+    found = repeated(docs, text, doc_id, k).toDF(key, mark, first, later)
+    # the low 32 bits, as the tasks see them
+    own = F.crc32(C.text_or_empty(docs[text]))
+    own = F.when(own >= 1 << 31, own - (1 << 32)).otherwise(own).cast("int")
+    rows = docs.join(found, docs[doc_id].eqNullSafe(found[key]) & (own == found[mark]), "left")
     at, width = docs.columns.index(text), len(docs.columns)
     names = [*docs.columns, C.in_frame("n_lines", docs), C.in_frame("n_removed", docs)]
 

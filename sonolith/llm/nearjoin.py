@@ -310,6 +310,11 @@ def linked(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int =
     A class is named by its smallest doc_id. Two documents are linked if 100 * intersection >= percent * union of their
     sets of k-word shingles. The links suffice for the components: they hold a forest of each.
     """
+    return _linked(docs, text, doc_id, k, percent, trees, small, levels)[:2]
+
+
+def _linked(docs: DataFrame, text: str, doc_id: str, k: int, percent: int, trees: int = TREES, small: int = SMALL, levels: int = LEVELS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """linked(), and the components of the links; each turn adds its own to those found before."""
     if dict(docs.dtypes)[doc_id] not in ("tinyint", "smallint", "int", "bigint"):
         raise TypeError(f"{doc_id} must be of an integer type")
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -325,7 +330,7 @@ def linked(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int =
     threshold = percent / 100
     second = min(1.0, max(0.0, KEPT / threshold - 1))
     at, level = paths(classes.withColumn("comp", F.col("rep")), 0, FIRST_LEVELS, FIRST_SECOND, trees), FIRST_LEVELS
-    links = sets = lists = None
+    links = sets = lists = label = None
     while True:
         wide = at_ = placed = None
         if at is not None:
@@ -347,12 +352,12 @@ def linked(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int =
         found = C.materialize(_confirmed(groups.join(sets, "rep"), percent).distinct(), "found")
         links = found if links is None else links.unionByName(found)
         C.discard(at_, groups)
+        if label is None or not found.isEmpty():
+            label = C.materialize(components(found, known=label), "labels")
         if wide is None:
             C.discard(placed, classes, sets)
-            return rows, links
-        if not found.isEmpty():
-            label = components(links).select(F.col("node").alias("rep"), "component")
-            wide = wide.join(label, "rep", "left").withColumn("comp", F.coalesce("component", "comp")).drop("component")
+            return rows, links, label
+        wide = wide.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "comp")).drop("component")
         most = wide.groupBy("path", "comp").agg(F.count("*").alias("n")).groupBy("path").agg(F.max(F.struct("n", "comp")).alias("m"))
         most = most.select("path", F.col("m.comp").alias("most"), F.col("m.n").alias("held"))
         wide = wide.join(most, "path").withColumn("rest", F.col("size") - F.col("held")).filter("rest > 0")
@@ -367,9 +372,8 @@ def linked(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int =
 
 def _labelled(docs: DataFrame, text: str, doc_id: str, k: int, percent: int, **options) -> DataFrame:
     """Per row: doc_id, n_shingles, set_key, component_id."""
-    rows, links = linked(docs, text, doc_id, k, percent, **options)
+    rows, _, label = _linked(docs, text, doc_id, k, percent, **options)
     classes = rows.filter("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    label = components(links)
     classes = classes.join(label.withColumnRenamed("node", "rep"), "rep", "left")
     classes = C.materialize(classes.select("set_key", F.coalesce("component", "rep").alias("component_id"), "copies"), "components")
     return C.join_groups(rows.select("doc_id", "n_shingles", "set_key"), classes, "set_key", "copies", rows.count())

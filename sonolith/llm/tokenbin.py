@@ -3,9 +3,10 @@
 A segment stores its rules, the length that each nonterminal expands to, the remaining sequence and where documents
 start, so any range of ids is decoded from the symbols that cover it.
 
-Segment, little-endian: uint32 first nonterminal, rules, symbols, documents, uint64 ids and bytes of document names;
-pairs of the rules, 3 bytes a symbol; uint32 expansion lengths of the rules; uint64 ids before every BLOCK-th symbol;
-uint64 starts of the documents; symbols of 3 bytes; the documents' names as an Arrow stream.
+Segment, little-endian: uint32 first nonterminal, rules, symbols, documents, uint64 ids, bytes of document names and bytes of
+lengths; pairs of the rules, as many bits a symbol as the largest needs; expansion lengths of the rules, 7 bits a byte,
+low ones first, the last byte of each under 128; uint64 ids before every BLOCK-th symbol; uint64 starts of the documents;
+symbols, of as many bits as in rules; the documents' names as an Arrow stream.
 """
 
 from __future__ import annotations
@@ -29,23 +30,63 @@ from .wordids import encoder
 #: Ids of a segment at least, but for the last of a file; a document is never cut.
 SEGMENT_IDS = 1 << 19
 BLOCK = 4096
-_HEAD = struct.Struct("<4I2Q")
+_HEAD = struct.Struct("<4I3Q")
 
 
-def _pack24(x: np.ndarray) -> bytes:
-    if len(x) and x.max() >= 1 << 24:
-        raise ValueError("symbols over 24 bits")
-    return x.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+def _bits(largest: int) -> int:
+    return max(1, int(largest).bit_length())
 
 
-def _unpack24(data: bytes) -> np.ndarray:
-    wide = np.zeros((len(data) // 3, 4), np.uint8)
-    wide[:, :3] = np.frombuffer(data, np.uint8).reshape(-1, 3)
-    return wide.view("<u4").ravel().astype(np.int64)
+def _pack(x: np.ndarray, width: int) -> bytes:
+    """Numbers of ``width`` bits each, high bits first, the last byte filled with zeros."""
+    at_once, out = 1 << 16, []
+    for a in range(0, len(x), at_once):  # a multiple of 8 numbers ends with a byte
+        part = x[a : a + at_once].astype(">u4").view(np.uint8).reshape(-1, 4)
+        out.append(np.packbits(np.unpackbits(part, axis=1)[:, 32 - width :].ravel()).tobytes())
+    return b"".join(out)
 
 
-def pack_segment(ids: np.ndarray, starts: np.ndarray, first: int, names: pa.Array | None = None, least: int = 2) -> bytes:
-    rules, symbols = compress(ids, first, least)
+def _unpack(data: bytes, width: int, n: int) -> np.ndarray:
+    at_once, out = 1 << 16, []
+    raw = np.frombuffer(data, np.uint8)
+    for a in range(0, n, at_once):
+        m = min(at_once, n - a)
+        bits = np.unpackbits(raw[a * width // 8 : -(-(a + m) * width // 8)])[: m * width].reshape(m, width)
+        wide = np.zeros((m, 32), np.uint8)
+        wide[:, 32 - width :] = bits
+        out.append(np.packbits(wide, axis=1).view(">u4").ravel().astype(np.int64))
+    return np.concatenate(out) if out else np.empty(0, np.int64)
+
+
+def _varints(x: np.ndarray) -> bytes:
+    if not len(x):
+        return b""
+    groups = max(1, -(-_bits(int(x.max())) // 7))
+    parts = (x[:, None] >> (7 * np.arange(groups))) & 127
+    used = np.maximum(1, (parts > 0).cumsum(1).argmax(1) + 1)
+    more = np.arange(groups) < used[:, None] - 1
+    return (parts | np.where(more, 128, 0)).astype(np.uint8)[np.arange(groups) < used[:, None]].tobytes()
+
+
+def _from_varints(data: bytes, n: int) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8).astype(np.int64)
+    if not n:
+        return np.empty(0, np.int64)
+    last = np.flatnonzero(raw < 128)
+    starts = np.concatenate([[0], last[:-1] + 1])
+    place = np.arange(len(raw)) - np.repeat(starts, np.diff(np.append(starts, len(raw))))
+    return np.add.reduceat((raw & 127) << (7 * place), starts)
+
+
+def paying(first: int, ids: int) -> int:
+    """Occurrences from which a rule makes a segment smaller: each saves a symbol, the rule costs two and a byte at least."""
+    width = _bits(first + ids // 8)
+    return (2 * width + 8) // width + 1
+
+
+def pack_segment(ids: np.ndarray, starts: np.ndarray, first: int, names: pa.Array | None = None, least: int | None = None) -> bytes:
+    """Re-Pair ends where no pair occurs ``least`` times; by default where a rule wouldn't pay for itself."""
+    rules, symbols = compress(ids, first, paying(first, len(ids)) if least is None else least)
     sizes = lengths(rules, first)
     n = np.ones(len(symbols), np.int64)
     big = symbols >= first
@@ -56,9 +97,9 @@ def pack_segment(ids: np.ndarray, starts: np.ndarray, first: int, names: pa.Arra
         batch = pa.RecordBatch.from_arrays([names], ["doc_id"])
         with pa.ipc.new_stream(sink, batch.schema) as out:
             out.write_batch(batch)
-    tail = sink.getvalue().to_pybytes()
-    head = _HEAD.pack(first, len(rules), len(symbols), len(starts), len(ids), len(tail))
-    parts = [head, _pack24(rules.ravel()), sizes.astype("<u4").tobytes(), before.astype("<u8").tobytes(), starts.astype("<u8").tobytes(), _pack24(symbols), tail]
+    tail, spans, width = sink.getvalue().to_pybytes(), _varints(sizes), _bits(max(1, first + len(rules) - 1))
+    head = _HEAD.pack(first, len(rules), len(symbols), len(starts), len(ids), len(tail), len(spans))
+    parts = [head, _pack(rules.ravel(), width), spans, before.astype("<u8").tobytes(), starts.astype("<u8").tobytes(), _pack(symbols, width), tail]
     return b"".join(parts)
 
 
@@ -68,9 +109,11 @@ class Segment:
 
     def __init__(self, source: bytes | Callable[[int, int], bytes]):
         self._read = source if callable(source) else lambda at, size: source[at : at + size]
-        self.first, r, s, d, self.n_ids, self._tail = _HEAD.unpack(self._read(0, _HEAD.size))
+        self.first, r, s, d, self.n_ids, tail, spans = _HEAD.unpack(self._read(0, _HEAD.size))
         self.n_rules, self.n_symbols, self.n_docs = r, s, d
-        sizes = [6 * r, 4 * r, 8 * -(-s // BLOCK), 8 * d, 3 * s, self._tail]
+        self.width = _bits(max(1, self.first + r - 1))
+        packed = lambda n: -(-n * self.width // 8)
+        sizes = [packed(2 * r), spans, 8 * -(-s // BLOCK), 8 * d, packed(s), tail]
         self._at = np.cumsum([_HEAD.size, *sizes]).tolist()
 
     def _part(self, i: int) -> bytes:
@@ -78,11 +121,11 @@ class Segment:
 
     @cached_property
     def rules(self) -> np.ndarray:
-        return _unpack24(self._part(0)).reshape(-1, 2)
+        return _unpack(self._part(0), self.width, 2 * self.n_rules).reshape(-1, 2)
 
     @cached_property
     def lengths(self) -> np.ndarray:
-        return np.frombuffer(self._part(1), "<u4").astype(np.int64)
+        return _from_varints(self._part(1), self.n_rules)
 
     @cached_property
     def before(self) -> np.ndarray:
@@ -97,8 +140,10 @@ class Segment:
         return pa.ipc.open_stream(self._part(5)).read_all().column(0).combine_chunks()
 
     def symbols(self, start: int = 0, stop: int | None = None) -> np.ndarray:
+        """Symbols from ``start``, a multiple of 8, where a byte begins."""
         stop = self.n_symbols if stop is None else min(stop, self.n_symbols)
-        return _unpack24(self._read(self._at[4] + 3 * start, 3 * (stop - start)))
+        at = start * self.width // 8
+        return _unpack(self._read(self._at[4] + at, -(-stop * self.width // 8) - at), self.width, stop - start)
 
     def ids(self) -> np.ndarray:
         return expand(self.symbols(), self.rules, self.lengths, self.first)
