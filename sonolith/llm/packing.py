@@ -240,7 +240,7 @@ def pack(docs: DataFrame, path: str, size: int = 2048, end_id: int = 1, text: st
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, ByteEncoder)
         row = TaskContext.get().partitionId() << 33
-        for batch in C.pieces(batches, rows=4096, size=8 << 20):
+        for batch in C.pieces(batches, rows=4096, size=4 << 20):
             ids, sizes = own.encode(batch.column(1), end_id)
             ends = np.concatenate([[0], np.cumsum(sizes)]) * width.itemsize
             data = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(ids.astype(width))])

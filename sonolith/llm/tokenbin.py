@@ -38,24 +38,35 @@ def _bits(largest: int) -> int:
 
 
 def _pack(x: np.ndarray, width: int) -> bytes:
-    """Numbers of ``width`` bits each, high bits first, the last byte filled with zeros."""
-    at_once, out = 1 << 16, []
-    for a in range(0, len(x), at_once):  # a multiple of 8 numbers ends with a byte
-        part = x[a : a + at_once].astype(">u4").view(np.uint8).reshape(-1, 4)
-        out.append(np.packbits(np.unpackbits(part, axis=1)[:, 32 - width :].ravel()).tobytes())
-    return b"".join(out)
+    """Numbers of ``width`` bits each, 32 at most, high bits first, the last byte filled with zeros.
+
+    8 numbers fill ``width`` bytes, so the j-th of all groups goes to the same bytes of each.
+    """
+    n = len(x)
+    rows = np.zeros((-(-n // 8), 8), np.uint64)
+    rows.ravel()[:n] = x
+    out = np.zeros((len(rows), width + 5), np.uint8)
+    for j in range(8):
+        at, bit = divmod(j * width, 8)
+        shifted = rows[:, j] << np.uint64(40 - width - bit)
+        for i in range(5):
+            out[:, at + i] |= (shifted >> np.uint64(32 - 8 * i)).astype(np.uint8)
+    return out[:, :width].tobytes()[: -(-n * width // 8)]
 
 
 def _unpack(data: bytes, width: int, n: int) -> np.ndarray:
-    at_once, out = 1 << 16, []
-    raw = np.frombuffer(data, np.uint8)
-    for a in range(0, n, at_once):
-        m = min(at_once, n - a)
-        bits = np.unpackbits(raw[a * width // 8 : -(-(a + m) * width // 8)])[: m * width].reshape(m, width)
-        wide = np.zeros((m, 32), np.uint8)
-        wide[:, 32 - width :] = bits
-        out.append(np.packbits(wide, axis=1).view(">u4").ravel().astype(np.int64))
-    return np.concatenate(out) if out else np.empty(0, np.int64)
+    groups = -(-n // 8)
+    raw = np.zeros((groups, width + 5), np.uint8)
+    whole = np.frombuffer(data.ljust(groups * width, b"\0"), np.uint8, groups * width)
+    raw[:, :width] = whole.reshape(groups, width)
+    out = np.empty((groups, 8), np.int64)
+    for j in range(8):
+        at, bit = divmod(j * width, 8)
+        held = np.zeros(groups, np.uint64)
+        for i in range(5):
+            held |= raw[:, at + i].astype(np.uint64) << np.uint64(32 - 8 * i)
+        out[:, j] = (held >> np.uint64(40 - width - bit)) & np.uint64((1 << width) - 1)
+    return out.ravel()[:n]
 
 
 def _varints(x: np.ndarray) -> bytes:
@@ -192,7 +203,7 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = 1, text: str =
             return pa.RecordBatch.from_pylist([dict(zip(manifest.names, r, strict=True)) for r in rows], manifest)
 
         for batch in batches:
-            for piece in C.pieces([batch], rows=4096, size=8 << 20):
+            for piece in C.pieces([batch], rows=4096, size=4 << 20):
                 ids, sizes = own.encode(piece.column(1), end_id)
                 held.append((ids, sizes, piece.column(0)))
                 waiting += len(ids)

@@ -107,7 +107,7 @@ class WordEncoder:
     cut = staticmethod(cut)
     plain = staticmethod(_PLAIN)
 
-    def __init__(self, path: str, cached: int = 1_000_000):
+    def __init__(self, path: str, cached: int = 750_000):
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             self.special = [t["content"].encode() for t in json.load(f)["added_tokens"]]
@@ -125,8 +125,11 @@ class WordEncoder:
     def _modelled(self, pieces: list[bytes]) -> list[list[int]]:
         """Ids of plain pieces, from the library's model alone."""
         tokenize = self.tokenizer.model.tokenize
-        shown = _SHOWN[np.frombuffer(b"\n".join(pieces), np.uint8)].tobytes().decode("utf-32-le").split("\n") if pieces else []
-        return [[t.id for t in tokenize(c)] for c in shown]
+        out: list[list[int]] = []
+        for at in range(0, len(pieces), 1 << 15):
+            shown = _SHOWN[np.frombuffer(b"\n".join(pieces[at : at + (1 << 15)]), np.uint8)].tobytes().decode("utf-32-le")
+            out.extend([t.id for t in tokenize(c)] for c in shown.split("\n"))
+        return out
 
     def _room(self, name: str, least: int) -> None:
         held = getattr(self, name)
