@@ -76,13 +76,15 @@ def band_power(blocks: DataFrame, size: int, hop: int, block: int, key: str = "c
     a frame: power[i][j] is that of bin first_bin + j in frame first_frame + i, top the largest of any bin.
 
     Only the band leaves the task. Each frame belongs to the block in which it begins. A block that can't be transformed
-    has the reason as error and nulls.
+    (recordings shorter than a frame too) has the reason as error and nulls.
     """
 
     def one(row: dict) -> dict:
         x, at, fs = np.asarray(row[samples], np.float64), row[start], row[rate]
         if len(x) and not np.isfinite(x).all():
             raise ValueError("samples that aren't finite")
+        if at == 0 and len(x) < size:
+            raise ValueError("fewer samples than a frame")
         low, high = (0, size // 2 + 1) if band_hz is None else band_bins(size, fs, *band_hz)
         first = -(-at // hop)
         skip = first * hop - at

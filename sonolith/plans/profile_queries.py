@@ -6,14 +6,19 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators import failures as E
 from ..operators import intervals as I
 from ..operators import learning as L
 from ..operators import profile as P
+from ..operators import spectra as X
 from ..operators import splits
+from ..operators import stages as G
 from ..operators.tiling import even_starts
 from ..session import scratch
 from ..sources import catalogues as C
+from ..sources import recordings as B
 from ..sources import sinks as K
+from ..sources.records import Record
 from .interval_queries import _RATIO
 from .views import query
 
@@ -112,6 +117,19 @@ count(*) FILTER (WHERE te IS NOT NULL AND abs(ts - want) > 0.001::DOUBLE) + coun
 (2 * count(*) FILTER (WHERE seen <> start))::INT AS start_faults FROM w GROUP BY source)"""
 
 
+@query("agg_20_stage_failures", "", """WITH e AS (SELECT vec_id, label::VARCHAR || '_' || vec_id::VARCHAR || '.wav' AS clip_id, vec_id % 70 AS a, vec_id % 70 + vec_id % 30 AS b FROM embeddings),
+f AS (SELECT vec_id, clip_id, CASE WHEN vec_id % 10 = 0 THEN 'read: file does not start with RIFF id' WHEN b = a THEN 'slice: an empty window' WHEN b > 64 THEN 'slice: a window outside its recording'
+WHEN b - a < 16 THEN 'spectrum: fewer samples than a frame' END AS f FROM e)
+SELECT split_part(f, ': ', 1) AS stage, vec_id::VARCHAR AS call_id, clip_id, split_part(f, ': ', 2) AS reason FROM f WHERE f IS NOT NULL""")
+def _(t):
+    """Junk is read, windows are cut and transformed; each fault is a row, told where it arose."""
+    c = C.load_clips(t.spark, _written_clips(t, junk=True)).withColumn("call_id", F.regexp_extract("clip_id", r"_(\d+)", 1).cast("long"))
+    c = c.withColumn("start_s", F.col("call_id") % 70 / 64).withColumn("end_s", (F.col("call_id") % 70 + F.col("call_id") % 30) / 64)
+    s = G.sliced(c)
+    p = X.band_power(s.withColumn("start", F.lit(0)), 16, 8, 1 << 20, key="call_id")
+    return E.failure_report({"read": c, "slice": s, "spectrum": p.join(c.select("call_id", "clip_id"), "call_id")}, "call_id", "clip_id")
+
+
 @query("agg_24_catalogue_consistency", "", f"WITH {_FAULTS} SELECT * FROM r")
 def _(t):
     return P.consistency(_chunks(t), 96, 1.0, 0.9)
@@ -165,12 +183,14 @@ def _(t):
 
 
 def _written_calls(t):
-    """Annotation CSVs by call type, with the odd headers that the reader must understand, and one unusable file."""
+    """Annotation CSVs by call type, with odd headers, columns in another order and quoted fields, and an unusable file."""
     folder, paths = scratch(t.spark, "annotations"), []
     for kind, name in (("view", "lib_20Hz"), ("purchase", "lib_40hz"), ("click", "plain")):
         c = t.calls.filter(F.col("call_type") == kind)
-        c = c.select(F.date_format("call_ts", _TS).alias(" Date (UTC)"), F.col("begin_s").cast("string").alias("Begin Time (s)"), F.col("end_s").cast("string").alias("END TIME (s) "), F.col("clip_id").alias("Clip ID"), "call_id")
-        c.write.option("header", "true").csv(f"{folder}/{name}")
+        quoted = F.concat(F.lit('a "b", '), F.col("call_id").cast("string"))
+        c = c.select(F.date_format("call_ts", _TS).alias(" Date (UTC)"), F.col("begin_s").cast("string").alias("Begin Time (s)"), F.col("end_s").cast("string").alias("END TIME (s) "), F.col("clip_id").alias("Clip ID"), quoted.alias("note"))
+        c = c.select(*reversed(c.columns)) if kind == "click" else c
+        c.write.option("header", "true").option("escape", '"').csv(f"{folder}/{name}")
         paths.append(f"{folder}/{name}")
     t.calls.select("call_id").limit(3).write.option("header", "true").csv(f"{folder}/bad")
     return [*paths, f"{folder}/bad", f"{folder}/missing"]
@@ -182,6 +202,12 @@ def _(t):
     return c.select("call_type", "clip_id", "device_code", "begin_s", "end_s", F.date_format("call_ts", _TS).alias("stamp"))
 
 
+@query("src_1_annotation_faults", "calls", "SELECT * FROM (VALUES ('bad', 'missing columns: date (utc), begin time (s), end time (s), clip id'), ('missing', 'not found')) v(name, fault) WHERE (SELECT count(*) FROM calls) > 0")
+def _(t):
+    f = C.annotation_faults(t.spark, _written_calls(t))
+    return f.select(F.element_at(F.split("source_file", "/"), -1).alias("name"), "fault").distinct()
+
+
 def _written(frame, folder, name, content):
     """Write a file for each row in the shared folder, by tasks: the columns of its name and content."""
 
@@ -242,6 +268,29 @@ def _(t):
     return c.select("clip_id", "fs", "n_samples", F.posexplode("samples").alias("i", "x"))
 
 
+@query("src_2_blocks", "", """WITH s AS (SELECT vec_id, label, vec_id % 4 + 1 AS width, i, greatest(-1, least(0.999::DOUBLE, embedding[i + 1]::DOUBLE)) AS x FROM embeddings, (SELECT unnest(range(64)) AS i)),
+q AS (SELECT label::VARCHAR || '_' || vec_id::VARCHAR || '.wav' AS clip_id, i, trunc(x * ((1::BIGINT << (8 * width - 1)) - 1)) / (1::BIGINT << (8 * width - 1)) AS x FROM s)
+SELECT clip_id, 64 AS fs, 64::BIGINT AS n_samples, start::BIGINT AS start, (i - start)::INT AS i, x FROM q, (SELECT unnest(range(0, 64, 20)) AS start) WHERE i >= start AND i < start + 24""")
+def _(t):
+    """The same recordings in blocks of 20 samples, each with 4 of the next, read by a data source."""
+    b = B.load_blocks(t.spark, _written_clips(t), block=20, halo=4, split_bytes=1 << 23)
+    return b.select("clip_id", "fs", "n_samples", "start", F.posexplode("samples").alias("i", "x"))
+
+
+@query("arr_17_band_blocks", "", """WITH s AS (SELECT vec_id, label, vec_id % 4 + 1 AS width, i, greatest(-1, least(0.999::DOUBLE, embedding[i + 1]::DOUBLE)) AS x FROM embeddings, (SELECT unnest(range(64)) AS i)),
+q AS (SELECT label::VARCHAR || '_' || vec_id::VARCHAR || '.wav' AS clip_id, i, trunc(x * ((1::BIGINT << (8 * width - 1)) - 1)) / (1::BIGINT << (8 * width - 1)) AS x FROM s),
+w AS (SELECT clip_id, fr, i - fr * 8 AS n, x * (0.5 - 0.5 * cos(2 * pi() * (i - fr * 8) / 16)) AS x FROM q, (SELECT unnest(range(7)) AS fr) WHERE i >= fr * 8 AND i < fr * 8 + 16),
+p AS (SELECT clip_id, fr, k, pow(sum(x * cos(n * k * (2 * pi() / 16))), 2) + pow(sum(x * sin(n * k * (2 * pi() / 16))), 2) AS power FROM w, (SELECT unnest(range(9)) AS k) GROUP BY ALL),
+m AS (SELECT clip_id, max(power) AS top FROM p GROUP BY clip_id)
+SELECT clip_id, fr::INT AS frame, k::INT AS bin, round(greatest(power / top, 1e-5::DOUBLE), 5) AS relative FROM p JOIN m USING (clip_id) WHERE k BETWEEN 2 AND 5""")
+def _(t):
+    """Bins from 8 to 20 Hz of recordings at 64 Hz: blocks of 24 samples with a frame's halo, relative to the maximum of all bins."""
+    blocks = B.load_blocks(t.spark, _written_clips(t), block=24, halo=16)
+    m = X.spectrum_matrix(X.band_spectrum(blocks, 16, 8, 24, band_hz=(8.0, 20.0)))
+    c = m.select("clip_id", "first_bin", F.posexplode("matrix").alias("b", "row")).select("clip_id", (F.col("first_bin") + F.col("b")).alias("bin"), F.posexplode("row").alias("frame", "db"))
+    return c.select("clip_id", "frame", "bin", F.round(F.greatest(F.pow(F.lit(10.0), F.col("db") / 10), F.lit(1e-5)), 5).alias("relative"))
+
+
 @query("src_3_labelled_index", "calls", r"""WITH n AS (SELECT replace(clip_id, '.wav', '') AS src, (call_type = 'purchase')::INT AS label, min(begin_s) AS b, max(end_s) AS e, count(*) AS k FROM calls GROUP BY ALL)
 SELECT src || '_' || printf('%.1f', b) || 's_' || printf('%.1f', e) || CASE WHEN k % 2 = 0 THEN 's.mat' ELSE 's.MAT' END AS name, src, printf('%.1f', b)::DOUBLE AS start_s, printf('%.1f', e)::DOUBLE AS second_s, label FROM n""")
 def _(t):
@@ -254,27 +303,54 @@ def _(t):
     return C.labelled_files(t.spark, f"{folder}/positive", f"{folder}/negative").select("name", "src", "start_s", "second_s", "label")
 
 
-def _catalogue(t, row, key, more=()):
-    """Window catalogues with one document per day."""
-    p = t.predictions.select(F.struct(*row).alias("c"), F.col("audio_timestamp").substr(1, 10).alias("day"))
+def _paths():
+    return [F.concat(F.lit("m/"), "file_id").alias("mat_path"), F.concat(F.lit("a/"), "file_id").alias("audio_path")]
+
+
+def _catalogue(t, day, which):
+    """A folder of window documents, one for each value of day: those of ``which`` values are of the newer layout."""
+    p = t.predictions.withColumn("day", day)
     folder = scratch(t.spark, "windows")
-    p.groupBy("day").agg(F.collect_list("c").alias(key), *more).drop("day").write.json(folder)
-    return C.window_catalogue(t.spark, folder, lines=True)
+    shape, number = F.array(F.lit(96), F.lit(96)), (F.length("file_id") % 5).cast("int")
+    chunk = F.struct(F.col("file_id").alias("chunk_id"), *_paths(), F.lit(1.5).alias("window_time_start"), F.lit(11.5).alias("window_time_end"), F.col("audio_timestamp").alias("timestamp"), shape.alias("chunk_shape"), number.alias("window_index"), F.concat("file_id", F.lit(".wav")).alias("source_audio"))
+    new = p.filter(which).groupBy("day").agg(F.collect_list(chunk).alias("chunks"))
+    new.select("chunks", F.col("day").alias("device_code"), F.lit("2024-01-01").alias("start_date"), F.struct(F.lit(0.9).alias("overlap")).alias("processing_parameters")).write.json(f"{folder}/new")
+    entry = F.struct(F.col("file_id"), *_paths(), F.lit(40.0).alias("segment_start_sec"), F.lit(80.0).alias("segment_end_sec"))
+    old = p.filter(~which).groupBy("day").agg(F.collect_list(entry).alias("files"))
+    old.select("files", F.struct(F.col("day").alias("device_code"), F.lit(64000.0).alias("sample_rate")).alias("data_source"), F.struct(F.lit("download").alias("source")).alias("spectrogram_config")).write.json(f"{folder}/old")
+    t.predictions.limit(3).select("file_id").write.json(f"{folder}/other")
+    return f"{folder}/*"
 
 
-def _paths():
-    return [F.concat(F.lit("m/"), "file_id").alias("mat_path"), F.concat(F.lit("a/"), "file_id").alias("audio_path")]
+_DAY = "audio_timestamp[9:10]"
+
+
+@query("src_4_window_catalogue", "predictions", f"""SELECT file_id, 'm/' || file_id AS mat_path, 'a/' || file_id AS audio_path, 1.5::DOUBLE AS start_s, 11.5::DOUBLE AS end_s, 'd' || {_DAY} AS device_code, '2024-01-01' AS date_from,
+audio_timestamp, 96 AS height, (length(file_id) % 5)::INT AS window_index, file_id || '.wav' AS source_audio, 'default' AS spectra_from FROM predictions""")
+def _(t):
+    w = C.window_catalogue(t.spark, _catalogue(t, F.concat(F.lit("d"), F.col("audio_timestamp").substr(9, 2)), F.lit(True)), lines=True)
+    return w.select("file_id", "mat_path", "audio_path", "start_s", "end_s", "device_code", "date_from", "audio_timestamp", F.get("chunk_shape", F.lit(0)).alias("height"), "window_index", "source_audio", "spectra_from")
 
 
-@query("src_4_window_catalogue", "predictions", "SELECT file_id, 'm/' || file_id AS mat_path, 'a/' || file_id AS audio_path, 1.5::DOUBLE AS start_s, 11.5::DOUBLE AS end_s FROM predictions")
+@query("src_4_legacy_catalogue", "predictions", f"SELECT file_id, 'm/' || file_id AS mat_path, 'a/' || file_id AS audio_path, 40.0::DOUBLE AS start_s, 80.0::DOUBLE AS end_s, 'd' || {_DAY} AS device_code, 64000.0::DOUBLE AS sample_rate, 'download' AS spectra_from FROM predictions")
 def _(t):
-    return _catalogue(t, [F.col("file_id").alias("chunk_id"), *_paths(), F.lit(1.5).alias("window_time_start"), F.lit(11.5).alias("window_time_end")], "chunks")
+    w = C.window_catalogue(t.spark, _catalogue(t, F.concat(F.lit("d"), F.col("audio_timestamp").substr(9, 2)), F.lit(False)), lines=True)
+    return w.select("file_id", "mat_path", "audio_path", "start_s", "end_s", "device_code", "sample_rate", "spectra_from")
 
 
-@query("src_4_legacy_catalogue", "predictions", "SELECT file_id, 'm/' || file_id AS mat_path, 'a/' || file_id AS audio_path, 40.0::DOUBLE AS start_s, 80.0::DOUBLE AS end_s FROM predictions")
+@query("src_4_mixed_catalogue", "predictions", f"""SELECT file_id, CASE WHEN {_DAY}::INT % 2 = 0 THEN 'chunks' ELSE 'files' END AS layout, 'd' || {_DAY} AS device_code, CASE WHEN {_DAY}::INT % 2 = 0 THEN 1.5::DOUBLE ELSE 40 END AS start_s,
+CASE WHEN {_DAY}::INT % 2 = 0 THEN (length(file_id) % 5)::INT END AS window_index, CASE WHEN {_DAY}::INT % 2 = 1 THEN 64000.0::DOUBLE END AS sample_rate FROM predictions""")
 def _(t):
-    row = [F.col("file_id"), *_paths(), F.lit(40.0).alias("segment_start_sec"), F.lit(80.0).alias("segment_end_sec")]
-    return _catalogue(t, row, "files", [F.struct(F.lit("D1").alias("device_code")).alias("data_source")])
+    """One folder that holds documents of both layouts."""
+    which = F.col("audio_timestamp").substr(9, 2).cast("int") % 2 == 0
+    w = C.window_catalogue(t.spark, _catalogue(t, F.concat(F.lit("d"), F.col("audio_timestamp").substr(9, 2)), which), lines=True)
+    return w.select("file_id", "layout", "device_code", "start_s", "window_index", "sample_rate")
+
+
+@query("src_4_catalogue_faults", "predictions", "SELECT 'unknown layout' AS fault, least(3, count(*)) AS documents FROM predictions")
+def _(t):
+    f = C.catalogue_faults(t.spark, _catalogue(t, F.lit("d"), F.lit(True)), lines=True)
+    return f.groupBy("fault").agg(F.sum("documents").alias("documents"))
 
 
 @query("src_5_documentation", "calls", "SELECT count(*) AS calls, count(DISTINCT clip_id) AS clips, " + _FAILED + " AS failed, strftime(min(call_ts), '%Y-%m-%d %H:%M:%S') AS first FROM calls")
@@ -296,15 +372,27 @@ def _(t):
     folder = scratch(t.spark, "items")
     K.write_items(t.items.select("item_id", "model_outputs", "verifications"), folder, "2.0", "2024-01-01", "2024-01-01")
     K.write_items(K.read_items(t.spark, folder), folder, "2.0", "2024-02-02", "2024-02-02")  # from the document itself
-    header = t.spark.read.json(f"{folder}/header")
     items = K.read_items(t.spark, folder).select("item_id", F.get("model_outputs", F.lit(0))["score"].alias("score"))
-    return items.crossJoin(F.broadcast(header.select("created_at", "updated_at")))  # one row
+    return items.crossJoin(F.broadcast(Record(t.spark, folder).header().select("created_at", "updated_at")))  # one row
+
+
+@query("snk_1_updated_items", "items", """SELECT item_id, CASE WHEN doc_id % 10 = 0 THEN -score_a ELSE score_a END AS score, 3 AS number FROM items WHERE doc_id % 7 > 0
+UNION ALL SELECT item_id, CASE WHEN doc_id % 10 = 0 THEN -score_a ELSE 2 END, 3 FROM items WHERE doc_id % 7 = 0""")
+def _(t):
+    """A document, saved once, then with some items changed and some added."""
+    folder = scratch(t.spark, "items")
+    score = F.get("model_outputs", F.lit(0))["score"]
+    i = t.items.select("item_id", score.alias("score"), "doc_id")
+    K.write_items(i.filter("doc_id % 7 > 0").drop("doc_id"), folder, "2.0", "2024-01-01", "2024-01-01")
+    K.update_items(i.filter("doc_id % 7 = 0").select("item_id", F.lit(2.0).alias("score")), folder, "2.0", "2024-01-01", "2024-02-02")
+    K.update_items(i.filter("doc_id % 10 = 0").select("item_id", (-F.col("score")).alias("score")), folder, "2.0", "2024-01-01", "2024-03-03")
+    return K.read_items(t.spark, folder).withColumn("number", F.lit(Record(t.spark, folder).commit()["number"]))
 
 
 @query("snk_2_predictions", "predictions", "SELECT file_id, expert_label, confidence FROM predictions")
 def _(t):
     folder = scratch(t.spark, "predictions")
-    K.write_items(t.predictions, folder, "1.0", "2024-01-01", "2024-01-01")
+    K.write_items(t.predictions, folder, "1.0", "2024-01-01", "2024-01-01", key="file_id")
     return K.read_items(t.spark, folder).select("file_id", "expert_label", "confidence")
 
 

@@ -2,35 +2,25 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .records import Record
+
+
+def write_items(items: DataFrame, folder: str, version: str, created_at: str, updated_at: str, key: str = "item_id") -> int:
+    """Save a prediction document whole; items may come from the document itself. created_at stays from the first save."""
+    return Record(items.sparkSession, folder, key).replace(items, version, created_at, updated_at)
 
-def write_items(items: DataFrame, folder: str, version: str, created_at: str, updated_at: str) -> None:
-    """A prediction document: items as JSON lines in a folder of their own, and a header of one row that names it.
 
-    The header is put in place last, so it always stands for a whole document, and items may come from the document that is
-    written. created_at stays if a header is there.
-    """
-    spark = items.sparkSession
-    header = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/header")
-    fs = header.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(header):
-        created_at = spark.read.json(f"{folder}/header").first()["created_at"]
-    name = uuid.uuid4().hex
-    items.write.json(f"{folder}/items-{name}")
-    row = spark.createDataFrame([(version, created_at, updated_at, f"items-{name}")], "version string, created_at string, updated_at string, items string")
-    row.coalesce(1).write.json(f"{folder}/header-{name}")
-    fs.delete(header, True)
-    if not fs.rename(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/header-{name}"), header):
-        raise OSError(f"{folder}/header")
+def update_items(items: DataFrame, folder: str, version: str, created_at: str, updated_at: str, key: str = "item_id") -> int:
+    """Save some items of a prediction document, new or in place of those of their ids; the buckets of others aren't touched."""
+    return Record(items.sparkSession, folder, key).upsert(items, version, created_at, updated_at)
 
 
 def read_items(spark: SparkSession, folder: str) -> DataFrame:
-    """The items that a document's header names."""
-    return spark.read.json(f"{folder}/{spark.read.json(f'{folder}/header').first()['items']}")
+    """The items of a document's last save."""
+    return Record(spark, folder).read()
 
 
 def write_splits(entries: DataFrame, folder: str) -> None:

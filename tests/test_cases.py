@@ -12,6 +12,7 @@ from sonolith.operators import filters, intervals, review, splits, tiling
 from sonolith.operators.ranking import global_rank
 from sonolith.plans.views import Tables
 from sonolith.sources import sinks
+from sonolith.sources.records import Record
 from sonolith.sources.catalogues import load_annotations, load_clips
 
 
@@ -113,9 +114,9 @@ def test_power_names_win_over_decibels(spark):
 
 def test_a_document_can_be_written_from_itself(spark, tmp_path):
     folder = f"file://{tmp_path}/doc"
-    sinks.write_items(spark.range(5), folder, "1", "then", "then")
-    sinks.write_items(sinks.read_items(spark, folder).filter("id > 1"), folder, "1", "now", "now")
-    header = spark.read.json(f"{folder}/header").first()
+    sinks.write_items(spark.range(5), folder, "1", "then", "then", key="id")
+    sinks.write_items(sinks.read_items(spark, folder).filter("id > 1"), folder, "1", "now", "now", key="id")
+    header = Record(spark, folder).header().first()
     assert sinks.read_items(spark, folder).count() == 3 and (header.created_at, header.updated_at) == ("then", "now")
 
 
