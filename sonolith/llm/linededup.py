@@ -156,7 +156,11 @@ def repeated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int
     groups = windows.groupBy("key").agg(F.min("doc_id").alias("owner"), F.count("*").alias("times")).filter("times > 1")
     found = C.join_groups(windows, groups, "key", "times", windows.count()).filter("times IS NOT NULL")
     own = F.col("doc_id").eqNullSafe(F.col("owner"))
-    return found.groupBy("doc_id", "mark").agg(F.collect_set(F.when(own, F.col("key"))).alias("first"), F.collect_set(F.when(~own, F.col("key"))).alias("later"))
+    lists = found.groupBy("doc_id", "mark").agg(F.collect_set(F.when(own, F.col("key"))).alias("first"), F.collect_set(F.when(~own, F.col("key"))).alias("later"))
+    # written, so that the windows can go before whole documents are shuffled
+    lists = C.materialize(lists, "repeated")
+    C.discard(windows)
+    return lists
 
 
 def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = 3) -> DataFrame:
