@@ -5,28 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import hash_key, unit
+from .ranking import earlier_max, hash_key, running_count, unit
 
 
-def merged_intervals(calls: DataFrame, margin: float, length: Column | float, key: str = "clip_id") -> DataFrame:
+#: Seconds of a key that are scanned together; a key of any length is scanned bucket by bucket.
+SEGMENT_S = 3600.0
+
+
+def merged_intervals(calls: DataFrame, margin: float, length: Column | float, key: str = "clip_id", segment_s: float = SEGMENT_S) -> DataFrame:
     """Islands of calls, widened by margin and clamped to [0, length]; touching ones merge. (key, island, start, end)"""
     length = F.lit(length) if isinstance(length, float | int) else length
     s = calls.select(key, F.greatest(F.lit(0.0), F.col("begin_s") - margin).alias("s"), F.least(length, F.col("end_s") + margin).alias("e"))
-    order = Window.partitionBy(key).orderBy("s", "e")
-    reach = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    s = s.withColumn("_new", F.when(F.col("s") > F.coalesce(reach, F.lit(-1.0)), 1).otherwise(0))
-    s = s.withColumn("island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    s = s.withColumn("_bucket", F.floor(F.col("s") / segment_s))
+    s = earlier_max(s, [key], "_bucket", ["s", "e"], "e", "_reach")
+    s = running_count(s, [key], "_bucket", ["s", "e"], F.col("s") > F.coalesce("_reach", F.lit(-1.0)), "island")
     return s.groupBy(key, "island").agg(F.min("s").alias("start"), F.max("e").alias("end"))
 
 
-def free_gaps(clips: DataFrame, calls: DataFrame, margin: float, key: str = "clip_id") -> DataFrame:
+def free_gaps(clips: DataFrame, calls: DataFrame, margin: float, key: str = "clip_id", segment_s: float = SEGMENT_S) -> DataFrame:
     """Call-free gaps in [0, length_s], of positive length: (key, gap, start, end). A clip without calls is one gap."""
-    islands = merged_intervals(calls.join(clips.select(key, "length_s"), key), margin, F.col("length_s"), key)
+    islands = merged_intervals(calls.join(clips.select(key, "length_s"), key), margin, F.col("length_s"), key, segment_s)
     tail = clips.select(key, F.col("length_s").alias("start"), F.col("length_s").alias("end"))
-    marks = islands.select(key, "start", "end").unionByName(tail)
-    w = Window.partitionBy(key).orderBy("start", "end")
-    gaps = marks.select(key, F.coalesce(F.lag("end").over(w), F.lit(0.0)).alias("s"), F.col("start").alias("e")).filter("e > s")
-    return gaps.select(key, F.row_number().over(Window.partitionBy(key).orderBy("s")).alias("gap"), F.col("s").alias("start"), F.col("e").alias("end"))
+    marks = islands.select(key, "start", "end").unionByName(tail).withColumn("_bucket", F.floor(F.col("start") / segment_s))
+    # islands don't overlap, so the end of the one before is the largest before
+    gaps = earlier_max(marks, [key], "_bucket", ["start", "end"], "end", "_s").withColumn("_s", F.coalesce("_s", F.lit(0.0)))
+    gaps = running_count(gaps, [key], "_bucket", ["start", "end"], F.col("start") > F.col("_s"), "_n").filter(F.col("start") > F.col("_s"))
+    return gaps.select(key, F.col("_n").cast("int").alias("gap"), F.col("_s").alias("start"), F.col("start").alias("end"))
 
 
 def negative_windows(clips: DataFrame, calls: DataFrame, context: float = 40.0, margin: float = 2.0, per_call: int = 1, seed: str = "neg", tries: int = 5) -> DataFrame:
@@ -187,13 +191,18 @@ def gaps_to_next(windows: DataFrame, key: str, start: str) -> DataFrame:
     return windows.withColumn("gap", F.lead(start).over(Window.partitionBy(key).orderBy(start)) - F.col(start))
 
 
-def gap_clusters(entries: DataFrame, gap: float) -> DataFrame:
+def gap_clusters(entries: DataFrame, gap: float, segment_s: float = SEGMENT_S) -> DataFrame:
     """entries with ``cluster`` per source: a new one starts where the centre is gap or more after the one before.
 
-    Entries without a start are clusters of their own, numbered below zero.
+    Entries without a centre are clusters of their own, numbered below zero.
     """
     e = entries.withColumn("centre", (F.col("begin_s") + F.col("end_s")) / 2)
-    w = Window.partitionBy("src_id").orderBy(F.asc_nulls_last("centre"), "spec_id")
-    new = F.when(F.col("centre") - F.lag("centre").over(w) < gap, 0).otherwise(1)
-    e = e.withColumn("_new", new).withColumn("cluster", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return e.withColumn("cluster", F.when(F.col("centre").isNull(), -F.row_number().over(w)).otherwise(F.col("cluster"))).drop("_new")
+    none = F.col("centre").isNull()
+    # entries without a centre come last, spread over many buckets
+    apart = F.lit(1 << 60) + F.pmod(F.xxhash64("spec_id"), F.lit(4096))
+    e = e.withColumn("_bucket", F.when(none, apart).otherwise(F.floor(F.col("centre") / segment_s)))
+    order = [F.asc_nulls_last("centre"), "spec_id"]
+    e = earlier_max(e, ["src_id"], "_bucket", order, "centre", "_before")
+    e = running_count(e, ["src_id"], "_bucket", order, ~none & ~F.coalesce(F.col("centre") - F.col("_before") < gap, F.lit(False)), "cluster")
+    e = running_count(e, ["src_id"], "_bucket", order, none, "_none")
+    return e.withColumn("cluster", F.when(none, -F.col("_none")).otherwise(F.col("cluster"))).select(*entries.columns, "centre", "cluster")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import hash_key, unit
 from ..session import materialize
 
-__all__ = ["global_rank", "hash_key", "numbered", "prefix_counts", "sorted_places", "top_per_group", "unit"]
+__all__ = ["earlier_max", "global_rank", "hash_key", "numbered", "prefix_counts", "running_count", "sorted_places", "top_per_group", "unit"]
 
 
 def top_per_group(df: DataFrame, by: list[str], order: list, n: int) -> DataFrame:
@@ -55,3 +55,24 @@ def numbered(df: DataFrame, by: str, order: list, form: str, name: str) -> DataF
     """df with ids of a form such as %s_neg_%d: the source and the row's number in it, from 0."""
     n = F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1
     return df.withColumn(name, F.format_string(form, F.col(by), n))
+
+
+def earlier_max(df: DataFrame, by: list[str], bucket: str, order: list, value: str, name: str) -> DataFrame:
+    """df with the largest value of all rows of the group that come before, by bucket and then by order; null at its start.
+
+    A scan in segments: inside a bucket rows run, between buckets one number does, so no task sorts a whole group.
+    """
+    inside = F.max(value).over(Window.partitionBy(*by, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    per = df.groupBy(*by, bucket).agg(F.max(value).alias("_most"))
+    carry = F.max("_most").over(Window.partitionBy(*by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1))
+    carried = per.select(*by, bucket, carry.alias("_carry"))
+    out = df.withColumn("_inside", inside).join(carried, [*by, bucket])
+    return out.withColumn(name, F.greatest("_inside", "_carry")).drop("_inside", "_carry")
+
+
+def running_count(df: DataFrame, by: list[str], bucket: str, order: list, counted: Column, name: str) -> DataFrame:
+    """df with the number of counted rows of the group up to and with this one, by bucket and then by order, in segments too."""
+    rows = df.withColumn("_one", F.when(counted, 1).otherwise(0))
+    before = prefix_counts(rows, by, bucket, {"c": F.col("_one")}).select(*by, bucket, "c_before")
+    inside = F.sum("_one").over(Window.partitionBy(*by, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn(name, inside).join(before, [*by, bucket]).withColumn(name, F.col(name) + F.col("c_before")).drop("_one", "c_before")

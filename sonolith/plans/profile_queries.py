@@ -182,6 +182,54 @@ def _(t):
     return L.predict(model, e.filter("vec_id % 5 = 4"), "x0", "y").withColumn("validation_auc", F.lit(max(r["metric"] for r in tried.collect())))
 
 
+_EPOCHS = 3
+
+
+def _epoch_sql():
+    """Training written out: weights of each epoch from those before, by the rule itself."""
+    unit = "('0x' || substr(md5('epoch{}{}|' || draw::VARCHAR), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE"
+    sql = """WITH e AS MATERIALIZED (SELECT vec_id AS id, (label < 3)::INT AS y, vec_id % 5 AS part FROM embeddings),
+x AS MATERIALIZED (SELECT vec_id AS id, i, CASE WHEN i < 8 THEN embedding[i + 1]::DOUBLE ELSE 1 END AS v FROM embeddings, (SELECT unnest(range(9)) AS i)),
+n AS (SELECT y, count(*) AS n FROM e WHERE part < 3 GROUP BY y), cw AS (SELECT y, raw / avg(raw) OVER () AS weight FROM (SELECT y, (SELECT sum(n) FROM n) / n AS raw FROM n)),
+w0 AS MATERIALIZED (SELECT i, 0.0::DOUBLE AS w FROM range(9) r(i))"""
+    for k in range(_EPOCHS):
+        sql += f""",
+r{k} AS (SELECT id, y, row_number() OVER (PARTITION BY y ORDER BY md5('epoch{k}|' || id::VARCHAR)) AS rank, count(*) OVER (PARTITION BY y) AS size FROM e WHERE part < 3),
+z{k} AS (SELECT y, max(size) AS size, row_number() OVER (ORDER BY y) - 1 AS c, count(*) OVER () AS classes FROM r{k} GROUP BY y),
+d{k} AS (SELECT draw, {unit.format(k, 'c')} AS u, {unit.format(k, 'r')} AS q FROM (SELECT unnest(range((SELECT 2 * max(size) FROM z{k}))) AS draw)),
+s{k} AS MATERIALIZED (SELECT draw, id, r{k}.y FROM d{k} JOIN z{k} ON c = floor(u * classes) JOIN r{k} ON r{k}.y = z{k}.y AND rank = floor(q * z{k}.size) + 1),
+p{k} AS MATERIALIZED (SELECT id, 1 / (1 + exp(-sum(v * w))) AS p FROM x JOIN w{k} USING (i) GROUP BY id),
+w{k + 1} AS MATERIALIZED (SELECT i, any_value(w) - 0.5::DOUBLE * sum((p - y) * v) / count(*) AS w FROM s{k} JOIN p{k} USING (id) JOIN x USING (id) JOIN w{k} USING (i) GROUP BY i),
+t{k} AS MATERIALIZED (SELECT id, y, part, 1 / (1 + exp(-sum(v * w))) AS p FROM x JOIN w{k + 1} USING (i) JOIN e USING (id) WHERE part > 2 GROUP BY ALL),
+h{k} AS MATERIALIZED (SELECT {k} AS epoch, (SELECT sum(weight * -ln(CASE WHEN y = 1 THEN p ELSE 1 - p END)) / sum(weight) FROM t{k} JOIN cw USING (y) WHERE part = 3) AS loss,
+  (SELECT avg(CASE WHEN a.p > b.p THEN 1.0::DOUBLE WHEN a.p = b.p THEN 0.5 ELSE 0 END) FROM t{k} a, t{k} b WHERE a.part = 3 AND b.part = 3 AND a.y = 1 AND b.y = 0) AS metric)"""
+    sql += ",\nh AS (" + " UNION ALL ".join(f"SELECT * FROM h{k}" for k in range(_EPOCHS)) + ")"
+    every = " UNION ALL ".join(f"SELECT {k} AS epoch, * FROM t{k}" for k in range(_EPOCHS))
+    return sql + f", best AS (SELECT epoch FROM h ORDER BY metric DESC, epoch LIMIT 1), t AS ({every})\n"
+
+
+def _epochs(t):
+    e = t["embeddings"].select("vec_id", F.transform(F.slice("embedding", 1, 8), lambda v: v.cast("double")).alias("x"), (F.col("label") < 3).cast("int").alias("y"))
+    model, history = L.fit_epochs(e.filter("vec_id % 5 < 3"), e.filter("vec_id % 5 = 3"), "x", "y", "vec_id", epochs=_EPOCHS)
+    return e, model, history
+
+
+@query("ml_3_epoch_history", "", _epoch_sql() + "SELECT epoch, round(loss, 6) AS loss, round(metric, 6) AS metric, epoch = (SELECT epoch FROM best) AS best FROM h")
+def _(t):
+    _, model, history = _epochs(t)
+    return history.select("epoch", F.round("loss", 6).alias("loss"), F.round("metric", 6).alias("metric"), (F.col("epoch") == model.epoch).alias("best"))
+
+
+@query("ml_3_epoch_scores", "", _epoch_sql() + "SELECT id AS vec_id, y AS y_true, round(p, 6) AS score FROM t WHERE part = 4 AND epoch = (SELECT epoch FROM best)")
+def _(t):
+    """Scores of what was held out, by the model of the best epoch, saved and loaded again."""
+    e, model, _ = _epochs(t)
+    folder = scratch(t.spark, "model")
+    L.save_linear(t.spark, model, folder)
+    scored = L.linear_scored(e.filter("vec_id % 5 = 4"), L.load_linear(t.spark, folder).weights, "x", "y", "epochs", keep=["vec_id"])
+    return scored.select("vec_id", "y_true", F.round("score", 6).alias("score"))
+
+
 def _written_calls(t):
     """Annotation CSVs by call type, with odd headers, columns in another order and quoted fields, and an unusable file."""
     folder, paths = scratch(t.spark, "annotations"), []
