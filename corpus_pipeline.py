@@ -12,6 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from sonolith.llm import bpe, common, exact, mixing, nearjoin, quality
+from sonolith.session import scratch_scope
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,8 +60,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written in the shared folder and read again."""
+    """All stages over documents, each written in the shared folder and read again; what a stage wrote besides its result goes
+    when it is done, and its input when its result is there."""
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = common.materialize(stage(spark, docs, sf_dir), name)
+        with scratch_scope(spark) as keep:
+            made = keep(common.materialize(stage(spark, docs, sf_dir), name))
+        common.discard(docs)
+        docs = made
     return docs
