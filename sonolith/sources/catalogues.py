@@ -144,7 +144,7 @@ def window_documents(spark: SparkSession, path: str, lines: bool = False) -> Dat
     The layout of each document is decided by its own keys: the older ``files`` with data_source, or ``chunks`` with
     processing_parameters. Others, and texts that aren't JSON, have a fault. spec_config names the source of its spectra.
     """
-    raw = spark.read.option("wholetext", str(not lines).lower()).text(path)
+    raw = spark.read.text(path, wholetext=not lines)
     raw = raw.select("value", F.col("_metadata.file_path").alias("path"), F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at")).filter(F.trim("value") != "")
     doc = raw.withColumn("v", F.try_parse_json("value"))
     get = lambda key, kind="string": F.try_variant_get("v", f"$.{key}", kind)
