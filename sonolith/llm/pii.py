@@ -156,9 +156,10 @@ def normalise(text: str) -> Traced | None:
     """The text without disguises, or None where there are none."""
     low = text.lower()
     words = sum(map(low.count, _DIGITS))
-    dots = "dot" in low or "[.]" in text or "(.)" in text or "{.}" in text or "<.>" in text
+    bracket = any(c in text for c in "[({<")
+    dots = "dot" in low or (bracket and _DOT.search(text) is not None)
     spelled = words >= 7 or (words and (dots or any(c in text for c in "0123456789")))
-    ats = dots or (any(c in text for c in "[({<") and _AT.search(text) is not None) or (" at " in low and (not text.isascii() or _BARE.search(text) is not None))
+    ats = dots or (bracket and _AT.search(text) is not None) or (" at " in low and (not text.isascii() or _BARE.search(text) is not None))
     strange = not text.isascii() and _STRANGE.search(text)
     if not (spelled or ats or strange):
         return None

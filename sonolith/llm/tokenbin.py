@@ -89,15 +89,16 @@ def _from_varints(data: bytes, n: int) -> np.ndarray:
     return np.add.reduceat((raw & 127) << (7 * place), starts)
 
 
-def paying(first: int, ids: int) -> int:
-    """Occurrences from which a rule makes a segment smaller: each saves a symbol, the rule costs two and a byte at least."""
-    width = _bits(first + ids // 8)
-    return (2 * width + 8) // width + 1
+#: Occurrences from which a rule is made. One saves a symbol of some 17 bits; a rule costs two symbols, a byte or more for its
+#: length, and its share of a bit in every symbol: three occurrences hardly pay, and where they cost a bit they don't.
+LEAST = 4
+#: Segments that a task reads.
+SEGMENTS_A_TASK = 8
 
 
-def pack_segment(ids: np.ndarray, starts: np.ndarray, first: int, names: pa.Array | None = None, least: int | None = None) -> bytes:
-    """Re-Pair ends where no pair occurs ``least`` times; by default where a rule wouldn't pay for itself."""
-    rules, symbols = compress(ids, first, paying(first, len(ids)) if least is None else least)
+def pack_segment(ids: np.ndarray, starts: np.ndarray, first: int, names: pa.Array | None = None, least: int = LEAST) -> bytes:
+    """Re-Pair ends where no pair occurs ``least`` times: where a rule no longer pays for itself."""
+    rules, symbols = compress(ids, first, least)
     sizes = lengths(rules, first)
     n = np.ones(len(symbols), np.int64)
     big = symbols >= first
@@ -245,7 +246,7 @@ def read(manifest: DataFrame, folder: str, kind: str = "long") -> DataFrame:
                 yield pa.RecordBatch.from_arrays(made, ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     # a manifest row is small but stands for much work, so partitions are counted in segments, not bytes
-    spread = based.repartition(max(1, min(manifest.count(), 20_000)), "part", "segment")
+    spread = based.repartition(max(1, min(-(-manifest.count() // SEGMENTS_A_TASK), 20_000)), "part", "segment")
     return spread.select("file", "at", "size", "base").mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
 
 

@@ -318,7 +318,9 @@ def whitened(embeddings: DataFrame, vector: str = "embedding", vec_id: str = "ve
             w, m = (x - mean) @ weights, len(x)
             again = np.arange(m).repeat(k)
             flat = pa.array(w.ravel(), mask=np.tile(~live, m))
-            columns = [batch.column(0).take(pa.array(again)), pa.array(np.tile(np.arange(1, k + 1, dtype=np.int32), m)), pa.array(np.full(m * k, n)), pa.array(_deviations(x, n, sums), pa.int64()).take(pa.array(again)), flat, pa.array(np.tile(explained, m)), pa.array(np.full(m * k, error))]
+            component, deviation = np.tile(np.arange(1, k + 1, dtype=np.int32), m), pa.array(_deviations(x, n, sums), pa.int64())
+            columns = [batch.column(0).take(pa.array(again)), pa.array(component), pa.array(np.full(m * k, n)), deviation.take(pa.array(again))]
+            columns += [flat, pa.array(np.tile(explained, m)), pa.array(np.full(m * k, error))]
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return rows.select("vec_id", "v").mapInArrow(project, schema)
