@@ -11,22 +11,26 @@ def found(text: Column, pattern: str, group: int = 0) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
+def _moment(digits: Column) -> Column:
+    """yyyyMMddTHHmmss as a timestamp without zone, whatever the session's; null if it is no date."""
+    return F.regexp_replace(digits, r"^(\d{4})(\d\d)(\d\d)T(\d\d)(\d\d)(\d\d)$", "$1-$2-$3T$4:$5:$6").try_cast("timestamp_ntz")
+
 
 def name_timestamp(name: Column) -> Column:
-    """Start of a clip from the first yyyyMMddTHHmmss in its name; null if absent or no date."""
-    return F.try_to_timestamp(found(name, r"\d{8}T\d{6}"), F.lit("yyyyMMdd'T'HHmmss"))
+    """Start of a clip, in UTC, from the first yyyyMMddTHHmmss in its name; null if absent or no date."""
+    return _moment(found(name, r"\d{8}T\d{6}"))
 
 
 def positional_timestamp(name: Column) -> Column:
-    """Start of a clip from the second part between underscores, without fraction and Z."""
+    """Start of a clip, in UTC, from the second part between underscores, without fraction and Z."""
     stem = F.regexp_replace(name, r"\.[A-Za-z]+$", "")
     part = F.get(F.split(stem, "_"), F.lit(1))
-    return F.try_to_timestamp(F.substring(F.substring_index(F.replace(part, F.lit("Z"), F.lit("")), ".", 1), 1, 15), F.lit("yyyyMMdd'T'HHmmss"))
+    return _moment(found(F.substring(F.substring_index(F.replace(part, F.lit("Z"), F.lit("")), ".", 1), 1, 15), r"^\d{8}T\d{6}$"))
 
 
 def iso_timestamp(text: Column) -> Column:
-    """ISO time with Z or without; either is UTC."""
-    return F.try_to_timestamp(F.regexp_replace(text, "Z$", ""))
+    """ISO time with Z or without; either is UTC, and has no zone here."""
+    return F.regexp_replace(text, "Z$", "").try_cast("timestamp_ntz")
 
 
 def clock_seconds(text: Column) -> Column:

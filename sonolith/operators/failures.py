@@ -73,7 +73,9 @@ def safe_map(df: DataFrame, one: Callable[[dict], dict], schema: str, keep: list
 
 def failure_report(stages: dict[str, DataFrame], row: str, clip: str) -> DataFrame:
     """(stage, row, clip, reason): the rows with an error of each stage, where it arose."""
-    parts = [df.filter(F.col(ERROR).isNotNull()).select(F.lit(i).alias("_i"), F.lit(name).alias("stage"), F.col(row).cast("string").alias(row), F.col(clip).cast("string").alias(clip), F.col(ERROR).alias("reason")) for i, (name, df) in enumerate(stages.items())]
+    ids = [F.col(c).cast("string").alias(c) for c in (row, clip)]
+    bad = F.col(ERROR).isNotNull()
+    parts = [df.filter(bad).select(F.lit(i).alias("_i"), F.lit(name).alias("stage"), *ids, F.col(ERROR).alias("reason")) for i, (name, df) in enumerate(stages.items())]
     if not parts:
         raise ValueError("no stages")
     every = parts[0]

@@ -164,14 +164,19 @@ def _bucketed(df: DataFrame, start: str, end: str, width_s: float) -> DataFrame:
     return df.withColumn("_bucket", F.explode(F.sequence(bucket(start), F.greatest(bucket(start), bucket(end)))))
 
 
-def uncovered(windows: DataFrame, calls: DataFrame, margin: float, width_s: float = 60.0) -> DataFrame:
-    """Windows (clip_id, start, end) that no call, widened by margin, overlaps. Both sides meet in time buckets."""
-    c = calls.select("clip_id", (F.col("begin_s") - margin).alias("_s"), (F.col("end_s") + margin).alias("_e"))
-    c = _bucketed(c, "_s", "_e", width_s).withColumnRenamed("clip_id", "_clip").withColumnRenamed("_bucket", "_at")
-    w = _bucketed(windows.select("clip_id", "start", "end"), "start", "end", width_s)
-    meets = (w["clip_id"] == c["_clip"]) & (w["_bucket"] == c["_at"]) & (c["_s"] < w["end"]) & (c["_e"] > w["start"])
-    covered = w.join(c, meets, "left_semi").select("clip_id", "start", "end").distinct()
-    return windows.join(covered, ["clip_id", "start", "end"], "left_anti").select(*windows.columns)
+def uncovered(windows: DataFrame, calls: DataFrame, margin: float, segment_s: float = SEGMENT_S) -> DataFrame:
+    """Windows (clip_id, start, end) that no call, widened by margin, overlaps; those with a null among the three too.
+
+    Calls by their start and windows by their end are one order, in which a window is free if no call before it ends later
+    than it starts: one shuffle, in segments.
+    """
+    known = F.col("clip_id").isNotNull() & F.col("start").isNotNull() & F.col("end").isNotNull()
+    c = calls.select("clip_id", (F.col("begin_s") - margin).alias("_at"), (F.col("end_s") + margin).alias("_reach"), F.lit(1).alias("_kind"))
+    w = windows.filter(known).withColumn("_at", F.col("end")).withColumn("_reach", F.lit(None).cast("double")).withColumn("_kind", F.lit(0))
+    both = w.unionByName(c, allowMissingColumns=True).withColumn("_bucket", F.floor(F.col("_at") / segment_s))
+    both = earlier_max(both, ["clip_id"], "_bucket", ["_at", "_kind"], "_reach", "_most")  # a call that starts where a window ends is after it
+    free = both.filter((F.col("_kind") == 0) & (F.col("_most").isNull() | (F.col("_most") <= F.col("start"))))
+    return free.select(*windows.columns).unionByName(windows.filter(~known))
 
 
 def overlapping_pairs(windows: DataFrame, key: str, row: str, start: str, end: str, least_s: float, width_s: float = 60.0) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,30 +61,38 @@ def consistency(chunks: DataFrame, crop: int, window_s: float, overlap: float, t
 
     chunks has source, total (frames), freq (rows of the original), rows, cols, start (frame), t_start, t_end (seconds).
     Timing is held against start * hop + offset, where hop and offset are upper medians of what the source's own windows
-    say, the nominal hop and 0 without any. start_faults are starts missing or not expected.
+    say, the nominal hop and 0 without any. start_faults are starts missing or not expected. A source's windows, as many
+    as its recording has room for, meet once; the rest is array functions.
     """
     nominal = window_s * (1.0 - overlap)
-    upper = lambda x: F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {x} DESC)")
-    c = chunks.withColumn("bins", F.least(F.lit(crop), F.col("total") - F.col("start")))
-    timed = F.col("t_start").isNotNull() & F.col("t_end").isNotNull()
-    hop = (F.col("t_end") - F.col("t_start") - window_s) / (F.col("bins") - 1)
-    c = c.withColumn("own_hop", F.when(timed & (F.col("bins") > 1) & (hop > 0), hop))
-    c = c.join(c.groupBy("source").agg(F.coalesce(upper("own_hop"), F.lit(nominal)).alias("hop")), "source")
-    c = c.withColumn("own_offset", F.when(F.col("t_start").isNotNull() & (F.col("start") != 0), F.col("t_start") - F.col("start") * F.col("hop")))
-    c = c.join(c.groupBy("source").agg(F.coalesce(upper("own_offset"), F.lit(0.0)).alias("offset")), "source")
-    begin = F.greatest(F.lit(0.0), F.col("start") * F.col("hop") + F.col("offset"))
-    end = begin + (F.col("bins") - 1) * F.col("hop") + window_s
-    off = lambda x, want: F.count_if(timed & (F.abs(F.col(x) - want) > tolerance))
-    g = c.groupBy("source").agg(
-        F.max("total").alias("total"), F.array_sort(F.collect_set("start")).alias("starts"), F.count("*").alias("windows"),
-        F.count_if((F.col("rows") != crop) | (F.col("cols") != crop)).alias("shape_faults"),
-        F.count_if(F.col("freq") != crop).alias("freq_faults"),
-        F.count_if(timed & (F.col("t_end") > window_s + (F.col("total") - 1) * nominal + tolerance)).alias("bound_faults"),
+    fields = ("total", "start", "freq", "rows", "cols", "t_start", "t_end")
+    g = chunks.groupBy("source").agg(F.max("total").alias("total"), F.collect_list(F.struct(*fields)).alias("w"))
+    bins = lambda x: F.least(F.lit(crop), x["total"] - x["start"])
+    timed = lambda x: x["t_start"].isNotNull() & x["t_end"].isNotNull()
+    count = lambda test: F.size(F.filter("w", test)).cast("long")
+
+    def upper(value: Callable[[Column], Column]) -> Column:
+        held = F.array_sort(F.filter(F.transform("w", value), lambda v: v.isNotNull()))
+        return F.get(held, F.floor(F.size(held) / 2).cast("int"))
+
+    def own_hop(x: Column) -> Column:
+        hop = (x["t_end"] - x["t_start"] - window_s) / (bins(x) - 1)
+        return F.when(timed(x) & (bins(x) > 1) & (hop > 0), hop)
+
+    g = g.withColumn("hop", F.coalesce(upper(own_hop), F.lit(nominal)))
+    own_offset = lambda x: F.when(x["t_start"].isNotNull() & (x["start"] != 0), x["t_start"] - x["start"] * F.col("hop"))
+    g = g.withColumn("offset", F.coalesce(upper(own_offset), F.lit(0.0)))
+    begin = lambda x: F.greatest(F.lit(0.0), x["start"] * F.col("hop") + F.col("offset"))
+    end = lambda x: begin(x) + (bins(x) - 1) * F.col("hop") + window_s
+    off = lambda field, want: count(lambda x: timed(x) & (F.abs(x[field] - want(x)) > tolerance))
+    starts, expected = F.array_distinct(F.filter("w.start", lambda v: v.isNotNull())), even_starts(F.col("total"), F.lit(crop))
+    return g.select(
+        "source", F.size("w").cast("long").alias("windows"), count(lambda x: (x["rows"] != crop) | (x["cols"] != crop)).alias("shape_faults"),
+        count(lambda x: x["freq"] != crop).alias("freq_faults"),
+        count(lambda x: timed(x) & (x["t_end"] > window_s + (x["total"] - 1) * nominal + tolerance)).alias("bound_faults"),
         (off("t_start", begin) + off("t_end", end)).alias("timing_faults"),
+        (F.size(F.array_except(expected, starts)) + F.size(F.array_except(starts, expected))).alias("start_faults"),
     )
-    expected = even_starts(F.col("total"), F.lit(crop))
-    starts = F.size(F.array_except(expected, "starts")) + F.size(F.array_except("starts", expected))
-    return g.select("source", "windows", "shape_faults", "freq_faults", "bound_faults", "timing_faults", starts.alias("start_faults"))
 
 
 def consistency_totals(faults: DataFrame) -> DataFrame:

@@ -69,7 +69,8 @@ def _(t):
     return t.calls.select("call_id", S.device_code(F.when(F.col("call_id") % 9 > 0, F.col("clip_id"))).alias("device"))
 
 
-@query("str_3_safe_call_id", "calls", "SELECT call_id, replace(clip_id, '.wav', '') || '_' || printf('%.1f', b) || 's_' || printf('%.1f', b + 1.5::DOUBLE) || 's' AS safe_id FROM (SELECT call_id, clip_id, floor(begin_s) + 0.3::DOUBLE AS b FROM calls)")
+@query("str_3_safe_call_id", "calls", """SELECT call_id, replace(clip_id, '.wav', '') || '_' || printf('%.1f', b) || 's_' || printf('%.1f', b + 1.5::DOUBLE) || 's' AS safe_id
+FROM (SELECT call_id, clip_id, floor(begin_s) + 0.3::DOUBLE AS b FROM calls)""")
 def _(t):
     b = F.floor("begin_s") + F.lit(0.3)
     return t.calls.select("call_id", S.safe_call_id(F.col("clip_id"), b, b + F.lit(1.5)).alias("safe_id"))
@@ -88,7 +89,8 @@ def _(t):
     return t.calls.select("call_id", S.base_id(F.concat("clip_id", tail)).alias("base"))
 
 
-@query("str_6_spectrogram_name", "calls", r"""WITH n AS (SELECT call_id, CASE call_id % 3 WHEN 0 THEN stem || '_104.8s_' || (call_id % 50)::VARCHAR || '.5s_40Hz_custom.mat' WHEN 1 THEN stem || ',104.8s,' || (call_id % 50)::VARCHAR || '.5s,_40Hz.mat' ELSE stem || '_plain.mat' END AS name
+@query("str_6_spectrogram_name", "calls", r"""WITH n AS (SELECT call_id, CASE call_id % 3 WHEN 0 THEN stem || '_104.8s_' || (call_id % 50)::VARCHAR || '.5s_40Hz_custom.mat'
+WHEN 1 THEN stem || ',104.8s,' || (call_id % 50)::VARCHAR || '.5s,_40Hz.mat' ELSE stem || '_plain.mat' END AS name
   FROM (SELECT call_id, replace(clip_id, '.wav', '') AS stem FROM calls))
 SELECT call_id, CASE call_id % 3 WHEN 2 THEN replace(name, '.mat', '') ELSE regexp_extract(name, '^(.+?)[_,]([0-9.]+)s[_,]([0-9.]+)s', 1) END AS src,
   CASE WHEN call_id % 3 < 2 THEN 104.8::DOUBLE END AS start_s, CASE WHEN call_id % 3 < 2 THEN call_id % 50 + 0.5::DOUBLE END AS second_s FROM n""")
@@ -109,7 +111,8 @@ def _(t):
     return t.packed.select("doc_id", S.millisecond_stamp(F.col("source")).alias("stamp"))
 
 
-@query("str_9_neighbour_names", "calls clips", "SELECT clip_id, device_code || '_' || strftime(clip_start - INTERVAL 300 SECOND, '%Y%m%dT%H%M%S.%g') || 'Z.wav' AS previous, device_code || '_' || strftime(clip_start + INTERVAL 300 SECOND, '%Y%m%dT%H%M%S.%g') || 'Z.wav' AS next FROM clips")
+@query("str_9_neighbour_names", "calls clips", """SELECT clip_id, device_code || '_' || strftime(clip_start - INTERVAL 300 SECOND, '%Y%m%dT%H%M%S.%g') || 'Z.wav' AS previous, device_code || '_' || strftime(clip_start + INTERVAL 300 SECOND, '%Y%m%dT%H%M%S.%g') || 'Z.wav' AS next
+FROM clips""")
 def _(t):
     return t.clips.select("clip_id", S.neighbour_name(F.col("device_code"), F.col("clip_start"), -300).alias("previous"), S.neighbour_name(F.col("device_code"), F.col("clip_start"), 300).alias("next"))
 

@@ -130,7 +130,8 @@ def _(t):
     return I.assets_per_call(t.calls.filter("call_type <> 'view'"), t.assets)
 
 
-@query("join_8_split_join_back", "calls entries", f"""WITH so AS (SELECT src_id, {_SPLIT} AS split FROM (SELECT src_id, row_number() OVER (ORDER BY md5('source|' || src_id)) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT src_id FROM entries)))
+@query("join_8_split_join_back", "calls entries", f"""WITH so AS (SELECT src_id, {_SPLIT} AS split FROM (SELECT src_id, row_number() OVER (ORDER BY md5('source|' || src_id)) AS r, count(*) OVER () AS n
+FROM (SELECT DISTINCT src_id FROM entries)))
 SELECT spec_id, split FROM entries JOIN so USING (src_id)""")
 def _(t):
     return P.source_split(t.entries).select("spec_id", "split")
@@ -142,13 +143,15 @@ def _(t):
     return I.uncovered(w, t.calls, 2.0).select("clip_id", "i")
 
 
-@query("join_12_overlapping_pairs", "calls", """SELECT a.clip_id, a.call_id AS a, b.call_id AS b, least(a.end_s, b.end_s) - greatest(a.begin_s, b.begin_s) AS overlap_s FROM calls a JOIN calls b ON a.clip_id = b.clip_id AND a.call_id < b.call_id
+@query("join_12_overlapping_pairs", "calls", """SELECT a.clip_id, a.call_id AS a, b.call_id AS b, least(a.end_s, b.end_s) - greatest(a.begin_s, b.begin_s) AS overlap_s FROM calls a
+JOIN calls b ON a.clip_id = b.clip_id AND a.call_id < b.call_id
 WHERE least(a.end_s, b.end_s) - greatest(a.begin_s, b.begin_s) > 8""")
 def _(t):
     return I.overlapping_pairs(t.calls, "clip_id", "call_id", "begin_s", "end_s", 8.0)
 
 
-@query("join_14_leaked_sources", "calls entries", f"WITH {_RATIO}, ds AS (SELECT DISTINCT src_id, split FROM sp) SELECT a.split AS a, b.split AS b, count(DISTINCT src_id) AS sources FROM ds a JOIN ds b USING (src_id) WHERE a.split < b.split GROUP BY ALL")
+@query("join_14_leaked_sources", "calls entries", f"""WITH {_RATIO}, ds AS (SELECT DISTINCT src_id, split FROM sp) SELECT a.split AS a, b.split AS b, count(DISTINCT src_id) AS sources
+FROM ds a JOIN ds b USING (src_id) WHERE a.split < b.split GROUP BY ALL""")
 def _(t):
     return P.leaked_sources(P.ratio_split(t.entries))
 
@@ -192,14 +195,16 @@ def _(t):
     return P.ratio_split(t.entries).select("spec_id", "label", "split")
 
 
-@query("smp_3_source_split", "calls entries", f"""WITH so AS (SELECT src_id, {_SPLIT} AS split FROM (SELECT src_id, row_number() OVER (ORDER BY md5('source|' || src_id)) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT src_id FROM entries)))
+@query("smp_3_source_split", "calls entries", f"""WITH so AS (SELECT src_id, {_SPLIT} AS split FROM (SELECT src_id, row_number() OVER (ORDER BY md5('source|' || src_id)) AS r, count(*) OVER () AS n
+FROM (SELECT DISTINCT src_id FROM entries)))
 SELECT split, count(DISTINCT src_id) AS sources, count(*) AS entries FROM entries JOIN so USING (src_id) GROUP BY split""")
 def _(t):
     return P.source_split(t.entries).groupBy("split").agg(F.count_distinct("src_id").alias("sources"), F.count("*").alias("entries"))
 
 
 @query("smp_4_time_split", "calls entries", f"""WITH {_CLUSTER}, z AS (SELECT src_id, cluster, count(*) AS size, min(label) + max(label) AS kind, md5('time|' || src_id || '|' || cluster::VARCHAR) AS h FROM cl GROUP BY src_id, cluster),
-y AS (SELECT *, row_number() OVER w AS r, coalesce(sum(size) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(size) OVER (PARTITION BY kind) AS n, count(*) OVER (PARTITION BY kind) AS c FROM z WINDOW w AS (PARTITION BY kind ORDER BY h, src_id, cluster)),
+y AS (SELECT *, row_number() OVER w AS r, coalesce(sum(size) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING
+AND 1 PRECEDING), 0) AS before, sum(size) OVER (PARTITION BY kind) AS n, count(*) OVER (PARTITION BY kind) AS c FROM z WINDOW w AS (PARTITION BY kind ORDER BY h, src_id, cluster)),
 x AS (SELECT *, least(count(*) FILTER (WHERE before < 0.7::DOUBLE * n) OVER (PARTITION BY kind), greatest(1, c - 2)) AS t FROM y),
 v AS (SELECT src_id, cluster, CASE WHEN r <= t THEN 'train' WHEN r = c THEN CASE WHEN c > 2 THEN 'test' ELSE 'val' END WHEN r = t + 1 OR before < (0.7::DOUBLE + 0.15::DOUBLE) * n THEN 'val' ELSE 'test' END AS split FROM x)
 SELECT spec_id, cluster, split FROM cl JOIN v USING (src_id, cluster)""")

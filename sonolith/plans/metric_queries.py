@@ -91,13 +91,15 @@ def _(t):
     return M.best_epoch(e)
 
 
-@query("agg_30_comparison", "scored", f"WITH {_CONF}, {_RATES}, {_CURVE}, {_AUC} SELECT model, round(auc, 4) AS auc, round(f1, 4) AS f1, round(precision, 4) AS precision, round(recall, 4) AS recall, round(accuracy, 4) AS accuracy FROM a JOIN f USING (model)")
+@query("agg_30_comparison", "scored", f"""WITH {_CONF}, {_RATES}, {_CURVE}, {_AUC} SELECT model, round(auc, 4) AS auc, round(f1, 4) AS f1, round(precision, 4) AS precision, round(recall, 4) AS recall, round(accuracy, 4) AS accuracy
+FROM a JOIN f USING (model)""")
 def _(t):
     c = M.comparison(t.scored)
     return c.select("model", *[F.round(x, 4).alias(x) for x in c.columns[1:]])
 
 
-@query("ml_4_evaluate_models", "scored", f"WITH {_CONF}, {_RATES}, {_CURVE}, {_AUC} SELECT model, sample_id, CASE WHEN score >= 0.5 THEN CASE WHEN y_true = 1 THEN 'tp' ELSE 'fp' END ELSE CASE WHEN y_true = 1 THEN 'fn' ELSE 'tn' END END AS outcome, auc, f1 FROM scored JOIN a USING (model) JOIN f USING (model)")
+@query("ml_4_evaluate_models", "scored", f"""WITH {_CONF}, {_RATES}, {_CURVE}, {_AUC} SELECT model, sample_id, CASE WHEN score >= 0.5 THEN CASE WHEN y_true = 1 THEN 'tp' ELSE 'fp' END ELSE
+CASE WHEN y_true = 1 THEN 'fn' ELSE 'tn' END END AS outcome, auc, f1 FROM scored JOIN a USING (model) JOIN f USING (model)""")
 def _(t):
     table = M.comparison(t.scored).select("model", "auc", "f1")
     return M.with_outcome(t.scored).select("model", "sample_id", "outcome").join(table, "model")

@@ -146,7 +146,8 @@ def _(t):
     return P.upper_median(t.calls.withColumn("d", F.col("end_s") - F.col("begin_s")), ["device_code"], "d", "median")
 
 
-@query("agg_26_shift_warning", "calls", "SELECT device_code, m / 9.0::DOUBLE AS ratio, m / 9.0::DOUBLE >= 2 AS shifted FROM (SELECT device_code, sorted[len(sorted) // 2 + 1] AS m FROM (SELECT device_code, list_sort(list(end_s - begin_s)) AS sorted FROM calls GROUP BY device_code))")
+@query("agg_26_shift_warning", "calls", """SELECT device_code, m / 9.0::DOUBLE AS ratio, m / 9.0::DOUBLE >= 2 AS shifted FROM (SELECT device_code, sorted[len(sorted) // 2 + 1] AS m
+FROM (SELECT device_code, list_sort(list(end_s - begin_s)) AS sorted FROM calls GROUP BY device_code))""")
 def _(t):
     return P.shift_warning(t.calls.withColumn("d", F.col("end_s") - F.col("begin_s")), ["device_code"], "d", 9.0)
 
@@ -244,7 +245,8 @@ def _written_calls(t):
     return [*paths, f"{folder}/bad", f"{folder}/missing"]
 
 
-@query("src_1_annotations", "calls", "SELECT CASE call_type WHEN 'view' THEN '20Hz' WHEN 'purchase' THEN '40Hz' ELSE 'other' END AS call_type, clip_id, device_code, begin_s, end_s, strftime(call_ts, '%Y-%m-%d %H:%M:%S') AS stamp FROM calls WHERE call_type IN ('view', 'purchase', 'click')")
+@query("src_1_annotations", "calls", """SELECT CASE call_type WHEN 'view' THEN '20Hz' WHEN 'purchase' THEN '40Hz' ELSE 'other' END AS call_type, clip_id, device_code, begin_s, end_s, strftime(call_ts, '%Y-%m-%d %H:%M:%S') AS stamp
+FROM calls WHERE call_type IN ('view', 'purchase', 'click')""")
 def _(t):
     c = C.load_annotations(t.spark, _written_calls(t))
     return c.select("call_type", "clip_id", "device_code", "begin_s", "end_s", F.date_format("call_ts", _TS).alias("stamp"))
@@ -360,7 +362,10 @@ def _catalogue(t, day, which):
     p = t.predictions.withColumn("day", day)
     folder = scratch(t.spark, "windows")
     shape, number = F.array(F.lit(96), F.lit(96)), (F.length("file_id") % 5).cast("int")
-    chunk = F.struct(F.col("file_id").alias("chunk_id"), *_paths(), F.lit(1.5).alias("window_time_start"), F.lit(11.5).alias("window_time_end"), F.col("audio_timestamp").alias("timestamp"), shape.alias("chunk_shape"), number.alias("window_index"), F.concat("file_id", F.lit(".wav")).alias("source_audio"))
+    chunk = F.struct(
+        F.col("file_id").alias("chunk_id"), *_paths(), F.lit(1.5).alias("window_time_start"), F.lit(11.5).alias("window_time_end"), F.col("audio_timestamp").alias("timestamp"),
+        shape.alias("chunk_shape"), number.alias("window_index"), F.concat("file_id", F.lit(".wav")).alias("source_audio"),
+    )
     new = p.filter(which).groupBy("day").agg(F.collect_list(chunk).alias("chunks"))
     new.select("chunks", F.col("day").alias("device_code"), F.lit("2024-01-01").alias("start_date"), F.struct(F.lit(0.9).alias("overlap")).alias("processing_parameters")).write.json(f"{folder}/new")
     entry = F.struct(F.col("file_id"), *_paths(), F.lit(40.0).alias("segment_start_sec"), F.lit(80.0).alias("segment_end_sec"))
@@ -380,7 +385,8 @@ def _(t):
     return w.select("file_id", "mat_path", "audio_path", "start_s", "end_s", "device_code", "date_from", "audio_timestamp", F.get("chunk_shape", F.lit(0)).alias("height"), "window_index", "source_audio", "spectra_from")
 
 
-@query("src_4_legacy_catalogue", "predictions", f"SELECT file_id, 'm/' || file_id AS mat_path, 'a/' || file_id AS audio_path, 40.0::DOUBLE AS start_s, 80.0::DOUBLE AS end_s, 'd' || {_DAY} AS device_code, 64000.0::DOUBLE AS sample_rate, 'download' AS spectra_from FROM predictions")
+@query("src_4_legacy_catalogue", "predictions", f"""SELECT file_id, 'm/' || file_id AS mat_path, 'a/' || file_id AS audio_path, 40.0::DOUBLE AS start_s, 80.0::DOUBLE AS end_s, 'd' || {_DAY} AS device_code, 64000.0::DOUBLE AS sample_rate, 'download' AS spectra_from
+FROM predictions""")
 def _(t):
     w = C.window_catalogue(t.spark, _catalogue(t, F.concat(F.lit("d"), F.col("audio_timestamp").substr(9, 2)), F.lit(False)), lines=True)
     return w.select("file_id", "mat_path", "audio_path", "start_s", "end_s", "device_code", "sample_rate", "spectra_from")

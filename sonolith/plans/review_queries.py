@@ -106,7 +106,8 @@ def _(t):
     return X.spectrograms(t["embeddings"].withColumnRenamed("embedding", "samples"), 16, 8, "vec_id")
 
 
-@query("arr_19_fingerprints", "predictions", "SELECT file_id, 'sha256-' || substr(sha256(length(file_id)::VARCHAR || ':' || file_id || length(audio_timestamp)::VARCHAR || ':' || audio_timestamp || coalesce(length(expert_label)::VARCHAR || ':' || expert_label, '-')), 1, 12) AS fingerprint FROM predictions")
+@query("arr_19_fingerprints", "predictions", """SELECT file_id, 'sha256-' || substr(sha256(length(file_id)::VARCHAR || ':' || file_id || length(audio_timestamp)::VARCHAR || ':' || audio_timestamp || coalesce(length(expert_label)::VARCHAR || ':' || expert_label, '-')), 1, 12) AS fingerprint
+FROM predictions""")
 def _(t):
     return t.predictions.select("file_id", S.fingerprint(F.col("file_id"), F.col("audio_timestamp"), F.col("expert_label")).alias("fingerprint"))
 
@@ -188,18 +189,21 @@ def _(t):
     return R.number_rounds(_verifications(t), F.lit(2)).select("item_id", "verified_at", "verification_round")
 
 
-@query("agg_17_summary_v1", "predictions", "SELECT count(*) AS total, count(expert_label) AS reviewed, count(*) - count(expert_label) AS unreviewed, round(avg(confidence), 6) AS mean, min(confidence) AS min, max(confidence) AS max FROM predictions")
+@query("agg_17_summary_v1", "predictions", """SELECT count(*) AS total, count(expert_label) AS reviewed, count(*) - count(expert_label) AS unreviewed, round(avg(confidence), 6) AS mean, min(confidence) AS min, max(confidence) AS max
+FROM predictions""")
 def _(t):
     return R.summary_v1(t.predictions).withColumn("mean", F.round("mean", 6))
 
 
-@query("agg_18_summary_v2", "items", """SELECT (SELECT count(*) FROM items) AS items, (SELECT count(*) FROM items WHERE quality = 1) AS verified, (SELECT count(*) FROM items WHERE quality = 1) AS rounds, count(s) AS scores, round(avg(s), 6) AS mean, min(s) AS min, max(s) AS max
+@query("agg_18_summary_v2", "items", """SELECT (SELECT count(*) FROM items) AS items, (SELECT count(*) FROM items WHERE quality = 1) AS verified, (SELECT count(*) FROM items
+WHERE quality = 1) AS rounds, count(s) AS scores, round(avg(s), 6) AS mean, min(s) AS min, max(s) AS max
 FROM (SELECT score_a AS s FROM items UNION ALL SELECT score_b FROM items)""")
 def _(t):
     return R.summary_v2(t.items).withColumn("mean", F.round("mean", 6))
 
 
-@query("agg_19_threshold_preview", "predictions", "SELECT t AS threshold, count(*) FILTER (WHERE confidence >= t) AS count, 100 * count(*) FILTER (WHERE confidence >= t) / count(*) AS percent FROM predictions, (SELECT unnest([0.3::DOUBLE, 0.5::DOUBLE, 0.7::DOUBLE, 0.9::DOUBLE]) AS t) GROUP BY t")
+@query("agg_19_threshold_preview", "predictions", """SELECT t AS threshold, count(*) FILTER (WHERE confidence >= t) AS count, 100 * count(*) FILTER (WHERE confidence >= t) / count(*) AS percent
+FROM predictions, (SELECT unnest([0.3::DOUBLE, 0.5::DOUBLE, 0.7::DOUBLE, 0.9::DOUBLE]) AS t) GROUP BY t""")
 def _(t):
     return R.threshold_preview(t.predictions)
 

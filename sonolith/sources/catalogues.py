@@ -81,7 +81,7 @@ def load_annotations(spark: SparkSession, paths: list[str], essential: tuple[str
     field = {e: F.get("_f", F.get("place", F.lit(i))) for i, e in enumerate(essential)}
     clip, number = field["clip id"], lambda e: S.clock_seconds(field[e])
     return cut.select(
-        clip.alias("clip_id"), S.device_code(clip).alias("device_code"), F.try_to_timestamp(field["date (utc)"]).alias("call_ts"),
+        clip.alias("clip_id"), S.device_code(clip).alias("device_code"), S.iso_timestamp(field["date (utc)"]).alias("call_ts"),
         number("begin time (s)").alias("begin_s"), number("end time (s)").alias("end_s"), S.library_class(F.col("source_file")).alias("call_type"), "source_file",
     )
 
@@ -133,8 +133,15 @@ def labelled_names(files: DataFrame) -> DataFrame:
     return files.select("name", src.alias("src"), start.alias("start_s"), second.alias("second_s"), "label")
 
 
-_CHUNK = "chunk_id string, mat_path string, audio_path string, timestamp string, chunk_shape array<int>, original_shape array<int>, window_index int, window_start int, window_time_start double, window_time_end double, source_audio string, date string"
-_FILE = "file_id string, mat_path string, audio_path string, audio_timestamp string, spectrogram_path string, segment_start_sec double, segment_end_sec double, source_audio string, date string"
+#: Fields of a window in either layout.
+_CHUNK = (
+    "chunk_id string, mat_path string, audio_path string, timestamp string, chunk_shape array<int>, original_shape array<int>, "
+    "window_index int, window_start int, window_time_start double, window_time_end double, source_audio string, date string"
+)
+_FILE = (
+    "file_id string, mat_path string, audio_path string, audio_timestamp string, spectrogram_path string, segment_start_sec double, "
+    "segment_end_sec double, source_audio string, date string"
+)
 
 
 def window_documents(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:

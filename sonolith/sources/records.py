@@ -115,7 +115,8 @@ class Record:
             folders, touched, schema = made
             held = {} if last is None or touched is None else {b: f for b, f in last["buckets"].items() if b not in touched}
             number = 1 if last is None else last["number"] + 1
-            content = {"number": number, "version": version, "created_at": created_at if last is None else last["created_at"], "updated_at": updated_at, "schema": json.loads(schema.json()), "buckets": held | folders, "of": BUCKETS if last is None else last["of"]}
+            begun, of = (created_at, BUCKETS) if last is None else (last["created_at"], last["of"])
+            content = {"number": number, "version": version, "created_at": begun, "updated_at": updated_at, "schema": json.loads(schema.json()), "buckets": held | folders, "of": of}
             try:
                 self.put(content)
             except Conflict:
