@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .ranking import prefix_counts, top_per_group
 
 BUCKETS = 256
@@ -39,6 +40,7 @@ def rates(counts: DataFrame) -> DataFrame:
 def curve(scored: DataFrame) -> DataFrame:
     """Per model and distinct score: pos and neg there, tp and fp at or above it, totals p and n."""
     g = scored.groupBy("model", "score").agg(F.count_if(F.col("y_true") == 1).alias("pos"), F.count_if(F.col("y_true") == 0).alias("neg"))
+    g = materialize(g, "scores")  # read four times below
     shares = F.array(*[F.lit(i / BUCKETS) for i in range(1, BUCKETS)])
     edges = g.groupBy("model").agg(F.percentile_approx("score", shares, F.lit(20 * BUCKETS)).alias("_edges"))
     g = g.join(edges, "model").withColumn("_bucket", F.size(F.filter("_edges", lambda x: x > F.col("score")))).drop("_edges")

@@ -67,17 +67,20 @@ def time_split(entries: DataFrame, gap: float, ratios: tuple[float, float] = RAT
     """Clusters of entries closer than gap go to one split each, so no two splits of a source come closer.
 
     Clusters of each kind (one label, the other, both) are laid in hash order, and cut where their rows reach the ratios: a
-    split is within a cluster of its ratio in every kind. Of three clusters or more each split gets one at least, of
-    two train and val. Running sums take two levels, buckets of the hash and clusters inside.
+    split is within a cluster of its ratio in every kind. Where a kind has under three clusters all are dealt together. Of
+    three clusters or more each split gets one at least, of two train and val. Running sums take two levels, buckets of
+    the hash and clusters inside.
     """
     e = gap_clusters(entries, gap)
     c = e.groupBy("src_id", "cluster").agg(F.count("*").alias("size"), (F.min("label") + F.max("label")).alias("_kind"))
-    c = c.withColumn("_h", hash_key(seed, F.col("src_id"), F.col("cluster"))).withColumn("_bucket", F.substring("_h", 1, 3))
+    c = materialize(c.withColumn("_h", hash_key(seed, F.col("src_id"), F.col("cluster"))).withColumn("_bucket", F.substring("_h", 1, 3)), "clusters")
+    if (c.groupBy("_kind").count().agg(F.min("count")).first()[0] or 0) < 3:
+        c = c.withColumn("_kind", F.lit(0))
     before = prefix_counts(c, ["_kind"], "_bucket", {"rows": F.col("size"), "clusters": F.lit(1)}).select("_kind", "_bucket", "rows_before", "clusters_before")
     w = Window.partitionBy("_kind", "_bucket").orderBy("_h", "src_id", "cluster").rowsBetween(Window.unboundedPreceding, 0)
     c = c.withColumn("_rows", F.sum("size").over(w) - F.col("size")).withColumn("_place", F.count("*").over(w)).join(F.broadcast(before), ["_kind", "_bucket"])
     c = c.select("src_id", "cluster", "_kind", "size", (F.col("_rows") + F.col("rows_before")).alias("_before"), (F.col("_place") + F.col("clusters_before")).alias("_r"))
-    c = materialize(c, "clusters")
+    c = materialize(c, "laid-clusters")
     whole = c.groupBy("_kind").agg(F.sum("size").alias("_n"), F.count("*").alias("_c"))
     train = c.join(F.broadcast(whole), "_kind").filter(F.col("_before") < ratios[0] * F.col("_n")).groupBy("_kind").agg(F.count("*").alias("_t"))
     whole = whole.join(train, "_kind", "left").withColumn("_t", F.least(F.coalesce("_t", F.lit(0)), F.greatest(F.lit(1), F.col("_c") - 2)))

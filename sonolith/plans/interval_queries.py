@@ -202,9 +202,10 @@ def _(t):
     return P.source_split(t.entries).groupBy("split").agg(F.count_distinct("src_id").alias("sources"), F.count("*").alias("entries"))
 
 
-@query("smp_4_time_split", "calls entries", f"""WITH {_CLUSTER}, z AS (SELECT src_id, cluster, count(*) AS size, min(label) + max(label) AS kind, md5('time|' || src_id || '|' || cluster::VARCHAR) AS h FROM cl GROUP BY src_id, cluster),
+@query("smp_4_time_split", "calls entries", f"""WITH {_CLUSTER}, z AS (SELECT src_id, cluster, count(*) AS size, min(label) + max(label) AS own, md5('time|' || src_id || '|' || cluster::VARCHAR) AS h FROM cl GROUP BY src_id, cluster),
+z1 AS (SELECT *, CASE WHEN (SELECT min(c) FROM (SELECT count(*) AS c FROM z GROUP BY own)) < 3 THEN 0 ELSE own END AS kind FROM z),
 y AS (SELECT *, row_number() OVER w AS r, coalesce(sum(size) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING
-AND 1 PRECEDING), 0) AS before, sum(size) OVER (PARTITION BY kind) AS n, count(*) OVER (PARTITION BY kind) AS c FROM z WINDOW w AS (PARTITION BY kind ORDER BY h, src_id, cluster)),
+AND 1 PRECEDING), 0) AS before, sum(size) OVER (PARTITION BY kind) AS n, count(*) OVER (PARTITION BY kind) AS c FROM z1 WINDOW w AS (PARTITION BY kind ORDER BY h, src_id, cluster)),
 x AS (SELECT *, least(count(*) FILTER (WHERE before < 0.7::DOUBLE * n) OVER (PARTITION BY kind), greatest(1, c - 2)) AS t FROM y),
 v AS (SELECT src_id, cluster, CASE WHEN r <= t THEN 'train' WHEN r = c THEN CASE WHEN c > 2 THEN 'test' ELSE 'val' END WHEN r = t + 1 OR before < (0.7::DOUBLE + 0.15::DOUBLE) * n THEN 'val' ELSE 'test' END AS split FROM x)
 SELECT spec_id, cluster, split FROM cl JOIN v USING (src_id, cluster)""")
