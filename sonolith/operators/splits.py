@@ -67,8 +67,8 @@ def time_split(entries: DataFrame, gap: float, ratios: tuple[float, float] = RAT
     """Clusters of entries closer than gap go to one split each, so no two splits of a source come closer.
 
     Clusters of each kind (one label, the other, both) are laid in hash order, and cut where their rows reach the ratios: a
-    split is within a cluster of its ratio in every kind. Where a kind has under three clusters all are dealt together. Of
-    three clusters or more each split gets one at least, of two train and val. Running sums take two levels, buckets of
+    split is within a cluster of its ratio in every kind, unless it would be empty. Where a kind has under three clusters all are
+    dealt together. Of three clusters or more each split gets one at least, of two train and val. Running sums take two levels, buckets of
     the hash and clusters inside.
     """
     e = gap_clusters(entries, gap)
