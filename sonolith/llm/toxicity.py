@@ -44,11 +44,13 @@ def word_hash(word: bytes) -> int:
 
 @dataclass
 class Settings:
-    """positives, unlabelled: most rows of the training sample; features: most words of the model, the most telling."""
+    """positives, unlabelled: most rows of the training sample; features: most words of the model, the most telling;
+    entries: most different telling words of its texts together, beyond which fewer texts are taken."""
 
     positives: int = 12_000
     unlabelled: int = 24_000
     features: int = 50_000
+    entries: int = 20_000_000
     least_texts: int = 4  # in which a word occurs, to be a feature
     least_z: float = 4.5  # of the difference of its shares of positive and unlabelled texts
     models: int = 9
@@ -214,8 +216,13 @@ def telling_words(chosen: DataFrame, settings: Settings) -> np.ndarray:
     return np.sort(found.column(0).to_numpy().view(np.uint64))
 
 
-def training_sample(chosen: DataFrame, vocabulary: np.ndarray) -> tuple[Sample, Sample]:
-    """(positives, unlabelled) in rows of vocabulary words. The driver gets their counts, no other words."""
+def training_sample(chosen: DataFrame, vocabulary: np.ndarray, settings: Settings | None = None) -> tuple[Sample, Sample]:
+    """(positives, unlabelled) in rows of vocabulary words. The driver gets their counts, no other words.
+
+    Where the texts hold over settings.entries different words of the vocabulary in all, so many of them are left out, by
+    hash and of either kind alike, that about so many stay.
+    """
+    settings = settings or Settings()
     shared = chosen.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches):
@@ -232,7 +239,11 @@ def training_sample(chosen: DataFrame, vocabulary: np.ndarray) -> tuple[Sample,
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("positive"), part.column("words"), *columns], ["doc_id", "positive", "words", "at", "counts"])
 
     kind = dict(chosen.dtypes)["doc_id"]
-    got = chosen.mapInArrow(run, f"doc_id {kind}, positive boolean, words long, at array<int>, counts array<int>").toArrow()
+    rows = C.materialize(chosen.mapInArrow(run, f"doc_id {kind}, positive boolean, words long, at array<int>, counts array<int>"), "sample")
+    held = rows.agg(F.sum(F.size("at").cast("long"))).first()[0] or 0
+    share = F.pmod(F.xxhash64("doc_id", F.lit(settings.seed + 1)), F.lit(1 << 30)) < int(settings.entries / max(held, 1) * (1 << 30))
+    got = (rows.filter(share) if held > settings.entries else rows).toArrow()
+    C.discard(rows)
     got = got.sort_by([("doc_id", "ascending")]).combine_chunks()
     out = []
     for kind in (True, False):
@@ -250,7 +261,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings | None = None,
     prior = known.agg(F.avg(F.col(toxic).cast("double"))).first()[0] or 0.0
     chosen = chosen_texts(docs, labels, settings, text, doc_id, toxic)
     vocabulary = telling_words(chosen, settings)
-    positive, unlabelled = training_sample(chosen, vocabulary)
+    positive, unlabelled = training_sample(chosen, vocabulary, settings)
     C.discard(chosen)
     return fit(positive, unlabelled, vocabulary, prior, settings)
 

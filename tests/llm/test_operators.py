@@ -638,6 +638,8 @@ def test_scores_and_training_rows_equal_plain_counts(spark):
     assert sorted((r.positive, r.words) for r in chosen.filter("doc_id = 201").collect()) == [(False, 7000), (True, 7000)]
     vocabulary = toxicity.telling_words(chosen, s)
     assert {toxicity.word_hash(w) for w in (b"vile", b"foul", b"kind")} <= set(vocabulary.tolist())
+    whole, few = (sum(len(x.words) for x in toxicity.training_sample(chosen, vocabulary, toxicity.Settings(entries=n))) for n in (10**9, 60))
+    assert whole == chosen.count() and 0 < few < whole
     model = toxicity.train(docs, labels, s)
     weight = dict(zip(model.words.tolist(), model.weights, strict=True))
     for r in toxicity.scored(docs, model).join(docs, "doc_id").collect():
