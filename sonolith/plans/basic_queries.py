@@ -111,7 +111,8 @@ def _(t):
     return t.packed.select("doc_id", S.millisecond_stamp(F.col("source")).alias("stamp"))
 
 
-@query("str_9_neighbour_names", "calls clips", """SELECT clip_id, device_code || '_' || strftime(clip_start - INTERVAL 300 SECOND, '%Y%m%dT%H%M%S.%g') || 'Z.wav' AS previous, device_code || '_' || strftime(clip_start + INTERVAL 300 SECOND, '%Y%m%dT%H%M%S.%g') || 'Z.wav' AS next
+@query("str_9_neighbour_names", "calls clips", """SELECT clip_id, device_code || '_' || strftime(clip_start - INTERVAL 300 SECOND, '%Y%m%dT%H%M%S.%g') || 'Z.wav' AS previous,
+device_code || '_' || strftime(clip_start + INTERVAL 300 SECOND, '%Y%m%dT%H%M%S.%g') || 'Z.wav' AS next
 FROM clips""")
 def _(t):
     return t.clips.select("clip_id", S.neighbour_name(F.col("device_code"), F.col("clip_start"), -300).alias("previous"), S.neighbour_name(F.col("device_code"), F.col("clip_start"), 300).alias("next"))

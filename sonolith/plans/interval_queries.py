@@ -101,7 +101,8 @@ def _(t):
 
 def _signals(t):
     e = t["embeddings"]
-    return e.select("vec_id", F.col("label").cast("string").alias("device_code"), F.col("vec_id").alias("t"), F.transform("embedding", lambda x: x.cast("double")).alias("samples"), F.when(F.col("vec_id") % 7 == 0, 32).otherwise(64).alias("fs"))
+    rate = F.when(F.col("vec_id") % 7 == 0, 32).otherwise(64)
+    return e.select("vec_id", F.col("label").cast("string").alias("device_code"), F.col("vec_id").alias("t"), F.transform("embedding", lambda x: x.cast("double")).alias("samples"), rate.alias("fs"))
 
 
 _SIGNALS = "sig AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS x, CASE WHEN vec_id % 7 = 0 THEN 32 ELSE 64 END AS fs FROM embeddings)"
@@ -117,7 +118,8 @@ def _(t):
 
 
 @query("join_4_assets_of_calls", "calls assets", """SELECT asset, min(call_id) AS call_id FROM (SELECT call_id, asset, row_number() OVER (PARTITION BY call_id ORDER BY asset_ts, asset) AS n
-FROM (SELECT * FROM calls WHERE call_type <> 'view') c JOIN assets a ON a.device_code = c.device_code AND contains(lower(asset), 'spect') AND asset_ts BETWEEN call_ts - INTERVAL 900 SECOND AND call_ts + INTERVAL 900 SECOND) WHERE n <= 2 GROUP BY asset""")
+FROM (SELECT * FROM calls WHERE call_type <> 'view') c JOIN assets a ON a.device_code = c.device_code AND contains(lower(asset), 'spect')
+AND asset_ts BETWEEN call_ts - INTERVAL 900 SECOND AND call_ts + INTERVAL 900 SECOND) WHERE n <= 2 GROUP BY asset""")
 def _(t):
     return I.assets_of_calls(t.calls.filter("call_type <> 'view'"), t.assets)
 
@@ -137,7 +139,8 @@ def _(t):
     return P.source_split(t.entries).select("spec_id", "split")
 
 
-@query("join_11_uncovered_windows", "calls clips", """SELECT clip_id, i::INT AS i FROM clips, (SELECT unnest(range(90)) AS i) WHERE NOT EXISTS (SELECT 1 FROM calls c WHERE c.clip_id = clips.clip_id AND c.begin_s - 2 < i * 40.0 + 40 AND c.end_s + 2 > i * 40.0)""")
+@query("join_11_uncovered_windows", "calls clips", """SELECT clip_id, i::INT AS i FROM clips, (SELECT unnest(range(90)) AS i)
+WHERE NOT EXISTS (SELECT 1 FROM calls c WHERE c.clip_id = clips.clip_id AND c.begin_s - 2 < i * 40.0 + 40 AND c.end_s + 2 > i * 40.0)""")
 def _(t):
     w = t.clips.select("clip_id", F.explode(F.sequence(F.lit(0), F.lit(89))).alias("i")).withColumn("start", F.col("i") * 40.0).withColumn("end", F.col("start") + 40)
     return I.uncovered(w, t.calls, 2.0).select("clip_id", "i")
@@ -235,13 +238,15 @@ def _(t):
 _TOTAL = "(SELECT doc_id, (n_chars % 4000 + 1)::INT AS t FROM documents)"
 
 
-@query("arr_2_even_tiling", "", f"""SELECT doc_id, i::INT AS i, round_even(i * step, 0)::INT AS start FROM (SELECT doc_id, t, greatest(1, ceil(t / 96))::INT AS n, CASE WHEN t > 96 THEN (t - 96) / (ceil(t / 96) - 1) ELSE 0 END AS step FROM {_TOTAL}), unnest(range(n)) AS u(i)""")
+@query("arr_2_even_tiling", "", f"""SELECT doc_id, i::INT AS i, round_even(i * step, 0)::INT AS start
+FROM (SELECT doc_id, t, greatest(1, ceil(t / 96))::INT AS n, CASE WHEN t > 96 THEN (t - 96) / (ceil(t / 96) - 1) ELSE 0 END AS step FROM {_TOTAL}), unnest(range(n)) AS u(i)""")
 def _(t):
     total = (F.col("n_chars") % 4000 + 1).cast("int")
     return t["documents"].select("doc_id", F.posexplode(T.even_starts(total, F.lit(96))).alias("i", "start"))
 
 
-@query("arr_3_sliding_windows", "", f"""SELECT doc_id, i::INT AS i, round_even(i * step, 0)::INT AS start FROM (SELECT doc_id, t, CASE WHEN t > 96 THEN ceil((t - 96) / 40)::INT + 1 ELSE 1 END AS n, CASE WHEN t > 96 THEN (t - 96) / ceil((t - 96) / 40) ELSE 0 END AS step FROM {_TOTAL}), unnest(range(n)) AS u(i)""")
+@query("arr_3_sliding_windows", "", f"""SELECT doc_id, i::INT AS i, round_even(i * step, 0)::INT AS start
+FROM (SELECT doc_id, t, CASE WHEN t > 96 THEN ceil((t - 96) / 40)::INT + 1 ELSE 1 END AS n, CASE WHEN t > 96 THEN (t - 96) / ceil((t - 96) / 40) ELSE 0 END AS step FROM {_TOTAL}), unnest(range(n)) AS u(i)""")
 def _(t):
     total = (F.col("n_chars") % 4000 + 1).cast("int")
     return t["documents"].select("doc_id", F.posexplode(T.sliding_starts(total, F.lit(96), F.lit(40))).alias("i", "start"))

@@ -38,11 +38,19 @@ def _failed(t):
 _FAILED = "count(*) FILTER (WHERE end_s - begin_s > 30)"
 
 
-@query("agg_2_dataset_report", "calls", """SELECT count(*) AS calls, count(DISTINCT clip_id) AS clips, count(DISTINCT device_code) AS devices, strftime(min(call_ts), '%Y-%m-%d %H:%M:%S') AS first, strftime(max(call_ts), '%Y-%m-%d %H:%M:%S') AS last,
-count(*) AS spectrograms, count(*) FILTER (WHERE call_type <> 'view') AS positives, count(*) FILTER (WHERE call_type = 'view') AS negatives, """ + _FAILED + """ AS failed FROM calls""")
+_REPORT = """SELECT count(*) AS calls, count(DISTINCT clip_id) AS clips, count(DISTINCT device_code) AS devices,
+strftime(min(call_ts), '%Y-%m-%d %H:%M:%S') AS first, strftime(max(call_ts), '%Y-%m-%d %H:%M:%S') AS last, count(*) AS spectrograms,
+count(*) FILTER (WHERE call_type <> 'view') AS positives, count(*) FILTER (WHERE call_type = 'view') AS negatives, """ + _FAILED + " AS failed FROM calls"
+
+
+def _dated(report):
+    moment = lambda c: F.date_format(F.col(c).cast("timestamp_ntz"), _TS).alias(c)
+    return report.select("calls", "clips", "devices", moment("first"), moment("last"), "spectrograms", "positives", "negatives", "failed")
+
+
+@query("agg_2_dataset_report", "calls", _REPORT)
 def _(t):
-    r = P.dataset_report(_spectra(t), t.calls, _failed(t))
-    return r.withColumn("first", F.date_format("first", _TS)).withColumn("last", F.date_format("last", _TS))
+    return _dated(P.dataset_report(_spectra(t), t.calls, _failed(t)))
 
 
 @query("agg_4_field_profile", "packed", """SELECT 'source' AS field, 'string' AS type, count(source) AS n, min(length(source)) AS least, max(length(source)) AS greatest FROM packed
@@ -163,9 +171,13 @@ def _(t):
     return P.sources_per_class(t.entries)
 
 
-@query("agg_29_resolution", "cells", "SELECT spec_id, 1.0::DOUBLE AS hz_per_bin, 1000.0::DOUBLE AS ms_per_bin, '64 x ' || count(DISTINCT t_idx)::VARCHAR AS size FROM cells GROUP BY spec_id")
+@query("agg_29_resolution", "cells", """WITH n AS (SELECT spec_id, count(DISTINCT t_idx) AS n, 0.05::DOUBLE * (1 + spec_id % 3) AS step FROM cells GROUP BY spec_id)
+SELECT spec_id, 63.0::DOUBLE * (1 + spec_id % 7) / 63 AS hz_per_bin, 1000 * ((n - 1) * step) / greatest(1, n - 1) AS ms_per_bin, '64 x ' || n::VARCHAR AS size FROM n""")
 def _(t):
-    return t.spectra.select("spec_id", *P.resolution(F.col("f"), F.col("t")))
+    """Axes of several resolutions."""
+    f = F.transform("f", lambda x: x * (1 + F.col("spec_id") % 7))
+    at = F.transform("t", lambda x: x * (F.lit(0.05) * (1 + F.col("spec_id") % 3)))
+    return t.spectra.select("spec_id", *P.resolution(f, at))
 
 
 @query("join_13_parameter_drift", "", """WITH p AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN 'train' ELSE 'test' END AS run, p_type AS param, sum(p_size)::BIGINT AS value FROM part GROUP BY ALL)
@@ -385,7 +397,8 @@ def _(t):
     return w.select("file_id", "mat_path", "audio_path", "start_s", "end_s", "device_code", "date_from", "audio_timestamp", F.get("chunk_shape", F.lit(0)).alias("height"), "window_index", "source_audio", "spectra_from")
 
 
-@query("src_4_legacy_catalogue", "predictions", f"""SELECT file_id, 'm/' || file_id AS mat_path, 'a/' || file_id AS audio_path, 40.0::DOUBLE AS start_s, 80.0::DOUBLE AS end_s, 'd' || {_DAY} AS device_code, 64000.0::DOUBLE AS sample_rate, 'download' AS spectra_from
+@query("src_4_legacy_catalogue", "predictions", f"""SELECT file_id, 'm/' || file_id AS mat_path, 'a/' || file_id AS audio_path, 40.0::DOUBLE AS start_s, 80.0::DOUBLE AS end_s,
+'d' || {_DAY} AS device_code, 64000.0::DOUBLE AS sample_rate, 'download' AS spectra_from
 FROM predictions""")
 def _(t):
     w = C.window_catalogue(t.spark, _catalogue(t, F.concat(F.lit("d"), F.col("audio_timestamp").substr(9, 2)), F.lit(False)), lines=True)
@@ -407,11 +420,11 @@ def _(t):
     return f.groupBy("fault").agg(F.sum("documents").alias("documents"))
 
 
-@query("src_5_documentation", "calls", "SELECT count(*) AS calls, count(DISTINCT clip_id) AS clips, " + _FAILED + " AS failed, strftime(min(call_ts), '%Y-%m-%d %H:%M:%S') AS first FROM calls")
+@query("src_5_documentation", "calls", _REPORT)
 def _(t):
     folder = scratch(t.spark, "report")
     K.write_report(P.dataset_report(_spectra(t), t.calls, _failed(t)), folder)
-    return C.documentation(t.spark, folder).select("calls", "clips", "failed", F.date_format(F.col("first").cast("timestamp_ntz"), _TS).alias("first"))
+    return _dated(C.documentation(t.spark, folder))
 
 
 @query("src_6_packed_scan", "packed", "SELECT doc_id, source, label_string FROM packed")
@@ -469,16 +482,17 @@ def _(t):
 @query("snk_5_window_audio", "", "SELECT vec_id, embedding[11]::DOUBLE AS first, least(20, 64 - 10)::INT AS n FROM embeddings")
 def _(t):
     folder = scratch(t.spark, "audio")
-    e = t["embeddings"].select("vec_id", I.sample_slice(F.transform("embedding", lambda x: x.cast("double")), F.lit(10 / 64), F.lit(30 / 64), F.lit(64)).alias("samples"), F.lit("2024-01-01").alias("date"), F.concat(F.lit("D"), F.col("label").cast("string")).alias("device_code"))
+    cut = I.sample_slice(F.transform("embedding", lambda x: x.cast("double")), F.lit(10 / 64), F.lit(30 / 64), F.lit(64))
+    e = t["embeddings"].select("vec_id", cut.alias("samples"), F.lit("2024-01-01").alias("date"), F.concat(F.lit("D"), F.col("label").cast("string")).alias("device_code"))
     K.write_by_date(e, folder)
     return t.spark.read.parquet(folder).select("vec_id", F.element_at("samples", 1).alias("first"), F.size("samples").alias("n"))
 
 
-@query("snk_6_report", "calls", "SELECT count(*) AS calls, count(*) FILTER (WHERE call_type = 'view') AS negatives FROM calls")
+@query("snk_6_report", "calls", _REPORT)
 def _(t):
     folder = scratch(t.spark, "report")
     K.write_report(P.dataset_report(_spectra(t), t.calls, _failed(t)), folder)
-    return t.spark.read.json(folder).select("calls", "negatives")
+    return _dated(t.spark.read.json(folder))
 
 
 @query("snk_7_windows", "", "SELECT doc_id, 96 AS crop, count(*) AS windows FROM (SELECT doc_id, unnest(range(greatest(1, ceil((n_chars % 2000 + 1) / 96))::INT)) FROM documents) GROUP BY doc_id")

@@ -11,7 +11,8 @@ from ..operators import spectra as X
 from ..operators.ranking import hash_key, unit
 from .views import query
 
-_TOP = "top AS (SELECT spec_id, max(power) AS top FROM cells GROUP BY spec_id), db AS (SELECT spec_id, t_idx, f_idx, CASE WHEN top > 0 THEN 10 * log10(greatest(power / top, 1e-10::DOUBLE)) ELSE -100 END AS db FROM cells JOIN top USING (spec_id))"
+_TOP = """top AS (SELECT spec_id, max(power) AS top FROM cells GROUP BY spec_id),
+db AS (SELECT spec_id, t_idx, f_idx, CASE WHEN top > 0 THEN 10 * log10(greatest(power / top, 1e-10::DOUBLE)) ELSE -100 END AS db FROM cells JOIN top USING (spec_id))"""
 
 
 def _long(df, *columns):
@@ -76,7 +77,8 @@ def _(t):
 
 
 @query("arr_15_square_chunks", "cells", """SELECT c.spec_id, s.s::INT AS start, (f_idx - 24)::INT AS f_idx, i::INT AS t_idx, coalesce(power, 0) AS value
-FROM (SELECT unnest([0, 12, 23, 40]) AS s) s, (SELECT unnest(range(16)) AS i) i, (SELECT DISTINCT spec_id, f_idx FROM cells WHERE f_idx BETWEEN 24 AND 39) c LEFT JOIN cells x ON x.spec_id = c.spec_id AND x.f_idx = c.f_idx AND x.t_idx = s.s + i.i""".replace("(f_idx - 24)", "(c.f_idx - 24)"))
+FROM (SELECT unnest([0, 12, 23, 40]) AS s) s, (SELECT unnest(range(16)) AS i) i, (SELECT DISTINCT spec_id, f_idx FROM cells WHERE f_idx BETWEEN 24 AND 39) c
+LEFT JOIN cells x ON x.spec_id = c.spec_id AND x.f_idx = c.f_idx AND x.t_idx = s.s + i.i""".replace("(f_idx - 24)", "(c.f_idx - 24)"))
 def _(t):
     starts = F.explode(F.array(*map(F.lit, (0, 12, 23, 40))))
     s = t.spectra.withColumn("start", starts)
@@ -106,7 +108,8 @@ def _(t):
     return X.spectrograms(t["embeddings"].withColumnRenamed("embedding", "samples"), 16, 8, "vec_id")
 
 
-@query("arr_19_fingerprints", "predictions", """SELECT file_id, 'sha256-' || substr(sha256(length(file_id)::VARCHAR || ':' || file_id || length(audio_timestamp)::VARCHAR || ':' || audio_timestamp || coalesce(length(expert_label)::VARCHAR || ':' || expert_label, '-')), 1, 12) AS fingerprint
+@query("arr_19_fingerprints", "predictions", """SELECT file_id, 'sha256-' || substr(sha256(length(file_id)::VARCHAR || ':' || file_id || length(audio_timestamp)::VARCHAR || ':' || audio_timestamp
+|| coalesce(length(expert_label)::VARCHAR || ':' || expert_label, '-')), 1, 12) AS fingerprint
 FROM predictions""")
 def _(t):
     return t.predictions.select("file_id", S.fingerprint(F.col("file_id"), F.col("audio_timestamp"), F.col("expert_label")).alias("fingerprint"))
@@ -125,7 +128,8 @@ def _(t):
     return s.select(*[F.round(c, 6).alias(c) for c in ("min", "max", "mean", "std")], "n")
 
 
-_UPDATES = """u AS (SELECT CASE WHEN o_orderkey % 10 = 0 THEN 'x' || o_orderkey::VARCHAR ELSE 'f' || (o_orderkey - o_orderkey % 2)::VARCHAR END AS file_id, o_orderpriority AS label, 'v' || (o_orderkey % 5)::VARCHAR AS reviewer, lpad(o_orderkey::VARCHAR, 12, '0') AS stamp FROM orders WHERE o_orderkey % 5 < 2)"""
+_UPDATES = """u AS (SELECT CASE WHEN o_orderkey % 10 = 0 THEN 'x' || o_orderkey::VARCHAR ELSE 'f' || (o_orderkey - o_orderkey % 2)::VARCHAR END AS file_id,
+o_orderpriority AS label, 'v' || (o_orderkey % 5)::VARCHAR AS reviewer, lpad(o_orderkey::VARCHAR, 12, '0') AS stamp FROM orders WHERE o_orderkey % 5 < 2)"""
 
 
 def _updates(t):
@@ -167,7 +171,8 @@ _VERIF = "v AS (SELECT 'item_' || (event_id % 2000)::VARCHAR AS item_id, strftim
 
 def _verifications(t):
     at = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.col("event_id").cast("string"))
-    return t["events"].select(F.concat(F.lit("item_"), (F.col("event_id") % 2000).cast("string")).alias("item_id"), at.alias("verified_at"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("verified_by"), F.col("event_type").alias("label"))
+    item = F.concat(F.lit("item_"), (F.col("event_id") % 2000).cast("string"))
+    return t["events"].select(item.alias("item_id"), at.alias("verified_at"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("verified_by"), F.col("event_type").alias("label"))
 
 
 @query("join_7_append_verifications", "items", f"""WITH {_VERIF}, r AS (SELECT v.*, row_number() OVER (PARTITION BY item_id ORDER BY verified_at, verified_by) + (quality = 1)::INT AS round FROM v JOIN items USING (item_id)),
@@ -227,6 +232,7 @@ def _(t):
 CASE WHEN confidence < 0.5 THEN 'a/' || file_id ELSE 'audio/' || file_id || '.wav' END AS audio_path, CASE WHEN confidence < 0.5 THEN 9.5::DOUBLE ELSE 0.0 END AS duration_sec, confidence AS score FROM predictions""")
 def _(t):
     p = t.predictions
-    k = p.filter("confidence < 0.5").select("file_id", F.when(F.col("confidence") < 0.25, F.concat(F.lit("m/"), "file_id")).alias("mat_path"), F.concat(F.lit("a/"), "file_id").alias("audio_path"), F.lit(1.0).alias("window_time_start"), F.lit(10.5).alias("window_time_end"))
+    mat = F.when(F.col("confidence") < 0.25, F.concat(F.lit("m/"), "file_id"))
+    k = p.filter("confidence < 0.5").select("file_id", mat.alias("mat_path"), F.concat(F.lit("a/"), "file_id").alias("audio_path"), F.lit(1.0).alias("window_time_start"), F.lit(10.5).alias("window_time_end"))
     out = R.assembled(p.select("file_id", F.col("confidence").alias("score")), k, "Biophony > Call")
     return out.select("item_id", "mat_path", "audio_path", "duration_sec", F.get("model_outputs", F.lit(0))["score"].alias("score"))

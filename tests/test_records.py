@@ -109,7 +109,8 @@ def test_many_annotation_files_are_one_scan(spark, tmp_path):
 
 
 def test_documents_of_both_layouts_and_others(spark, tmp_path):
-    new = {"device_code": "D1", "start_date": "s", "processing_parameters": {"plotRes": 2}, "chunks": [{"chunk_id": "a", "window_index": 1, "chunk_shape": [96, 96]}, {"chunk_id": ""}, {"chunk_id": "b"}, {"chunk_id": "a", "window_index": 2, "window_time_start": 3.5}]}
+    chunks = [{"chunk_id": "a", "window_index": 1, "chunk_shape": [96, 96]}, {"chunk_id": ""}, {"chunk_id": "b"}, {"chunk_id": "a", "window_index": 2, "window_time_start": 3.5}]
+    new = {"device_code": "D1", "start_date": "s", "processing_parameters": {"plotRes": 2}, "chunks": chunks}
     old = {"data_source": {"device_code": "D2", "sample_rate": 5}, "spectrogram_config": {"source": "own"}, "files": [{"file_id": "c", "segment_start_sec": 1, "segment_end_sec": 2}]}
     texts = {"a.json": new, "b.json": old, "c.json": {"chunks": []}, "d.json": [1]}
     for name, doc in texts.items():

@@ -107,7 +107,8 @@ def test_jitter_is_truncated_not_clamped(spark):
 
 @pytest.mark.parametrize("sources", [1, 2, 3, 40])
 def test_time_splits_keep_their_ratios(spark, sources):
-    df = spark.range(4000).select(F.col("id").alias("spec_id"), F.concat(F.lit("s"), F.col("id") % sources).alias("src_id"), (F.col("id") / sources).alias("begin_s"), (F.col("id") / sources).alias("end_s"), (F.col("id") % 2).cast("int").alias("label"))
+    at, source = F.col("id") / sources, F.concat(F.lit("s"), F.col("id") % sources)
+    df = spark.range(4000).select(F.col("id").alias("spec_id"), source.alias("src_id"), at.alias("begin_s"), at.alias("end_s"), (F.col("id") % 2).cast("int").alias("label"))
     got = splits.time_split(df, 60.0)
     n = {r.split: r["count"] for r in got.groupBy("split").count().collect()}
     largest = 4000 / sources if sources != 3 else 4000 * 0.7 - 4000 // 3  # of three clusters each split gets one
