@@ -225,3 +225,13 @@ def test_no_variance(spark):
     assert whitening.whitened(one.filter("false")).count() == 0
     alone = whitening.whitened(one.filter("vec_id = 1")).collect()
     assert [(r.whitened, r.deviation, r.explained, r.identity_error) for r in alone] == [(None, 0, 0.0, 0.0)] * 2
+
+
+# spans
+
+
+def test_brackets_with_spaces():
+    from sonolith.llm import pii
+
+    text = "see 192[ . ]168[ . ]0[ . ]1 now"
+    assert pii.find(text) == ([], [("ip", 4, 27)]) and text[4:27] == "192[ . ]168[ . ]0[ . ]1"
