@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .ranking import earlier_max, hash_key, running_count, unit
 
 
@@ -26,7 +27,7 @@ def free_gaps(clips: DataFrame, calls: DataFrame, margin: float, key: str = "cli
     """Call-free gaps in [0, length_s], of positive length: (key, gap, start, end). A clip without calls is one gap."""
     islands = merged_intervals(calls.join(clips.select(key, "length_s"), key), margin, F.col("length_s"), key, segment_s)
     tail = clips.select(key, F.col("length_s").alias("start"), F.col("length_s").alias("end"))
-    marks = islands.select(key, "start", "end").unionByName(tail).withColumn("_bucket", F.floor(F.col("start") / segment_s))
+    marks = materialize(islands.select(key, "start", "end").unionByName(tail).withColumn("_bucket", F.floor(F.col("start") / segment_s)), "marks")
     # islands don't overlap, so the end of the one before is the largest before
     gaps = earlier_max(marks, [key], "_bucket", ["start", "end"], "end", "_s").withColumn("_s", F.coalesce("_s", F.lit(0.0)))
     gaps = running_count(gaps, [key], "_bucket", ["start", "end"], F.col("start") > F.col("_s"), "_n").filter(F.col("start") > F.col("_s"))
@@ -208,6 +209,6 @@ def gap_clusters(entries: DataFrame, gap: float, segment_s: float = SEGMENT_S) -
     e = e.withColumn("_bucket", F.when(none, apart).otherwise(F.floor(F.col("centre") / segment_s)))
     order = [F.asc_nulls_last("centre"), "spec_id"]
     e = earlier_max(e, ["src_id"], "_bucket", order, "centre", "_before")
-    e = running_count(e, ["src_id"], "_bucket", order, ~none & ~F.coalesce(F.col("centre") - F.col("_before") < gap, F.lit(False)), "cluster")
+    e = materialize(running_count(e, ["src_id"], "_bucket", order, ~none & ~F.coalesce(F.col("centre") - F.col("_before") < gap, F.lit(False)), "cluster"), "counted")
     e = running_count(e, ["src_id"], "_bucket", order, none, "_none")
     return e.withColumn("cluster", F.when(none, -F.col("_none")).otherwise(F.col("cluster"))).select(*entries.columns, "centre", "cluster")

@@ -67,7 +67,8 @@ def earlier_max(df: DataFrame, by: list[str], bucket: str, order: list, value: s
     carry = F.max("_most").over(Window.partitionBy(*by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1))
     carried = per.select(*by, bucket, carry.alias("_carry"))
     out = df.withColumn("_inside", inside).join(carried, [*by, bucket])
-    return out.withColumn(name, F.greatest("_inside", "_carry")).drop("_inside", "_carry")
+    # written, as scans follow one another and each reads its rows twice
+    return materialize(out.withColumn(name, F.greatest("_inside", "_carry")).drop("_inside", "_carry"), "scanned")
 
 
 def running_count(df: DataFrame, by: list[str], bucket: str, order: list, counted: Column, name: str) -> DataFrame:

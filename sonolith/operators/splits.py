@@ -71,7 +71,7 @@ def time_split(entries: DataFrame, gap: float, ratios: tuple[float, float] = RAT
     dealt together. Of three clusters or more each split gets one at least, of two train and val. Running sums take two levels, buckets of
     the hash and clusters inside.
     """
-    e = gap_clusters(entries, gap)
+    e = materialize(gap_clusters(entries, gap), "clustered")
     c = e.groupBy("src_id", "cluster").agg(F.count("*").alias("size"), (F.min("label") + F.max("label")).alias("_kind"))
     c = materialize(c.withColumn("_h", hash_key(seed, F.col("src_id"), F.col("cluster"))).withColumn("_bucket", F.substring("_h", 1, 3)), "clusters")
     if (c.groupBy("_kind").count().agg(F.min("count")).first()[0] or 0) < 3:
