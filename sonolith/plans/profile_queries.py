@@ -370,18 +370,20 @@ def _paths():
 
 
 def _catalogue(t, day, which):
-    """A folder of window documents, one for each value of day: those of ``which`` values are of the newer layout."""
-    p = t.predictions.withColumn("day", day)
+    """A folder of window documents of one day each, those of ``which`` days of the newer layout. A larger table makes more documents, of
+    about 20,000 windows at most, not longer ones."""
+    parts = t.predictions.count() // 20_000 + 1
+    p = t.predictions.withColumn("day", day).withColumn("part", F.pmod(F.xxhash64("file_id"), F.lit(parts)))
     folder = scratch(t.spark, "windows")
     shape, number = F.array(F.lit(96), F.lit(96)), (F.length("file_id") % 5).cast("int")
     chunk = F.struct(
         F.col("file_id").alias("chunk_id"), *_paths(), F.lit(1.5).alias("window_time_start"), F.lit(11.5).alias("window_time_end"), F.col("audio_timestamp").alias("timestamp"),
         shape.alias("chunk_shape"), number.alias("window_index"), F.concat("file_id", F.lit(".wav")).alias("source_audio"),
     )
-    new = p.filter(which).groupBy("day").agg(F.collect_list(chunk).alias("chunks"))
+    new = p.filter(which).groupBy("day", "part").agg(F.collect_list(chunk).alias("chunks"))
     new.select("chunks", F.col("day").alias("device_code"), F.lit("2024-01-01").alias("start_date"), F.struct(F.lit(0.9).alias("overlap")).alias("processing_parameters")).write.json(f"{folder}/new")
     entry = F.struct(F.col("file_id"), *_paths(), F.lit(40.0).alias("segment_start_sec"), F.lit(80.0).alias("segment_end_sec"))
-    old = p.filter(~which).groupBy("day").agg(F.collect_list(entry).alias("files"))
+    old = p.filter(~which).groupBy("day", "part").agg(F.collect_list(entry).alias("files"))
     old.select("files", F.struct(F.col("day").alias("device_code"), F.lit(64000.0).alias("sample_rate")).alias("data_source"), F.struct(F.lit("download").alias("source")).alias("spectrogram_config")).write.json(f"{folder}/old")
     t.predictions.limit(3).select("file_id").write.json(f"{folder}/other")
     return f"{folder}/*"
