@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -117,7 +119,11 @@ def value_range(text: Column) -> Column:
 
 def provenance(text: Column) -> Column:
     """Where spectrogram settings came from, by the keys of a JSON text."""
-    has = lambda k: F.get_json_object(text, f"$.{k}").isNotNull()
+    return provenance_by(lambda k: F.get_json_object(text, f"$.{k}").isNotNull())
+
+
+def provenance_by(has: Callable[[str], Column]) -> Column:
+    """provenance() by a test whether a key is there."""
     return F.when(has("spectrogram_source"), "explicit").when(has("download"), "download").when(has("plot_res") | has("plotRes"), "plot").otherwise("default")
 
 

@@ -152,8 +152,9 @@ def window_documents(spark: SparkSession, path: str, lines: bool = False) -> Dat
     processing_parameters. Others, and texts that aren't JSON, have a fault. spec_config names the source of its spectra.
     """
     raw = spark.read.text(path, wholetext=not lines)
-    raw = raw.select("value", F.col("_metadata.file_path").alias("path"), F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at")).filter(F.trim("value") != "")
-    doc = raw.withColumn("v", F.try_parse_json("value"))
+    # beside the row's id, which no filter passes, a document is parsed once
+    at = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    doc = raw.filter(F.trim("value") != "").select(F.col("_metadata.file_path").alias("path"), at.alias("at"), F.try_parse_json("value").alias("v"))
     get = lambda key, kind="string": F.try_variant_get("v", f"$.{key}", kind)
     has = lambda key: F.try_variant_get("v", f"$.{key}", "variant").isNotNull()
     layout = F.when(has("data_source") & has("files"), "files").when(has("chunks") & has("processing_parameters"), "chunks")
@@ -163,7 +164,7 @@ def window_documents(spark: SparkSession, path: str, lines: bool = False) -> Dat
     return doc.withColumn("layout", layout).withColumn("fault", fault).select(
         "path", "at", "layout", "fault", either("data_source.device_code", "device_code", "unknown").alias("device_code"), either("data_source.date_from", "start_date", "").alias("date_from"),
         either("data_source.date_to", "end_date", "").alias("date_to"), F.when(F.col("layout") == "files", get("data_source.sample_rate", "double")).alias("sample_rate"), config.alias("spec_config"),
-        F.coalesce(F.get_json_object(config, "$.source"), F.get_json_object(config, "$.spectrogram_source"), S.provenance(F.col("value"))).alias("spectra_from"),
+        F.coalesce(F.get_json_object(config, "$.source"), F.get_json_object(config, "$.spectrogram_source"), S.provenance_by(lambda k: get(k).isNotNull())).alias("spectra_from"),
         F.when(F.col("layout") == "files", get("files")).otherwise(get("chunks")).alias("windows"),
     )
 
@@ -179,18 +180,19 @@ def window_catalogue(spark: SparkSession, path: str, lines: bool = False) -> Dat
     new, old = F.from_json("windows", f"array<struct<{_as_struct(_CHUNK)}>>"), F.from_json("windows", f"array<struct<{_as_struct(_FILE)}>>")
     facts = ["layout", "device_code", "date_from", "date_to", "sample_rate", "spec_config", "spectra_from"]
     none = lambda kind: F.lit(None).cast(kind)
-    c = doc.filter("layout = 'chunks'").select("path", "at", *facts, F.posexplode(new).alias("_p", "c"))
-    c = c.select(
-        "path", "at", "_p", *facts, F.col("c.chunk_id").alias("file_id"), "c.mat_path", "c.audio_path", F.col("c.window_time_start").alias("start_s"), F.col("c.window_time_end").alias("end_s"),
-        F.col("c.timestamp").alias("audio_timestamp"), "c.chunk_shape", "c.original_shape", "c.window_index", "c.window_start", "c.source_audio", "c.date", none("string").alias("spectrogram_path"),
+    shared = ("mat_path", "audio_path")
+    chunk = lambda c: F.struct(
+        c["chunk_id"].alias("file_id"), *[c[x].alias(x) for x in shared], c["window_time_start"].alias("start_s"), c["window_time_end"].alias("end_s"), c["timestamp"].alias("audio_timestamp"),
+        *[c[x].alias(x) for x in ("chunk_shape", "original_shape", "window_index", "window_start", "source_audio", "date")], none("string").alias("spectrogram_path"),
     )
-    o = doc.filter("layout = 'files'").select("path", "at", *facts, F.posexplode(old).alias("_p", "c"))
-    o = o.select(
-        "path", "at", "_p", *facts, F.col("c.file_id"), "c.mat_path", "c.audio_path", F.col("c.segment_start_sec").alias("start_s"), F.col("c.segment_end_sec").alias("end_s"),
-        "c.audio_timestamp", none("array<int>").alias("chunk_shape"), none("array<int>").alias("original_shape"), none("int").alias("window_index"), none("int").alias("window_start"),
-        "c.source_audio", "c.date", "c.spectrogram_path",
+    file = lambda c: F.struct(
+        c["file_id"].alias("file_id"), *[c[x].alias(x) for x in shared], c["segment_start_sec"].alias("start_s"), c["segment_end_sec"].alias("end_s"), c["audio_timestamp"].alias("audio_timestamp"),
+        none("array<int>").alias("chunk_shape"), none("array<int>").alias("original_shape"), none("int").alias("window_index"), none("int").alias("window_start"),
+        *[c[x].alias(x) for x in ("source_audio", "date", "spectrogram_path")],
     )
-    every = c.unionByName(o).filter(F.col("file_id").isNotNull() & (F.col("file_id") != ""))
+    # each document by its own layout, in one pass
+    every = doc.select("path", "at", *facts, F.posexplode(F.when(F.col("layout") == "chunks", F.transform(new, chunk)).otherwise(F.transform(old, file))).alias("_p", "c"))
+    every = every.select("path", "at", "_p", *facts, "c.*").filter(F.col("file_id").isNotNull() & (F.col("file_id") != ""))
     rest = [x for x in every.columns if x not in ("path", "at", "_p", "file_id")]
     return every.groupBy("file_id").agg(F.max_by(F.struct(*rest), F.struct("path", "at", "_p")).alias("w")).select("file_id", *[F.col(f"w.{x}").alias(x) for x in rest])
 
