@@ -278,9 +278,12 @@ def _written(frame, folder, name, content):
         from pyarrow import fs
 
         where, root = fs.FileSystem.from_uri(folder)
+        made = set()
         for batch in batches:
             for path, data in zip(batch[name], batch[content], strict=True):
-                where.create_dir(f"{root}/{path}".rpartition("/")[0], recursive=True)
+                if (parent := f"{root}/{path}".rpartition("/")[0]) not in made:
+                    where.create_dir(parent, recursive=True)
+                    made.add(parent)
                 with where.open_output_stream(f"{root}/{path}") as f:
                     f.write(bytes(data))
             yield pd.DataFrame({"n": [len(batch)]})
@@ -317,7 +320,8 @@ def _written_clips(t, junk=False):
     width = (F.col("vec_id") % 4 + 1).cast("int")
     width = F.when(F.col("vec_id") % 10 == 0, 0).otherwise(width) if junk else width
     name = F.concat(F.col("label").cast("string"), F.lit("_"), F.col("vec_id").cast("string"), F.lit(".wav"))
-    e = t["embeddings"].select(name.alias("name"), packed(width, F.col("embedding")).alias("content"))
+    e = t["embeddings"].repartition(4 * t.spark.sparkContext.defaultParallelism, "vec_id")  # a file a row is work for all cores
+    e = e.select(name.alias("name"), packed(width, F.col("embedding")).alias("content"))
     return _written(e, scratch(t.spark, "clips"), "name", "content")
 
 

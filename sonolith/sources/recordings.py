@@ -18,8 +18,10 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 SCHEMA = "clip_id string, fs int, n_samples long, start long, samples array<double>, error string"
-#: What opening a file costs in bytes, as Spark's own file sources reckon.
-OPEN_COST = 4 << 20
+#: What opening a file costs in bytes: many short recordings are one task.
+OPEN_COST = 32 << 10
+#: Rows, and bytes of samples, that leave a task together.
+BATCH_ROWS, BATCH_BYTES = 1024, 4 << 20
 _PCM, _EXTENSIBLE = 1, 0xFFFE
 #: A length that a writer leaves where it doesn't know it.
 _UNKNOWN = 0xFFFFFFFF
@@ -88,6 +90,11 @@ def samples_of(raw: bytes, width: int, channels: int) -> np.ndarray:
     return x / float(1 << (8 * width - 1))
 
 
+def columns_of(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
+    """Rows as a batch, nulls where they lack a column; arrays stay arrays."""
+    return pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in rows], f.type) for f in schema], schema=schema)
+
+
 class _Range(InputPartition):
     """Byte ranges (path, size, first, end) of files."""
 
@@ -100,7 +107,7 @@ class RecordingReader(DataSourceReader):
         self.names = schema.names
         self.folder = options["path"]
         self.block, self.halo = int(options.get("block", 1 << 20)), int(options.get("halo", 0))
-        self.split = int(options.get("splitbytes", 64 << 20))
+        self.split, self.tasks = int(options.get("splitbytes", 64 << 20)), int(options.get("tasks", 1))
         if self.block < 1 or self.halo < 0 or self.split < 1:
             raise ValueError("block and splitBytes are positive, halo isn't negative")
 
@@ -108,11 +115,13 @@ class RecordingReader(DataSourceReader):
         where, root = fs.FileSystem.from_uri(self.folder)
         files = where.get_file_info(fs.FileSelector(root, recursive=True))
         found = sorted((x.path, x.size) for x in files if x.type == fs.FileType.File and x.path.lower().endswith(".wav"))
+        total = sum(size + OPEN_COST * max(1, -(-size // self.split)) for _, size in found)
+        most = min(self.split, max(8 * OPEN_COST, total // max(1, self.tasks)))  # few short files are dealt to all cores
         out, held, cost = [], [], 0
         for path, size in found:
             for a in range(0, max(size, 1), self.split):
                 b = min(a + self.split, size)
-                if held and cost + b - a + OPEN_COST > self.split:
+                if held and cost + b - a + OPEN_COST > most:
                     out.append(_Range(held))
                     held, cost = [], 0
                 held.append((path, size, a, b if b < size else size + 1))
@@ -120,9 +129,20 @@ class RecordingReader(DataSourceReader):
         return [*out, _Range(held)] if held else out
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        where, _ = fs.FileSystem.from_uri(self.folder)
         kinds = {"clip_id": pa.string(), "fs": pa.int32(), "n_samples": pa.int64(), "start": pa.int64(), "samples": pa.list_(pa.float64()), "error": pa.string()}
         schema = pa.schema([(n, kinds[n]) for n in self.names])
+        rows, held = [], 0
+        for row in self._rows(partition):
+            rows.append(row)
+            held += 0 if row.get("samples") is None else row["samples"].nbytes
+            if len(rows) >= BATCH_ROWS or held >= BATCH_BYTES:
+                yield columns_of(rows, schema)
+                rows, held = [], 0
+        if rows:
+            yield columns_of(rows, schema)
+
+    def _rows(self, partition: InputPartition) -> Iterator[dict]:
+        where, _ = fs.FileSystem.from_uri(self.folder)
         for path, size, first, end in partition.value:
             name = path.rsplit("/", 1)[-1]
             try:
@@ -141,15 +161,14 @@ class RecordingReader(DataSourceReader):
                             f.seek(form.at + i * jump)
                             n = min(self.block + self.halo, form.frames - begin)
                             row["samples"] = samples_of(f.read(n * step), form.width, form.channels)
-                        yield pa.RecordBatch.from_pylist([{n: row[n] for n in self.names}], schema)
+                        yield row
             except (ValueError, struct.error, OSError) as e:
                 if first == 0:  # one row, whatever the number of ranges
-                    row = dict.fromkeys(kinds) | {"clip_id": name, "error": str(e) or type(e).__name__}
-                    yield pa.RecordBatch.from_pylist([{n: row[n] for n in self.names}], schema)
+                    yield {"clip_id": name, "error": str(e) or type(e).__name__}
 
 
 class Recordings(DataSource):
-    """``recordings``: options path, block and halo (samples), splitBytes. A schema given to the reader picks columns."""
+    """``recordings``: options path, block and halo (samples), splitBytes, and tasks: over so many short files are spread. A schema given to the reader picks columns."""
 
     @classmethod
     def name(cls) -> str:
@@ -171,7 +190,7 @@ def load_blocks(spark: SparkSession, folder: str, block: int = 1 << 20, halo: in
     """
     spark.dataSource.register(Recordings)
     kinds = dict(x.strip().split(" ") for x in SCHEMA.split(","))
-    reader = spark.read.format("recordings").option("block", block).option("halo", halo).option("splitBytes", split_bytes)
+    reader = spark.read.format("recordings").option("block", block).option("halo", halo).option("splitBytes", split_bytes).option("tasks", spark.sparkContext.defaultParallelism)
     if columns is not None:
         reader = reader.schema(", ".join(f"{c} {kinds[c]}" for c in columns))
     return reader.load(folder)

@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 
 from sonolith.plans import profile_queries
 from sonolith.sources.catalogues import window_catalogue
+from sonolith.sources.recordings import load_blocks
+
+from .test_recordings import put
 
 
 def plan(df):
@@ -20,3 +23,13 @@ def test_documents_of_a_catalogue_are_bounded_and_parsed_once(spark):
     windows = window_catalogue(spark, folder, lines=True)
     assert plan(windows).count("FileScan text") == 1 and plan(windows).count("try_parse_json") <= 1
     assert windows.agg(F.count("*"), F.count_distinct("file_id"), F.max("spectra_from")).first()[:] == (90_000, 90_000, "default")
+
+
+def test_short_recordings_share_tasks(spark, tmp_path):
+    """A task per file or two would be most of the work."""
+    for i in range(600):
+        put(tmp_path / f"{i}.wav", 64, [i / 1000, 0.5, -0.5], width=2)
+    for split in (1 << 23, 64 << 20):
+        blocks = load_blocks(spark, f"file://{tmp_path}", block=2, halo=1, split_bytes=split)
+        assert 4 <= blocks.rdd.getNumPartitions() <= 12
+        assert blocks.agg(F.count("*"), F.count_distinct("clip_id"), F.sum(F.size("samples"))).first()[:] == (1200, 600, 2400)
