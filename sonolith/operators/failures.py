@@ -17,11 +17,12 @@ def reason(e: BaseException) -> str:
     return str(e) or type(e).__name__
 
 
-def safe_batches(df: DataFrame, batch: Callable[[list[dict]], list[dict]], schema: str, keep: list[str] | None = None, batch_rows: int = 256) -> DataFrame:
+def safe_batches(df: DataFrame, batch: Callable[[list[dict]], list[dict]], schema: str, keep: list[str] | None = None, batch_rows: int = 256, batch_bytes: int = 4 << 20) -> DataFrame:
     """df through a function of lists of rows, with the columns ``keep`` (all by default), those of ``schema`` and ``error``.
 
     The function returns one row for each that it is given. If it fails on a batch, or returns another number, the rows of the batch go to
-    it one by one, and those on which it fails get nulls and the reason. Rows that come with an error skip it and keep theirs.
+    it one by one, and those on which it fails get nulls and the reason. An exception in place of a row is the fault of that row alone.
+    Rows that come with an error skip it and keep theirs. Batches end at batch_rows rows or batch_bytes bytes, but for a longer row.
     """
     keep = [c for c in df.columns if c != ERROR] if keep is None else keep
     given = [c for c in df.columns if c != ERROR]
@@ -36,10 +37,18 @@ def safe_batches(df: DataFrame, batch: Callable[[list[dict]], list[dict]], schem
             raise ValueError(f"{len(done)} rows made of {len(rows)}")
         return done
 
+    def cut(whole: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        n = whole.num_rows
+        if n <= 1 or n <= batch_rows and whole.nbytes <= batch_bytes:
+            yield from [whole] if n else []
+            return
+        for half in (whole.slice(0, n // 2), whole.slice(n // 2)):
+            yield from cut(half)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, batch_rows):
-                rows = whole.slice(at, batch_rows).to_pylist()
+            for part in cut(whole):
+                rows = part.to_pylist()
                 ready = [i for i, r in enumerate(rows) if r.get(ERROR) is None]
                 found: dict[int, dict] = {}
                 try:
@@ -49,7 +58,9 @@ def safe_batches(df: DataFrame, batch: Callable[[list[dict]], list[dict]], schem
                     result = pa.RecordBatch.from_pylist([_alone(r, i in set(ready)) for i, r in enumerate(rows)], arrow)
                 yield result
 
-    def _row(row: dict, found: dict | None, error: str | None) -> dict:
+    def _row(row: dict, found: dict | Exception | None, error: str | None) -> dict:
+        if isinstance(found, Exception):
+            found, error = None, reason(found)
         error = row.get(ERROR) or error
         return {c: row[c] for c in keep} | {f.name: found.get(f.name) if found else None for f in made} | {ERROR: error}
 
@@ -66,9 +77,16 @@ def safe_batches(df: DataFrame, batch: Callable[[list[dict]], list[dict]], schem
     return df.mapInArrow(run, out)
 
 
-def safe_map(df: DataFrame, one: Callable[[dict], dict], schema: str, keep: list[str] | None = None, batch_rows: int = 256) -> DataFrame:
+def safe_map(df: DataFrame, one: Callable[[dict], dict], schema: str, keep: list[str] | None = None, batch_rows: int = 256, batch_bytes: int = 4 << 20) -> DataFrame:
     """safe_batches() for a function of one row."""
-    return safe_batches(df, lambda rows: [one(r) for r in rows], schema, keep, batch_rows)
+
+    def tried(row: dict) -> dict | Exception:
+        try:
+            return one(row)
+        except Exception as e:
+            return e
+
+    return safe_batches(df, lambda rows: [tried(r) for r in rows], schema, keep, batch_rows, batch_bytes)
 
 
 def failure_report(stages: dict[str, DataFrame], row: str, clip: str) -> DataFrame:

@@ -71,8 +71,8 @@ def band_bins(size: int, fs: float, low_hz: float, high_hz: float) -> tuple[int,
     return (low, high) if low < high else (0, bins)
 
 
-def band_power(blocks: DataFrame, size: int, hop: int, block: int, key: str = "clip_id", rate: str = "fs", band_hz: tuple[float, float] | None = None, samples: str = "samples", start: str = "start") -> DataFrame:
-    """(key, first_frame, first_bin, power, top, error) of blocks of recordings that begin every ``block`` samples with a halo of
+def band_power(blocks: DataFrame, size: int, hop: int, block: int, key: str = "clip_id", rate: str = "fs", band_hz: tuple[float, float] | None = None, samples: str = "samples", start: str = "start", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, keep, first_frame, first_bin, power, top, error) of blocks of recordings that begin every ``block`` samples with a halo of
     a frame: power[i][j] is that of bin first_bin + j in frame first_frame + i, top the largest of any bin.
 
     Only the band leaves the task. Each frame belongs to the block in which it begins. A block that can't be transformed
@@ -92,8 +92,8 @@ def band_power(blocks: DataFrame, size: int, hop: int, block: int, key: str = "c
         power, top = frame_power(x[skip : skip + (frames - 1) * hop + size] if frames else x[:0], size, hop, low, high)
         return {"first_frame": first, "first_bin": low, "power": list(power), "top": top}
 
-    given = [key, rate, start, samples] + (["error"] if "error" in blocks.columns else [])
-    out = safe_map(blocks.select(*given), one, "first_frame long, first_bin int, power array<array<double>>, top double", keep=[key], batch_rows=1)
+    given = [key, *keep, rate, start, samples] + (["error"] if "error" in blocks.columns else [])
+    out = safe_map(blocks.select(*given), one, "first_frame long, first_bin int, power array<array<double>>, top double", keep=[key, *keep])
     return out.filter("error IS NOT NULL OR size(power) > 0")
 
 

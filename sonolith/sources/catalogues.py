@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators.failures import reason
 from ..session import materialize
-from .recordings import samples_of, wav_format
+from .recordings import BATCH_BYTES, BATCH_ROWS, columns_of, samples_of, wav_format
 
 ESSENTIAL = ("date (utc)", "begin time (s)", "end time (s)", "clip id")
 
@@ -101,23 +102,32 @@ def load_clips(spark: SparkSession, folder: str) -> DataFrame:
     """Every WAV recording below a folder: clip_id, fs, n_samples, samples in [-1, 1) of the first channel, and error.
 
     A file that can't be decoded gives a row with the reason as error and nothing else, and doesn't end the job. Arrow
-    batches end at spark.sql.execution.arrow.maxBytesPerBatch, so a task holds few recordings at a time.
+    batches end at spark.sql.execution.arrow.maxBytesPerBatch, so a task holds few recordings at a time. Spark's scan gives a
+    task some 32 short files at most; up to sixteen such tasks are one here.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[wW][aA][vV]").option("recursiveFileLookup", "true").load(folder)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows, held = [], 0
             for path, content in zip(batch.column(0), batch.column(1), strict=True):
                 name = path.as_py().rsplit("/", 1)[-1]
                 try:
                     rate, x = _decoded(content.as_py())
-                    row = {"clip_id": name, "fs": rate, "n_samples": len(x), "samples": x, "error": None}
+                    rows.append({"clip_id": name, "fs": rate, "n_samples": len(x), "samples": x})
+                    held += x.nbytes
                 except (ValueError, struct.error) as e:
-                    row = {"clip_id": name, "fs": None, "n_samples": None, "samples": None, "error": str(e) or type(e).__name__}
-                yield pa.RecordBatch.from_pylist([row], schema)
+                    rows.append({"clip_id": name, "error": reason(e)})
+                if len(rows) >= BATCH_ROWS or held >= BATCH_BYTES:
+                    yield columns_of(rows, schema)
+                    rows, held = [], 0
+            if rows:
+                yield columns_of(rows, schema)
 
     schema = pa.schema([("clip_id", pa.string()), ("fs", pa.int32()), ("n_samples", pa.int64()), ("samples", pa.list_(pa.float64())), ("error", pa.string())])
-    return files.select("path", "content").mapInArrow(decode, "clip_id string, fs int, n_samples long, samples array<double>, error string")
+    tasks = files.rdd.getNumPartitions()
+    few = min(tasks, max(4 * spark.sparkContext.defaultParallelism, tasks // 16))
+    return files.select("path", "content").coalesce(few).mapInArrow(decode, "clip_id string, fs int, n_samples long, samples array<double>, error string")
 
 
 def labelled_files(spark: SparkSession, positive: str, negative: str, pattern: str = "*.[mM][aA][tT]") -> DataFrame:

@@ -4,8 +4,10 @@ from types import SimpleNamespace
 
 from pyspark.sql import functions as F
 
+from sonolith import plans
+from sonolith.operators.failures import safe_batches, safe_map
 from sonolith.plans import profile_queries
-from sonolith.sources.catalogues import window_catalogue
+from sonolith.sources.catalogues import load_clips, window_catalogue
 from sonolith.sources.recordings import load_blocks
 
 from .test_recordings import put
@@ -33,3 +35,29 @@ def test_short_recordings_share_tasks(spark, tmp_path):
         blocks = load_blocks(spark, f"file://{tmp_path}", block=2, halo=1, split_bytes=split)
         assert 4 <= blocks.rdd.getNumPartitions() <= 12
         assert blocks.agg(F.count("*"), F.count_distinct("clip_id"), F.sum(F.size("samples"))).first()[:] == (1200, 600, 2400)
+
+
+def test_clips_share_tasks_and_each_stage_is_run_once(spark, tmp_path):
+    for i in range(1200):
+        put(tmp_path / f"0_{i}.wav", 64, [0.5, -0.5], width=2)
+    clips = load_clips(spark, f"file://{tmp_path}")
+    assert clips.rdd.getNumPartitions() <= 16 and clips.agg(F.count_distinct("clip_id"), F.sum("n_samples")).first()[:] == (1200, 2400)
+    report = plans.QUERIES["agg_20_stage_failures"](spark, "/root/testdata/sf0.001")
+    assert plan(report).count("MapInArrow") <= 1 and "Join" not in plan(report)
+
+
+def test_a_stage_batches_by_bytes_and_a_bad_row_costs_no_other(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def one(row):
+        seen.add(1)
+        if row["id"] % 3 == 0:
+            raise ValueError("third")
+        return {"n": len(row["x"])}
+
+    df = spark.range(0, 300, 1, 1).withColumn("x", F.array_repeat(F.lit(1.0), 100))
+    got = safe_map(df, one, "n int", batch_bytes=10_000).collect()
+    assert [(r.n, r.error) for r in got] == [(None, "third") if i % 3 == 0 else (100, None) for i in range(300)]
+    assert seen.value == 300
+    sizes = safe_batches(df, lambda rows: [{"n": len(rows)} for _ in rows], "n int", batch_bytes=10_000).agg(F.max("n")).first()[0]
+    assert 5 <= sizes <= 12
