@@ -14,7 +14,7 @@ from ..operators import spectra as X
 from ..operators import splits
 from ..operators import stages as G
 from ..operators.tiling import even_starts
-from ..session import scratch
+from ..session import materialize, scratch
 from ..sources import catalogues as C
 from ..sources import recordings as B
 from ..sources import sinks as K
@@ -130,12 +130,14 @@ f AS (SELECT vec_id, clip_id, CASE WHEN vec_id % 10 = 0 THEN 'read: file does no
 WHEN b - a < 16 THEN 'spectrum: fewer samples than a frame' END AS f FROM e)
 SELECT split_part(f, ': ', 1) AS stage, vec_id::VARCHAR AS call_id, clip_id, split_part(f, ': ', 2) AS reason FROM f WHERE f IS NOT NULL""")
 def _(t):
-    """Junk is read, windows are cut and transformed; each fault is a row, told where it arose."""
+    """Junk is read, windows are cut and transformed; each fault is a row, told where it arose. What a stage made is written once, as
+    the next stage and the report both read it."""
     c = C.load_clips(t.spark, _written_clips(t, junk=True)).withColumn("call_id", F.regexp_extract("clip_id", r"_(\d+)", 1).cast("long"))
     c = c.withColumn("start_s", F.col("call_id") % 70 / 64).withColumn("end_s", (F.col("call_id") % 70 + F.col("call_id") % 30) / 64)
-    s = G.sliced(c)
-    p = X.band_power(s.withColumn("start", F.lit(0)), 16, 8, 1 << 20, key="call_id")
-    return E.failure_report({"read": c, "slice": s, "spectrum": p.join(c.select("call_id", "clip_id"), "call_id")}, "call_id", "clip_id")
+    c = materialize(c, "read")
+    s = materialize(G.sliced(c), "slices")
+    p = X.band_power(s.withColumn("start", F.lit(0)), 16, 8, 1 << 20, key="call_id", keep=("clip_id",))
+    return E.failure_report({"read": c, "slice": s, "spectrum": p}, "call_id", "clip_id")
 
 
 @query("agg_24_catalogue_consistency", "", f"WITH {_FAULTS} SELECT * FROM r")
