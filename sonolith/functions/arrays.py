@@ -72,6 +72,17 @@ def fit_row(r: Column, start: Column, crop: int) -> Column:
     return F.concat(cut, F.array_repeat(F.element_at(cut, -1), F.greatest(F.lit(0), crop - F.size(cut))))
 
 
+def centre_crop(p: Column, t: Column, frames: Column, size: int) -> Column:
+    """The middle ``size`` rows and frames of a matrix, none padded, each row an array of (t_idx, value), t_idx from 0.
+
+    The spectrogram has so many ``frames``; t tells, in order, which of them the matrix holds.
+    """
+    start = crop_start(frames, size, F.lit(False))
+    rows = F.slice(p, F.greatest(F.lit(0), F.floor((F.size(p) - size) / 2).cast("int")) + 1, F.lit(size))
+    placed = lambda r: F.transform(r, lambda x, j: F.struct((F.get(t, j) - start).cast("int").alias("t_idx"), x.alias("value")))
+    return F.transform(rows, lambda r: F.filter(placed(r), lambda c: c["t_idx"].between(0, size - 1)))
+
+
 def chunk(p: Column, start: Column, size: int, zero: bool) -> Column:
     """Square of size rows and frames from start; short edges padded with the last value, or with zeros."""
     n = F.size(p)

@@ -5,6 +5,7 @@ from types import SimpleNamespace
 from pyspark.sql import functions as F
 
 from sonolith import plans
+from sonolith.functions import arrays as A
 from sonolith.operators.failures import safe_batches, safe_map
 from sonolith.plans import profile_queries
 from sonolith.sources.catalogues import load_clips, window_catalogue
@@ -61,3 +62,12 @@ def test_a_stage_batches_by_bytes_and_a_bad_row_costs_no_other(spark):
     assert seen.value == 300
     sizes = safe_batches(df, lambda rows: [{"n": len(rows)} for _ in rows], "n int", batch_bytes=10_000).agg(F.max("n")).first()[0]
     assert 5 <= sizes <= 12
+
+
+def test_centre_crop_of_spectrograms_that_lack_frames(spark):
+    for held in ([*range(6)], [*range(20)], [*range(50)], [3, 9, 9, 40, 41, 44]):
+        p = [[100.0 * f + x for x in held] for f in range(64)]
+        s = spark.createDataFrame([(1, p, [float(x) for x in held])], "spec_id int, p array<array<double>>, t array<double>")
+        rows = s.select(A.centre_crop(F.col("p"), F.col("t"), F.lit(50), 32).alias("m")).first().m
+        got = sorted((f, c.t_idx, c.value) for f, r in enumerate(rows) for c in r)
+        assert got == sorted((f - 16, x - 9, 100.0 * f + x) for f in range(16, 48) for x in held if 9 <= x <= 40)
