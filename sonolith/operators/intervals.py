@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .ranking import earlier_max, hash_key, running_count, unit
+from .ranking import earlier_max, hash_key, running_count, top_per_group, unit
 
 
 #: Seconds of a key that are scanned together; a key of any length is scanned bucket by bucket.
@@ -86,16 +86,47 @@ def arithmetic_neighbours(clips: DataFrame, seconds: int) -> DataFrame:
     return clips.join(shift(seconds, "previous"), ["device_code", "clip_start"], "left").join(shift(-seconds, "next"), ["device_code", "clip_start"], "left")
 
 
+def first_within(left: DataFrame, right: DataFrame, key: str, left_at: str, right_at: str, before_s: int, after_s: int, order: list[str], n: int) -> DataFrame:
+    """Of the pairs of interval_join(), those of the first n right rows of each left row, by right_at and then by ``order``.
+
+    Pairs aren't made and dropped, of which there are as many as rows crowd in a span: rows of both sides are one order, in
+    buckets as wide as the span, in which a left row, placed where its span begins, takes the n right rows that come next. A bucket
+    also has the first n of the next one, which is all that a span can reach.
+    """
+    width = max(1, before_s + after_s) * 1_000_000
+    micros = lambda c: F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', {c})")
+    by, names = [key, "_bucket"], [c for c in right.columns if c != key]
+    r = right.select(key, micros(right_at).alias("_at"), F.struct(*names).alias("_r")).filter(F.col(key).isNotNull() & F.col("_at").isNotNull())
+    r = r.withColumn("_bucket", F.floor(F.col("_at") / width))
+    ties = [F.col(f"_r.{c}") for c in order]
+    ahead = top_per_group(r, by, ["_at", *ties], n).withColumn("_bucket", F.col("_bucket") - 1)
+    # from the last to the first, as windows that grow from the front are cheap
+    back = Window.partitionBy(*by).orderBy(F.desc("_at"), *[x.desc() for x in ties])
+    following = F.collect_list(F.struct("_at", "_r")).over(back.rowsBetween(1 - n, 0))
+    r = r.unionByName(ahead).select(*by, "_at", F.lit(1).alias("_kind"), *[x.alias(f"_o{i}") for i, x in enumerate(ties)], following.alias("_next"))
+    a = left.select(key, (micros(left_at) - before_s * 1_000_000).alias("_at"), F.struct(*[c for c in left.columns if c != key]).alias("_l"), F.lit(0).alias("_kind"))
+    a = a.filter(F.col(key).isNotNull() & F.col("_at").isNotNull()).withColumn("_bucket", F.floor(F.col("_at") / width))
+    both = r.unionByName(a, allowMissingColumns=True)
+    w = Window.partitionBy(*by).orderBy(F.desc("_at"), F.desc("_kind"), *[F.desc(f"_o{i}") for i in range(len(order))])
+    held = both.withColumn("_found", F.last("_next", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).filter("_kind = 0")
+    pairs = held.select(key, "_l", "_at", F.explode("_found").alias("_f")).filter(F.col("_f._at") <= F.col("_at") + (before_s + after_s) * 1_000_000)
+    return pairs.select(key, "_l.*", "_f._r.*")
+
+
 def nearest_within(left: DataFrame, right: DataFrame, key: str, left_at: str, right_at: str, tolerance_s: int, order: list[str], by: list[str]) -> DataFrame:
     """For each left row the first right row, by ``order``, within the tolerance."""
-    pairs = interval_join(left, right, key, left_at, right_at, tolerance_s, tolerance_s)
+    if order[0] == right_at:
+        pairs = first_within(left, right, key, left_at, right_at, tolerance_s, tolerance_s, order[1:], 1)
+    else:
+        pairs = interval_join(left, right, key, left_at, right_at, tolerance_s, tolerance_s)
     return pairs.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter("_n = 1").drop("_n")
 
 
 def assets_per_call(calls: DataFrame, assets: DataFrame, window_s: int = 900, per_call: int = 2) -> DataFrame:
     """(call_id, asset, place): the first per_call spectrogram assets within the window of each call, by time and name."""
     named = assets.filter(F.lower("asset").contains("spect"))
-    pairs = interval_join(calls.select("call_id", "device_code", "call_ts"), named, "device_code", "call_ts", "asset_ts", window_s, window_s)
+    named = named.select("device_code", "asset_ts", "asset")
+    pairs = first_within(calls.select("call_id", "device_code", "call_ts"), named, "device_code", "call_ts", "asset_ts", window_s, window_s, ["asset"], per_call)
     w = Window.partitionBy("call_id").orderBy("asset_ts", "asset")
     return pairs.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= per_call).select("call_id", "asset", "place")
 

@@ -1,12 +1,15 @@
 """What must not grow faster than the input: documents, tasks, pairs, shuffled rows; and results on tables of odd sizes."""
 
+from datetime import datetime, timedelta
 from types import SimpleNamespace
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from sonolith import plans
 from sonolith.functions import arrays as A
 from sonolith.operators.failures import safe_batches, safe_map
+from sonolith.operators.intervals import assets_per_call, first_within
 from sonolith.plans import profile_queries
 from sonolith.sources.catalogues import load_clips, window_catalogue
 from sonolith.sources.recordings import load_blocks
@@ -71,3 +74,29 @@ def test_centre_crop_of_spectrograms_that_lack_frames(spark):
         rows = s.select(A.centre_crop(F.col("p"), F.col("t"), F.lit(50), 32).alias("m")).first().m
         got = sorted((f, c.t_idx, c.value) for f, r in enumerate(rows) for c in r)
         assert got == sorted((f - 16, x - 9, 100.0 * f + x) for f in range(16, 48) for x in held if 9 <= x <= 40)
+
+
+def test_first_within_equals_all_pairs_sorted(spark):
+    r = np.random.default_rng(5)
+    at = lambda k: datetime(2024, 1, 1) + timedelta(seconds=int(k))
+    left = [(i, int(r.integers(3)), at(r.integers(3000))) for i in range(200)] + [(900, None, at(5)), (901, 1, None)]
+    right = [(f"a{r.integers(20)}", int(r.integers(3)), at(r.integers(3000))) for _ in range(150)] + [("b", 1, None), ("c", None, at(6))]
+    calls = spark.createDataFrame(left, "call int, k int, ts timestamp_ntz")
+    assets = spark.createDataFrame(right, "asset string, k int, at timestamp_ntz")
+    for before, after, n in ((100, 100, 2), (0, 50, 1), (300, 0, 3), (0, 0, 2)):
+        got = sorted((x.call, x.at, x.asset) for x in first_within(calls, assets, "k", "ts", "at", before, after, ["asset"], n).collect())
+        want = []
+        for call, k, ts in left:
+            near = [(a, name) for name, key, a in right if None not in (k, ts, key, a) and k == key and -before <= (a - ts).total_seconds() <= after]
+            want += [(call, *x) for x in sorted(near)[:n]]
+        assert got == sorted(want)
+
+
+def test_assets_of_crowded_calls_make_no_pairs(spark):
+    """20,000 calls and 20,000 assets of one minute: 400 million pairs."""
+    moment = F.expr("timestampadd(MILLISECOND, cast(id % 60000 as int), timestamp_ntz'2024-01-01 00:00:00')")
+    calls = spark.range(20_000).select(F.col("id").alias("call_id"), F.lit("d").alias("device_code"), moment.alias("call_ts"))
+    assets = spark.range(20_000).select(F.concat(F.lit("Spect"), F.lpad(F.col("id").cast("string"), 5, "0")).alias("asset"), F.lit("d").alias("device_code"), moment.alias("asset_ts"))
+    per = assets_per_call(calls, assets)
+    assert "Join" not in plan(per)
+    assert sorted(map(tuple, per.groupBy("asset", "place").count().collect())) == [("Spect00000", 1, 20_000), ("Spect00001", 2, 20_000)]
