@@ -111,7 +111,8 @@ def band_spectrum(blocks: DataFrame, size: int, hop: int, block: int, key: str =
 def spectrum_matrix(spectrum: DataFrame, key: str = "clip_id", value: str = "db") -> DataFrame:
     """(key, first_bin, matrix): one matrix per recording, a row per bin and a column per frame. For bands, which are narrow."""
     parts = spectrum.filter("error IS NULL").groupBy(key, "first_bin").agg(F.array_sort(F.collect_list(F.struct("first_frame", value))).alias("_p"))
-    frames = F.flatten(F.transform("_p", lambda p: p[value]))
+    parts = parts.withColumn("_frames", F.flatten(F.transform("_p", lambda p: p[value])))  # a column, else flattened for every bin
+    frames = F.col("_frames")
     bins = F.sequence(F.lit(1), F.size(F.element_at(frames, 1)))
     return parts.select(key, "first_bin", F.transform(bins, lambda i: F.transform(frames, lambda f: F.element_at(f, i))).alias("matrix"))
 

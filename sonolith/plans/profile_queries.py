@@ -355,7 +355,7 @@ def _(t):
     """Bins from 8 to 20 Hz of recordings at 64 Hz: blocks of 24 samples with a frame's halo, relative to the maximum of all bins."""
     blocks = B.load_blocks(t.spark, _written_clips(t), block=24, halo=16)
     m = X.spectrum_matrix(X.band_spectrum(blocks, 16, 8, 24, band_hz=(8.0, 20.0)))
-    c = m.select("clip_id", "first_bin", F.posexplode("matrix").alias("b", "row")).select("clip_id", (F.col("first_bin") + F.col("b")).alias("bin"), F.posexplode("row").alias("frame", "db"))
+    c = m.select("clip_id", "first_bin", F.posexplode_outer("matrix").alias("b", "row")).filter("b IS NOT NULL").select("clip_id", (F.col("first_bin") + F.col("b")).alias("bin"), F.posexplode("row").alias("frame", "db"))
     return c.select("clip_id", "frame", "bin", F.round(F.greatest(F.pow(F.lit(10.0), F.col("db") / 10), F.lit(1e-5)), 5).alias("relative"))
 
 

@@ -76,6 +76,12 @@ def test_centre_crop_of_spectrograms_that_lack_frames(spark):
         assert got == sorted((f - 16, x - 9, 100.0 * f + x) for f in range(16, 48) for x in held if 9 <= x <= 40)
 
 
+def test_matrices_are_made_once(spark):
+    """A filter by the size of what is exploded would make the matrices again for every element."""
+    for name in ("arr_7_orientation", "arr_10_fit_rows", "arr_13_centre_crop", "arr_15_square_chunks"):
+        assert "Filter (size(" not in plan(plans.QUERIES[name](spark, "/root/testdata/sf0.001"))
+
+
 def test_first_within_equals_all_pairs_sorted(spark):
     r = np.random.default_rng(5)
     at = lambda k: datetime(2024, 1, 1) + timedelta(seconds=int(k))
