@@ -37,3 +37,13 @@ def window_timing(clip_start: Column, t: Column, bins: Column, window_s: float,
     start = F.greatest(F.lit(0.0), t - window_s / 2)
     end = start + F.greatest(F.lit(0), bins - 1) * F.lit(hop_s) + F.lit(window_s)
     return start, end, F.timestamp_add("MICROSECOND", F.rint(t * 1e6).cast("long"), clip_start)
+
+
+def covered(starts: Column, size: int, total: Column) -> Column:
+    """How many of the bins 0 to total - 1 lie in at least one window of size bins; no bin is listed, whatever the total."""
+    step = lambda a, s: F.struct(
+        (a["n"] + F.greatest(F.lit(0), F.least(total, s + size) - F.greatest(s, a["reach"], F.lit(0)))).alias("n"), F.greatest(a["reach"], F.least(total, s + size)).alias("reach")
+    )
+    zero = F.lit(0).cast("long")
+    ordered = F.transform(F.array_sort(starts), lambda s: s.cast("long"))
+    return F.when(total.isNotNull(), F.aggregate(ordered, F.struct(zero.alias("n"), zero.alias("reach")), step, lambda a: a["n"]))

@@ -269,9 +269,7 @@ def _(t):
 @query("set_7_coverage", "", f"SELECT doc_id, t AS covered FROM {_TOTAL}")
 def _(t):
     total = (F.col("n_chars") % 4000 + 1).cast("int")
-    w = t["documents"].select("doc_id", total.alias("t"), F.explode(T.even_starts(total, F.lit(96))).alias("s"))
-    bins = w.select("doc_id", F.explode(F.sequence("s", F.least(F.col("t"), F.col("s") + 96) - 1)).alias("bin"))
-    return bins.groupBy("doc_id").agg(F.count_distinct("bin").cast("int").alias("covered"))
+    return t["documents"].select("doc_id", T.covered(T.even_starts(total, F.lit(96)), 96, total).cast("int").alias("covered"))
 
 
 @query("arr_5_sample_slice", "", f"WITH {_SIGNALS} SELECT vec_id, len(y)::INT AS n, y[1] AS first, y[len(y)] AS last FROM (SELECT vec_id, x[(vec_id % 60) + 1:least(64, vec_id % 60 + 12)] AS y FROM sig)")

@@ -10,6 +10,7 @@ from sonolith import plans
 from sonolith.functions import arrays as A
 from sonolith.operators.failures import safe_batches, safe_map
 from sonolith.operators.intervals import assets_per_call, first_within
+from sonolith.operators.tiling import covered
 from sonolith.plans import profile_queries
 from sonolith.sources.catalogues import load_clips, window_catalogue
 from sonolith.sources.recordings import load_blocks
@@ -106,3 +107,12 @@ def test_assets_of_crowded_calls_make_no_pairs(spark):
     per = assets_per_call(calls, assets)
     assert "Join" not in plan(per)
     assert sorted(map(tuple, per.groupBy("asset", "place").count().collect())) == [("Spect00000", 1, 20_000), ("Spect00001", 2, 20_000)]
+
+
+def test_coverage_lists_no_bins(spark):
+    cases = [([0, 4, 9], 5, 14), ([9, 0], 5, 20), ([0], 5, 3), ([], 5, 3), ([2, 2, 3], 4, 10)]
+    for starts, size, total in cases:
+        row = spark.range(1).select(covered(F.lit(starts).cast("array<int>"), size, F.lit(total)).alias("n")).first()
+        assert row.n == len({b for s in starts for b in range(s, min(total, s + size))})
+    text = plan(plans.QUERIES["set_7_coverage"](spark, "/root/testdata/sf0.001"))
+    assert "Exchange" not in text and "Generate" not in text
