@@ -101,8 +101,7 @@ def _(t):
 @query("ml_4_evaluate_models", "scored", f"""WITH {_CONF}, {_RATES}, {_CURVE}, {_AUC} SELECT model, sample_id, CASE WHEN score >= 0.5 THEN CASE WHEN y_true = 1 THEN 'tp' ELSE 'fp' END ELSE
 CASE WHEN y_true = 1 THEN 'fn' ELSE 'tn' END END AS outcome, auc, f1 FROM scored JOIN a USING (model) JOIN f USING (model)""")
 def _(t):
-    table = M.comparison(t.scored).select("model", "auc", "f1")
-    return M.with_outcome(t.scored).select("model", "sample_id", "outcome").join(table, "model")
+    return M.evaluated(t.scored).select("model", "sample_id", "outcome", "auc", "f1")
 
 
 @query("win_5_examples_per_outcome", "scored", """SELECT model, sample_id, outcome FROM (SELECT *, row_number() OVER (PARTITION BY model, outcome ORDER BY sample_id) AS n

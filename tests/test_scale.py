@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sonolith import plans
 from sonolith.functions import arrays as A
+from sonolith.operators import metrics
 from sonolith.operators.failures import safe_batches, safe_map
 from sonolith.operators.intervals import assets_per_call, first_within
 from sonolith.operators.tiling import covered
@@ -116,3 +117,13 @@ def test_coverage_lists_no_bins(spark):
         assert row.n == len({b for s in starts for b in range(s, min(total, s + size))})
     text = plan(plans.QUERIES["set_7_coverage"](spark, "/root/testdata/sf0.001"))
     assert "Exchange" not in text and "Generate" not in text
+
+
+def test_samples_are_not_shuffled_by_model(spark):
+    scored = spark.range(1000).select((F.col("id") % 2).cast("string").alias("model"), F.col("id").cast("string").alias("sample_id"), (F.col("id") % 3 == 0).cast("int").alias("y_true"), (F.col("id") % 11 / 11).alias("score"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joins = plan(metrics.evaluated(scored)).split("+- ")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert any(x.startswith("BroadcastHashJoin") for x in joins[:4])
